@@ -38,21 +38,22 @@ def bound_arrow(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def words(text: str | Column) -> Column:
-    """The words of a text as an array; null and empty texts have none."""
+def trimmed(text: str | Column) -> Column:
+    """A text without white space at its ends; null becomes empty."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
 
 
-def n_words(text: str | Column) -> Column:
-    """The number of words, without keeping them."""
-    text = F.col(text) if isinstance(text, str) else text
-    return F.size(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{SPACE}|{SPACE}\z", ""), SPACE)).cast("long") - F.when(F.coalesce(text, F.lit("")).rlike(WORD), 0).otherwise(1)
+def words(text: str | Column) -> Column:
+    """The words of a text as an array; null and empty texts have none."""
+    t = trimmed(text)
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, SPACE))
 
 
-def row_key(*columns: str) -> list[Column]:
-    """A null-safe key of a row: (id or the least long, whether it is null, hash of the columns)."""
-    return [F.xxhash64(*[F.col(c) for c in columns])]
+def n_words(text: str | Column) -> Column:
+    """The number of words (long), without keeping them."""
+    t = trimmed(text)
+    return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, SPACE))).cast("long")
 
 
 def chunks(batches: Iterator, weight, most: int) -> Iterator[list]:

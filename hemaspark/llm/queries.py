@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, packing
+from . import mixing, packing, quality, secrets, simhash
 
 QUERIES = {
+    "op2_secret_linking": secrets.query,
+    "op3_quality_votes": quality.query,
     "op6_source_mix": mixing.query,
+    "op8_simhash_pigeonhole": simhash.query,
     "op10_best_fit_packing": packing.query,
 }
 
