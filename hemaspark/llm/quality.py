@@ -9,26 +9,30 @@ from pyspark.sql import functions as F
 
 from .common import trimmed, words, written
 
+PLAIN = r"""\A[\p{Ps}\p{Pi}"']*+[\p{L}\p{M}\p{N}][\p{L}\p{M}\p{N}'’.,:/@_+-]*+[\p{Pe}\p{Pf}"'’.,;:!?…]*+\z"""
+ENDED = r"""[.!?…。！？]["'’”»)\]]*\z"""
 SYMBOLS = r"[#*$%&|<>]"
-#: Rules: (value, votes bad where, votes good where). Between the two a rule abstains.
+#: Rules: (value, votes bad where, votes good where). Else a rule abstains; one that looks for a single defect says
+#: nothing where the defect is absent, as that hardly speaks for a text.
 RULES: dict[str, tuple[str, str, str]] = {
-    "length": ("n_words", "v < 20", "v >= 50"),
-    "symbols": ("n_symbols / nullif(n_words, 0)", "v > 0.15", "v < 0.05"),
-    "repeated_lines": ("n_dup_lines / nullif(n_lines, 0)", "v > 0.3", "v < 0.1"),
-    "repeated_words": ("n_repeat_words / nullif(n_words, 0)", "v > 0.4", "v < 0.2"),
-    "word_length": ("word_chars / nullif(n_words, 0)", "v < 2 or v > 15", "v between 3 and 10"),
-    "distinct_words": ("n_distinct / sqrt(nullif(n_words, 0))", "v < 2.5", "v > 4"),
-    "sentences": ("n_ended / nullif(n_lines, 0)", "v < 0.2", "v > 0.5"),
-    "letters": ("n_lettered / nullif(n_words, 0)", "v < 0.7", "v > 0.9"),
+    "length": ("n_words", "v < 20", "v >= 100"),
+    "symbols": ("n_symbols / nullif(n_words, 0)", "v > 0.15", "false"),
+    "repeated_lines": ("n_dup_lines / nullif(n_lines, 0)", "v > 0.4", "false"),
+    "repeated_words": ("n_repeat_words / nullif(n_words, 0)", "v > 0.4", "false"),
+    "word_length": ("word_chars / nullif(n_words, 0)", "v < 2.5 or v > 12", "false"),
+    "distinct_words": ("n_distinct / sqrt(nullif(n_words, 0))", "v < 2.5", "v > 6"),
+    "sentences": ("n_words / greatest(n_ended, 1)", "v > 100", "v < 60"),
+    "plain_words": ("n_plain / nullif(n_words, 0)", "v < 0.75", "v > 0.97"),
 }
 THRESHOLD = 0.5
-#: Prior belief in a rule that votes, and its weight as a share of the documents.
-PRIOR_ACCURACY, PRIOR_SHARE = 0.85, 0.1
+#: Prior belief: the share of good documents; how often a bad and a good vote are right; the prior's weight as a share of the documents.
+PRIOR_GOOD, BAD_RIGHT, GOOD_RIGHT, PRIOR_SHARE = 0.85, 0.95, 0.9, 0.1
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, _th, counts) of each whole text, in one pass: see the contract's names, and n_lines (lines with a word),
-    n_distinct (different words), n_ended (lines that end a sentence), n_lettered (words with a letter).
+    n_distinct (different words), n_ended (words that end a sentence), n_plain (words of letters and digits between
+    ordinary punctuation).
 
     Repeated words come from a sort of the text's 3-word windows by XXH64: a window equals its neighbour in that order or
     none. (Two different windows of a text of 100,000 words share a hash with a chance of 3 in ten thousand million.)
@@ -47,7 +51,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return t.select(
         "_id", "_th", long(n).alias("n_words"), long(F.length(F.array_join("_w", ""))).alias("word_chars"), long(F.length("_t") - F.length(F.regexp_replace("_t", SYMBOLS, ""))).alias("n_symbols"),
         long(F.size("_l") - F.size(F.array_distinct("_l"))).alias("n_dup_lines"), long(F.coalesce(cover, F.lit(0))).alias("n_repeat_words"), long(F.size("_l")).alias("n_lines"),
-        long(F.size(F.array_distinct("_w"))).alias("n_distinct"), long(F.size(F.filter("_l", lambda x: x.rlike(r"[.!?:;…。！？]['\")\]\x20\x09-\x0D]*\z")))).alias("n_ended"), long(F.size(F.filter("_w", lambda w: w.rlike(r"\p{L}")))).alias("n_lettered"),
+        long(F.size(F.array_distinct("_w"))).alias("n_distinct"), long(F.size(F.filter("_w", lambda w: w.rlike(ENDED)))).alias("n_ended"), long(F.size(F.filter("_w", lambda w: w.rlike(PLAIN)))).alias("n_plain"),
     )
 
 
@@ -60,18 +64,28 @@ def votes(rules: dict[str, tuple[str, str, str]] = RULES) -> dict[str, Column]:
     return out
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], accuracy: float = PRIOR_ACCURACY, share: float = PRIOR_SHARE, rounds: int = 100) -> dict:
+def fit(patterns: list[tuple[tuple[int, ...], int]], share: float = PRIOR_SHARE, rounds: int = 100) -> dict:
     """Expectation-maximisation over vote patterns with counts: {"prior": P(good), "rules": [{vote: (P(vote|good), P(vote|bad))}]}.
 
     Dawid and Skene's model with abstentions as a third outcome. A rule's outcome rates have a prior of `share` of all
-    documents, at `accuracy` for either class and at its own rate of abstaining, so that classes can't change places.
-    At most 3 to the power of the number of rules patterns come here, whatever the input.
+    documents: its own rates of voting, of which BAD_RIGHT and GOOD_RIGHT are right, so that classes can't change places
+    and a rule that votes rarely still counts. At most 3 to the power of the number of rules patterns come here, whatever
+    the input.
     """
     total = sum(n for _, n in patterns) or 1
     m = len(patterns[0][0]) if patterns else 0
-    silent = [sum(n for v, n in patterns if v[j] == 0) / total for j in range(m)]
-    first = [{g: (accuracy if g == y else 1 - accuracy) * (1 - silent[j]) if g else silent[j] for g in (-1, 0, 1)} for j in range(m) for y in (1, -1)]
-    tables, prior, strength = [(first[2 * j], first[2 * j + 1]) for j in range(m)], 0.8, share * total
+    first = []
+    for j in range(m):
+        bad, good = (sum(n for v, n in patterns if v[j] == g) / total for g in (-1, 1))
+        # votes of either class as if the rule were right so often; what is left abstains
+        sides = []
+        for is_good, size in ((True, PRIOR_GOOD), (False, 1 - PRIOR_GOOD)):
+            b = bad * ((1 - BAD_RIGHT) if is_good else BAD_RIGHT) / size
+            g = good * (GOOD_RIGHT if is_good else 1 - GOOD_RIGHT) / size
+            scale = 0.98 / max(0.98, b + g)
+            sides.append({-1: b * scale, 1: g * scale, 0: 1 - (b + g) * scale})
+        first += sides
+    tables, prior, strength = [(first[2 * j], first[2 * j + 1]) for j in range(m)], PRIOR_GOOD, share * total
     floor = 1e-4
     last = None
     for _ in range(rounds):
@@ -80,7 +94,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], accuracy: float = PRIOR_ACC
             score = math.log(prior / (1 - prior)) + sum(math.log(max(tables[j][0][x], floor) / max(tables[j][1][x], floor)) for j, x in enumerate(v))
             good.append(1 / (1 + math.exp(-max(-60.0, min(60.0, score)))))
         weight = [sum(n * p for (_, n), p in zip(patterns, good, strict=True)), sum(n * (1 - p) for (_, n), p in zip(patterns, good, strict=True))]
-        prior = min(0.99, max(0.01, (weight[0] + 0.8 * strength) / (total + strength)))
+        prior = min(0.99, max(0.01, (weight[0] + PRIOR_GOOD * strength) / (total + strength)))
         new = []
         for j in range(m):
             sides = []
@@ -101,7 +115,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], accuracy: float = PRIOR_ACC
 def posterior(model: dict, names: list[str]) -> Column:
     """P(good | votes) as a column over the vote columns: a sum of log ratios, so no lookup table is joined."""
     score = F.lit(math.log(model["prior"] / (1 - model["prior"])))
-    for name, table in zip(names, model["rules"], strict=True):
+    for name, table in zip(names, model["rules"], strict=False):  # no rules were fitted to no rows
         ratio = {g: math.log(a / b) for g, (a, b) in table.items()}
         score = score + F.when(F.col(name) == -1, ratio[-1]).when(F.col(name) == 1, ratio[1]).otherwise(ratio[0])
     return 1 / (1 + F.exp(-score))

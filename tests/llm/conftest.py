@@ -1,9 +1,12 @@
+import random
+
 import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, count long, start string, _h int"
 
-LINE = "the quick brown fox jumps over the lazy dog while seven wizards mix strange potions at dawn."
-PROSE = "\n".join(f"{LINE[:-1]} number {i} with word{i} and other{i * 7} things to say." for i in range(12))
+_RNG = random.Random(11)
+_WORD = lambda: "".join(_RNG.choice(["la", "zy", "fo", "ri", "ten", "du", "ma", "so"]) for _ in range(_RNG.randint(1, 3)))
+PROSE = "\n".join(" ".join(_WORD() for _ in range(14)) + "." for _ in range(12))
 
 
 @pytest.fixture(scope="session")
@@ -20,7 +23,7 @@ def odd_docs(spark):
         (5, "word", "en", "c", 4, 1, "y", 2),
         (6, " ".join(f"w{i % 977}x{i}" for i in range(30000)), "en", "c", 4, 1, "y", 2),
         (7, "x" * 50000, "en", "c", 4, 1, "y", 2),
-        (8, PROSE.replace("lazy", "sleepy", 1), "en", "a", 4, 1, "y", 2),
+        (8, PROSE.replace("lazy", "sleepy", 1) + " more", "en", "a", 4, 1, "y", 2),
         (9, "é ü ß 𝒳y\u0085z " * 20, "fr", "", 4, 1, "y", 2),
     ]
     return spark.createDataFrame(rows, SCHEMA)

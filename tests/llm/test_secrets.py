@@ -55,7 +55,7 @@ def test_weak_parts_need_each_other(spark, tmp_path):
 
 
 def test_many_parts_in_one_text(spark, tmp_path):
-    text = " ".join(f"user: u{i} q8Zr3LmT0vXc7NbA5kYd{i}" for i in range(2000))
+    text = " ".join(f"user: u{i + 1000} q8Zr3LmT0vXc7NbA5kYd{i}" for i in range(2000))
     (r,) = run(spark, tmp_path, [(1, text)])
     assert r.n_linked == 4000
 
