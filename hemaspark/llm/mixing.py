@@ -101,7 +101,7 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = SHARE, epochs: int = MOST_EPOCHS, cycle: tuple[float, ...] = CYCLE, block: int = BLOCK, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces) of the mix.
 
-    documents: id_col, row_key, size (words; null text: 0), source, source_size, target, taken (words the mix takes of
+    documents: id_col, _th (xxhash64 of the text), row_key, size (words; null text: 0), source, source_size, target, taken (words the mix takes of
     the row, repeats counted, never above `epochs` times its size). pieces: slot, rank, epoch, source, id_col, row_key,
     first (word of the document the piece begins at), words: what each slot reads, in order.
 
@@ -117,13 +117,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     targets = written(source_targets(sized, share, epochs, cycle), "targets")
     stats = targets.agg(F.sum("target").alias("words"), F.count("*").alias("n"), F.sum("n_docs").alias("rows")).first()
     block = max(1, min(block, int((stats["words"] or 0) / (400 * max(1, stats["n"])))))
-    buckets = max(1, -(-(stats["rows"] or 0) // 4096))
+    buckets = max(1, -(-(stats["rows"] or 0) // 1024))
     line = sized.withColumn("key", _key()).withColumn("bucket", F.pmod(F.shiftright(F.col("_h"), 8), F.lit(buckets)))
     sums = line.groupBy("key", "bucket").agg(F.sum("size").alias("n"))
     ahead = sums.select("key", "bucket", F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
     within = Window.partitionBy("key", "bucket").orderBy("_h", "_id", "_text")
     placed = line.withColumn("_in", F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_n", F.row_number().over(within))
-    placed = placed.join(ahead, ["key", "bucket"]).select("_id", "source", "key", "size", F.struct("bucket", "_h", "_n").alias("row_key"), (F.col("ahead") + F.col("_in")).alias("at"))
+    placed = placed.join(ahead, ["key", "bucket"]).select("_id", F.col("_text").alias("_th"), "source", "key", "size", F.struct("bucket", "_h", "_n").alias("row_key"), (F.col("ahead") + F.col("_in")).alias("at"))
     placed = written(placed, "line")
     slots = written(schedule(targets, block), "schedule")
     parts = placed.where("size > 0").select("*", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")).alias("block"))
@@ -132,7 +132,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     pieces = taken.select("slot", "rank", "epoch", "source", F.col("_id").alias(id_col), "row_key", "key", (F.col("lo") - F.col("at")).alias("first"), (F.least(F.col("hi"), F.col("block") * block + F.col("words")) - F.col("lo")).alias("words"))
     per_row = pieces.groupBy("key", "row_key").agg(F.sum("words").alias("taken"))
     documents = placed.join(per_row, ["key", "row_key"], "left").join(targets.withColumn("key", _key()).select("key", "source_size", "target"), "key")
-    return documents.select(F.col("_id").alias(id_col), "row_key", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")), pieces.drop("key")
+    return documents.select(F.col("_id").alias(id_col), "_th", "row_key", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")), pieces.drop("key")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs as often as the mix takes them: words taken by size, rounded. Rows that are not taken go; texts
+    without words are never taken. Rows that repeat an id and text share what is taken of them evenly."""
+    rows, _ = mix(docs, id_col, text_col, source_col)
+    share = rows.where("size > 0").groupBy(F.col(id_col).alias("_id"), "_th").agg(F.floor(F.avg(F.col("taken") / F.col("size")) + 0.5).cast("int").alias("_copies")).where("_copies > 0")
+    keyed = docs.withColumn("_key", F.xxhash64(F.col(text_col)))
+    every = keyed.join(share, F.expr(f"`{id_col}` <=> _id and _key = _th"))
+    return every.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, secrets, simhash
+from . import mixing, packing, quality, secrets, simhash, substring
 
 QUERIES = {
     "op2_secret_linking": secrets.query,
     "op3_quality_votes": quality.query,
+    "op5_substring_anchors": substring.query,
     "op6_source_mix": mixing.query,
     "op8_simhash_pigeonhole": simhash.query,
     "op10_best_fit_packing": packing.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_substring_anchors": substring.SQL,
+}

@@ -111,7 +111,7 @@ def plan(sample: np.ndarray, n: int, distance: int = MAX_DISTANCE) -> list[tuple
     Tries every number of partitions up to distance + 1 and takes the cheapest: entries (probes for n fingerprints), and
     pairs that meet, estimated from the sample's pairs and from independent bits.
     """
-    best = None
+    best, n = None, max(n, 1000)  # below that any plan will do: the one with few entries
     a, b = np.triu_indices(min(len(sample), SAMPLE // 2), 1)
     differ = sample[a] ^ sample[b] if len(sample) > 1 else np.zeros(0, np.uint64)
     for parts in range(2, distance + 2):
@@ -214,7 +214,7 @@ def links(distinct: DataFrame, distance: int = MAX_DISTANCE, hot: int = HOT_BUCK
     entries = None
     for k, (mask, flips) in enumerate(parts):
         sig = F.col("fp").bitwiseAND(F.lit(_signed(mask)))
-        one = distinct.select("fp", F.lit(k).alias("part"), F.explode(F.array(*[sig.bitwiseXOR(F.lit(_signed(f))) for f in flips])).alias("sig") if len(flips) > 1 else sig.alias("sig"))
+        one = distinct.select("fp", F.lit(k).alias("part"), F.explode(F.transform(F.lit([_signed(f) for f in flips]).cast("array<bigint>"), lambda f, sig=sig: sig.bitwiseXOR(f))).alias("sig") if len(flips) > 1 else sig.alias("sig"))
         entries = one if entries is None else entries.unionByName(one)
     large = written(entries.groupBy("part", "sig").count().where(F.col("count") > hot).select("part", "sig", F.lit(True).alias("hot")), "hot")
     entries = entries.withColumn("more", F.lit(0)).withColumn("bits", F.lit(0).cast("long"))
