@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, secrets, simhash, substring
+from . import embeddings, mixing, packing, pii, quality, secrets, simhash, substring
 
 QUERIES = {
     "op2_secret_linking": secrets.query,
     "op3_quality_votes": quality.query,
+    "op4_pii_boosting": pii.query,
     "op5_substring_anchors": substring.query,
     "op6_source_mix": mixing.query,
+    "op7_embedding_pq": embeddings.query,
     "op8_simhash_pigeonhole": simhash.query,
     "op10_best_fit_packing": packing.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_substring_anchors": substring.SQL,
+    "op7_embedding_pq": embeddings.SQL,
 }
