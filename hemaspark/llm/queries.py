@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import embeddings, mixing, packing, pii, quality, secrets, simhash, substring
+from . import embeddings, licenses, lm, mixing, packing, pii, quality, secrets, simhash, substring
 
 QUERIES = {
+    "op1_license_scan": licenses.query,
     "op2_secret_linking": secrets.query,
     "op3_quality_votes": quality.query,
     "op4_pii_boosting": pii.query,
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_source_mix": mixing.query,
     "op7_embedding_pq": embeddings.query,
     "op8_simhash_pigeonhole": simhash.query,
+    "op9_gated_lm": lm.query,
     "op10_best_fit_packing": packing.query,
 }
 
