@@ -2,35 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir, written
+
+__all__ = ["bound_arrow", "components", "n_words", "shared_dir", "trimmed", "words", "written"]
+
 #: White space between words: space and U+0009 to U+000D (bytes.split() splits at the same six).
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = tempfile.mkdtemp(prefix="hemaspark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts lineage, and later steps don't compute df once more."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/hemaspark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bound_arrow(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most so many rows, so that a batch of long documents fits into a Python worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -56,21 +39,6 @@ def n_words(text: str | Column) -> Column:
     return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, SPACE))).cast("long")
 
 
-def chunks(batches: Iterator, weight, most: int) -> Iterator[list]:
-    """Arrow batches gathered into lists of at least `most` by weight(batch), the last one excepted."""
-    held, total = [], 0
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        held.append(batch)
-        total += weight(batch)
-        if total >= most:
-            yield held
-            held, total = [], 0
-    if held:
-        yield held
-
-
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of an undirected graph; component is the smallest node reachable.
 
