@@ -14,12 +14,12 @@ from pyspark.sql import types as T
 from .common import bound_arrow, components, written
 
 COSINE = 0.9
-#: Vectors that centroids and codebooks are fitted on; every vector is indexed.
+#: Vectors that centroids and codebooks are fitted on (16 for each list where that is more); every vector is indexed.
 SAMPLE = 16384
-SUBSPACES, CODES, MOST_LISTS = 8, 64, 512
+SUBSPACES, CODES, MOST_LISTS = 8, 64, 4096
 #: A vector probes as many lists as find this share of vectors that stand just at the threshold; a pair is found from
-#: either side, so 0.93 means more than 0.99 of such pairs, and more of closer ones.
-REACH = 0.93
+#: either side, so more of such pairs are found, and more still of closer ones.
+REACH = 0.98
 #: Deviations of the distance to a code, beyond which a pair is ruled out without an exact comparison.
 DEVIATIONS = 5.0
 #: Members of an inverted list that one task compares with the list's probes.
@@ -27,10 +27,14 @@ BLOCK = 4096
 SEED = 7
 
 
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.argmin((c * c).sum(1) - 2 * x[a : a + 4096] @ c.T, axis=1) for a in range(0, len(x), 4096)])
+
+
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        own = np.argmin((c * c).sum(1) - 2 * x @ c.T, axis=1)
+        own = _nearest(x, c)
         for j in range(len(c)):
             if (own == j).any():
                 c[j] = x[own == j].mean(axis=0)
@@ -41,7 +45,7 @@ def train(sample: np.ndarray, lists: int, subspaces: int = SUBSPACES, codes: int
     """(coarse centroids, a codebook of residuals for each subspace) of unit vectors."""
     rng = np.random.default_rng(seed)
     coarse = _kmeans(sample, lists, rng)
-    own = np.argmin((coarse * coarse).sum(1) - 2 * sample @ coarse.T, axis=1)
+    own = _nearest(sample, coarse)
     rest = sample - coarse[own]
     return coarse, [_kmeans(np.ascontiguousarray(part), codes, rng, 8) for part in np.array_split(rest, min(subspaces, sample.shape[1]), axis=1)]
 
@@ -119,7 +123,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     links, but are compared once. Lists and codes rule pairs out (see sufficient and _compare), at a measured recall above 0.99. Null and zero vectors
     and those with null or non-finite components link with nothing; vectors of different lengths don't link. Null ids and
     repeated rows are rows of their own; a component without an id has null. The index is fitted on at most
-    `sample` vectors by hash, and holds all. A list's members are dealt to tasks by `block`; a task answers with the
+    max(`sample`, 16 * lists) vectors by hash, and holds all. A list's members are dealt to tasks by `block`; a task answers with the
     number of links of each probe and a forest of edges, never with all pairs. An empty table gives an empty result.
     """
     spark = df.sparkSession
@@ -132,13 +136,13 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     classes = written(classes.withColumn("node", F.xxhash64("_v", F.size("_v"))), "classes")
     results = None
     for size, n in sorted((r[0], r[1]) for r in classes.groupBy(F.size("_v")).count().collect()):
-        found = _links(classes.where(F.size("_v") == size), n, cosine, sample, lists or int(min(MOST_LISTS, max(1, n**0.5 / 2))), block)
+        found = _links(classes.where(F.size("_v") == size), n, cosine, sample, lists or int(min(MOST_LISTS, 1 + n**0.5 / 8)), block)
         results = found if results is None else results.unionByName(found)
     if results is None:
         return rows.select(F.col("_id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"), F.lit(True).alias("kept"))
     found = written(results, "found")
-    counts = found.where("other is null").groupBy("node").agg(F.sum("n").alias("n"))
-    edges = found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    counts = found.where("n > 0").groupBy("node").agg(F.sum("n").alias("n"))
+    edges = found.where("n = 0").select(F.col("node").alias("a"), F.col("other").alias("b"))
     ends = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
     labels = written(components(ends, edges).join(classes.select("node", "least"), "node"), "labels")
     least = labels.groupBy("component").agg(F.min("least").alias("id"))
@@ -150,9 +154,9 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
 
 def _links(classes: DataFrame, n: int, cosine: float, sample: int, lists: int, block: int) -> DataFrame:
-    """FOUND rows of one length of vectors: (node, null, links with other classes' rows) and edges (node, other, null)."""
+    """FOUND rows of one length of vectors: (node, 0, links with other classes' rows) and edges (node, other, 0)."""
     spark = classes.sparkSession
-    seen = np.array([r[0] for r in classes.orderBy(F.xxhash64(F.lit(SEED), "node"), "node").limit(sample).select("_v").collect()], float)
+    seen = np.array([r[0] for r in classes.orderBy(F.xxhash64(F.lit(SEED), "node"), "node").limit(max(sample, 16 * lists)).select("_v").collect()], float)
     coarse, books = train(seen / np.linalg.norm(seen, axis=1, keepdims=True), lists)
     reach = sufficient(seen / np.linalg.norm(seen, axis=1, keepdims=True), coarse, cosine)
 
@@ -205,10 +209,10 @@ def _links(classes: DataFrame, n: int, cosine: float, sample: int, lists: int, b
                     np.minimum.at(label, high, low)
                     while (label[label] != label).any():
                         label = label[label]
-            rows = [(int(names[k]), None, int(links[k])) for k in np.flatnonzero(links)]
-            rows += [(int(own[k]), None, int(back[k])) for k in np.flatnonzero(back)]
-            rows += [(int(nodes[k]), int(nodes[label[k]]), None) for k in np.flatnonzero(label != np.arange(len(nodes)))]
-        return pd.DataFrame(rows, columns=FOUND.names).astype({"node": "int64", "other": "Int64", "n": "Int64"})
+            rows = [(int(names[k]), 0, int(links[k])) for k in np.flatnonzero(links)]
+            rows += [(int(own[k]), 0, int(back[k])) for k in np.flatnonzero(back)]
+            rows += [(int(nodes[k]), int(nodes[label[k]]), 0) for k in np.flatnonzero(label != np.arange(len(nodes)))]
+        return pd.DataFrame(np.array(rows, np.int64).reshape(-1, 3), columns=FOUND.names)
 
     fresh = lambda df, *names: df.select(*[F.col(c).alias(f"{c}_") for c in names]).toDF(*names)
     left = fresh(members, "list", "part", "node", "copies", "reach", "vector")

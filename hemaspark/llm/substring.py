@@ -295,7 +295,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 words = [w for w, x in zip(words, out.tolist(), strict=True) if not x]
             kept = b" ".join(words)
             rows.append((None if i == _NULL else i, n, removed, hashlib.sha256(kept).hexdigest()) + ((kept.decode(),) if with_text else ()))
-        return _frame(rows, schema).astype({id_col: "Int64"})
+        out = _frame(rows, schema)
+        out[id_col] = pd.array([r[0] for r in rows], dtype="Int64")
+        return out
 
     every = found.withColumn("final", F.lit(False)).unionByName(later.withColumn("final", F.lit(True)))
     return table.groupBy("chunk").cogroup(every.groupBy("chunk")).applyInPandas(finish, schema)

@@ -28,7 +28,9 @@ def test_equals_brute_force(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     for r in licenses.license_matches(df, templates=SHORT).collect():
         want = brute(TEXTS[r.doc_id], SHORT)
-        got = {m.template: round(m.dice, 9) for m in r.matches}
+        got: dict = {}
+        for m in r.matches:
+            got[m.template] = max(got.get(m.template, 0.0), round(m.dice, 9))
         assert bool(got) == bool(want)
         if want:
             assert max(got.values()) == max(want.values()) and all(want[k] >= s for k, s in got.items())
