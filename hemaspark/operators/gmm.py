@@ -75,7 +75,8 @@ def _constrained(cov: np.ndarray, kind: str, weights: np.ndarray) -> np.ndarray:
 
 def fit(x: np.ndarray, k: int, sample_weight: np.ndarray | None = None, means: np.ndarray | None = None, start: Mixture | None = None, covariance: str = "full", n_init: int = 1, max_iter: int = 200, tol: float = 1e-3, reg: float = REG, seed: int | None = 0) -> Mixture:
     """A mixture of k normal distributions. Begins with given means, with a fitted mixture, or at random (best of n_init)."""
-    x = np.asarray(x, float).reshape(len(x), -1)
+    x = np.asarray(x, float)
+    x = x.reshape(len(x), -1) if len(x) else np.zeros((0, 1))
     w = np.ones(len(x)) if sample_weight is None else np.asarray(sample_weight, float)
     if len(x) == 0 or (w > 0).sum() < k:
         raise ValueError(f"{k} components need as many points")
@@ -232,9 +233,10 @@ class Transport:
         maps to targets with at least `threshold`; points that no component is dense at go to one target. rand: a pair of
         components at random by its probability at the point. u: a number in [0, 1) for each point.
         """
-        x = np.asarray(x, float).reshape(len(x), -1)
+        x = np.asarray(x, float)
         if not len(x):
             return x
+        x = x.reshape(len(x), -1)
         u = np.zeros(len(x)) if u is None else u
         if method == "max":
             i = self.source.posterior(x).argmax(axis=1)

@@ -22,7 +22,7 @@ def file_facts(name: Column) -> dict[str, Column]:
 
 def sample_number(name: Column) -> Column:
     """The last bracket of a file name, looser than file_facts."""
-    return F.trim(F.element_at(F.regexp_extract_all(name, F.lit(r"\[([^\[\]]*)\]"), F.lit(1)), -1))
+    return F.trim(F.try_element_at(F.regexp_extract_all(name, F.lit(r"\[([^\[\]]*)\]"), F.lit(1)), F.lit(-1)))
 
 
 def measured_at(name: Column) -> Column:
