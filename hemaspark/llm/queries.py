@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_secret_linking": secrets.SQL,
     "op5_substring_anchors": substring.SQL,
     "op7_embedding_pq": embeddings.SQL,
 }

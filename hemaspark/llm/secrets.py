@@ -18,9 +18,9 @@ STRONG = {
 }
 #: Weak candidates count only with a complementary part in their scope: what identifies, what is secret, where it works.
 WEAK = {
-    "identifier": r"""(?<![A-Za-z0-9_])(?i:user|username|user_?id|login|account|client_?id|access_?key_?id|access_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}+""",
-    "key": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}",
-    "endpoint": r"""(?:(?<![A-Za-z0-9])[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]{4,}+|(?<![A-Za-z0-9_])(?i:host|hostname|endpoint|server|base_?url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]{4,}+)""",
+    "identifier": r"""(?:user(?:name|_?id)?|login|account|client_?id|access_?key(?:_?id)?|User(?:name|_?[Ii]d)?|Login|Account|Client_?[Ii]d|Access_?[Kk]ey(?:_?[Ii]d)?|USER(?:NAME|_?ID)?|LOGIN|ACCOUNT|CLIENT_?ID|ACCESS_?KEY(?:_?ID)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""",
+    "key": r"[A-Za-z0-9+/_-]{20,}={0,2}",
+    "endpoint": r"""(?:(?:https?|ftps?|ssh|sftp|postgres|postgresql|mysql|mongodb|redis|amqp|s3|jdbc:[a-z]{2,20})://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]{4,}|(?:host(?:name)?|endpoint|server|base_?url|Host(?:name)?|Endpoint|Server|Base_?[Uu]rl|HOST(?:NAME)?|ENDPOINT|SERVER|BASE_?URL)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]{4,})""",
 }
 ROLE = {"assign": "secret", "hex": "secret", "key": "secret", "access": "identifier", "identifier": "identifier", "endpoint": "endpoint"}
 ORDER = {k: i for i, k in enumerate([*STRONG, *WEAK])}
@@ -97,3 +97,35 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secret_spans(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("strong", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return rows.select("doc_id", *[count(k) for k in STRONG], F.sha2(joined(F.col("strong")), 256).alias("base_sha256"), joined(F.sort_array(F.concat("strong", "more"))).alias("spans"), F.size("more").cast("long").alias("n_linked"))
+
+
+def _sql() -> str:
+    """The query in DuckDB's SQL: the same patterns (a possessive quantifier is a greedy one there, as nothing follows it), positions
+    from the pieces between matches, and links as conditions on pairs of parts of a document."""
+    plain = {k: p.replace("++", "+").replace("}+", "}").replace("(?<![0-9a-f])", "") for k, p in (STRONG | WEAK).items()}
+    keep = {
+        "assign": """length(regexp_extract(m, '[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 6""",
+        "access": "length(m) >= 20",
+        "key": "regexp_matches(m, '[0-9][^0-9]+[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') AND length(regexp_replace(m, '[^A-Za-z]', '', 'g')) >= 6",
+    }
+    found = " UNION ALL ".join(
+        f"""SELECT rid, '{k}' AS kind, {ORDER[k]} AS ord, '{ROLE[k]}' AS role, {k in STRONG} AS strong, b - length(m) AS a, b, m FROM (
+          SELECT rid, m, sum(length(g) + length(m)) OVER (PARTITION BY rid ORDER BY i) AS b FROM (
+            SELECT rid, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, generate_subscripts(ms, 1) AS i FROM (
+              SELECT rid, regexp_extract_all(text, '{q}') AS ms, string_split_regex(text, '{q}') AS gs FROM t) WHERE len(ms) > 0)) WHERE {keep.get(k, 'true')}"""
+        for k, q in ((k, p.replace("'", "''")) for k, p in plain.items())
+    )
+    need = "(w.role = 'secret' AND o.role IN ('identifier', 'endpoint') OR w.role <> 'secret' AND o.role = 'secret')"
+    near = "(CASE WHEN (o.a, o.ord, o.b) < (w.a, w.ord, w.b) THEN w.a - o.b ELSE o.a - w.b END)"
+    listing = "coalesce(string_agg(concat_ws(':', kind, a, b), ',' ORDER BY a, ord, b){}, '')"
+    return f"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+p AS ({found}),
+l AS (SELECT * FROM p w WHERE NOT strong AND EXISTS (SELECT 1 FROM p o WHERE o.rid = w.rid AND {need} AND {near} <= {SCOPE})
+  AND NOT EXISTS (SELECT 1 FROM p o WHERE o.rid = w.rid AND o.strong AND {near} < 0)),
+s AS (SELECT * FROM p WHERE strong UNION ALL SELECT * FROM l)
+SELECT t.doc_id, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in STRONG)},
+  sha256({listing.format(" FILTER (WHERE strong)")}) AS base_sha256, {listing.format(" FILTER (WHERE kind IS NOT NULL)")} AS spans, count(*) FILTER (WHERE NOT strong) AS n_linked
+FROM t LEFT JOIN s ON t.rid = s.rid GROUP BY t.rid, t.doc_id"""
+
+
+SQL = _sql()
