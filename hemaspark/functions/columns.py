@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Added before a logarithm or logit. The inverse doesn't take it off again, so a round trip is 1e-7 too high.
 LOG_SHIFT = 1e-7
@@ -37,6 +38,16 @@ def number(col: Column) -> Column:
     return F.nullif(F.when(~text.rlike("[dDfF]$") | text.rlike("(?i)inf$"), text.try_cast("double")), F.lit(float("nan")))
 
 
+def num(df: DataFrame, name: str) -> Column:
+    """A column of df as double: numbers as they are (NaN null), text by number()."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.nullif(c(name).cast("double"), F.lit(float("nan")))
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return c(name).cast("double")
+    return number(c(name))
+
+
 def na_to_null(col: Column) -> Column:
     return F.when(~col.isin(NA_TOKENS), col)
 

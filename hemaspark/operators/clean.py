@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.columns import all_of, any_of, c, is_true, number
+from ..functions.columns import all_of, any_of, c, is_true, num, number
 
 ID, DATE, TIME, DISCRETE = "Sample No.", "Date", "Time", "Discrete"
 log = logging.getLogger("hemaspark")
@@ -117,14 +117,14 @@ def promotable(df: DataFrame, exempt: tuple[str, ...] = (ID, DATE, TIME), step:
     out: list[str] = []
     for i in range(0, len(names), step):
         part = names[i : i + step]
-        row = df.agg(*[F.count_if(c(n).isNotNull() & number(c(n)).isNull()).alias(f"_{j}") for j, n in enumerate(part)]).first()
+        row = df.agg(*[F.count_if(c(n).isNotNull() & num(df, n).isNull()).alias(f"_{j}") for j, n in enumerate(part)]).first()
         out += [n for j, n in enumerate(part) if not row[j]]
     return out
 
 
 def promote_numeric(df: DataFrame, exempt: tuple[str, ...] = (ID, DATE, TIME)) -> DataFrame:
     """All or nothing: a text column becomes double only if every value is a number. Numbers of samples, dates and times stay text."""
-    return _replace(df, {n: number(c(n)) for n in promotable(df, exempt)})
+    return _replace(df, {n: num(df, n) for n in promotable(df, exempt)})
 
 
 def missing_share(df: DataFrame, step: int = 200) -> DataFrame:
@@ -181,9 +181,9 @@ def derived_ratios(df: DataFrame) -> DataFrame:
     """LYMPH_RATIO and MCH from counts, where the columns are there."""
     new: dict[str, Column] = {}
     if {"LYMPH#(10^3/uL)", "WBC(10^3/uL)"} <= set(df.columns):
-        new["LYMPH_RATIO"] = F.try_divide(number(c("LYMPH#(10^3/uL)")), number(c("WBC(10^3/uL)")))
+        new["LYMPH_RATIO"] = F.try_divide(num(df, "LYMPH#(10^3/uL)"), num(df, "WBC(10^3/uL)"))
     if {"HGB(g/dL)", "RBC(10^6/uL)"} <= set(df.columns):
-        new["MCH"] = F.try_divide(number(c("HGB(g/dL)")), number(c("RBC(10^6/uL)"))) * 10
+        new["MCH"] = F.try_divide(num(df, "HGB(g/dL)"), num(df, "RBC(10^6/uL)")) * 10
     return _replace(df, new)
 
 

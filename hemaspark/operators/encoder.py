@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import c, number
+from ..functions.columns import c, num
 from .arrow import map_arrow
 
 
@@ -240,7 +240,7 @@ def apply(df: DataFrame, columns: list[str], model: Encoder) -> DataFrame:
     """Adds shared and private codes, predicted tasks and domains, the entropy of each domain's prediction and the mean squared
     reconstruction error. Rows with a null input have nulls. Rows stay in place; the model's size is fixed by its layers."""
     names = df.columns
-    wide = df.select(*[c(n) for n in names], *[number(c(n)).alias(f"_x{i}") for i, n in enumerate(columns)])
+    wide = df.select(*[c(n) for n in names], *[num(df, n).alias(f"_x{i}") for i, n in enumerate(columns)])
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, k) for n, k in OUTPUT]])
     shared = df.sparkSession.sparkContext.broadcast(model.to_bytes())
 
@@ -266,10 +266,29 @@ def apply(df: DataFrame, columns: list[str], model: Encoder) -> DataFrame:
 
 def principal_components(df: DataFrame, columns: list[str], k: int) -> DataFrame:
     """df with `pca`: scores on the first k components of the covariance (one aggregate; the projection is arithmetic)."""
-    row = df.agg(*[F.avg(number(c(n))).alias(f"m{i}") for i, n in enumerate(columns)], *[F.covar_samp(number(c(a)), number(c(b))).alias(f"c{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j]).first()
+    row = df.agg(*[F.avg(num(df, n)).alias(f"m{i}") for i, n in enumerate(columns)], *[F.covar_samp(num(df, a), num(df, b)).alias(f"c{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j]).first()
     d = len(columns)
     cov = np.array([[row[f"c{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(d)] for i in range(d)])
     v = np.linalg.eigh(cov)[1][:, ::-1][:, :k]
     v = v * np.where(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])] < 0, -1, 1)
-    scores = [sum(((number(c(n)) - float(row[f"m{i}"] or 0.0)) * float(v[i, j]) for i, n in enumerate(columns)), F.lit(0.0)) for j in range(v.shape[1])]
+    scores = [sum(((num(df, n) - float(row[f"m{i}"] or 0.0)) * float(v[i, j]) for i, n in enumerate(columns)), F.lit(0.0)) for j in range(v.shape[1])]
     return df.withColumn("pca", F.array(*scores))
+
+
+def feature_errors(df: DataFrame, columns: list[str], reconstructed: list[str]) -> DataFrame:
+    """(column, mse): mean squared difference of each feature and its reconstruction, in one aggregate."""
+    wide = df.agg(*[F.avg((num(df, a) - num(df, b)) ** 2).alias(f"_{i}") for i, (a, b) in enumerate(zip(columns, reconstructed, strict=True))])
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"_{i}").alias("mse")) for i, n in enumerate(columns)])).alias("r")).select("r.*")
+
+
+def logistic_accuracy(df: DataFrame, codes: str, label: str, test: DataFrame | None = None) -> float:
+    """How well a logistic regression tells a label from codes (an array column): fitted on df, measured on test (or df)."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StringIndexer
+    from pyspark.ml.functions import array_to_vector
+
+    ready = lambda d: d.where(c(codes).isNotNull() & c(label).isNotNull()).select(array_to_vector(c(codes)).alias("features"), c(label).cast("string").alias("name"))
+    index = StringIndexer(inputCol="name", outputCol="label", handleInvalid="skip").fit(ready(df))
+    model = LogisticRegression(maxIter=50).fit(index.transform(ready(df)))
+    rows = model.transform(index.transform(ready(test if test is not None else df)))
+    return rows.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import c, number
+from ..functions.columns import c, num
 from .arrow import map_arrow
 
 DEFAULT_SPLINES, LAMBDA, CUTOFF = 25, 0.6, 1e-11
@@ -113,11 +113,11 @@ def make_design(df: DataFrame, covariates: list[str], terms: list[tuple] | None
     terms = terms or [("s", n) for n in covariates]
     check_terms(terms, covariates)
     factors = {t[1] for t in terms if t[0] == "f"}
-    row = df.agg(*[f(number(c(n))).alias(f"{k}{i}") for i, n in enumerate(covariates) for k, f in (("l", F.min), ("h", F.max))]).first()
+    row = df.agg(*[f(num(df, n)).alias(f"{k}{i}") for i, n in enumerate(covariates) for k, f in (("l", F.min), ("h", F.max))]).first()
     axes = {}
     for i, n in enumerate(covariates):
         if n in factors:
-            levels = [r[0] for r in df.select(number(c(n)).alias("v")).where("v is not null").distinct().limit(most_levels + 1).collect()]
+            levels = [r[0] for r in df.select(num(df, n).alias("v")).where("v is not null").distinct().limit(most_levels + 1).collect()]
             if len(levels) > most_levels:
                 raise ValueError(f"factor {n!r} has more than {most_levels} levels")
             axes[n] = Axis("f", levels=sorted(levels))
@@ -172,7 +172,7 @@ def grams(df: DataFrame, features: list[str], design: Design, group: str | None,
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int32()), pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1] for v in sums.values()], pa.list_(pa.float64()))], names=GRAMS.names)
 
-    wide = df.select((c(group).cast("string") if group else F.lit("")).alias("grp"), *[number(c(n)).alias(f"x{i}") for i, n in enumerate(cov_names)], *[number(c(n)).alias(f"y{i}") for i, n in enumerate(features)]).where("grp is not null")
+    wide = df.select((c(group).cast("string") if group else F.lit("")).alias("grp"), *[num(df, n).alias(f"x{i}") for i, n in enumerate(cov_names)], *[num(df, n).alias(f"y{i}") for i, n in enumerate(features)]).where("grp is not null")
     m = len(upper[0]) + p + 2
     parts = wide.mapInArrow(run, GRAMS).groupBy("grp", "feature")
     added = parts.agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("values", F.lit(i))) for i in range(m)]).alias("v")) if m <= 400 else _added(wide.mapInArrow(run, GRAMS))
@@ -217,7 +217,7 @@ def apply_corrections(df: DataFrame, features: list[str], design: Design, fits:
     (as many as features, groups and basis columns) are sent to the tasks; rows stay in place."""
     names = df.columns
     have = [n for n in features if n in names]
-    wide = df.select(*[number(c(n)).alias(n) if n in have else c(n) for n in names], (c(group).cast("string") if group else F.lit("")).alias("_g"), *[number(c(n)).alias(f"_x{i}") for i, n in enumerate(design.covariates)])
+    wide = df.select(*[num(df, n).alias(n) if n in have else c(n) for n in names], (c(group).cast("string") if group else F.lit("")).alias("_g"), *[num(df, n).alias(f"_x{i}") for i, n in enumerate(design.covariates)])
     schema = T.StructType([f for f in wide.schema.fields if f.name != "_g" and not f.name.startswith("_x") or f.name in names])
     shared = df.sparkSession.sparkContext.broadcast((design, fits))
 

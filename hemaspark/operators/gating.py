@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import c, gate_first, gate_last, inside, number
+from ..functions.columns import c, gate_first, gate_last, inside, num
 
 
 def label_gates(df: DataFrame, gates: dict[str, list], x: str, y: str, priority: str = "first", name: str = "gate") -> DataFrame:
@@ -30,11 +30,8 @@ def gate_counts(df: DataFrame, gate: str = "gate", by: list[str] | None = None)
     """(by..., gate, n, proportion) in one aggregate; proportions of all rows of the same `by`."""
     keys = by or []
     counts = df.groupBy(*[c(k) for k in keys], c(gate)).agg(F.count(F.lit(1)).alias("n"))
-    if keys:
-        total = counts.groupBy(*[c(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.sum("n").alias("_t"))
-        on = reduce(lambda a, b: a & b, [c(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
-        return counts.join(total, on).select(*[c(k) for k in keys], c(gate), "n", (F.col("n") / F.col("_t")).alias("proportion"))
-    return counts.join(F.broadcast(counts.agg(F.sum("n").alias("_t")))).select(c(gate), "n", (F.col("n") / F.col("_t")).alias("proportion"))  # one row
+    whole = Window.partitionBy(*[c(k) for k in keys]) if keys else Window.partitionBy(F.lit(0))  # over a row for each gate
+    return counts.withColumn("proportion", F.col("n") / F.sum("n").over(whole))
 
 
 def gate_gaussians(df: DataFrame, columns: list[str], gate: str = "gate", by: list[str] | None = None, least: int = 10, reg: float = 1e-6, low: float = 0, high: float = 255) -> DataFrame:
@@ -42,7 +39,7 @@ def gate_gaussians(df: DataFrame, columns: list[str], gate: str = "gate", by: li
     rows off the ends of the scale. Gates with fewer than `least` such rows have -1 everywhere. One aggregate for all."""
     keys = [*(by or []), gate]
     fine = reduce(lambda a, b: a & b, [(c(n) != low) & (c(n) != high) for n in columns])
-    v = {n: F.when(fine, number(c(n))) for n in columns}
+    v = {n: F.when(fine, num(df, n)) for n in columns}
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     stats = df.where(c(gate).isNotNull()).groupBy(*[c(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"), F.count_if(fine).alias("_u"), *[F.avg(v[n]).alias(f"mean_{n}") for n in columns], *[F.covar_pop(v[a], v[b]).alias(f"cov_{a}_{b}") for a, b in pairs])
     few = F.col("_u") < least

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
-from ..functions.columns import c, na_to_null, number
+from ..functions.columns import c, na_to_null, num, number
 from .clean import drop_columns
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean")
@@ -71,7 +71,7 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, count, mean, std, min, q25, median, q75, max) of numeric columns."""
     names = columns or [n for n, k in df.dtypes if is_numeric(k) and k != "boolean"]
     stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "q25": lambda x: F.percentile(x, 0.25), "median": F.median, "q75": lambda x: F.percentile(x, 0.75), "max": F.max}
-    wide = df.agg(*[f(number(c(n))).alias(f"{k}_{i}") for i, n in enumerate(names) for k, f in stats.items()])
+    wide = df.agg(*[f(num(df, n)).alias(f"{k}_{i}") for i, n in enumerate(names) for k, f in stats.items()])
     rows = F.array(*[F.struct(F.lit(n).alias("column"), *[F.col(f"{k}_{i}").alias(k) for k in stats]) for i, n in enumerate(names)])
     return wide.select(F.explode(rows).alias("r")).select("r.*")
 
@@ -97,7 +97,7 @@ def corr_with(df: DataFrame, anchors: list[str], others: list[str], step: int =
     parts = []
     for i in range(0, len(pairs), step):
         part = pairs[i : i + step]
-        wide = df.agg(*[F.corr(number(c(a)), number(c(o))).alias(f"_{j}") for j, (a, o) in enumerate(part)])
+        wide = df.agg(*[F.corr(num(df, a), num(df, o)).alias(f"_{j}") for j, (a, o) in enumerate(part)])
         parts.append(wide.select(F.explode(F.array(*[F.struct(F.lit(a).alias("anchor"), F.lit(o).alias("feature"), F.col(f"_{j}").alias("r")) for j, (a, o) in enumerate(part)])).alias("x")).select("x.*"))
     if not parts:
         return df.sparkSession.createDataFrame([], "anchor string, feature string, r double")
@@ -111,7 +111,7 @@ def corr_matrix(df: DataFrame, anchors: list[str], others: list[str]) -> DataFra
     """The same in one pass for very wide tables: each task adds up sums over pairwise complete rows as matrix products, of
     values less a common centre; the sums are added by pair. No rows are sampled."""
     names = list(dict.fromkeys([*anchors, *others]))
-    row = df.agg(*[F.avg(number(c(n))).alias(f"_{i}") for i, n in enumerate(names)]).first()
+    row = df.agg(*[F.avg(num(df, n)).alias(f"_{i}") for i, n in enumerate(names)]).first()
     centre = np.array([x or 0.0 for x in row])
     a, b = [names.index(n) for n in anchors], [names.index(n) for n in others]
 
@@ -126,7 +126,7 @@ def corr_matrix(df: DataFrame, anchors: list[str], others: list[str]) -> DataFra
         i, j = np.indices((len(a), len(b)))
         yield pa.RecordBatch.from_arrays([pa.array(i.ravel().astype(np.int32)), pa.array(j.ravel().astype(np.int32)), *[pa.array(t.ravel()) for t in total]], names=SUMS.names)
 
-    wide = df.select(*[number(c(n)).alias(f"_{i}") for i, n in enumerate(names)])
+    wide = df.select(*[num(df, n).alias(f"_{i}") for i, n in enumerate(names)])
     added = wide.mapInArrow(sums, SUMS).groupBy("i", "j").agg(*[F.sum(n).alias(n) for n in ("n", "x", "y", "xx", "yy", "xy")])
     vx, vy = F.col("n") * F.col("xx") - F.col("x") ** 2, F.col("n") * F.col("yy") - F.col("y") ** 2
     r = F.when((vx > 0) & (vy > 0), (F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / F.sqrt(F.greatest(vx, F.lit(1e-300)) * F.greatest(vy, F.lit(1e-300))))

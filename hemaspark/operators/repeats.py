@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.columns import c, number
+from ..functions.columns import c, num
 from ..storage import written
 from .clean import DATE, ID, TIME
 
@@ -17,13 +17,13 @@ def _ranked(df: DataFrame, id_col: str, order: list[Column], measures: list[str]
     The spread of each measure over all rows comes from one aggregate, whose values become constants of the plan. A sample's
     rows meet in one shuffle by its number.
     """
-    spread = df.agg(*[F.stddev_samp(number(c(m))).alias(f"_{i}") for i, m in enumerate(measures)]).first() if measures else ()
+    spread = df.agg(*[F.stddev_samp(num(df, m)).alias(f"_{i}") for i, m in enumerate(measures)]).first() if measures else ()
     by = Window.partitionBy(c(id_col))
     ordered = by.orderBy(*order)
     out = df.withColumns({"_rn": F.row_number().over(ordered), "_n": F.count(F.lit(1)).over(by)})
     agree = F.lit(0)
     for i, m in enumerate(measures):
-        pair = [F.max(F.when(F.col("_rn") == k, number(c(m)))).over(by) for k in (1, 2)]
+        pair = [F.max(F.when(F.col("_rn") == k, num(df, m))).over(by) for k in (1, 2)]
         far = F.abs(pair[0] - pair[1]) > F.lit(threshold) * F.lit(spread[i])
         agree = agree + F.when(F.coalesce(far, F.lit(False)), 0).otherwise(1)
     return out.withColumn("_ok", agree)

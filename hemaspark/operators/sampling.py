@@ -20,8 +20,14 @@ def _draw(df: DataFrame, keys: list[str] | None, seed: int) -> list[Column]:
 
 
 def exact_sample(df: DataFrame, n: int, keys: list[str] | None = None, seed: int = 0) -> DataFrame:
-    """n rows (or all), without replacement: the least hashes, kept by each task and then overall."""
-    return df.orderBy(*_draw(df, keys, seed)).limit(n)
+    """n rows (or all), without replacement: the least hashes. A share of the rows by hash, somewhat larger than n, goes on to be
+    ordered, so tasks don't each keep n rows of a large table."""
+    rows = df.count()
+    if rows > 2 * n:
+        share = (n + 10 * (n + 25) ** 0.5) / rows
+        df = df.where(F.shiftrightunsigned(_draw(df, keys, seed)[0], 1) <= int(min(1.0, share) * ((1 << 63) - 1)))
+    first, *rest = _draw(df, keys, seed)
+    return df.orderBy(F.shiftrightunsigned(first, 1), *rest).limit(n)
 
 
 def global_rank(df: DataFrame, order: list[Column]) -> DataFrame:

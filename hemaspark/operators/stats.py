@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import all_of, bucket, c, number, rescaled
+from ..functions.columns import all_of, bucket, c, num, rescaled
 
 
 def median_mad(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
@@ -50,7 +50,7 @@ def align_columns(df: DataFrame, source: dict[str, dict[str, float]], target: di
     new: dict[str, Column] = {}
     for n in df.columns:
         if n in source and n in target:
-            moved = rescaled(number(c(n)), source[n]["median"], target[n]["median"], source[n]["mad"], target[n]["mad"])
+            moved = rescaled(num(df, n), source[n]["median"], target[n]["median"], source[n]["mad"], target[n]["mad"])
             new[n] = F.coalesce(moved.cast("string"), c(n).cast("string")) if passthrough else moved
     return df.select(*[new[n].alias(n) if n in new else c(n) for n in df.columns])
 
@@ -63,7 +63,7 @@ def ecdf_distances(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     one task.
     """
     def tall(df: DataFrame, side: int) -> DataFrame:
-        rows = F.explode(F.array(*[F.struct(F.lit(n).alias("column"), number(c(n)).alias("x")) for n in columns])).alias("r")
+        rows = F.explode(F.array(*[F.struct(F.lit(n).alias("column"), num(df, n).alias("x")) for n in columns])).alias("r")
         return df.select(rows).select("r.*").where("x is not null").groupBy("column", "x").agg(F.count(F.lit(1)).alias("k")).select("column", "x", *[(F.col("k") if s == side else F.lit(0).cast("long")).alias(f"k{s}") for s in (0, 1)])
 
     counts = tall(a, 0).unionByName(tall(b, 1)).groupBy("column", "x").agg(F.sum("k0").alias("k0"), F.sum("k1").alias("k1"))
@@ -104,7 +104,7 @@ def alignment_quality(source: DataFrame, target: DataFrame, moved: DataFrame, co
 def quantile_grid(df: DataFrame, columns: list[str], n: int = 100) -> DataFrame:
     """(column, q, value): n evenly spaced quantiles from 0 to 1, interpolated."""
     qs = [i / (n - 1) for i in range(n)] if n > 1 else [0.5]
-    wide = df.agg(*[F.percentile(number(c(x)), F.array(*[F.lit(q) for q in qs])).alias(f"_{i}") for i, x in enumerate(columns)])
+    wide = df.agg(*[F.percentile(num(df, x), F.array(*[F.lit(q) for q in qs])).alias(f"_{i}") for i, x in enumerate(columns)])
     rows = F.array(*[F.struct(F.lit(x).alias("column"), F.col(f"_{i}").alias("v")) for i, x in enumerate(columns)])
     return wide.select(F.explode(rows).alias("r")).select("r.column", F.posexplode("r.v").alias("_i", "value")).select("column", (F.col("_i") / max(1, n - 1)).alias("q"), "value")
 
@@ -120,10 +120,10 @@ def standardise(df: DataFrame, columns: list[str], undo: dict[str, tuple[float,
 
 def binned_means(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
     """(bin, n, mean_x, mean_y) over equal-width bins of x between its least and greatest value."""
-    low, high = df.agg(F.min(number(c(x))), F.max(number(c(x)))).first()
+    low, high = df.agg(F.min(num(df, x)), F.max(num(df, x))).first()
     if low is None:
         return df.sparkSession.createDataFrame([], "bin int, n long, mean_x double, mean_y double")
-    rows = df.select(number(c(x)).alias("x"), number(c(y)).alias("y")).withColumn("bin", bucket(F.col("x"), low, high, bins)).where("bin is not null")
+    rows = df.select(num(df, x).alias("x"), num(df, y).alias("y")).withColumn("bin", bucket(F.col("x"), low, high, bins)).where("bin is not null")
     return rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"))
 
 
@@ -164,7 +164,7 @@ def group_mean_spread(df: DataFrame, group: str, columns: list[str]) -> DataFram
 def correlation_change(before: DataFrame, after: DataFrame, pairs: list[tuple[str, str]], top: int | None = 10) -> DataFrame:
     """(feature, covariate, r_before, r_after, reduction) with |r| reduced most first."""
     def tall(df: DataFrame, name: str) -> DataFrame:
-        wide = df.agg(*[F.corr(number(c(a)), number(c(b))).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
+        wide = df.agg(*[F.corr(num(df, a), num(df, b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
         return wide.select(F.explode(F.array(*[F.struct(F.lit(a).alias("feature"), F.lit(b).alias("covariate"), F.col(f"_{i}").alias(name)) for i, (a, b) in enumerate(pairs)])).alias("r")).select("r.*")
 
     rows = tall(before, "r_before").join(tall(after, "r_after"), ["feature", "covariate"]).withColumn("reduction", F.abs("r_before") - F.abs("r_after"))
@@ -211,7 +211,7 @@ def mmd(a: DataFrame, b: DataFrame, columns: list[str], bandwidth: float = 10.0,
 
     from .sampling import exact_sample
 
-    x, y = (np.array([[r[i] for i in range(len(columns))] for r in exact_sample(df.select(*[number(c(n)).alias(n) for n in columns]).dropna(), most, seed=seed).collect()], float) for df in (a, b))
+    x, y = (np.array([[r[i] for i in range(len(columns))] for r in exact_sample(df.select(*[num(df, n).alias(n) for n in columns]).dropna(), most, seed=seed).collect()], float) for df in (a, b))
     k = lambda p, q: np.exp(-((p * p).sum(1)[:, None] + (q * q).sum(1) - 2 * p @ q.T) / (2 * bandwidth**2)).mean()
     return float(k(x, x) + k(y, y) - 2 * k(x, y))
 
@@ -223,5 +223,24 @@ def sliced_wasserstein(a: DataFrame, b: DataFrame, columns: list[str], projectio
     d = np.random.default_rng(seed).normal(size=(projections, len(columns)))
     d /= np.linalg.norm(d, axis=1, keepdims=True)
     names = [f"p{i}" for i in range(projections)]
-    project = lambda df: df.select(*[reduce(lambda p, q: p + q, [number(c(n)) * float(w) for n, w in zip(columns, row, strict=True)]).alias(k) for k, row in zip(names, d, strict=True)])
+    project = lambda df: df.select(*[reduce(lambda p, q: p + q, [num(df, n) * float(w) for n, w in zip(columns, row, strict=True)]).alias(k) for k, row in zip(names, d, strict=True)])
     return ecdf_distances(project(a), project(b), names).agg(F.avg("wasserstein")).first()[0]
+
+
+def exact_transport_distance(a: DataFrame, b: DataFrame, columns: list[str], most: int = 400, seed: int = 0) -> float:
+    """Exact 2-Wasserstein distance in several dimensions between at most `most` rows a side by hash (the metric's own cap), solved
+    on the driver."""
+    import numpy as np
+
+    from .gmm import transport_plan
+    from .sampling import exact_sample
+
+    x, y = (np.array([list(r) for r in exact_sample(df.select(*[num(df, n).alias(n) for n in columns]).dropna(), most, seed=seed).collect()], float) for df in (a, b))
+    cost = ((x[:, None] - y[None]) ** 2).sum(axis=2)
+    return float(np.sqrt((transport_plan(np.ones(len(x)), np.ones(len(y)), cost) * cost).sum()))
+
+
+def group_sizes(df: DataFrame, id_col: str) -> DataFrame:
+    """One row: rows, different ids, and ids with more than one row."""
+    sizes = df.groupBy(c(id_col)).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("n_ids"), F.count_if(F.col("n") > 1).alias("n_repeated"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import affine, all_of, argmax, c, clip, gaussian_log_density, hash_uniform, number
+from ..functions.columns import affine, all_of, argmax, c, clip, gaussian_log_density, hash_uniform, num
 from . import gmm
 from .arrow import map_arrow
 
@@ -19,14 +19,14 @@ BINS = 128
 
 def transport_max(df: DataFrame, columns: list[str], t: gmm.Transport) -> DataFrame:
     """Method max as Catalyst arithmetic: most probable component, its greatest target, affine map, clip. Rows with a null channel stay as they are."""
-    x = [number(c(n)) for n in columns]
+    x = [num(df, n) for n in columns]
     scores = [gaussian_log_density(x, t.source.means[k], t.source.covariances[k]) + F.lit(float(np.log(max(t.source.weights[k], 1e-300)))) for k in range(t.source.k)]
     return _mapped(df, columns, x, scores, lambda k: [(int(t.omega[k].argmax()), 1.0)], t)
 
 
 def transport_weight(df: DataFrame, columns: list[str], t: gmm.Transport, threshold: float = 0.05) -> DataFrame:
     """Method weight without rare points, as Catalyst arithmetic."""
-    x = [number(c(n)) for n in columns]
+    x = [num(df, n) for n in columns]
     scores = [gaussian_log_density(x, t.source.means[k], t.source.covariances[k]) for k in range(t.source.k)]
 
     def shares(k: int) -> list[tuple[int, float]]:
@@ -62,7 +62,7 @@ def transport_events(df: DataFrame, columns: list[str], t: gmm.Transport, method
         return transport_weight(df, columns, t, threshold)
     names = df.columns
     u = hash_uniform(*[c(n) for n in keys or names], seed=seed)
-    wide = df.select(*[number(c(n)).alias(n) if n in columns else c(n) for n in names], u.alias("_u"))
+    wide = df.select(*[num(df, n).alias(n) if n in columns else c(n) for n in names], u.alias("_u"))
     schema = T.StructType([f for f in wide.schema.fields if f.name != "_u"])
     shared = df.sparkSession.sparkContext.broadcast(t)
     at = [names.index(n) for n in columns]
@@ -83,10 +83,11 @@ def validate(source: DataFrame, target: DataFrame, moved: DataFrame, columns: li
     """Wasserstein distances of all three pairs by column, and mean log-likelihoods under the target's mixture."""
     from .stats import ecdf_distances
 
-    x = [number(c(n)) for n in columns]
-    parts = [F.exp(gaussian_log_density(x, model.means[k], model.covariances[k])) * float(model.weights[k]) for k in range(model.k)]
-    likelihood = F.log(F.greatest(sum(parts[1:], parts[0]), F.lit(1e-300)))
-    mean = lambda df: df.agg(F.avg(likelihood)).first()[0]
+    def mean(df: DataFrame) -> float:
+        x = [num(df, n) for n in columns]
+        parts = [F.exp(gaussian_log_density(x, model.means[k], model.covariances[k])) * float(model.weights[k]) for k in range(model.k)]
+        return df.agg(F.avg(F.log(F.greatest(sum(parts[1:], parts[0]), F.lit(1e-300))))).first()[0]
+
     out = {f"mean_{k}_likelihood": mean(df) for k, df in (("source", source), ("target", target), ("transformed", moved))}
     for k, (a, b) in {"source_transformed": (source, moved), "source_target": (source, target), "transformed_target": (moved, target)}.items():
         found = {r["column"]: r["wasserstein"] for r in ecdf_distances(a, b, columns).collect()}
@@ -101,20 +102,20 @@ def histogram_columns(df: DataFrame, prefix: str) -> list[str]:
 def histogram_sum(df: DataFrame, prefix: str) -> DataFrame:
     """(bin, count): the bins of all rows added, in one aggregate."""
     names = histogram_columns(df, prefix)
-    wide = df.agg(*[F.coalesce(F.sum(number(c(n))), F.lit(0.0)).alias(f"_{i}") for i, n in enumerate(names)])
+    wide = df.agg(*[F.coalesce(F.sum(num(df, n)), F.lit(0.0)).alias(f"_{i}") for i, n in enumerate(names)])
     return wide.select(F.posexplode(F.array(*[F.col(f"_{i}") for i in range(len(names))])).alias("bin", "count"))
 
 
 def histogram_mean(df: DataFrame, prefix: str) -> DataFrame:
     names = histogram_columns(df, prefix)
-    wide = df.agg(*[F.avg(number(c(n))).alias(f"_{i}") for i, n in enumerate(names)])
+    wide = df.agg(*[F.avg(num(df, n)).alias(f"_{i}") for i, n in enumerate(names)])
     return wide.select(F.posexplode(F.array(*[F.col(f"_{i}") for i in range(len(names))])).alias("bin", "count"))
 
 
 def rebin(df: DataFrame, value: str, by: list[str] | None = None, bins: int = BINS) -> DataFrame:
     """(by..., bin, n): unit bins centred on 0 to bins - 1; the last is closed on the right; what is outside isn't counted."""
     keys = by or []
-    x = number(c(value))
+    x = num(df, value)
     rows = df.where(x.between(-0.5, bins - 0.5)).withColumn("bin", F.least(F.floor(x + 0.5), F.lit(bins - 1)).cast("int"))
     return rows.groupBy(*[c(k) for k in keys], "bin").agg(F.count(F.lit(1)).alias("n"))
 
@@ -138,7 +139,7 @@ def transport_histograms(df: DataFrame, prefix: str, t: gmm.Transport, most: int
     """Every row's histogram moved point by point (method rand) and binned anew; a row without counts is zeros. Chance is a
     function of `keys` and the seed."""
     names = histogram_columns(df, prefix)
-    wide = df.select(*[number(c(n)).alias(n) if n in names else c(n) for n in df.columns], F.xxhash64(F.lit(seed), *[c(k) for k in keys]).alias("_h"))
+    wide = df.select(*[num(df, n).alias(n) if n in names else c(n) for n in df.columns], F.xxhash64(F.lit(seed), *[c(k) for k in keys]).alias("_h"))
     schema = T.StructType([f for f in wide.schema.fields if f.name != "_h"])
     shared, at, all_names = df.sparkSession.sparkContext.broadcast(t), [df.columns.index(n) for n in names], df.columns
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.columns import c, forward, gate_last, inverse, number
+from ..functions.columns import c, forward, gate_last, inverse, num
 from ..operators import clean, encoder, gam, gmm, profile, repeats, sampling, stats, transport
 from ..sources import config, tables
 from ..storage import written
@@ -109,7 +109,7 @@ class TableAligner:
 
     def fit(self, source: DataFrame, target: DataFrame, source_samples: DataFrame | None = None, target_samples: DataFrame | None = None) -> TableAligner:
         names = [n for n in self.columns if n in source.columns and n in target.columns]
-        pick = lambda df, s: _standards(df, s, self.id_col).select(*[number(c(n)).alias(n) for n in names])
+        pick = lambda df, s: _standards(df, s, self.id_col).select(*[num(df, n).alias(n) for n in names])
         self.source, self.target = (stats.mad_parameters(pick(df, s), names) for df, s in ((source, source_samples), (target, target_samples)))
         return self
 
@@ -148,7 +148,7 @@ class EventAligner:
 
     def _sample(self, df: DataFrame) -> tuple[np.ndarray, np.ndarray | None]:
         s = self.settings
-        df = clean.saturation_filter(df.select(*[number(c(n)).alias(n) for n in self.columns]).dropna(), self.columns)
+        df = clean.saturation_filter(df.select(*[num(df, n).alias(n) for n in self.columns]).dropna(), self.columns)
         label = gate_last(c(self.axes[0]), c(self.axes[1]), self.gates) if self.gates else None
         if label is not None and s["stratified"]:
             df = sampling.stratified_sample(df, label, s["max_samples"], s["least_per_gate"], s["balance"], seed=self.seed)
@@ -255,13 +255,13 @@ class CovariateCorrector:
             names = [n for n in self.features if "PCT" in n or "%" in n]
             if not names:
                 return dict.fromkeys(self.features, "none")
-            row = df.agg(*[f(number(c(n))).alias(f"{k}{i}") for i, n in enumerate(names) for k, f in (("l", F.min), ("h", F.max))]).first()
+            row = df.agg(*[f(num(df, n)).alias(f"{k}{i}") for i, n in enumerate(names) for k, f in (("l", F.min), ("h", F.max))]).first()
             fits = {n for i, n in enumerate(names) if row[f"l{i}"] is not None and row[f"l{i}"] >= 0 and row[f"h{i}"] <= 1}
             return {n: "logit" if n in fits else "none" for n in self.features}
         return {n: self.transforms if isinstance(self.transforms, str) else self.transforms.get(n, "none") for n in self.features}
 
     def _forward(self, df: DataFrame) -> DataFrame:
-        return df.select(*[forward(number(c(n)), self.kinds[n]).alias(n) if n in self.kinds else c(n) for n in df.columns])
+        return df.select(*[forward(num(df, n), self.kinds[n]).alias(n) if n in self.kinds else c(n) for n in df.columns])
 
     def fit(self, df: DataFrame) -> CovariateCorrector:
         if self.features is None:
@@ -290,7 +290,7 @@ class CovariateCorrector:
     def _bands(self, x: DataFrame) -> dict:
         complete = x
         for n in self.covariates:
-            complete = complete.where(number(c(n)).isNotNull())
+            complete = complete.where(num(complete, n).isNotNull())
         rows = stats.median_mad(complete, self.features, [self.group] if self.group else None).collect()
         return {(self.features.index(r["column"]), str(r[self.group]) if self.group else ""): (r["median"] - self.centralise * r["mad"], r["median"] + self.centralise * r["mad"]) for r in rows if r["median"] is not None}
 
@@ -365,7 +365,7 @@ class DomainEncoder:
 
     def fit(self, df: DataFrame, validation: DataFrame | None = None, max_epochs: int = 50, patience: int | None = None) -> DomainEncoder:
         labels = [*self.tasks, *self.domains]
-        rows = lambda d: sampling.exact_sample(d.select(*[number(c(n)).alias(n) for n in self.columns], *[c(n).cast("string").alias(f"_{n}") for n in labels]).dropna(), self.max_samples, seed=self.seed).toPandas()
+        rows = lambda d: sampling.exact_sample(d.select(*[num(d, n).alias(n) for n in self.columns], *[c(n).cast("string").alias(f"_{n}") for n in labels]).dropna(), self.max_samples, seed=self.seed).toPandas()
         pdf = rows(df)
         self.levels = {n: sorted(pdf[f"_{n}"].unique()) for n in labels}
         code = lambda p, names: np.column_stack([p[f"_{n}"].map({v: i for i, v in enumerate(self.levels[n])}).fillna(0).astype(int) for n in names])

@@ -647,12 +647,28 @@ def principal_components(spark, sf):
 def distribution_distances(spark, sf):
     df = scaled(spark, sf)
     a, b = df.where("label < 5"), df.where("label >= 5")
-    return spark.createDataFrame([(stats.mmd(a, b, ["x", "y"], most=1000), stats.sliced_wasserstein(a, b, ["x", "y"], 10))], "mmd double, sliced_wasserstein double")
+    return spark.createDataFrame([(stats.mmd(a, b, ["x", "y"], most=1000), stats.sliced_wasserstein(a, b, ["x", "y"], 10), stats.exact_transport_distance(a, b, ["x", "y"], 150))], "mmd double, sliced_wasserstein double, wasserstein_2 double")
 
 
-@query("SELECT event_id, 'RET' AS channel, 'XN-20^14232' AS analyser_id, CAST(user_id AS VARCHAR) AS sample_number, event_id % 2 = 1 AS overflow, 'RET_[XN-20^14232][00-22_123][20211002_001515][   ' || user_id || '].116.csv' AS file_key FROM events")
+@query("SELECT 'l_quantity' AS \"column\", round(avg((l_quantity - l_linenumber) * (l_quantity - l_linenumber)), 6) AS mse FROM lineitem UNION ALL SELECT 'l_tax', round(avg((l_tax - l_discount) * (l_tax - l_discount)), 9) FROM lineitem")
+def feature_errors(spark, sf):
+    out = encoder.feature_errors(table(spark, sf, "lineitem"), ["l_quantity", "l_tax"], ["l_linenumber", "l_discount"])
+    return out.select("column", F.when(F.col("column") == "l_tax", F.round("mse", 9)).otherwise(F.round("mse", 6)).alias("mse"))
+
+
+@query()
+def logistic_accuracy(spark, sf):
+    return spark.createDataFrame([(encoder.logistic_accuracy(table(spark, sf, "embeddings"), "embedding", "label"),)], "accuracy double")
+
+
+@query("SELECT count(*) AS n_rows, count(DISTINCT l_orderkey) AS n_ids, (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1)) AS n_repeated FROM lineitem")
+def group_sizes(spark, sf):
+    return stats.group_sizes(table(spark, sf, "lineitem"), "l_orderkey")
+
+
+@query("SELECT event_id, 'RET' AS channel, 'AN-20^14232' AS analyser_id, CAST(user_id AS VARCHAR) AS sample_number, event_id % 2 = 1 AS overflow, 'RET_[AN-20^14232][00-22_123][20211002_001515][   ' || user_id || '].116.csv' AS file_key FROM events")
 def file_names(spark, sf):
-    name = F.concat(F.lit("RET_[XN-20^14232][00-22_123][20211002_001515][   "), F.col("user_id").cast("string"), F.lit("].116"), F.when(F.col("event_id") % 2 == 1, "(1)").otherwise(""), F.lit(".csv"))
+    name = F.concat(F.lit("RET_[AN-20^14232][00-22_123][20211002_001515][   "), F.col("user_id").cast("string"), F.lit("].116"), F.when(F.col("event_id") % 2 == 1, "(1)").otherwise(""), F.lit(".csv"))
     facts = events.file_facts(name)
     return table(spark, sf, "events").select("event_id", *[facts[n].alias(n) for n in ("channel", "analyser_id", "sample_number")], events.is_overflow(name).alias("overflow"), events.file_key(name).alias("file_key"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
-from ..functions.columns import c, fsc_log, number
+from ..functions.columns import c, fsc_log, num
 from .tables import header
 
 NAME = r"^([A-Za-z0-9-]+)_\[([^\]]*)\]\[([^\]]*)\]\[(\d{8}_\d{6})\]\[([^\]]*)\]"
@@ -60,12 +60,12 @@ def preprocess(df: DataFrame, channel: str, extra: list[str] | None = None) -> D
     extra = extra or []
     names = channel_columns(channel)
     if channel in ("RBC", "PLT"):
-        return df.select(*extra, number(c("Data")).alias("Data")).where("Data is not null")
+        return df.select(*extra, num(df, "Data").alias("Data")).where("Data is not null")
     if "RepeatCount" in df.columns:
-        df = df.where(number(c("RepeatCount")) == 0)
+        df = df.where(num(df, "RepeatCount") == 0)
     elif channel != "RET":
         raise ValueError(f"{channel} needs RepeatCount")
-    value = {n: number(c(n)) for n in names}
+    value = {n: num(df, n) for n in names}
     if channel == "PLTF":
         value["FSCW"] = F.when(c("Phase") == "A", 255.0).otherwise(value["FSCW"])
     out = df.select(*extra, *[v.alias(n) for n, v in value.items()])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.columns import c, number
+from ..functions.columns import c, num
 
 
 def drop_duplicates(df: DataFrame, time_col: str, delay: str = "1 day", keys: list[str] | None = None) -> DataFrame:
@@ -31,7 +31,7 @@ def consolidate(df: DataFrame, id_col: str, time_col: str, measures: list[str],
     """
     out = T.StructType([T.StructField("id", T.StringType()), T.StructField("verdict", T.StringType()), T.StructField("at", T.TimestampType()), *[T.StructField(m, T.DoubleType()) for m in measures]])
     kept = T.StructType([T.StructField("rows", T.ArrayType(T.ArrayType(T.DoubleType())))])
-    slim = df.select(c(id_col).cast("string").alias("id"), c(time_col).cast("timestamp").alias("at"), *[number(c(m)).alias(m) for m in measures]).withWatermark("at", delay)
+    slim = df.select(c(id_col).cast("string").alias("id"), c(time_col).cast("timestamp").alias("at"), *[num(df, m).alias(m) for m in measures]).withWatermark("at", delay)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:

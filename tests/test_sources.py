@@ -5,14 +5,14 @@ from pyspark.sql import functions as F
 from hemaspark.plans import cli
 from hemaspark.sources import config, events, tables
 
-BASE = "RET_[XN-20^14232][00-22_123][20211002_001515][      AB12]"
+BASE = "RET_[AN-20^14232][00-22_123][20211002_001515][      AB12]"
 
 
 def test_file_names(spark):
     assert events.without_overflow(["a.116.csv", "a.116(1).csv", "b.116_transformed.csv"]) == ["a.116.csv", "b.116_transformed.csv"]
     df = spark.createDataFrame([(f"{BASE}.116.csv",), (f"{BASE}.116(12).csv",), ("other.csv",)], "n string")
     rows = df.select(*[v.alias(k) for k, v in events.file_facts(F.col("n")).items()], events.is_overflow(F.col("n")).alias("o"), events.file_key(F.col("n")).alias("k"), events.sample_number(F.col("n")).alias("s")).collect()
-    assert [rows[0].channel, rows[0].analyser_id, str(rows[0].measured_at), rows[0].sample_number] == ["RET", "XN-20^14232", "2021-10-02 00:15:15", "AB12"]
+    assert [rows[0].channel, rows[0].analyser_id, str(rows[0].measured_at), rows[0].sample_number] == ["RET", "AN-20^14232", "2021-10-02 00:15:15", "AB12"]
     assert [r.o for r in rows] == [False, True, False] and rows[0].k == rows[1].k and rows[0].s == "AB12" and rows[2].channel is None
     with pytest.raises(ValueError):
         events.channel_columns("XYZ")
