@@ -156,7 +156,9 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 def _links(classes: DataFrame, n: int, cosine: float, sample: int, lists: int, block: int) -> DataFrame:
     """FOUND rows of one length of vectors: (node, 0, links with other classes' rows) and edges (node, other, 0)."""
     spark = classes.sparkSession
-    seen = np.array([r[0] for r in classes.orderBy(F.xxhash64(F.lit(SEED), "node"), "node").limit(max(sample, 16 * lists)).select("_v").collect()], float)
+    most = max(sample, 16 * lists)
+    few = classes.where(F.shiftrightunsigned(F.xxhash64(F.lit(SEED + 1), "node"), 11) <= int(min(1.0, 2 * most / n) * (1 << 53)))
+    seen = np.array([r[0] for r in few.orderBy(F.xxhash64(F.lit(SEED), "node"), "node").limit(most).select("_v").collect()], float)
     coarse, books = train(seen / np.linalg.norm(seen, axis=1, keepdims=True), lists)
     reach = sufficient(seen / np.linalg.norm(seen, axis=1, keepdims=True), coarse, cosine)
 
