@@ -209,7 +209,8 @@ def links(distinct: DataFrame, distance: int = MAX_DISTANCE, hot: int = HOT_BUCK
     """
     spark = distinct.sparkSession
     n = distinct.count()
-    seen = np.array([r[0] for r in distinct.orderBy(F.xxhash64(F.lit(7), "fp"), "fp").limit(sample).collect()], np.int64).view(np.uint64)
+    few = distinct.where(F.shiftrightunsigned(F.xxhash64(F.lit(8), "fp"), 11) <= int(min(1.0, 2 * sample / max(1, n)) * (1 << 53)))
+    seen = np.array([r[0] for r in few.orderBy(F.xxhash64(F.lit(7), "fp"), "fp").limit(sample).collect()], np.int64).view(np.uint64)
     parts = plan(seen, n, distance)
     entries = None
     for k, (mask, flips) in enumerate(parts):
@@ -281,7 +282,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = MAX_DISTANCE) -> DataFrame:
-    """The rows of docs less all but one of each component: the one with the smallest id (then text hash) stays."""
+    """The rows of docs less all but one of each component: the one with the smallest id (then text hash) stays.
+
+    A row without an id stays only where its component has no row with one; of rows that repeat id and text one stays; all
+    columns are kept as they were; an empty table gives an empty result. Texts are shuffled once, to be told which stay.
+    """
     found = near_duplicates(docs, id_col, text_col, distance)
     first = F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("_id"), F.col("_th")))
     kept = written(found.groupBy("root").agg(first.alias("x")).select("x._id", "x._th"), "kept")
