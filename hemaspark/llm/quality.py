@@ -137,7 +137,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose verdict is kept, all columns as they were."""
+    """The rows of docs whose verdict is kept, all columns as they were (see judged); repeated rows stay or go together, ids may be null."""
     good = judged(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_id"), "_th").dropDuplicates()
     keyed = docs.withColumn("_key", F.xxhash64(F.col(text_col)))
     return keyed.join(good, F.expr(f"`{id_col}` <=> _id and _key = _th"), "left_semi").drop("_key")
