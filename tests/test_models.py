@@ -205,3 +205,12 @@ def test_domain_encoder(spark, tmp_path):
     assert np.allclose(again[5].shared, out[5].shared) and json.loads((tmp_path / "m.json").read_text())["tasks"] == ["task"]
     with pytest.raises(ValueError):
         encoder.Encoder(4, shared_dim=2, private_dim=3)
+
+
+def test_fit_channels(spark):
+    from hemaspark.plans.api import fit_channels
+
+    s, t = events(spark, 1, 400), events(spark, 2, 400, 20.0)
+    first = fit_channels({"RET": s}, {"RET": t}, n_components=2, use_gates=False)
+    again = fit_channels({"RET": s, "WNR": s}, {"RET": t, "WNR": t}, first, n_components=2, use_gates=False, columns=["SFL", "FSC"])
+    assert again["RET"] is first["RET"] and again["WNR"].transport.source.k == 2 and again["WNR"].omega == 0.05

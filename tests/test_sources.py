@@ -90,3 +90,12 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["profile", f"{tmp_path}/s.csv"], spark) == 0 and cli.main(["compare", f"{tmp_path}/s.csv", f"{tmp_path}/t.csv"], spark) == 0
     assert cli.main(["clean", "--files", f"{tmp_path}/s.csv", "--output-dir", f"{tmp_path}/clean"], spark) == 0
     assert "common" in capsys.readouterr().out
+
+
+def test_more_names_and_saved_tables(spark, tmp_path):
+    df = spark.createDataFrame([(f"{BASE}.116.csv",)], "n string")
+    r = df.select(events.channel_of(F.col("n")).alias("c"), events.measured_at(F.col("n")).alias("t")).first()
+    assert r.c == "RET" and str(r.t) == "2021-10-02 00:15:15"
+    path = tables.write_table(df, str(tmp_path), "x", stamp=False)
+    assert tables.read_saved(spark, path).count() == 1
+    assert tables.write_table(df, str(tmp_path), "y", "csv").startswith(f"{tmp_path}/y_")

@@ -33,3 +33,10 @@ def test_consolidation(spark, tmp_path):
     df = feed(spark, tmp_path, rows, "id string, at timestamp, x double")
     out = {r.id: (r.verdict, r.x) for r in run(adapters.consolidate(df, "id", "at", ["x"], {"x": 1.0}, delay="1 hour"), "cons") if r.id != "z"}
     assert out == {"a": ("agree", 5.0), "b": ("one_different", 1.0), "c": ("single", 1.0)}
+
+
+def test_windowed_counts(spark, tmp_path):
+    rows = [[("a", T0), ("a", T0 + H / 2), ("b", T0)], [("a", T0 + 3 * H)], [("a", T0 + 100 * H)]]
+    df = feed(spark, tmp_path, rows, "id string, at timestamp")
+    out = run(adapters.windowed_counts(df, "at", "id", "1 hour", "1 hour"), "win")
+    assert sorted((r.key, r.n) for r in out if r.window.start == T0) == [("a", 2), ("b", 1)]
