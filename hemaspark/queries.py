@@ -265,12 +265,25 @@ def ecdf_distances(spark, sf):
     return out.select("column", F.round("wasserstein", 6).alias("wasserstein"), F.round("ks", 9).alias("ks"))
 
 
-@query()
+_QUALITY = """WITH s AS (SELECT {x} AS x FROM lineitem WHERE l_returnflag = 'R'), t AS (SELECT {y} AS x FROM lineitem WHERE l_returnflag = 'N'),
+p AS (SELECT (SELECT median(x) FROM s) ms, (SELECT mad(x) FROM s) ds, (SELECT median(x) FROM t) mt, (SELECT mad(x) FROM t) dt),
+m AS (SELECT (x - ms) / ds * dt + mt AS x FROM s, p),
+q AS (SELECT median(x) mm, mad(x) dm FROM m),
+{before}, {after}
+SELECT '{x}' AS "column", round(abs(ms - mt), 3) AS med_before, round(abs(mm - mt), 3) AS med_after, round(abs(ds - dt), 3) AS mad_before, round(abs(dm - dt), 3) AS mad_after,
+  round(b.w, 3) AS wasserstein_before, round(a.w, 3) AS wasserstein_after, round(b.k, 6) AS ks_before, round(a.k, 6) AS ks_after FROM p, q, b, a"""
+_GAPS = """{n} AS (WITH c AS (SELECT x, sum(i) i, sum(j) j FROM (SELECT x, 1 i, 0 j FROM {l} UNION ALL SELECT x, 0, 1 FROM t) GROUP BY x),
+  g AS (SELECT x, sum(i) OVER (ORDER BY x) / sum(i) OVER () - sum(j) OVER (ORDER BY x) / sum(j) OVER () AS d, coalesce(lead(x) OVER (ORDER BY x) - x, 0) AS w FROM c)
+  SELECT sum(abs(d) * w) AS w, max(abs(d)) AS k FROM g)"""
+
+
+@query(" UNION ALL ".join("(" + _QUALITY.format(x=x, y=y, before=_GAPS.format(n="b", l="s"), after=_GAPS.format(n="a", l="m")) + ")" for x, y in (("l_extendedprice", "l_extendedprice * 1.3 + 100"), ("l_tax", "l_tax"))))
 def align_quality(spark, sf):
     df = table(spark, sf, "lineitem")
     s, t = df.where("l_returnflag = 'R'"), df.where("l_returnflag = 'N'").withColumn("l_extendedprice", F.col("l_extendedprice") * 1.3 + 100)
-    names = ["l_extendedprice", "l_quantity"]
-    return stats.alignment_quality(s, t, api.TableAligner(names).fit(s, t).transform(s), names)
+    names = ["l_extendedprice", "l_tax"]
+    out = stats.alignment_quality(s, t, api.TableAligner(names).fit(s, t).transform(s), names)
+    return out.select("column", *[F.round(f"{k}_{w}", 6 if k == "ks" else 3).alias(f"{k}_{w}") for k in ("med", "mad", "wasserstein", "ks") for w in ("before", "after")])
 
 
 _Q = [i / 20 for i in range(21)]
@@ -679,7 +692,14 @@ def channel_events(spark, sf):
     return events.preprocess(df, "PLTF", ["event_id"])
 
 
-@query()
+@query("""WITH t AS (SELECT DISTINCT CASE WHEN l_suppkey % 50 = 0 THEN 'QC-' || l_orderkey ELSE CAST(l_orderkey AS VARCHAR) END AS id, strftime(l_shipdate, '%Y/%m/%d') AS d, strftime(l_shipdate, '%H:%M:%S') AS s,
+  l_tax > 0.02 AS cbc, CAST(l_quantity AS VARCHAR) AS w, CASE WHEN l_discount > 0.09 THEN '----' ELSE CAST(l_extendedprice AS VARCHAR) END AS r, CAST(l_tax AS VARCHAR) AS h, l_returnflag, l_tax > 0.05 AS p, l_discount = 0 AS ip FROM lineitem),
+f AS (SELECT id, d, s, w, r, h, p::INTEGER AS p, ip::INTEGER AS ip FROM t WHERE NOT starts_with(id, 'QC-') AND NOT ip),
+o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, s, w, r, h, p, ip) AS rn, count(*) OVER (PARTITION BY id) AS n, TRY_CAST(w AS DOUBLE) AS x, TRY_CAST(r AS DOUBLE) AS y, TRY_CAST(h AS DOUBLE) AS z FROM f),
+e AS (SELECT stddev_samp(x) AS x, stddev_samp(y) AS y, stddev_samp(z) AS z FROM o),
+v AS (SELECT a.id, CASE WHEN abs(a.x - b.x) > e.x THEN 0 ELSE 1 END + CASE WHEN abs(a.y - b.y) > e.y THEN 0 ELSE 1 END + CASE WHEN abs(a.z - b.z) > e.z THEN 0 ELSE 1 END AS ok FROM o a JOIN o b ON a.id = b.id AND a.rn = 1 AND b.rn = 2, e)
+SELECT o.id AS "Sample No.", d AS "Date", s AS "Time", x AS "WBC(10^3/uL)", y AS "RBC(10^6/uL)", z AS "HGB(g/dL)", CAST(NULL AS DOUBLE) AS "WBC/M", p AS "Positive(Diff)", ip AS "IP SUS(RBC)RBC Agglutination?"
+FROM o LEFT JOIN v ON o.id = v.id WHERE rn = 1 AND (n = 1 OR ok >= 2)""")
 def clean_table(spark, sf):
     """The whole cleaning of a sample table made of line items."""
     df = table(spark, sf, "lineitem").selectExpr("if(l_suppkey % 50 = 0, concat('QC-', l_orderkey), cast(l_orderkey as string)) as `Sample No.`", "date_format(l_shipdate, 'yyyy/MM/dd') as `Date`", "date_format(l_shipdate, 'HH:mm:ss') as `Time`", "if(l_tax > 0.02, 'CBC+DIFF', 'FREE SELECT') as `Discrete`", "cast(l_quantity as string) as `WBC(10^3/uL)`", "if(l_discount > 0.09, '----', cast(l_extendedprice as string)) as `RBC(10^6/uL)`", "cast(l_tax as string) as `HGB(g/dL)`", "l_returnflag as `WBC/M`", "if(l_tax > 0.05, 'Diff.', null) as `Positive(Diff)`", "if(l_discount = 0.0, 1, null) as `IP SUS(RBC)RBC Agglutination?`")
