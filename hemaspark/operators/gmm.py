@@ -138,14 +138,14 @@ def gaussian_map(s: np.ndarray, t: np.ndarray) -> np.ndarray:
 
 
 def component_costs(source: Mixture, target: Mixture, cost: str = "wasserstein") -> np.ndarray:
-    """Squared 2-Wasserstein distance between components. cost="reference" adds the cross term instead of taking it off twice."""
+    """Squared 2-Wasserstein distance between components. cost="added" adds the cross term instead of taking it off twice."""
     out = np.empty((source.k, target.k))
     for i in range(source.k):
         for j in range(target.k):
             v, u = source.covariances[i], target.covariances[j]
             r = root(u)
             cross = np.trace(root((r @ v @ r + (r @ v @ r).T) / 2))
-            spread = np.trace(v + u) + (cross if cost == "reference" else -2 * cross)
+            spread = np.trace(v + u) + (cross if cost == "added" else -2 * cross)
             out[i, j] = ((source.means[i] - target.means[j]) ** 2).sum() + spread
     return out
 

@@ -47,7 +47,7 @@ def test_gaussian_map():
     a = gmm.gaussian_map(s, t)
     assert np.allclose(a @ s @ a.T, t) and np.allclose(a, a.T)
     m = gmm.Mixture(np.array([1.0]), np.zeros((1, 2)), s[None])
-    assert abs(gmm.component_costs(m, m)[0, 0]) < 1e-9 and gmm.component_costs(m, m, "reference")[0, 0] > 0
+    assert abs(gmm.component_costs(m, m)[0, 0]) < 1e-9 and gmm.component_costs(m, m, "added")[0, 0] > 0
     with pytest.raises(ValueError):
         gmm.root(np.array([[1.0, 0], [0, -1]]))
 
