@@ -136,7 +136,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     classes = written(classes.withColumn("node", F.xxhash64("_v", F.size("_v"))), "classes")
     results = None
     for size, n in sorted((r[0], r[1]) for r in classes.groupBy(F.size("_v")).count().collect()):
-        found = _links(classes.where(F.size("_v") == size), n, cosine, sample, lists or int(min(MOST_LISTS, 1 + n**0.5 / 8)), block)
+        found = _links(classes.where(F.size("_v") == size), n, cosine, sample, lists or int(min(MOST_LISTS, 1 + n**0.5 / 5)), block)
         results = found if results is None else results.unionByName(found)
     if results is None:
         return rows.select(F.col("_id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"), F.lit(True).alias("kept"))
