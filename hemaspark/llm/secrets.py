@@ -22,6 +22,8 @@ WEAK = {
     "key": r"[A-Za-z0-9+/_-]{20,}={0,2}",
     "endpoint": r"""(?:(?:https?|ftps?|ssh|sftp|postgres|postgresql|mysql|mongodb|redis|amqp|s3|jdbc:[a-z]{2,20})://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]{4,}|(?:host(?:name)?|endpoint|server|base_?url|Host(?:name)?|Endpoint|Server|Base_?[Uu]rl|HOST(?:NAME)?|ENDPOINT|SERVER|BASE_?URL)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]{4,})""",
 }
+#: Characters of which every match holds one.
+NEEDS = {"assign": ":=", "access": "A", "identifier": ":=", "key": "0", "endpoint": ":="}
 ROLE = {"assign": "secret", "hex": "secret", "key": "secret", "access": "identifier", "identifier": "identifier", "endpoint": "endpoint"}
 ORDER = {k: i for i, k in enumerate([*STRONG, *WEAK])}
 KEEP = {
@@ -35,7 +37,7 @@ KEEP = {
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, _th, strong, weak): spans of each document as arrays, strong by start, then kind."""
     keys = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_th"), F.col(text_col).alias("_text"))
-    found = with_spans(keys, "_text", STRONG | WEAK, KEEP)
+    found = with_spans(keys, "_text", STRONG | WEAK, KEEP, NEEDS)
     every = lambda kinds: F.sort_array(F.concat(*[listed(F.col(f"_s_{k}"), k, ORDER[k], False) for k in kinds]))
     return found.select("_id", "_th", every(STRONG).alias("strong"), every(WEAK).alias("weak"))
 
@@ -81,7 +83,10 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """docs with every secret, strong or linked, replaced by <kind>; overlapping spans are replaced as one."""
+    """docs with every secret, strong or linked, replaced by <kind>; overlapping spans are replaced as one.
+
+    No row goes, null texts stay null, ids may be null or repeat, other columns are kept as they were.
+    """
     found = secret_spans(docs, id_col, text_col, scope)
     every = F.sort_array(F.concat("strong", "more"))
     merged = F.aggregate(every, F.array().cast("array<struct<start:int,end:int,kind:string>>"), lambda acc, s: F.when((F.size(acc) > 0) & (F.coalesce(F.element_at(F.when(F.size(acc) > 0, acc), -1)["end"], F.lit(-1)) >= s["start"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"), F.element_at(acc, -1)["kind"].alias("kind"))))).otherwise(F.array_append(acc, F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
