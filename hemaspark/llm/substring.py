@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,8 +29,12 @@ WINDOW = 20
 SEED = 5
 CHUNK_WORDS = 1 << 19
 #: Words for each group of hashes: what one task holds.
-GROUP_WORDS = 5 << 19
-_FACTORS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+GROUP_WORDS = 1 << 20
+MOST_TASKS = 20_000
+#: Hashes, on average, that a chunk sends to a group at least: beyond some ten billion words groups, then chunks grow with the
+#: square root of the input, and so do their tasks' memory.
+ROW_ENTRIES = 64
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _NULL = -(1 << 63)
 _SIGN = np.uint64(1 << 63)
 
@@ -38,7 +43,7 @@ class _Words(dict):
     """Hashes of words, kept for the words to come."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 600_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word, SEED)
         return h
@@ -47,6 +52,12 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def rolling(words: np.ndarray, size: int, factor: np.uint64) -> np.ndarray:
     """A 64-bit hash of every `size` consecutive word hashes."""
     n = max(0, len(words) - size + 1)
@@ -54,9 +65,7 @@ def rolling(words: np.ndarray, size: int, factor: np.uint64) -> np.ndarray:
     for k in range(1, size):
         out *= factor
         out += words[k : k + n]
-    out = (out ^ (out >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    out = (out ^ (out >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return out ^ (out >> np.uint64(31))
+    return _mixed(out)
 
 
 def _packed(a: np.ndarray, width: int) -> bytes:
@@ -88,7 +97,7 @@ def _flags(raw: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
 
 
-CHUNKS = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("n_docs", T.IntegerType()), T.StructField("n_words", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("texts", T.BinaryType())])
+CHUNKS = T.StructType([T.StructField("part", T.LongType()), T.StructField("n_docs", T.IntegerType()), T.StructField("n_words", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("texts", T.BinaryType())])
 SENT = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("grp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("hashes", T.BinaryType()), T.StructField("more", T.BinaryType())])
 ANSWERS = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("grp", T.LongType()), T.StructField("bits", T.BinaryType())])
 
@@ -125,17 +134,22 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame
 class Chunk:
     """A chunk's words and what it sends; the same each time it is unpacked."""
 
-    def __init__(self, row, window: int) -> None:
-        self.ids = np.frombuffer(row.ids, "<i8")
-        raw = zstandard.decompress(row.texts)
-        sizes = np.frombuffer(raw[: 8 * len(self.ids)], "<u8").astype(np.int64)
-        ends = 8 * len(self.ids) + np.cumsum(sizes)
-        self.texts = [raw[b - n : b] for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-        split = [t.split() for t in self.texts]
-        self.lengths = np.array([len(w) for w in split], np.int64)
-        self.words = np.fromiter((_WORDS[w] for ws in split for w in ws), np.uint64, int(self.lengths.sum()))
+    def __init__(self, rows: pd.DataFrame, window: int) -> None:
+        self.split: list[list[bytes]] = []
+        rows = rows.sort_values("part")
+        for n_docs, texts in zip(rows["n_docs"], rows["texts"], strict=True):
+            raw = zstandard.decompress(texts)
+            sizes = np.frombuffer(raw[: 8 * n_docs], "<u8").astype(np.int64)
+            ends = 8 * n_docs + np.cumsum(sizes)
+            self.split += [raw[b - n : b].split() for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+        self.ids = np.frombuffer(b"".join(rows["ids"]), "<i8")
+        order = np.argsort(self.ids, kind="stable")  # windows then come in the order of their places
+        self.ids, self.split = self.ids[order], [self.split[i] for i in order.tolist()]
+        self.lengths = np.array([len(w) for w in self.split], np.int64)
+        self.words = np.fromiter(map(_WORDS.__getitem__, chain.from_iterable(self.split)), np.uint64, int(self.lengths.sum()))
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.window, self.block = window, window // 2
+        self.halves = rolling(self.words, self.block, _FACTOR)
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(document, first word within it) of every window of `size` words."""
@@ -143,19 +157,18 @@ class Chunk:
         doc = np.repeat(np.arange(len(n)), n)
         return doc, np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
 
-    def anchors(self, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(hashes by value, whether one is a block, whether it is sent, the hash of each window; found twice here)."""
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes by value, whether one is a block, whether it is sent)."""
         doc, at = self.windows(self.block)
-        h = rolling(self.words, self.block, _FACTORS[0])[self.starts[doc] + at]
+        h = self.halves[self.starts[doc] + at]
         own, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
         is_block = np.zeros(len(own), bool)
         is_block[inverse[at % self.block == 0]] = True
         self.inverse, self.twice = inverse, count > 1
         return own, is_block, is_block | ~self.twice
 
-    def candidates(self, answers: np.ndarray) -> None:
+    def candidates(self, hit: np.ndarray) -> None:
         """Windows that hold a hit; equal ones as one, the earliest, in order of their hashes."""
-        hit = (answers | self.twice)[self.inverse]
         doc, at = self.windows(self.block)
         held = np.zeros(len(self.words) + 1, np.int64)
         held[1:][(self.starts[doc] + at)[hit]] = 1
@@ -164,10 +177,12 @@ class Chunk:
         first = self.starts[doc] + at
         near = held[first + self.window - self.block + 1] > held[first]
         doc, at, first = doc[near], at[near], first[near]
-        high = rolling(self.words, self.window, _FACTORS[0])[first]
-        low = rolling(self.words, self.window, _FACTORS[1])[first] & np.uint64(0xFFFFFFFF)
+        # A window by the hashes of its halves, mixed in two ways.
+        one, two = self.halves[first], self.halves[first + self.block]
+        high, low = _mixed(one * _FACTOR + two), _mixed(two * _FACTOR + one) & np.uint64(0xFFFFFFFF)
         where = self.ids[doc].view(np.uint64) ^ _SIGN
-        order = np.lexsort((at, where, low, high))
+        # Equal ones stay in the order of their places, which is that of the documents unless ids repeat.
+        order = np.argsort(high, kind="stable") if (self.ids[1:] != self.ids[:-1]).all() else np.lexsort((at, where, high))
         self.first, high, low, where, at = first[order], high[order], low[order], where[order], at[order].astype(np.uint64)
         new = np.ones(len(order), bool)
         new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
@@ -178,9 +193,9 @@ class Chunk:
 
 
 def _by_group(h: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray]]:
-    grp = (h % np.uint64(groups)).astype(np.int64)
+    grp = (h % np.uint64(groups)).astype(np.uint16 if groups <= 1 << 16 else np.int64)  # short integers sort by radix
     order = np.argsort(grp, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(grp[order])) + 1):
+    for part in np.split(order, np.flatnonzero(grp[order][1:] != grp[order][:-1]) + 1):
         if len(part):
             yield int(grp[part[0]]), part
 
@@ -190,18 +205,19 @@ def _frame(rows: list[tuple], schema: T.StructType) -> pd.DataFrame:
 
 
 def _sent_anchors(chunk: int, c: Chunk, groups: int) -> list[tuple]:
-    own, is_block, sent = c.anchors(groups)
+    own, is_block, sent = c.anchors()
     at = np.flatnonzero(sent)
     return [(chunk, g, len(p), _packed(own[at[p]] // np.uint64(groups), 4), _bits(is_block[at[p]])) for g, p in _by_group(own[at], groups)]
 
 
-def _with_answers(c: Chunk, answers: dict[int, bytes], groups: int) -> None:
-    own, _, sent = c.anchors(groups)
-    at, got = np.flatnonzero(sent), np.zeros(len(own), bool)
+def _hits(c: Chunk, answers: dict[int, bytes], groups: int) -> np.ndarray:
+    """Which anchors are hits: those found elsewhere by the groups' answers, and those found twice in the chunk."""
+    own, _, sent = c.anchors()
+    at, got = np.flatnonzero(sent), c.twice.copy()
     for g, p in _by_group(own[at], groups):
         if g in answers:
-            got[at[p]] = _flags(answers[g], len(p))
-    c.candidates(got)
+            got[at[p]] |= _flags(answers[g], len(p))
+    return got[c.inverse]
 
 
 def _meet_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -215,7 +231,9 @@ def _meet_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _meet_windows(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A window is repeated if an equal one starts earlier: at a smaller (document, word)."""
+    """A window is repeated if an equal one starts earlier: at a smaller (document, word). A chunk's own state passes."""
+    if pdf["grp"].iloc[0] < 0:
+        return _frame(list(zip(pdf["chunk"], pdf["grp"], pdf["more"], strict=True)), ANSWERS)
     high = np.concatenate([_unpacked(x[: 5 * n], 5) for x, n in zip(pdf["hashes"], pdf["n"], strict=True)])
     low = np.concatenate([_unpacked(x[5 * n :], 4) for x, n in zip(pdf["hashes"], pdf["n"], strict=True)])
     places = [_columns(x, n, 2) for x, n in zip(pdf["more"], pdf["n"], strict=True)]
@@ -235,51 +253,65 @@ def _answered(pdf: pd.DataFrame, flags: np.ndarray) -> pd.DataFrame:
     return _frame(rows, ANSWERS)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk_words: int = CHUNK_WORDS, group_words: int = GROUP_WORDS, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk_words: int = CHUNK_WORDS, group_words: int = GROUP_WORDS, row_entries: int = ROW_ENTRIES, with_text: bool = False) -> DataFrame:
     """One row for each document: id_col (long), n_words, n_removed, kept_sha256 (of the kept words, joined by a space) and, if asked for, kept_text.
 
     A word is removed if a window of `window` (even) consecutive words covers it whose words also start earlier: in a
     document with a smaller id, or in the same one before. Windows are judged on the input. A null text has no words. Null
     ids come before all others; rows that share an id are one document's copies: of windows at the same word of them
-    neither is earlier. An empty table gives an empty result; other columns are ignored. Windows are compared by 96 or more
-    bits of their hash.
+    neither is earlier. An empty table gives an empty result; other columns are ignored. Windows are compared by 72 bits
+    of their hashes and those that the group implies: fewer than 0.01 false matches are expected at 100 TB.
     """
     table = written(chunked(docs, id_col, text_col, chunk_words), "chunks")
-    total = table.agg(F.sum("n_words")).first()[0] or 0
-    groups = max(1, -(-total // group_words))
+    total, n_chunks = table.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.count("*")).first()
+    side = int((row_entries * total) ** 0.5)
+    groups, parts = max(1, -(-total // max(group_words, side))), max(1, -(-side // chunk_words))
+    # Neighbours of a task's parts make a chunk.
+    table = table.withColumn("chunk", F.expr(f"shiftleft(shiftright(part, 32), 32) + (part & 4294967295L) div {parts}"))
+    n_chunks = -(-n_chunks // parts)
+    # Few chunks and groups for each task, as many tasks as that takes.
+    by_chunk = lambda df: df.repartition(min(MOST_TASKS, max(1, n_chunks // 2)), "chunk").groupBy("chunk")
+    by_group = lambda df: df.repartition(min(MOST_TASKS, groups), "grp").groupBy("grp")
+
+    def send(chunk: int, rows: pd.DataFrame) -> pd.DataFrame:
+        return _frame(_sent_anchors(chunk, Chunk(rows, window), groups), SENT).astype({"n": "int32"})
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                (row,) = batch.slice(i, 1).to_pandas().itertuples(index=False)
-                if rows := _sent_anchors(row.chunk, Chunk(row, window), groups):
-                    yield pa.RecordBatch.from_pandas(_frame(rows, SENT).astype({"n": "int32"}), preserve_index=False)
+                row = batch.slice(i, 1).to_pandas()
+                if len(out := send(int(row["chunk"].iloc[0]), row)):
+                    yield pa.RecordBatch.from_pandas(out, preserve_index=False)
 
-    found = written(table.mapInArrow(anchors, SENT).groupBy("grp").applyInPandas(_meet_anchors, ANSWERS), "anchors")
+    # A chunk of one part is sent from where it is.
+    first = table.mapInArrow(anchors, SENT) if parts == 1 else by_chunk(table).applyInPandas(lambda key, rows: send(key[0], rows), SENT)
+    found = written(by_group(first).applyInPandas(_meet_anchors, ANSWERS), "anchors")
     none = _frame([], SENT)
 
-    def extend(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def extend(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty:
             return none
-        (row,) = left.itertuples(index=False)
-        c = Chunk(row, window)
-        _with_answers(c, dict(zip(right["grp"], right["bits"], strict=True)), groups)
-        rows = [(row.chunk, g, len(p), _packed(c.high[p] // np.uint64(groups), 5) + _packed(c.low[p], 4), _planes(c.where[p], c.at[p])) for g, p in _by_group(c.high, groups)]
+        c = Chunk(left, window)
+        hit = _hits(c, dict(zip(right["grp"], right["bits"], strict=True)), groups)
+        c.candidates(hit)
+        # The hits go along, in a group of their own, so that the last step needn't find them again.
+        rows = [(key[0], -1 - key[0], len(hit), b"", zstandard.compress(_bits(hit), 1))] if len(c.high) else []
+        rows += [(key[0], g, len(p), _packed(c.high[p] // np.uint64(groups), 5) + _packed(c.low[p], 4), _planes(c.where[p], c.at[p])) for g, p in _by_group(c.high, groups)]
         return _frame(rows, SENT)
 
-    sent = table.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(extend, SENT)
-    later = written(sent.groupBy("grp").applyInPandas(_meet_windows, ANSWERS), "repeats")
+    sent = by_chunk(table).cogroup(by_chunk(found)).applyInPandas(extend, SENT)
+    later = written(by_group(sent).applyInPandas(_meet_windows, ANSWERS), "repeats")
     schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())] + [T.StructField("kept_text", T.StringType())] * with_text)
 
-    def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def finish(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty:
             return _frame([], schema)
-        (row,) = left.itertuples(index=False)
-        c = Chunk(row, window)
-        mine = right[~right["final"]]
-        _with_answers(c, dict(zip(mine["grp"], mine["bits"], strict=True)), groups)
-        mine = right[right["final"]]
-        answers, got = dict(zip(mine["grp"], mine["bits"], strict=True)), np.zeros(len(c.high), bool)
+        c = Chunk(left, window)
+        answers = dict(zip(right["grp"], right["bits"], strict=True))
+        state = answers.pop(-1 - key[0], None)
+        n = int(np.maximum(c.lengths - c.block + 1, 0).sum())
+        c.candidates(_flags(zstandard.decompress(state), n) if state is not None else np.zeros(n, bool))
+        got = np.zeros(len(c.high), bool)
         for g, p in _by_group(c.high, groups):
             if g in answers:
                 got[p] = _flags(answers[g], len(p))
@@ -289,8 +321,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         np.add.at(change, first + window, -1)
         gone = np.cumsum(change)[:-1] > 0
         rows = []
-        for i, text, a, n in zip(c.ids.tolist(), c.texts, c.starts.tolist(), c.lengths.tolist(), strict=True):
-            out, words = gone[a : a + n], text.split()
+        for i, words, a, n in zip(c.ids.tolist(), c.split, c.starts.tolist(), c.lengths.tolist(), strict=True):
+            out = gone[a : a + n]
             if removed := int(out.sum()):
                 words = [w for w, x in zip(words, out.tolist(), strict=True) if not x]
             kept = b" ".join(words)
@@ -299,8 +331,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out[id_col] = pd.array([r[0] for r in rows], dtype="Int64")
         return out
 
-    every = found.withColumn("final", F.lit(False)).unionByName(later.withColumn("final", F.lit(True)))
-    return table.groupBy("chunk").cogroup(every.groupBy("chunk")).applyInPandas(finish, schema)
+    return by_chunk(table).cogroup(by_chunk(later)).applyInPandas(finish, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,15 +40,17 @@ def planted(seed):
             if rng.random() < 0.1:
                 w += ["x"] * rng.randint(1, 60)
         docs.append((i, rng.choice([" ", "\n", "\t "]).join(w)))
+    shared = " ".join(f"s{i}" for i in range(30))
+    docs += [(600, "p q r " + shared), (600, shared), (600, "p " + shared + " q"), (601, shared)]
     docs += [(7, docs[3][1]), (7, docs[7][1]), (None, docs[5][1]), (None, docs[6][1]), (500, docs[5][1]), (501, None), (502, ""), (-4, docs[9][1])]
     return docs
 
 
-@pytest.mark.parametrize("chunk,group", [(1 << 19, 5 << 19), (300, 500)])
-def test_equals_brute_force(spark, chunk, group):
+@pytest.mark.parametrize("chunk,group,entries", [(1 << 19, 1 << 20, 64), (300, 500, 1), (200, 500, 64)])
+def test_equals_brute_force(spark, chunk, group, entries):
     docs = planted(chunk)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    assert got(substring.remove_repeats(df, chunk_words=chunk, group_words=group)) == brute(docs)
+    assert got(substring.remove_repeats(df, chunk_words=chunk, group_words=group, row_entries=entries)) == brute(docs)
 
 
 def test_query_equals_sql(spark, sf):
