@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hemaspark.llm import mixing, packing, quality, secrets, simhash
+from hemaspark.llm import mixing, packing, quality, secrets, shingles
 from hemaspark.llm.common import written
 
 
@@ -19,8 +19,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest id stays."""
-    return simhash.keep_one(docs)
+    """Of each component of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
+    return shingles.keep_one(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Expectation-maximisation, XXH64 fingerprints and tokenizers aren't SQL: tests hold the stages against brute force.
+#: Expectation-maximisation, XXH64 shingles and tokenizers aren't SQL: tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 

@@ -282,12 +282,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = MAX_DISTANCE) -> DataFrame:
-    """The rows of docs less all but one of each component: the one with the smallest id (then text hash) stays.
+    """The rows of docs less all but one of each component of near-duplicates; see keep_first."""
+    return keep_first(docs, near_duplicates(docs, id_col, text_col, distance), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs less all but one of each component (root in found): the one with the smallest id (then text hash) stays.
 
     A row without an id stays only where its component has no row with one; of rows that repeat id and text one stays; all
     columns are kept as they were; an empty table gives an empty result. Texts are shuffled once, to be told which stay.
     """
-    found = near_duplicates(docs, id_col, text_col, distance)
+    found = written(found, "found")
     first = F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("_id"), F.col("_th")))
     kept = written(found.groupBy("root").agg(first.alias("x")).select("x._id", "x._th"), "kept")
     same = found[id_col].eqNullSafe(kept["_id"]) & (found["_th"] == kept["_th"])
