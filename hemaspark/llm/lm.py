@@ -226,13 +226,11 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dict
         if r["n"] > room:
             break
         least, room = r["level"], room - r["n"]
-    top = sorted(counts.where((F.col("c") >= least) | (F.col("word") == F.lit(END))).collect(), key=lambda r: (-r[1], bytes(r[0])))
+    top = sorted(counts.where((F.col("c") >= least) | (F.col("word") == F.lit(END))).collect(), key=lambda r: (bytes(r[0]) != END, -r[1], bytes(r[0])))
     rank = {bytes(r[0]): i for i, r in enumerate(top)}
     c = np.array([r[1] for r in top], float)
-    # The model's vocabulary: the end, and the most frequent words.
+    # The model's vocabulary: the end, however rare (long texts), and the most frequent words.
     known = min(classes * CLASS_SIZE, len(top))
-    if len(top) and rank.get(END, len(top)) >= known:
-        raise ValueError("the end is not among the most frequent tokens; raise `classes`")
     unit = n_all + 0.5 * (v_all + 1)
     rare = n_all - c[:known].sum() + 0.5 * (v_all - known + 1)
     log_base = np.log10((c + 0.5) / unit)

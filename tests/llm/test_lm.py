@@ -40,6 +40,13 @@ def test_odd_rows(odd_docs, empty_docs):
     assert lm.scored(empty_docs).count() == 0
 
 
+def test_more_frequent_words_than_ends(spark):
+    """One very long text: 1,500 words are each oftener than the end."""
+    docs = [(0, " ".join(f"w{i % 1500}" for i in range(6000))), (1, "w1 w2 other")]
+    rows = lm.scored(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert got(rows) == brute(docs) and all(math.isfinite(r.score) and r.score < 0 for r in rows)
+
+
 def small():
     m = lm.GatedModel(10, 0, hidden=5, size=4, seed=1)
     for k in m.p:
