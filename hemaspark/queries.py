@@ -660,7 +660,7 @@ def principal_components(spark, sf):
 def distribution_distances(spark, sf):
     df = scaled(spark, sf)
     a, b = df.where("label < 5"), df.where("label >= 5")
-    return spark.createDataFrame([(stats.mmd(a, b, ["x", "y"], most=1000), stats.sliced_wasserstein(a, b, ["x", "y"], 10), stats.exact_transport_distance(a, b, ["x", "y"], 150))], "mmd double, sliced_wasserstein double, wasserstein_2 double")
+    return spark.createDataFrame([(stats.mmd(a, b, ["x", "y"]), stats.sliced_wasserstein(a, b, ["x", "y"]), stats.exact_transport_distance(a, b, ["x", "y"], 5000))], "mmd double, sliced_wasserstein double, wasserstein_2 double")
 
 
 @query("SELECT 'l_quantity' AS \"column\", round(avg((l_quantity - l_linenumber) * (l_quantity - l_linenumber)), 6) AS mse FROM lineitem UNION ALL SELECT 'l_tax', round(avg((l_tax - l_discount) * (l_tax - l_discount)), 9) FROM lineitem")
