@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import shared_dir, written
+from ..storage import dropped, shared_dir, written
 
-__all__ = ["bound_arrow", "components", "n_words", "shared_dir", "trimmed", "words", "written"]
+__all__ = ["bound_arrow", "components", "n_words", "rows_of", "shared_dir", "trimmed", "words", "written"]
 
 #: White space between words: space and U+0009 to U+000D (bytes.split() splits at the same six).
 SPACE = r"[\x20\x09-\x0D]+"
@@ -39,6 +39,13 @@ def n_words(text: str | Column) -> Column:
     return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, SPACE))).cast("long")
 
 
+def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, th): whole rows of docs as a struct, so that no name of theirs can clash, and what tells them apart: their id
+    and xxhash64 of their text. `select("row.*")` gives the rows back."""
+    quoted = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    return docs.select(F.struct(*quoted).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"))
+
+
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of an undirected graph; component is the smallest node reachable.
 
@@ -63,7 +70,8 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b")))
-        edges = written(small.distinct(), "edges")
+        old, edges = edges, written(small.distinct(), "edges")
+        dropped(old)
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == seen:
             break

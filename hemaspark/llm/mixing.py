@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, written
+from .common import n_words, rows_of, written
 
 SHARE = 1.5
 MOST_EPOCHS = 2
@@ -139,10 +139,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The rows of docs as often as the mix takes them: words taken by size, rounded. Rows that are not taken go; texts
     without words are never taken. Rows that repeat an id and text share what is taken of them evenly."""
     rows, _ = mix(docs, id_col, text_col, source_col)
-    share = rows.where("size > 0").groupBy(F.col(id_col).alias("_id"), "_th").agg(F.floor(F.avg(F.col("taken") / F.col("size")) + 0.5).cast("int").alias("_copies")).where("_copies > 0")
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(text_col)))
-    every = keyed.join(share, F.expr(f"`{id_col}` <=> _id and _key = _th"))
-    return every.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
+    share = rows.where("size > 0").groupBy(F.col(id_col).alias("_id"), "_th").agg(F.floor(F.avg(F.col("taken") / F.col("size")) + 0.5).cast("int").alias("copies")).where("copies > 0")
+    every = rows_of(docs, id_col, text_col).join(share, F.expr("id <=> _id and th = _th"))
+    return every.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

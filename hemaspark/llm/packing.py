@@ -20,6 +20,8 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 SEQUENCE = 1024
 GROUP = 8192
+#: Rows that are alike and that one task makes of one.
+ALIKE = 4096
 
 #: Letters on whose classes all Unicode versions of the tokenizer libraries agree.
 _PLAIN = re.compile(r"[\x00-ɏ‐-‧‰-⁞€]*")
@@ -31,9 +33,14 @@ def _tokenizer(name: str):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t
+    return Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
+
+
+@functools.cache
+def _special(name: str) -> re.Pattern[str] | None:
+    """Strings in a text that the tokenizer file turns into ids of their own."""
+    strings = [t.content for t in _tokenizer(name).get_added_tokens_decoder().values()]
+    return re.compile("|".join(map(re.escape, strings))) if strings else None
 
 
 @functools.cache
@@ -53,9 +60,9 @@ def _ranks(name: str):
 
 def encode(text: str, name: str = TOKENIZER) -> np.ndarray:
     """Ids of a text. Plain texts go through the rank encoder, which yields the same ids some four times as fast;
-    texts with other letters or very long words go through the tokenizer file itself."""
-    ranks = _ranks(name)
-    if ranks is not None and (text.isascii() or _PLAIN.fullmatch(text)) and not _LONG_WORD.search(text):
+    texts with other letters, very long words or special tokens' strings go through the tokenizer file itself."""
+    ranks, special = _ranks(name), _special(name)
+    if ranks is not None and (text.isascii() or _PLAIN.fullmatch(text)) and not _LONG_WORD.search(text) and not (special and special.search(text)):
         return np.asarray(ranks.encode_ordinary(text), dtype="<u4")
     return np.asarray(_tokenizer(name).encode(text, add_special_tokens=False).ids, dtype="<u4")
 
@@ -132,17 +139,24 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE, max_documents: int = SEQUE
     """Adds sequence_id and offset to pieces (see token_pieces): vector best-fit, longest pieces first.
 
     Three capacities hold in every sequence: tokens, number of pieces, and attention cost (the sum of squared lengths;
-    by default capacity squared, which the tokens bound anyway). The pieces are dealt at random to groups of about
+    by default capacity squared, which the tokens bound anyway). The pieces are dealt by hash to groups of about
     `group` rows, each packed by one task, so that memory doesn't depend on the input; a group costs about one
-    sequence that isn't full. Dealing doesn't look at content, so repeated rows don't meet in one group. Sequence ids
-    are unique, not consecutive. A piece beyond a capacity raises ValueError. Empty input gives an empty result.
+    sequence that isn't full. Rows that are alike are counted and dealt by their numbers, so they don't meet in one group, and
+    the result depends on neither files nor partitions. Sequence ids are unique, not consecutive. A piece beyond a capacity
+    raises ValueError. Empty input gives an empty result.
     """
     most = np.array([capacity, max_documents, max_attention or capacity * capacity], float)
     w = np.array(weights, float)
     table = written(pieces, "pieces")
     n_groups = max(1, -(-table.count() // group))
-    dealt = table.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_groups)).cast("long"))
-    id_col = pieces.columns[0]
+    id_col, names = pieces.columns[0], [F.col(f"`{c}`") for c in pieces.columns]
+    facts = [F.col(f"piece.`{c}`") for c in pieces.columns[:5]]
+    alike = table.select(F.struct(*names).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
+    # Numbers of rows that are alike, in two steps: so many copies of one row are made by many tasks.
+    alike = alike.select("piece", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {ALIKE}"))).alias("run"))
+    alike = alike.repartition(F.xxhash64(*facts, "run"))
+    alike = alike.select("piece", F.explode(F.expr(f"sequence(run * {ALIKE}, least(n, (run + 1) * {ALIKE}) - 1)")).alias("number"))
+    dealt = alike.select("piece.*", F.pmod(F.xxhash64(*facts, "number"), F.lit(n_groups)).cast("long").alias("_group"))
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", id_col, "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 import random
+import re
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .spans import joined, listed, redacted, with_spans
+from .spans import clusters, joined, let, listed, with_spans
 
 #: Fixed patterns; a lookbehind or a possessive quantifier only spares tries that can't succeed.
 BASE = {
@@ -30,7 +32,7 @@ MORE = {
 NEEDS = {"email": "@", "ip": "0", "card": "0", "phone": "+", "phone_local": "0", "email_masked": "[({", "national_id": "0", "iban": "0", "card_short": "0", "ip6": ":"}
 ORDER = {k: i for i, k in enumerate([*BASE, *MORE])}
 CONTEXT = 40
-ROUNDS, DEPTH, RATE, PRECISION, SEED, EXAMPLES = 24, 3, 0.4, 0.97, 4, 40
+ROUNDS, DEPTH, RATE, PRECISION, SEED, EXAMPLES = 24, 3, 0.4, 0.95, 4, 200
 
 
 def _digits(m: Column) -> Column:
@@ -39,10 +41,12 @@ def _digits(m: Column) -> Column:
 
 def luhn(digits: Column) -> Column:
     """Whether up to 19 digits pass the Luhn check; zeros put in front change nothing."""
-    padded = F.lpad(digits, 19, "0")
-    at = lambda i: F.substring(padded, i, F.lit(1)).cast("int")
-    total = F.aggregate(F.sequence(F.lit(1), F.lit(19)), F.lit(0), lambda acc, i: acc + F.when(i % 2 == 1, at(i)).otherwise(at(i) * 2 - F.when(at(i) > 4, 9).otherwise(0)))
-    return total % 10 == 0
+
+    def total(padded: Column) -> Column:
+        one = lambda acc, i: acc + let(F.substring(padded, i, F.lit(1)).cast("int"), lambda x: F.when(i % 2 == 1, x).otherwise(x * 2 - F.when(x > 4, 9).otherwise(0)))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(19)), F.lit(0), one)
+
+    return let(F.lpad(digits, 19, "0"), total) % 10 == 0
 
 
 def _iban(m: Column) -> Column:
@@ -55,10 +59,10 @@ def _iban(m: Column) -> Column:
 
 KEEP = {
     "ip": lambda m: m.rlike(r"\A(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2}|)(?:\.|\z)){4}\z"),
-    "card": lambda m: F.length(_digits(m)).between(16, 19) & luhn(_digits(m)),
+    "card": lambda m: let(_digits(m), lambda d: F.length(d).between(16, 19) & luhn(d)),
     "phone": lambda m: F.length(_digits(m)).between(8, 15),
 }
-#: Binary features by name: the generator that proposed a span, its format, and words around it.
+#: Words around a span that speak for it, or against it.
 WORDS = {
     "near_phone": r"(?i)\b(?:tel|phone|telephone|call|mobile|cell|fax|whatsapp|sms)\b",
     "near_mail": r"(?i)\b(?:e-?mail|mail|contact|write|reach)\b",
@@ -66,22 +70,36 @@ WORDS = {
     "near_identity": r"(?i)\b(?:ssn|social|security|insurance|national|identity|born)\b",
     "near_network": r"(?i)\b(?:ip|address|host|server|login|client)\b",
     "near_code": r"(?i)\b(?:version|isbn|order|part|serial|ref|invoice|build|article|model|page|score|range|total|issue)\b",
+    "near_person": r"(?i)\b(?:my|me|her|his|their|your|mrs?|ms|dr|name|patient|customer|employee)\b",
 }
+#: Numeric features and the edges that trees may split them at.
+EDGES = {"n_digits": (9, 10, 12, 15), "n_different": (3, 5), "n_signs": (2, 4, 6), "n_digits_near": (1, 6, 12), "n_words_near": (2, 5)}
+
 
+def _count(text: Column, pattern: str) -> Column:
+    return F.length(F.regexp_replace(text, pattern, ""))
 
-def _features(kind: str, m: Column, around: Column, after: Column) -> dict[str, Column]:
+
+def _features(kind: str, m: Column, before: Column, after: Column) -> dict[str, Column]:
     d = _digits(m)
-    check = {"iban": _iban(m), "card_short": luhn(d) & d.rlike("^3[47]"), "national_id": ~m.rlike("^(?:000|666|9)|-00-|-0000$")}.get(kind, F.lit(False))
+    check = {"iban": _iban(m), "card_short": let(d, luhn) & d.rlike("^3[47]"), "national_id": ~m.rlike("^(?:000|666|9)|-00-|-0000$")}.get(kind, F.lit(False))
+    around = F.concat(before, F.lit(" "), after)
+    numbers = {"n_digits": F.length(d), "n_different": F.size(F.array_distinct(F.split(d, ""))), "n_signs": _count(m, "[A-Za-z0-9]"), "n_digits_near": _count(around, "[^0-9]"), "n_words_near": F.size(F.split(F.btrim(before), r"\s+"))}
     out = {f"is_{k}": F.lit(k == kind) for k in MORE}
     out |= {k: around.rlike(p) for k, p in WORDS.items()}
-    return out | {"check": check, "same_digit": d.rlike(r"(\d)\1{4}"), "ten_digits": F.length(d) >= 10, "bracket": m.contains("("), "shape_334": m.rlike(r"^\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$"), "ends_in_letters": m.rlike("[A-Za-z]{2,}$"), "goes_on": after.rlike(r"^(?:[.,]?[0-9]|[%/=_])")}
+    out |= {f"{k}_{e}": numbers[k] >= e for k, edges in EDGES.items() for e in edges}
+    return out | {"check": check, "same_digit": d.rlike(r"(\d)\1{4}"), "bracket": m.contains("("), "shape_334": m.rlike(r"^\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$"), "ends_in_letters": m.rlike("[A-Za-z]{2,}$"), "goes_on": after.rlike(r"^(?:[.,]?[0-9]|[%/=_])"), "in_number": before.rlike(r"[0-9][.,+/=_-]?$")}
+
 
+FEATURES = [*[f"is_{k}" for k in MORE], *WORDS, *[f"{k}_{e}" for k, edges in EDGES.items() for e in edges], "check", "same_digit", "bracket", "shape_334", "ends_in_letters", "goes_on", "in_number"]
 
-FEATURES = [*[f"is_{k}" for k in MORE], *WORDS, "check", "same_digit", "ten_digits", "bracket", "shape_334", "ends_in_letters", "goes_on"]
 
+def examples(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, str, int]]:
+    """(text, kind, label of the spans of that kind in it): the rows that trees, calibration and thresholds are fitted on.
 
-def examples(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, int]]:
-    """The labelled rows that the trees are fitted on: made by rule, `n` of each kind, label and wording."""
+    Made by rule, `n` of each kind, label and wording: spans stand among made-up words, with a cue at either side or none,
+    beside base spans, and within them.
+    """
     rng = random.Random(seed)
     num = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
 
@@ -97,40 +115,57 @@ def examples(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, int]]:
 
     group = lambda s, a: f"{s[: a[0]]}{a[2]}{s[a[0] : a[0] + a[1]]}{a[2]}{s[a[0] + a[1] :]}"
     value = {
-        "phone_local": lambda: rng.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)} {num(3)} {num(4)}"]),
+        "phone_local": lambda: rng.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)} {num(3)} {num(4)}", f"{num(3)}.{num(3)}.{num(4)}"]),
         "email_masked": lambda: f"user{num(2)} {rng.choice(['[at]', '(at)'])} mail{num(1)}{rng.choice(['.', ' [dot] ', ' (dot) '])}org",
-        "national_id": lambda: f"{rng.randint(100, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}",
+        "national_id": lambda: f"{rng.choice([rng.randint(100, 665), rng.randint(667, 899)])}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}",
         "iban": bank,
-        "card_short": card,
+        "card_short": lambda: group(card(), (4, 6, rng.choice(["", " ", "-"]))),
         "ip6": lambda: ":".join(f"{rng.getrandbits(16):x}" for _ in range(8)),
     }
     wrong = {
-        "phone_local": lambda: rng.choice([f"{num(3)} {num(3)} {num(3)}", f"{num(4)}.{num(3)}.{num(3)}", f"{num(3)}-{num(4)}-{num(4)}"]),
+        "phone_local": lambda: rng.choice([f"{num(3)} {num(3)} {num(3)}", f"{num(4)}.{num(3)}.{num(3)}", f"{num(3)}-{num(4)}-{num(4)}", f"{num(2)}.{num(3)}.{num(3)}"]),
         "email_masked": lambda: f"meet{num(1)} {rng.choice(['[at]', '(at)'])} noon{num(1)}.{num(2)}",
         "national_id": lambda: f"{rng.choice(['000', '666', '9' + num(2)])}-{num(2)}-{num(4)}",
         "iban": lambda: f"{rng.choice(['AB', 'XY', 'DE'])}{num(2)}{num(18)}",
         "card_short": lambda: group("35" + num(13), (4, 6, rng.choice(["", " ", "-"]))),
         "ip6": lambda: ":".join(num(2) for _ in range(8)),
     }
-    good = {"phone_local": ["call me at {}", "phone {}", "tel {} today"], "email_masked": ["write to {}", "email {}", "contact {} please"], "national_id": ["her ssn {}", "social security {}", "insurance no {}"], "iban": ["iban {}", "bank account {}", "transfer to {}"], "card_short": ["amex card {}", "payment by {}", "credit {}"], "ip6": ["ip address {}", "host {}", "login from {}"]}
-    bad = ["part {}", "order {} was sent", "serial {}", "version {}", "the score {}%", "invoice {}", "range {}/12", "they saw {} there", "isbn {}", "total {},5"]
+    own = dict(zip(MORE, ("near_phone", "near_mail", "near_identity", "near_money", "near_money", "near_network"), strict=True))
+    cue = {k: re.search(r"\(\?:([^)]*)\)\\b$", p)[1].replace("-?", "").replace("s?", "").split("|") for k, p in WORDS.items()}
+    said = lambda k: rng.choice(cue[k])
+    word = lambda: "".join(rng.choice(["ta", "ne", "li", "so", "ru", "men", "da", "ver"]) for _ in range(rng.randint(1, 3)))
+    some = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
+    base = lambda: rng.choice([f"+1 ({num(3)}) 555-{num(4)}", f"{word()}@{word()}.org", f"{rng.randint(1, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(1, 255)}", "4" + num(15)])
+
+    def sentence(k: str, v: str, good: bool) -> str:
+        """The span among made-up words, a cue of its kind or of codes at some place before or behind it, at times beside a span of another kind."""
+        hint = said(own[k]) if good else rng.choice([said("near_code"), word()])
+        near = f"{hint} {some(0, 2)}".strip()
+        if good and rng.random() < 0.5:
+            near = f"{said('near_person')} {near}"
+        body = f"{near} {v}" if rng.random() < 0.75 else f"{v} {near}"
+        beside = rng.choice(["", "", f" {some(1, 2)} {base()}", f"{base()} {some(1, 2)} "])
+        return f"{some(0, 6)} {beside if beside and not beside.startswith(' ') else ''}{body}{beside if beside.startswith(' ') else ''} {some(0, 6)}{rng.choice(['', '.'])}".strip()
+
     rows = []
     for k in MORE:
+        checked = k in ("iban", "card_short")
         for _ in range(n):
-            rows += [(rng.choice(good[k]).format(value[k]()), 1), (rng.choice(bad).format(wrong[k]()), 0), (rng.choice(bad).format(value[k]()), int(k == "iban" or k == "card_short")), (rng.choice(good[k]).format(wrong[k]()), 0)]
+            rows += [(sentence(k, value[k](), True), k, 1), (sentence(k, wrong[k](), False), k, 0), (sentence(k, value[k](), False), k, int(checked)), (sentence(k, wrong[k](), True), k, 0)]
+        # What a generator proposes within, or across, spans that count anyway: never a span of its own.
+        for _ in range(n if k == "phone_local" else 0):
+            rows += [(f"{some(0, 5)} {base()} {some(0, 5)}", k, 0), (f"{some(0, 3)} {num(4)}-{num(4)}-{num(4)}-{num(4)} {some(0, 3)}", k, 0), (f"{some(0, 3)} {num(3)}.{num(3)}.{num(3)}.{num(2)} {some(0, 3)}", k, 0)]
     return rows
 
 
-def _judged(text: str, kind: str) -> Column:
+def _judged(kind: str) -> Column:
     """Spans of a generator with their features packed as bits."""
     bit = {f: 1 << i for i, f in enumerate(FEATURES)}
 
     def one(s: Column) -> Column:
-        a, b = s["start"], s["end"]
-        around = F.concat(F.substring(F.col(text), F.greatest(F.lit(1), a + 1 - CONTEXT), F.least(F.lit(CONTEXT), a)), F.lit(" "), F.substring(F.col(text), b + 1, F.lit(CONTEXT // 2)))
-        f = _features(kind, s["match"], around, F.substring(F.col(text), b + 1, F.lit(2)))
-        packed = sum((F.when(f[k], bit[k]).otherwise(0) for k in FEATURES), F.lit(0))
-        return F.struct(a.alias("start"), b.alias("end"), F.lit(kind).alias("kind"), packed.alias("bits"))
+        f = _features(kind, s["match"], s["before"], F.substring(s["after"], 1, CONTEXT // 2))
+        packed = sum((F.when(f[k], F.lit(bit[k]).cast("long")).otherwise(F.lit(0).cast("long")) for k in FEATURES), F.lit(0).cast("long"))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), packed.alias("bits"))
 
     return F.transform(F.col(f"_s_{kind}"), one)
 
@@ -139,34 +174,29 @@ def boost(patterns: list[tuple[int, int, int]], rounds: int = ROUNDS, depth: int
     """Gradient boosting with logistic loss over (bits, positives, negatives): a list of trees.
 
     A tree is a leaf value or (feature, tree if set, tree if not). Newton steps with one unit of ridge; splits by gain.
-    There are at most 2 ** len(FEATURES) patterns, however many rows there were.
+    Numbers are features by the edges that they reach. There is a pattern for each labelled row at most.
     """
-    score = dict.fromkeys((b for b, _, _ in patterns), 0.0)
-    trees = []
-
-    def grow(rows: list, left: int):
-        g, h = sum(r[1] for r in rows), sum(r[2] for r in rows)
-        best, gain = None, 1e-6
-        for f in range(len(FEATURES)) if left else ():
-            on = [r for r in rows if r[0] >> f & 1]
-            if on and len(on) < len(rows):
-                a, b = sum(r[1] for r in on), sum(r[2] for r in on)
-                new = a * a / (b + 1) + (g - a) ** 2 / (h - b + 1) - g * g / (h + 1)
-                if new > gain:
-                    best, gain = f, new
-        if best is None:
-            return rate * g / (h + 1)
-        return best, grow([r for r in rows if r[0] >> best & 1], left - 1), grow([r for r in rows if not r[0] >> best & 1], left - 1)
-
-    for _ in range(rounds):
-        rows = []
-        for b, pos, neg in patterns:
-            p = 1 / (1 + math.exp(-score[b]))
-            rows.append((b, pos * (1 - p) - neg * p, (pos + neg) * p * (1 - p)))
-        tree = grow(rows, depth)
-        trees.append(tree)
-        for b in score:
-            score[b] += _value(tree, b)
+    bits = np.array([b for b, _, _ in patterns], np.int64)
+    pos, neg = (np.array([p[k] for p in patterns], float) for k in (1, 2))
+    on = (bits[:, None] >> np.arange(len(FEATURES)) & 1).astype(bool)
+    score, trees = np.zeros(len(bits)), []
+
+    def grow(rows: np.ndarray, g: np.ndarray, h: np.ndarray, left: int):
+        all_g, all_h = g[rows].sum(), h[rows].sum()
+        if left and len(rows):
+            x = on[rows].astype(float)
+            some = (x.any(axis=0)) & ~x.all(axis=0)
+            a, b = g[rows] @ x, h[rows] @ x
+            gain = np.where(some, a * a / (b + 1) + (all_g - a) ** 2 / (all_h - b + 1) - all_g**2 / (all_h + 1), 0)
+            best = int(np.argmax(gain))
+            if gain[best] > 1e-6:
+                return best, grow(rows[on[rows, best]], g, h, left - 1), grow(rows[~on[rows, best]], g, h, left - 1)
+        return float(rate * all_g / (all_h + 1))
+
+    for _ in range(rounds if len(bits) else 0):
+        p = 1 / (1 + np.exp(-score))
+        trees.append(grow(np.arange(len(bits)), pos * (1 - p) - neg * p, (pos + neg) * p * (1 - p), depth))
+        score += np.array([_value(trees[-1], int(b)) for b in bits])
     return trees
 
 
@@ -179,66 +209,97 @@ def _value(tree, bits: int) -> float:
 def _column(tree, bits: Column) -> Column:
     if not isinstance(tree, tuple):
         return F.lit(float(tree))
-    return F.when(bits.bitwiseAND(F.lit(1 << tree[0])) != 0, _column(tree[1], bits)).otherwise(_column(tree[2], bits))
+    return F.when(bits.bitwiseAND(F.lit(1 << tree[0]).cast("long")) != 0, _column(tree[1], bits)).otherwise(_column(tree[2], bits))
 
 
-def thresholds(trees: list, held_out: list[tuple[int, int, int]], precision: float = PRECISION) -> dict[str, float]:
-    """For each kind the lowest score at which the held-out rows at or above it are right often enough; none: never."""
+def calibrated(rows: list[tuple[float, int, int]], rounds: int = 50) -> tuple[float, float]:
+    """Platt's (a, b) for (score, positives, negatives): P = 1 / (1 + exp(-(a * score + b))), by Newton steps on smoothed targets."""
+    n_pos, n_neg = sum(p for _, p, _ in rows), sum(n for _, _, n in rows)
+    if not n_pos or not n_neg:
+        return 1.0, 0.0
+    high, low = (n_pos + 1) / (n_pos + 2), 1 / (n_neg + 2)
+    a, b = 1.0, 0.0
+    for _ in range(rounds):
+        ga = gb = haa = hab = hbb = 0.0
+        for s, pos, neg in rows:
+            p = 1 / (1 + math.exp(-max(-50.0, min(50.0, a * s + b))))
+            e, w = pos * (high - p) + neg * (low - p), (pos + neg) * p * (1 - p)
+            ga, gb, haa, hab, hbb = ga + e * s, gb + e, haa + w * s * s, hab + w * s, hbb + w
+        haa, hbb = haa + 1e-3, hbb + 1e-3
+        det = haa * hbb - hab * hab
+        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
+        a, b = a + max(-1.0, min(1.0, da)), b + max(-1.0, min(1.0, db))
+        if abs(da) + abs(db) < 1e-9:
+            break
+    return a, b
+
+
+def thresholds(rows: list[tuple[str, float, int, int]], precision: float = PRECISION) -> dict[str, float]:
+    """For each kind the lowest calibrated probability, one half at least, from which on held-out rows (kind, probability,
+    positives, negatives) are right often enough; none: never."""
     out = {}
     for k in MORE:
-        own = sorted(((sum(_value(t, b) for t in trees), p, n) for b, p, n in held_out if b >> FEATURES.index(f"is_{k}") & 1), reverse=True)
+        own = sorted(((s, p, n) for kind, s, p, n in rows if kind == k), reverse=True)
         best, tp, fp = math.inf, 0, 0
         for i, (s, p, n) in enumerate(own):
             tp, fp = tp + p, fp + n
-            if (i + 1 == len(own) or own[i + 1][0] < s) and tp and tp >= precision * (tp + fp) and s > 0:
-                best = s - 1e-6  # sums may round otherwise on the cluster
+            if (i + 1 == len(own) or own[i + 1][0] < s) and tp and tp >= precision * (tp + fp) and s >= 0.5:
+                best = s - 1e-9  # sums may round otherwise on the cluster
         out[k] = best
     return out
 
 
-def model(spark: SparkSession, n: int = EXAMPLES, seed: int = SEED) -> tuple[list, dict[str, float]]:
-    """(trees, thresholds) from the labelled examples: one half by hash fits, the other sets the thresholds. Their number
-    (24 * n rows at most) is bounded by the parameter; they pass through the same generators and features as documents."""
-    rows = spark.createDataFrame(examples(n, seed), "text string, label int").repartition(1)
-    found = with_spans(rows, "text", MORE, {})
-    spans = found.select("label", (F.pmod(F.xxhash64("text"), F.lit(2)) == 0).alias("fits"), F.explode(F.concat(*[_judged("text", k) for k in MORE])).alias("s"))
-    counts = spans.groupBy("fits", F.col("s.bits").alias("bits")).agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")).orderBy("bits").collect()
-    trees = boost([(r["bits"], r["pos"], r["neg"]) for r in counts if r["fits"]])
-    return trees, thresholds(trees, [(r["bits"], r["pos"], r["neg"]) for r in counts if not r["fits"]])
+def model(spark: SparkSession, n: int = EXAMPLES, seed: int = SEED) -> tuple[list, tuple[float, float], dict[str, float]]:
+    """(trees, calibration, thresholds) from the labelled examples, whose number (27 * n rows) is bounded by the parameter and
+    which pass through the same generators and features as documents. By hash of the text: a half fits the trees, a quarter
+    calibrates their scores, a quarter sets the thresholds."""
+    rows = spark.createDataFrame(examples(n, seed), "text string, kind string, label int").repartition(1)
+    found = with_spans(rows, "text", MORE, {}, context=dict.fromkeys(MORE, CONTEXT))
+    spans = found.select("kind", "label", F.pmod(F.xxhash64("text"), F.lit(4)).alias("part"), F.explode(F.concat(*[_judged(k) for k in MORE])).alias("s")).where("s.kind = kind or label = 0")
+    counts = spans.groupBy("part", F.col("s.kind").alias("kind"), F.col("s.bits").alias("bits")).agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")).orderBy("part", "bits").collect()
+    together: dict[int, list[int]] = {}
+    for r in counts:
+        if r["part"] < 2:
+            t = together.setdefault(r["bits"], [0, 0])
+            t[0], t[1] = t[0] + r["pos"], t[1] + r["neg"]
+    trees = boost([(b, p, q) for b, (p, q) in sorted(together.items())])
+    score = lambda r: sum(_value(t, r["bits"]) for t in trees)
+    a, b = calibrated([(score(r), r["pos"], r["neg"]) for r in counts if r["part"] == 2])
+    probability = lambda r: 1 / (1 + math.exp(-(a * score(r) + b)))
+    return trees, (a, b), thresholds([(r["kind"], probability(r), r["pos"], r["neg"]) for r in counts if r["part"] == 3])
 
 
 def _selected(strong: Column, found: Column) -> Column:
-    """Of found spans (by start, scored) those that touch no strong span, and of two that touch the better: one sweep."""
+    """Of found spans (scored) those that touch no strong span, and of two that overlap the better: one sweep over each run of
+    spans that overlap."""
     kind = "struct<start:int,end:int,kind:string,score:double>"
     both = F.sort_array(F.concat(F.transform(strong, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("").alias("kind"), F.lit(1e9).alias("score"))), found))
-    start = F.struct(F.array().cast(f"array<{kind}>").alias("kept"), F.lit(-1).alias("until"))
+    last = lambda kept: F.get(kept, F.size(kept) - 1)
 
-    def step(acc: Column, s: Column) -> Column:
-        last = F.get(acc["kept"], F.size(acc["kept"]) - 1)
-        touches = F.coalesce(last["end"] > s["start"], F.lit(False))
-        less = F.slice(acc["kept"], F.lit(1), F.greatest(F.lit(0), F.size(acc["kept"]) - 1))
-        base = s["kind"] == ""
-        rest = F.when(touches & (base | (last["score"] < s["score"])), less).otherwise(acc["kept"])
-        add = ~base & (s["start"] >= acc["until"]) & (~touches | (last["score"] < s["score"]))
-        return F.struct(F.when(add, F.array_append(rest, s)).when(base, rest).when(s["start"] < acc["until"], acc["kept"]).otherwise(acc["kept"]).alias("kept"), F.when(base, F.greatest(acc["until"], s["end"])).otherwise(acc["until"]).alias("until"))
+    def step(kept: Column, s: Column) -> Column:
+        touches = F.coalesce(last(kept)["end"] > s["start"], F.lit(False))
+        better = F.coalesce((last(kept)["score"] < s["score"]) | ((last(kept)["kind"] == "") & (s["kind"] == "")), F.lit(True))
+        less = F.slice(kept, F.lit(1), F.greatest(F.lit(0), F.size(kept) - 1))
+        return F.when(~touches, F.array_append(kept, s)).when((last(kept)["kind"] == "") & (s["kind"] == ""), F.when(last(kept)["end"] < s["end"], F.array_append(less, s)).otherwise(kept)).when(better, F.array_append(less, s)).otherwise(kept)
 
-    return F.aggregate(both, start, step, lambda acc: acc["kept"])
+    best = lambda run: F.filter(F.aggregate(run, F.array().cast(f"array<{kind}>"), step), lambda s: s["kind"] != "")
+    return F.flatten(clusters(both, lambda s, a, b, end: best(F.slice(s, a + 1, b - a)), False))
 
 
 def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' rows as id_col, text_col, strong and more: spans as structs with start, end (code points, exclusive) and kind.
 
     strong: email, ip, card and phone, always reported. more: spans that generators proposed and the trees selected, each
-    kind at its own threshold; none touches another or a strong one. Null and empty texts have none; null ids and repeated
+    kind at its own threshold of the calibrated probability; none touches another or a strong one. Null and empty texts have none; null ids and repeated
     rows are judged row by row, and no row moves. An empty table gives an empty result; other columns are ignored.
     """
-    trees, least = model(docs.sparkSession)
-    found = with_spans(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text", BASE | MORE, KEEP, NEEDS)
-    found = found.withColumn("_more", F.concat(*[F.when(F.size(f"_s_{k}") > 0, _judged("_text", k)).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string,bits:int>>")) for k in MORE]))
+    trees, (a, b), least = model(docs.sparkSession)
+    found = with_spans(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text", BASE | MORE, KEEP, NEEDS, context=dict.fromkeys(MORE, CONTEXT))
+    found = found.withColumn("_more", F.concat(*[F.when(F.size(f"_s_{k}") > 0, _judged(k)).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string,bits:bigint>>")) for k in MORE]))
 
     def scored(s: Column) -> Column:
         total = sum((_column(t, s["bits"]) for t in trees), F.lit(0.0))
-        return F.struct(s["start"], s["end"], s["kind"], total.alias("score"))
+        return F.struct(s["start"], s["end"], s["kind"], (1 / (1 + F.exp(-(a * total + b)))).alias("score"))
 
     limit = F.create_map(*[F.lit(x) for k, v in least.items() for x in (k, float(v))])
     found = found.withColumn("_more", F.when(F.size("_more") > 0, F.filter(F.transform("_more", scored), lambda s: s["score"] >= limit[s["kind"]])))

@@ -3,26 +3,28 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import trimmed, words, written
+from .common import rows_of, trimmed, words, written
 
 PLAIN = r"""\A[\p{Ps}\p{Pi}"']*+[\p{L}\p{M}\p{N}][\p{L}\p{M}\p{N}'’.,:/@_+-]*+[\p{Pe}\p{Pf}"'’.,;:!?…]*+\z"""
 ENDED = r"""[.!?…。！？]["'’”»)\]]*\z"""
 SYMBOLS = r"[#*$%&|<>]"
+Vote = Callable[[Column], Column] | None
 #: Rules: (value, votes bad where, votes good where). Else a rule abstains; one that looks for a single defect says
 #: nothing where the defect is absent, as that hardly speaks for a text.
-RULES: dict[str, tuple[str, str, str]] = {
-    "length": ("n_words", "v < 20", "v >= 100"),
-    "symbols": ("n_symbols / nullif(n_words, 0)", "v > 0.15", "false"),
-    "repeated_lines": ("n_dup_lines / nullif(n_lines, 0)", "v > 0.4", "false"),
-    "repeated_words": ("n_repeat_words / nullif(n_words, 0)", "v > 0.4", "false"),
-    "word_length": ("word_chars / nullif(n_words, 0)", "v < 2.5 or v > 12", "false"),
-    "distinct_words": ("n_distinct / sqrt(nullif(n_words, 0))", "v < 2.5", "v > 6"),
-    "sentences": ("n_words / greatest(n_ended, 1)", "v > 100", "v < 60"),
-    "plain_words": ("n_plain / nullif(n_words, 0)", "v < 0.75", "v > 0.97"),
+RULES: dict[str, tuple[str, Vote, Vote]] = {
+    "length": ("n_words", lambda v: v < 20, lambda v: v >= 100),
+    "symbols": ("n_symbols / nullif(n_words, 0)", lambda v: v > 0.15, None),
+    "repeated_lines": ("n_dup_lines / nullif(n_lines, 0)", lambda v: v > 0.4, None),
+    "repeated_words": ("n_repeat_words / nullif(n_words, 0)", lambda v: v > 0.4, None),
+    "word_length": ("word_chars / nullif(n_words, 0)", lambda v: (v < 2.5) | (v > 12), None),
+    "distinct_words": ("n_distinct / sqrt(nullif(n_words, 0))", lambda v: v < 2.5, lambda v: v > 6),
+    "sentences": ("n_words / greatest(n_ended, 1)", lambda v: v > 100, lambda v: v < 60),
+    "plain_words": ("n_plain / nullif(n_words, 0)", lambda v: v < 0.75, lambda v: v > 0.97),
 }
 THRESHOLD = 0.5
 #: Prior belief: the share of good documents; how often a bad and a good vote are right; the prior's weight as a share of the documents.
@@ -55,13 +57,10 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def votes(rules: dict[str, tuple[str, str, str]] = RULES) -> dict[str, Column]:
+def votes(rules: dict[str, tuple[str, Vote, Vote]] = RULES) -> dict[str, Column]:
     """Each rule's vote: -1 bad, 1 good, 0 abstains (also where its value is null)."""
-    out = {}
-    for name, (value, bad, good) in rules.items():
-        sub = lambda cond, value=value: cond.replace("v ", f"({value}) ")
-        out[name] = F.expr(f"case when {sub(bad)} then -1 when {sub(good)} then 1 else 0 end")
-    return out
+    never = lambda v: F.lit(False)
+    return {name: F.when((bad or never)(F.expr(value)), -1).when((good or never)(F.expr(value)), 1).otherwise(0) for name, (value, bad, good) in rules.items()}
 
 
 def fit(patterns: list[tuple[tuple[int, ...], int]], share: float = PRIOR_SHARE, rounds: int = 100) -> dict:
@@ -121,7 +120,7 @@ def posterior(model: dict, names: list[str]) -> Column:
     return 1 / (1 + F.exp(-score))
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: dict[str, tuple[str, str, str]] = RULES, threshold: float = THRESHOLD) -> DataFrame:
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: dict[str, tuple[str, Vote, Vote]] = RULES, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document: id_col, _th (xxhash64 of the text), counts, vote_<rule>, posterior, base_failed, kept.
 
     kept is false where base_failed (under 50 words, or over half of the words in repeated 3-word windows), else
@@ -137,10 +136,9 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose verdict is kept, all columns as they were (see judged); repeated rows stay or go together, ids may be null."""
+    """The rows of docs whose verdict is kept, all columns, whatever their names, as they were (see judged); repeated rows stay or go together, ids may be null."""
     good = judged(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_id"), "_th").dropDuplicates()
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(text_col)))
-    return keyed.join(good, F.expr(f"`{id_col}` <=> _id and _key = _th"), "left_semi").drop("_key")
+    return rows_of(docs, id_col, text_col).join(good, F.expr("id <=> _id and th = _th"), "left_semi").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import written
-from .spans import joined, listed, redacted, with_spans
+from .common import rows_of, written
+from .spans import joined, listed, merged, redacted, with_spans
 
 #: Parts of one credential stand at most so many code points from each other.
 SCOPE = 240
@@ -50,7 +50,7 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     parts. A key or an identifier needs the other one, or a key an endpoint, and an endpoint a secret, within `scope` code
     points. Weak candidates that touch a strong one of the same role are the strong one.
     """
-    parts = found.where(F.size("weak") > 0).select("_id", "_th", F.explode(F.array_distinct(F.concat("strong", "weak"))).alias("p")).select("_id", "_th", "p.*").distinct()
+    parts = found.where(F.size("weak") > 0).select("_id", "_th", F.explode(F.concat("strong", "weak")).alias("p")).select("_id", "_th", "p.*").distinct()
     role = F.create_map(*[F.lit(x) for k, r in ROLE.items() for x in (k, r)])[F.col("kind")]
     parts = parts.withColumn("role", role).withColumn("strong", F.col("kind").isin(*STRONG))
     by = Window.partitionBy("_id", "_th")
@@ -85,16 +85,15 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """docs with every secret, strong or linked, replaced by <kind>; overlapping spans are replaced as one.
 
-    No row goes, null texts stay null, ids may be null or repeat, other columns are kept as they were.
+    No row goes, null texts stay null, ids may be null or repeat, other columns, whatever their names, are kept as they were. Time
+    grows with the text and its spans, so a text may hold any number of them.
     """
-    found = secret_spans(docs, id_col, text_col, scope)
-    every = F.sort_array(F.concat("strong", "more"))
-    merged = F.aggregate(every, F.array().cast("array<struct<start:int,end:int,kind:string>>"), lambda acc, s: F.when((F.size(acc) > 0) & (F.coalesce(F.element_at(F.when(F.size(acc) > 0, acc), -1)["end"], F.lit(-1)) >= s["start"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"), F.element_at(acc, -1)["kind"].alias("kind"))))).otherwise(F.array_append(acc, F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
-    hits = found.where("size(strong) + size(more) > 0").select(F.col(id_col).alias("_id"), "_th", merged.alias("_cut")).dropDuplicates(["_id", "_th"])
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(text_col)))
-    rows = keyed.join(hits, F.expr(f"`{id_col}` <=> _id and _key = _th"), "left")
-    text = F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col("_cut"), lambda s: F.concat(F.lit("<"), s["kind"], F.lit(">"))))
-    return rows.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    found = secret_spans(docs, id_col, text_col, scope).where("size(strong) + size(more) > 0")
+    hits = found.select(F.col(id_col).alias("_id"), "_th", merged(F.sort_array(F.concat("strong", "more"))).alias("cut")).dropDuplicates(["_id", "_th"])
+    rows = rows_of(docs, id_col, text_col).join(hits, F.expr("id <=> _id and th = _th"), "left")
+    own = F.col("row").getField(text_col)
+    text = F.when(F.col("cut").isNull(), own).otherwise(redacted(own, F.col("cut"), lambda s: F.concat(F.lit("<"), s["kind"], F.lit(">"))))
+    return rows.select(*[(text if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

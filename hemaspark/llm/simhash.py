@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_arrow, components, written
+from .common import bound_arrow, components, rows_of, written
 
 BITS = 64
 MAX_DISTANCE = 4
@@ -290,18 +290,17 @@ def keep_first(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) ->
     """The rows of docs less all but one of each component (root in found): the one with the smallest id (then text hash) stays.
 
     A row without an id stays only where its component has no row with one; of rows that repeat id and text one stays; all
-    columns are kept as they were; an empty table gives an empty result. Texts are shuffled once, to be told which stay.
+    columns, whatever their names, are kept as they were; an empty table gives an empty result. Texts are shuffled once, to be told which stay.
     """
     found = written(found, "found")
     first = F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("_id"), F.col("_th")))
     kept = written(found.groupBy("root").agg(first.alias("x")).select("x._id", "x._th"), "kept")
     same = found[id_col].eqNullSafe(kept["_id"]) & (found["_th"] == kept["_th"])
     repeats = found.join(kept, same, "left_semi").groupBy(id_col, "_th").count().where("count > 1")
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(text_col)))
-    rows = keyed.join(kept, F.expr(f"`{id_col}` <=> _id and _key = _th"), "left_semi")
+    rows = rows_of(docs, id_col, text_col).join(kept, F.expr("id <=> _id and th = _th"), "left_semi")
     if not repeats.isEmpty():
-        rows = rows.dropDuplicates([id_col, "_key"])
-    return rows.drop("_key")
+        rows = rows.dropDuplicates(["id", "th"])
+    return rows.select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,6 @@ from hemaspark.llm import packing
 
 def brute_ids(text):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 2]
 
 
@@ -71,3 +70,20 @@ def test_real_ids(spark, sf):
     r = packing.token_pieces(spark.read.parquet(f"{sf}/documents.parquet").where("doc_id = 3"), with_ids=True).orderBy("piece").collect()
     text = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id = 3").first().text
     assert [x for p in r for x in p.ids] == brute_ids(text)
+
+
+def test_special_strings_are_the_tokenizers_own():
+    for text in ("hello <|endoftext|> there", "<|endoftext|>", "é<|endoftext|><|endof text|>", "a <|endoftext|>\n" * 50):
+        assert [*packing.encode(text), 2] == brute_ids(text)
+
+
+def test_rows_that_are_alike_share_out(spark):
+    """Ten thousand equal rows go to many groups, and the files they come from don't matter."""
+    docs = spark.range(10_000).selectExpr("cast(7 as long) as doc_id", "'some few words' as text").repartition(7)
+    one = packing.pack(packing.token_pieces(docs), group=512).drop("doc_id").collect()
+    two = packing.pack(packing.token_pieces(docs.coalesce(1)), group=512).drop("doc_id").collect()
+    assert sorted(one) == sorted(two) and len(one) == 10_000
+    sizes = {}
+    for r in one:
+        sizes[r.sequence_id >> 32] = sizes.get(r.sequence_id >> 32, 0) + 1
+    assert max(sizes.values()) < 700

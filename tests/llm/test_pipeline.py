@@ -42,3 +42,19 @@ def test_run_and_empty(spark, empty_docs, odd_docs, tmp_path):
             assert docs is odd_docs or out.count() == 0
         assert (corpus_pipeline.packing_stage(spark, docs, "").count() > 0) == (docs is odd_docs)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "secrets", "source_mix", "packing"] and secrets
+
+
+def test_any_column_names(spark, odd_docs):
+    """Extra columns pass through every stage as they were, whatever their names."""
+    from pyspark.sql import functions as F
+
+    names = ["_id", "_th", "_key", "_cut", "_copies", "_copy", "_text", "key", "bucket", "row", "id", "th", "cut", "copies", "root", "node", "_group", "piece", "n", "a.b"]
+    docs = odd_docs.select("*", *[F.concat(F.lit(f"{n}-"), F.col("doc_id")).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows, name
+        for r in rows:
+            assert all(r[n] == (None if r.doc_id is None else f"{n}-{r.doc_id}") for n in names), name
+    assert corpus_pipeline.packing_stage(spark, docs, "").count()

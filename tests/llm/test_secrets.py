@@ -83,3 +83,28 @@ def test_sql_says_the_same(spark, tmp_path):
     want = sorted(map(repr, con.sql(f"select {', '.join(names)} from ({secrets.SQL})").fetchall()))
     assert sorted(repr(tuple(r[n] for n in names)) for r in rows) == want
     assert any(r.n_linked for r in rows)
+
+
+def test_many_secrets_in_one_text(spark, tmp_path):
+    """Time grows with the text: twenty thousand secrets in a megabyte take seconds, to find and to replace."""
+    import time
+
+    text = " ".join(f"é token={i:06d}{'x' * 20} and user: u{i} q8Zr3LmT0vXc7NbA5kYd{i}" for i in range(20_000))
+    began = time.time()
+    rows = run(spark, tmp_path, [(1, text)])
+    check(rows, [(1, text)])
+    (r,) = secrets.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert time.time() - began < 90
+    want, at = [], 0
+    for s in rows[0].spans.split(","):
+        kind, a, b = s.split(":")
+        if int(a) > at or not want:
+            want.append([int(a), int(b), kind])
+        else:
+            want[-1][1] = max(want[-1][1], int(b))
+        at = want[-1][1]
+    out, at = [], 0
+    for a, b, kind in want:
+        out += [text[at:a], f"<{kind}>"]
+        at = b
+    assert r.text == "".join([*out, text[at:]])
