@@ -1,5 +1,8 @@
-"""Near copies by shingles: every pair of documents whose sets of five-word shingles have a Jaccard similarity of at least
-0.8, found by prefixes of the sets and verified on whole sets."""
+"""Near copies: documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
+
+SimHash classes bring sets together first; what bits can't tell is completed by bands of minimum hashes; every link is decided
+on whole sets.
+"""
 
 from __future__ import annotations
 
@@ -8,44 +11,40 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bound_arrow, components, written
-from .simhash import HASH_SEED, keep_first
+from .simhash import HASH_SEED, MAX_DISTANCE, bit_majority, classes_of, keep_first
 
 SHINGLE = 5
-#: Least similarity, as a fraction: sets link if overlap / union >= ABOVE / BELOW.
-ABOVE, BELOW = 4, 5
-#: Documents by hash whose frequent shingles (at most so many) come last in every set's order; any order finds all pairs.
-SAMPLE, FREQUENT = 20_000, 1 << 16
-
-
-def shingles(text: str | bytes | None, shingle: int = SHINGLE) -> np.ndarray:
-    """Distinct XXH64 of a text's shingles, ascending: A-Z lower-cased, a shorter text is one shingle, one without words none."""
+SIMILARITY = 0.8
+#: Bands of so many minimum hashes. A pair at the threshold of 0.8 meets in none of them with a chance of (1 - 0.8 ** 4) ** 24, three
+#: in a million; a pair at 0.3 meets with 0.18.
+BANDS, ROWS = 24, 4
+#: Shingles of a part of a bucket: a task holds two parts at a time.
+PART = 1 << 18
+#: Columns of the incidence matrix that are multiplied at a time.
+COLUMNS = 1 << 13
+
+
+def hashes(text: str | bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of a text's shingles, repeats included: A-Z lower-cased, a shorter text is one shingle, one without words none."""
     raw = (text.encode() if isinstance(text, str) else text or b"").lower().split()
     if not raw:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     line, digest = b" ".join(raw), xxhash.xxh64_intdigest
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     ends = (starts + sizes)[min(shingle, len(raw)) - 1 :]
     n = len(ends)
-    return np.unique(np.fromiter((digest(line[i:j], HASH_SEED) for i, j in zip(starts[:n].tolist(), ends.tolist(), strict=True)), np.uint64, n).view(np.int64))
+    return np.fromiter((digest(line[i:j], HASH_SEED) for i, j in zip(starts[:n].tolist(), ends.tolist(), strict=True)), np.uint64, n)
 
 
-def _sets(docs: DataFrame, text_col: str, shingle: int, names: list[str], schema: T.StructType, make: Callable) -> DataFrame:
-    """make(columns, sets, nodes) for each batch of docs: the columns `names`, and each text's shingles and their name (XXH64)."""
-    bound_arrow(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = make()
-        for batch in batches:
-            out = each(batch.columns[:-1], batch.column(batch.num_columns - 1).cast(pa.binary()), lambda t: shingles(t, shingle))
-            yield pa.RecordBatch.from_arrays(out, names=schema.names)
-
-    return docs.select(*names, F.col(text_col).alias("_t")).mapInArrow(run, schema)
+def shingles(text: str | bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The text's set: distinct hashes, ascending."""
+    return np.unique(hashes(text, shingle).view(np.int64))
 
 
 def _node(own: np.ndarray) -> int:
@@ -53,73 +52,47 @@ def _node(own: np.ndarray) -> int:
     return int(np.array(xxhash.xxh64_intdigest(own.tobytes(), HASH_SEED), np.uint64).view(np.int64))
 
 
-def _bitmap(own: np.ndarray) -> bytes:
-    """The set's bits among some two to four a shingle: a power of two, so that a longer one folds to a shorter one."""
-    size = 1 << max(6, (2 * len(own)).bit_length())
-    bits = np.zeros(size, bool)
-    bits[own & (size - 1)] = True
-    return np.packbits(bits).tobytes()
-
-
-def _apart(x: bytes, y: bytes) -> int:
-    """Bits that two bitmaps differ by: each asks for a shingle that one set has and the other hasn't."""
-    p, q = (np.frombuffer(v, np.uint8) for v in (x, y))
-    size = min(len(p), len(q))
-    p, q = (np.bitwise_or.reduce(v.reshape(-1, size), axis=0) for v in (p, q))
-    return int(np.bitwise_count(p ^ q).sum())
-
-
-def named(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """(_id, _th, node, size, bits) of each row of docs (_id, _th, text)."""
-    schema = T.StructType([docs.schema["_id"], docs.schema["_th"], T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("bits", T.BinaryType())])
-
-    def make() -> Callable:
-        def each(columns: list, texts: pa.Array, cut: Callable) -> list:
-            found = [(_node(x), len(x), _bitmap(x)) for x in map(cut, texts.to_pylist())]
-            return [*columns, *(pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary())))]
-
-        return each
+_RNG = np.random.default_rng(HASH_SEED)
+_FACTORS = _RNG.integers(1 << 31, size=(BANDS * ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_SHIFTS = _RNG.integers(1 << 32, size=(BANDS * ROWS, 1), dtype=np.uint64).astype(np.uint32)
 
-    return _sets(docs, text_col, shingle, ["_id", "_th"], schema, make)
 
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """A key for each band: the hash of its minimum hashes over the set."""
+    x = (own.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for a in range(0, len(x), 4096):  # a slice at a time: memory doesn't follow the text
+        least = np.minimum(least, (x[None, a : a + 4096] * _FACTORS + _SHIFTS).min(axis=1))
+    raw = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(raw[k].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64)
 
-def prefixes(docs: DataFrame, text_col: str, shingle: int, frequent: np.ndarray) -> DataFrame:
-    """(s, node, size, pos): the first shingles of each set in the common order, so many that two linked sets share one.
-
-    A linked set shares at least ceil(0.8 size) shingles, so the first of them is among the first size - ceil(0.8 size) + 1.
-    """
-    order = np.sort(frequent)
-    schema = T.StructType([T.StructField("s", T.LongType()), T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("pos", T.IntegerType())])
-
-    def make() -> Callable:
-        seen: set[int] = set()  # copies within a task are sent once
-
-        def each(columns: list, texts: pa.Array, cut: Callable) -> list:
-            cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
-            for th, t in zip(columns[0].to_pylist(), texts.to_pylist(), strict=True):
-                if th in seen:
-                    continue
-                seen.add(th)
-                x = cut(t)
-                if not len(x):
-                    continue
-                at = np.minimum(np.searchsorted(order, x), max(0, len(order) - 1))
-                common = order[at] == x if len(order) else np.zeros(len(x), bool)
-                take = len(x) - -(-ABOVE * len(x) // BELOW) + 1
-                for col, v in zip(cols, (np.concatenate([x[~common], x[common]])[:take], np.full(take, _node(x)), np.full(take, len(x)), np.arange(take)), strict=True):
-                    col.append(v)
-            if len(seen) > 500_000:
-                seen.clear()
-            return [pa.array(np.concatenate(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
-
-        return each
-
-    return _sets(docs, text_col, shingle, ["_th"], schema, make)
 
+def named(docs: DataFrame, shingle: int) -> DataFrame:
+    """(_id, _th, node, fp, size, keys) of each row of docs (_id, _th, _text): one pass over whole texts."""
+    bound_arrow(docs.sparkSession)
+    schema = T.StructType([docs.schema["_id"], docs.schema["_th"], T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
-def wanted(docs: DataFrame, texts: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """(node, x): the sets of the texts (_th) asked for. A bitmap of their hashes, 16 bits each up to 32 MB, goes to every task and
-    drops nearly all others before they are shuffled; what it lets through needlessly finds no partner."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, fps, sizes, keys = [], [], [], [np.zeros(0, np.int64)]
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
+                h = hashes(text, shingle)
+                own = np.unique(h.view(np.int64))
+                nodes.append(_node(own))
+                fps.append(bit_majority(h))
+                sizes.append(len(own))
+                keys.append(band_keys(own) if len(own) else keys[0])
+            ends = pa.array(np.cumsum([0, *map(len, keys[1:])]), pa.int32())
+            fp = pa.array(np.array(fps, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), fp, pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys)))], names=schema.names)
+
+    return docs.select("_id", "_th", "_text").mapInArrow(run, schema)
+
+
+def wanted(docs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, x): the sets of the texts (_th) asked for, made anew from docs, as they are larger than texts. A bitmap of the
+    texts' hashes, 16 bits each up to 32 MB, goes to every task and drops nearly all other texts before anything is cut or
+    shuffled; what it lets through needlessly finds no partner."""
     n = texts.count()
     size = 1 << min(28, max(10, (16 * n).bit_length()))
 
@@ -131,87 +104,141 @@ def wanted(docs: DataFrame, texts: DataFrame, text_col: str, shingle: int) -> Da
 
     packed = texts.select("_th").coalesce(1).mapInArrow(fill, "bits binary").collect()
     shared = docs.sparkSession.sparkContext.broadcast(packed[0][0] if packed else bytes(size >> 3))
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("x", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("x", T.BinaryType())])
 
-    def make() -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = np.unpackbits(np.frombuffer(shared.value, np.uint8)).view(bool), set()
-
-        def each(columns: list, texts: pa.Array, cut: Callable) -> list:
-            nodes, sets = [], [np.zeros(0, np.int64)]
-            th = columns[0].to_numpy()
+        for batch in batches:
+            nodes, sets = [], []
+            th, texts = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary())
             for k in np.flatnonzero(bits[th & (size - 1)]).tolist():
-                if int(th[k]) not in seen:
+                if int(th[k]) not in seen:  # copies within a task are sent once
                     seen.add(int(th[k]))
-                    sets.append(cut(texts[k].as_py()))
-                    nodes.append(_node(sets[-1]))
-            ends = pa.array(np.cumsum([0, *map(len, sets[1:])]), pa.int32())
+                    own = shingles(texts[k].as_py(), shingle)
+                    nodes.append(_node(own))
+                    sets.append(own.tobytes())
             if len(seen) > 500_000:
                 seen.clear()
-            return [pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=schema.names)
 
-        return each
+    bound_arrow(docs.sparkSession)
+    return docs.select("_th", "_text").mapInArrow(run, schema).groupBy("node").agg(F.first("x").alias("x"))
 
-    return _sets(docs, text_col, shingle, ["_th"], schema, make).groupBy("node").agg(F.first("x").alias("x"))
 
+def linked_sets(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join what is linked among the sets, and isn't of one label already: at most one for each set.
 
-def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """(a, b): the pairs that link by their whole sets. Linked sets differ by at most a ninth of their sizes' sum: pairs whose
-    bitmaps differ by more go before sets are shuffled."""
-    pairs = written(pairs.select("a", "b").distinct(), "pairs")
-    ends = lambda p: p.select(F.col("a").alias("node")).union(p.select(F.col("b").alias("node"))).distinct()
-    facts = written(rows.join(ends(pairs), "node", "left_semi").dropDuplicates(["node"]).select("node", "_th", "size", "bits"), "facts")
-    small = facts.select("node", "size", "bits")
+    Overlaps are products of the incidence matrix of the shingles that two sets or more hold, some columns at a time.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    _, inverse, count = np.unique(every, return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1  # of shingles that more than one set holds
+    held = count[inverse] > 1
+    at, row = column[inverse[held]], owner[held]
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    for a in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
+        lo, hi = np.searchsorted(at, (a, a + COLUMNS))
+        m = np.zeros((len(sets), int(min(COLUMNS, at[hi - 1] - a + 1)) if hi > lo else 0), np.float32)
+        m[row[lo:hi], at[lo:hi] - a] = 1
+        shared += m @ m.T
+    union = sizes[:, None] + sizes[None, :] - shared
+    i, j = np.nonzero(np.triu((shared >= similarity * union - 1e-9) & (labels[:, None] != labels[None, :]), 1))
+    _, tree = np.unique(labels, return_inverse=True)
+    left, right = [], []
+    for p, q in zip(i.tolist(), j.tolist(), strict=True):
+        if tree[p] != tree[q]:
+            tree[tree == tree[q]] = tree[p]
+            left.append(nodes[p])
+            right.append(nodes[q])
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
+def compared(entries: DataFrame, facts: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): edges between sets of a bucket (key) that link and aren't of one component yet.
+
+    entries: (key, node, component). facts: (node, _th, size). Buckets of one component, or one set, go. The others' sets are dealt to
+    parts of some PART shingles; a task compares two parts, or one with itself, and answers with a forest of edges, never
+    with pairs, so a bucket that holds a third of all sets is work for many tasks with bounded memory.
+    """
+    open_ = entries.groupBy("key").agg(F.min("component").alias("u"), F.max("component").alias("v")).where("u <> v").select("key")
+    open_ = written(entries.join(open_, "key", "left_semi").join(facts, "node"), "open")
+    parts = open_.groupBy("key").agg(F.ceil(F.sum("size") / PART).cast("int").alias("parts"))
+    sets = wanted(docs, written(open_.select("_th").distinct(), "texts"), shingle)
+    dealt = open_.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    tiles = dealt.select("node", "component", "key", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    tiles = tiles.select("node", "component", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    keys = ("key", "i", "j")
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out(table: pa.Table) -> pa.RecordBatch:
+            cols = [table.column(c).to_numpy() for c in keys]
+            new = np.ones(table.num_rows + 1, bool)
+            new[1:-1] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+            cuts = np.flatnonzero(new)
+            node, label, raw = table.column("node").to_numpy(), table.column("component").to_numpy(), table.column("x").combine_chunks()
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if b - a > 1 and (label[a:b] != label[a]).any():
+                    p, q = linked_sets(node[a:b], label[a:b], [np.frombuffer(raw[k].as_py(), np.int64) for k in range(a, b)], similarity)
+                    left.append(p)
+                    right.append(q)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+
+        rows = 0
         for batch in batches:
-            total = (batch.column(2).to_numpy() + batch.column(3).to_numpy()).tolist()
-            keep = [_apart(x, y) * (ABOVE + BELOW) <= (BELOW - ABOVE) * n for x, y, n in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), total, strict=True)]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
-
-    joined = pairs.join(small.toDF("a", "m", "x"), "a").join(small.toDF("b", "n", "y"), "b")
-    pairs = written(joined.select("a", "b", "m", "n", "x", "y").mapInArrow(near, "a long, b long"), "near")
-    texts = written(facts.join(ends(pairs), "node", "left_semi").select("_th"), "texts")
-    sets = wanted(docs, texts, text_col, shingle)
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    overlap = F.size(F.array_intersect("x", "y"))
-    return written(both.where(overlap * (ABOVE + BELOW) >= ABOVE * (F.size("x") + F.size("y"))).select("a", "b"), "links")
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, frequent: int = FREQUENT) -> DataFrame:
-    """One row for each document: id_col, _th (xxhash64 of the text), node (of its shingle set), root (of the component), over
-    all pairs that link.
-
-    Sets are exact (but for 64-bit hashes) and no pair is missed: candidates share a shingle of their prefixes and could
-    still overlap enough by their sizes and positions. First each bucket's sets are compared with its smallest; then
-    all pairs of a bucket that aren't connected by then, so a large group of near copies doesn't meet pair by pair.
-    Texts without words are alike. Null ids and repeated rows are rows of their own; an empty table gives an empty result.
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < 4096 and sum(b.nbytes for b in held) < 1 << 26:
+                continue
+            table = pa.Table.from_batches(held)
+            same = np.all([table.column(c).to_numpy() == table.column(c)[-1].as_py() for c in keys], axis=0)
+            cut = int(np.argmax(same))  # the tile that may go on in the next batch waits
+            if cut:
+                yield out(table.slice(0, cut))
+                rest = table.slice(cut).combine_chunks()
+                held, rows = rest.to_batches(), rest.num_rows
+        if rows:
+            yield out(pa.Table.from_batches(held))
+
+    rows = tiles.join(sets, "node").repartition(*keys).sortWithinPartitions(*keys, "node")
+    return written(rows.select(*keys, "node", "component", "x").mapInArrow(run, schema), "links")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, distance: int = MAX_DISTANCE) -> DataFrame:
+    """One row for each document: id_col, _th (xxhash64 of the text), node (of its shingle set), root (of the component).
+
+    Sets (known by 64-bit hashes) link from a Jaccard similarity of `similarity` on. They are compared where they meet: in a SimHash class
+    (fingerprints linked at `distance` or fewer of 64 bits), then, where they aren't connected yet, in a band of minimum
+    hashes; see BANDS for what that misses. Copies of a set meet as one row before that. Texts without words are
+    alike. Null ids and repeated rows are rows of their own; an empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_th"), F.col(text_col).alias("_text"))
-    rows = written(named(docs, "_text", shingle), "named")  # sets are larger than texts: they are made anew where needed
-    n = rows.count()
-    few = docs.where(F.shiftrightunsigned(F.xxhash64(F.lit(3), "_th"), 11) <= int(min(1.0, SAMPLE / max(1, n)) * (1 << 53)))
-    often = F.explode("x").alias("s")
-    often = wanted(few, few.select("_th").distinct(), "_text", shingle).select(often).groupBy("s").count().where("count > 2").orderBy(F.desc("count"), "s").limit(frequent)
-    entries = prefixes(docs, "_text", shingle, np.array([r[0] for r in often.collect()], np.int64))
-    bucket = Window.partitionBy("s")
-    entries = entries.repartition("s").dropDuplicates(["s", "node"]).withColumn("m", F.count("*").over(bucket)).where("m > 1")
-    shared = written(entries.withColumn("first", F.min(F.struct("size", "node", "pos")).over(bucket)).drop("m"), "shared")
-
-    def may(p: str, q: str, i: str, j: str) -> str:  # by sizes, and by what is left behind the shared shingle
-        return f"{BELOW} * least({p}, {q}) >= {ABOVE} * greatest({p}, {q}) and (1 + least({p} - {i} - 1, {q} - {j} - 1) + least({i}, {j})) * {ABOVE + BELOW} >= {ABOVE} * ({p} + {q})"
-
-    star = shared.where("node <> first.node and " + may("size", "first.size", "pos", "first.pos")).selectExpr("least(node, first.node) as a", "greatest(node, first.node) as b")
-    edges = verified(star, docs, rows, "_text", shingle)
-    nodes = written(shared.select("node").distinct(), "nodes")
-    labels = written(components(nodes, edges), "labels")
-    entry = shared.drop("first").join(labels, "node")
-    several = entry.groupBy("s").agg(F.min("component").alias("u"), F.max("component").alias("v")).where("u <> v").select("s")
-    entry = written(entry.join(several, "s", "left_semi"), "open")
-    other = entry.select("s", *[F.col(c).alias(f"{c}_") for c in ("node", "size", "pos", "component")])
-    rest = entry.join(other, "s").where("node < node_ and component <> component_ and " + may("size", "size_", "pos", "pos_")).selectExpr("node as a", "node_ as b")
-    more = verified(rest, docs, rows, "_text", shingle)
-    labels = written(components(nodes, edges.union(more)), "labels")
-    return rows.drop("size", "bits").join(labels, "node", "left").select(F.col("_id").alias(id_col), "_th", "node", F.coalesce("component", "node").alias("root"))
+    rows = written(named(docs, shingle), "named")
+    sets = rows.groupBy("node").agg(F.min("_th").alias("_th"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    sets = written(sets, "sets")
+    facts = sets.select("node", "_th", "size")
+    alone = F.col("node").alias("component")
+    roots = classes_of(sets.select("fp").distinct(), distance)
+    meet = sets.join(roots, "fp").select(F.col("root").alias("key"), "node", alone)
+    edges = compared(meet, facts, docs, shingle, similarity)
+    for bands in (range(BANDS // 3), range(BANDS // 3, BANDS)):  # the first bands connect what would meet in all of them
+        ends = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+        labels = written(components(ends, edges), "labels")
+        keyed = sets.select("node", F.explode(F.slice("keys", bands[0] + 1, len(bands))).alias("key"))
+        several = keyed.groupBy("key").count().where("count > 1").select("key")
+        meet = keyed.join(several, "key", "left_semi").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        edges = edges.union(compared(meet, facts, docs, shingle, similarity))
+    ends = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+    labels = written(components(ends, edges), "labels")
+    return rows.select("_id", "_th", "node").join(labels, "node", "left").select(F.col("_id").alias(id_col), "_th", "node", F.coalesce("component", "node").alias("root"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -41,10 +41,21 @@ def fingerprint(text: str | bytes | None, shingle: int = SHINGLE) -> int:
     digest, ones, step = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64), 1 << 15
     for a in range(0, n, step):  # a slice at a time: memory doesn't follow the text
         h = np.array([digest(line[i:j], HASH_SEED) for i, j in zip(starts[a : a + step][: n - a].tolist(), ends[a : a + step].tolist(), strict=False)], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += bit_counts(h)
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def bit_majority(h: np.ndarray) -> int:
+    """The fingerprint of a text's hashes, repeats included; 0 of none."""
+    ones = sum((bit_counts(h[a : a + (1 << 15)]) for a in range(0, len(h), 1 << 15)), np.zeros(BITS, np.int64))
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(_id, _th, fp): the fingerprint of each row as a long, and xxhash64 of its text. Rows stay where they are."""
     bound_arrow(docs.sparkSession)
@@ -261,6 +272,16 @@ def links(distinct: DataFrame, distance: int = MAX_DISTANCE, hot: int = HOT_BUCK
     return dealt.mapInArrow(compare, schema).distinct()
 
 
+def classes_of(distinct: DataFrame, distance: int = MAX_DISTANCE, hot: int = HOT_BUCKET) -> DataFrame:
+    """(fp, root) for each of the fingerprints (fp, without repeats): the component over links of at most `distance` bits, named by
+    its smallest fingerprint."""
+    distinct = written(distinct, "distinct")
+    edges = written(links(distinct, distance, hot), "links")
+    linked = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+    labels = components(linked, edges).toDF("fp", "component")
+    return written(distinct.join(labels, "fp", "left").select("fp", F.coalesce("component", "fp").alias("root")), "roots")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = MAX_DISTANCE, shingle: int = SHINGLE, hot: int = HOT_BUCKET) -> DataFrame:
     """One row for each document: id_col, _th (xxhash64 of the text), fp (long), root (the component's smallest
     fingerprint), component_id: the smallest id reachable over links.
@@ -271,19 +292,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     classes = written(rows.groupBy("fp").agg(F.min("_id").alias("least")), "classes")
-    edges = written(links(classes.select("fp"), distance, hot), "links")
-    linked = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
-    labels = components(linked, edges).join(classes.withColumnRenamed("fp", "node"), "node")
-    labels = written(labels, "labels")
-    least = labels.groupBy("component").agg(F.min("least").alias("id"))
-    ids = labels.join(least, "component").select(F.col("node").alias("fp"), F.col("component").alias("root"), "id")
-    named = classes.join(ids, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("id", "least").alias("component_id"))
+    named = written(classes_of(classes.select("fp"), distance, hot).join(classes, "fp"), "labels")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = named.drop("least").join(least, "root")
     return rows.join(named, "fp").select(F.col("_id").alias(id_col), "_th", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = MAX_DISTANCE) -> DataFrame:
-    """The rows of docs less all but one of each component of near-duplicates; see keep_first."""
-    return keep_first(docs, near_duplicates(docs, id_col, text_col, distance), id_col, text_col)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = MAX_DISTANCE, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """The rows of docs less all but one of each component of near-duplicates; see keep_first. With `similarity` the links are those of
+    shingles.near_copies: classes of fingerprints are verified by the Jaccard similarity of whole sets of shingles, and completed."""
+    if similarity is None:
+        return keep_first(docs, near_duplicates(docs, id_col, text_col, distance, shingle), id_col, text_col)
+    from .shingles import near_copies
+
+    return keep_first(docs, near_copies(docs, id_col, text_col, shingle, similarity, distance), id_col, text_col)
 
 
 def keep_first(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:

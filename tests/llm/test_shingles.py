@@ -49,15 +49,37 @@ def edited_rows():
     return [(i, " ".join(t)) for i, t in enumerate(texts)]
 
 
-def test_stage_equals_brute_force(spark):
+def test_stage_equals_brute_force(spark, monkeypatch):
     rows = edited_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows)
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()) == want
-    found = shingles.near_copies(docs, frequent=0)  # any order of shingles finds the same
+    monkeypatch.setattr(shingles, "PART", 500)  # buckets in many parts, and fewer pairs from fingerprints: the same
+    found = shingles.near_copies(docs, distance=1)
     assert sorted(r[0] for r in found.groupBy("root").agg({"doc_id": "min"}).select("min(doc_id)").collect()) == want
 
 
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """Each copy is near the original and hardly near another copy; so many meet in a bucket that it is cut into parts."""
+    monkeypatch.setattr(shingles, "PART", 5000)
+    rng = random.Random(8)
+    base = [f"v{rng.randrange(2000)}" for _ in range(120)]
+    texts = [" ".join(base)]
+    for _ in range(300):
+        t = list(base)
+        for k in (rng.randrange(5, 55), rng.randrange(60, 110)):
+            t[k] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(t))
+    rows = list(enumerate(texts))
+    want = brute(rows)
+    found = shingles.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r[0] for r in found.groupBy("root").agg({"doc_id": "min"}).select("min(doc_id)").collect()) == want
+
+
+def test_odd_rows(odd_docs, empty_docs):
+    assert shingles.near_copies(odd_docs).count() == odd_docs.count() and shingles.near_copies(empty_docs).count() == 0
+
+
 def test_stage_on_the_given_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = corpus_pipeline.near_duplicate_stage(spark, docs, sf)
