@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hemaspark.llm import mixing, packing, quality, secrets, shingles
+from hemaspark.llm import mixing, packing, quality, secrets, simhash
 from hemaspark.llm.common import written
 
 
@@ -19,8 +19,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
-    return shingles.keep_one(docs)
+    """Of each component of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays:
+    SimHash classes, verified on whole sets of shingles and completed."""
+    return simhash.keep_one(docs, shingle=5, similarity=0.8)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
