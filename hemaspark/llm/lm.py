@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +19,14 @@ FOLDS, HELD_OUT = 5, 1
 #: Words whose counts are sent to every task (the most frequent ones); the others' counts are joined.
 DICTIONARY = 1 << 17
 #: Words that the recurrent model knows; all others are one class, within which they share its chance by their counts.
-CLASSES, CLASS_SIZE, HIDDEN = 32, 32, 32
-#: The recurrent model is fitted on so many training documents by hash, of at most so many characters and words in all.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WORDS = 1200, 20_000, 300_000
-EPOCHS, LANES, STEPS, SEED = 3, 32, 24, 9
+CLASSES, CLASS_SIZE, HIDDEN = 32, 32, 16
+#: Where the weights start from: EPOCHS passes by one task over a share of the training documents of some START_WORDS words (and START_DOCS
+#: documents). From there all training documents are learnt from: one pass in ROUNDS shares, by many tasks, whose weights are averaged.
+START_WORDS, START_DOCS, EPOCHS, START_LANES = 400_000, 64, 3, 16
+ROUNDS = (0.25, 0.75)
+LANES, STEPS, WIDTH, RATE, SEED = 256, 16, 256, 0.1, 9
+#: Weights of so many tasks are averaged by one.
+FAN_IN = 32
 END = b""  # no word is empty
 
 LOG10 = np.log(10.0)
@@ -68,148 +74,268 @@ class GatedModel:
         self.p = {"gates": f(known + 1, 3 * hidden), "u": f(hidden, 3 * hidden), "w1": f(hidden, self.classes + 1), "b1": zero(self.classes + 1), "w2": f(self.classes, hidden, size), "b2": zero(self.classes, size)}
         if known % size:  # places of the last class that no word has
             self.p["b2"][-1, known % size :] = -1e9
-
-    def step(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """The state after reading ids; it is zero after an end."""
+        #: Sums of squared gradients, by which the rate of each weight falls.
+        self.seen = {k: np.full_like(v, 1e-8) for k, v in self.p.items()}
+
+    def weights(self) -> np.ndarray:
+        """All weights and sums of squares as one vector."""
+        return np.concatenate([x.ravel() for d in (self.p, self.seen) for x in d.values()])
+
+    def load(self, flat: np.ndarray) -> None:
+        at = 0
+        for d in (self.p, self.seen):
+            for k, x in d.items():
+                d[k] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
+                at += x.size
+
+    def step(self, h: np.ndarray, x: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """The state after reading words with the gate inputs x; it is zero where keep is (after an end)."""
         k = self.hidden
-        a, x = h @ self.p["u"], self.p["gates"][ids]
-        zr = 1 / (1 + np.exp(-(a[:, : 2 * k] + x[:, : 2 * k])))
-        z, r = zr[:, :k], zr[:, k:]
-        n = np.tanh(x[:, 2 * k :] + r * a[:, 2 * k :])
-        keep = (ids != self.end)[:, None].astype(np.float32)
-        return (n + z * (h - n)) * keep, (h, z, r, n, a[:, 2 * k :], keep)
+        a = h @ self.p["u"]
+        zr = x[:, : 2 * k] + a[:, : 2 * k]
+        zr *= 0.5
+        np.tanh(zr, out=zr)
+        zr += 1
+        zr *= 0.5
+        n = zr[:, k:] * a[:, 2 * k :]
+        n += x[:, 2 * k :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= zr[:, :k]
+        new += n
+        new *= keep[:, None]
+        return new, (h, zr, n, a[:, 2 * k :], keep)
+
+    def forward(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, list[tuple], np.ndarray]:
+        """(states before each word, what the way back needs, the last state) for ids by step and lane; below 0 there is no word."""
+        x = self.p["gates"][np.maximum(ids, 0)]
+        keep = (ids != self.end).astype(self.p["u"].dtype)
+        states, saved = np.empty((*ids.shape, self.hidden), self.p["u"].dtype), []
+        for t in range(len(ids)):
+            states[t] = h
+            h, s = self.step(h, x[t], keep[t])
+            saved.append(s)
+        return states, saved, h
 
     def log_probs(self, h: np.ndarray, ids: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log-probabilities of ids (a rare id: of its class), and the gradient of their negative sum by state."""
-        out, dh = np.zeros(len(ids)), None
-        own = np.minimum(ids // self.size, self.classes)
-        own[ids >= self.known] = self.classes
-        x = h @ self.p["w1"] + self.p["b1"]
-        x -= x.max(axis=1, keepdims=True)
-        e = np.exp(x)
-        total = e.sum(axis=1)
-        rows = np.arange(len(ids))
-        out += x[rows, own] - np.log(total)
+        """Natural log-probabilities of ids (a rare id: of its class; below 0: 0), and the gradient of their negative sum by state."""
+
+        def softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(x less the logarithm of its sum, probabilities)"""
+            x -= x.max(axis=1, keepdims=True)
+            e = np.exp(x)
+            total = e.sum(axis=1)
+            return x - np.log(total)[:, None], e / total[:, None] if grads is not None else e
+
+        own = np.where(ids >= self.known, self.classes, ids // self.size)
+        order = np.argsort(own.astype(np.int16), kind="stable")
+        order = order[np.searchsorted(own[order], 0) :]  # without places that hold no word
+        own, sub, at = own[order], h[order], ids[order]
+        cuts = np.searchsorted(own, np.arange(self.classes + 1))
+        rows = np.arange(len(order))
+        logp, d = softmax(sub @ self.p["w1"] + self.p["b1"])
+        out, dsub = logp[rows, own].astype(float), None
         if grads is not None:
-            d = e / total[:, None]
             d[rows, own] -= 1
-            grads["w1"] += h.T @ d
+            grads["w1"] += sub.T @ d
             grads["b1"] += d.sum(axis=0)
-            dh = d @ self.p["w1"].T
-        order = np.argsort(own, kind="stable")
-        cuts = np.searchsorted(own[order], np.arange(self.classes + 1))
+            dsub = d @ self.p["w1"].T
         for c in range(self.classes):
-            at = order[cuts[c] : cuts[c + 1]]
-            if not len(at):
+            a, b = cuts[c], cuts[c + 1]
+            if a == b:
                 continue
-            x = h[at] @ self.p["w2"][c] + self.p["b2"][c]
-            x -= x.max(axis=1, keepdims=True)
-            e = np.exp(x)
-            total = e.sum(axis=1)
-            member = ids[at] - c * self.size
-            out[at] += x[np.arange(len(at)), member] - np.log(total)
+            logp, d = softmax(sub[a:b] @ self.p["w2"][c] + self.p["b2"][c])
+            member = at[a:b] - c * self.size
+            out[a:b] += logp[rows[: b - a], member]
             if grads is not None:
-                d = e / total[:, None]
-                d[np.arange(len(at)), member] -= 1
-                grads["w2"][c] += h[at].T @ d
+                d[rows[: b - a], member] -= 1
+                grads["w2"][c] += sub[a:b].T @ d
                 grads["b2"][c] += d.sum(axis=0)
-                dh[at] += d @ self.p["w2"][c].T
-        return out, dh
-
-    def fit(self, documents: list[np.ndarray], epochs: int = EPOCHS, lanes: int = LANES, steps: int = STEPS, rate: float = 0.01, seed: int = SEED) -> list[float]:
-        """Truncated backpropagation through windows of `steps` words, states carried on; returns the mean loss of each epoch."""
-        if not documents:
-            return []
-        rng = np.random.default_rng(seed)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
-        losses, t = [], 0
-        for epoch in range(epochs):
-            stream = np.concatenate([documents[i] for i in rng.permutation(len(documents))])
-            width = len(stream) // lanes
-            if width < 2:
-                lanes, width = 1, len(stream)
-            grid = stream[: lanes * width].reshape(lanes, width)
-            h, loss, n = np.zeros((lanes, self.hidden), np.float32), 0.0, 0
-            for a in range(0, width, steps):
-                window = grid[:, a : a + steps]
-                g = {k: np.zeros_like(x) for k, x in self.p.items()}
-                states, saved = [], []
-                for s in range(window.shape[1]):
-                    states.append(h)
-                    h, keep = self.step(h, window[:, s])
-                    saved.append(keep)
-                every = np.concatenate(states)
-                logp, dh = self.log_probs(every, window.T.ravel(), g)
-                loss, n, scale = loss - logp.sum(), n + len(logp), 1.0 / len(logp)
-                dh = dh.reshape(window.shape[1], lanes, self.hidden)
-                back = np.zeros_like(h)
-                for s in range(window.shape[1] - 1, -1, -1):
-                    back = self._back(back, saved[s], window[:, s], g) + dh[s]
-                t += 1
-                now = rate * (1 - 0.9 * (epoch * width + a) / (epochs * width))
-                for k, x in self.p.items():
-                    grad = np.clip(g[k] * scale, -1, 1)
-                    m[k] += 0.1 * (grad - m[k])
-                    v2[k] += 0.01 * (grad * grad - v2[k])
-                    x -= (now * m[k] / (1 - 0.9**t) / (np.sqrt(v2[k] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
-                if self.known % self.size:
-                    self.p["b2"][-1, self.known % self.size :] = -1e9
-            losses.append(loss / max(n, 1))
-        return losses
-
-    def _back(self, dnew: np.ndarray, saved: tuple, ids: np.ndarray, g: dict) -> np.ndarray:
-        h, z, r, n, an, keep = saved
-        dnew = dnew * keep
-        dn = dnew * (1 - z) * (1 - n * n)
-        dz = dnew * (h - n) * z * (1 - z)
-        dr = dn * an * r * (1 - r)
-        da = np.concatenate([dz, dr, dn * r], axis=1)
-        np.add.at(g["gates"], ids, np.concatenate([dz, dr, dn], axis=1))
-        g["u"] += h.T @ da
-        return dnew * z + da @ self.p["u"].T
-
-    def score(self, documents: list[np.ndarray], lanes: int = 256, steps: int = 64) -> np.ndarray:
+                dsub[a:b] += d @ self.p["w2"][c].T
+        every, dh = np.zeros(len(ids)), None
+        every[order] = out
+        if grads is not None:
+            dh = np.zeros_like(h)
+            dh[order] = dsub
+        return every, dh
+
+    def backward(self, saved: list[tuple], ids: np.ndarray, dh: np.ndarray, g: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Adds the gradients of a window to g, given those by state; for the gate inputs returns (rows, their gradients)."""
+        k, dx, back = self.hidden, np.empty((*ids.shape, 3 * self.hidden), dh.dtype), np.zeros_like(dh[0])
+        for t in range(len(ids) - 1, -1, -1):
+            h, zr, n, an, keep = saved[t]
+            z, r = zr[:, :k], zr[:, k:]
+            new = back * keep[:, None]
+            dn = new * (1 - z) * (1 - n * n)
+            da = np.empty_like(dx[t])
+            da[:, :k] = new * (h - n) * z * (1 - z)
+            da[:, k : 2 * k] = dn * an * r * (1 - r)
+            dx[t, :, : 2 * k], dx[t, :, 2 * k :] = da[:, : 2 * k], dn
+            da[:, 2 * k :] = dn * r
+            g["u"] += h.T @ da
+            back = new * z + da @ self.p["u"].T + dh[t]
+        flat = np.maximum(ids, 0).ravel()
+        order = np.argsort(flat.astype(np.int32), kind="stable")
+        starts = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        return flat[order][starts], np.add.reduceat(dx.reshape(-1, 3 * k)[order], starts, axis=0)
+
+    def learn(self, grid: np.ndarray, steps: int, rate: float) -> tuple[float, int]:
+        """Truncated backpropagation through windows of `steps` words of a grid (lanes by words; below 0: none), states carried
+        from window to window; returns (negative log-likelihood, words)."""
+        h, loss, n = np.zeros((len(grid), self.hidden), np.float32), 0.0, 0
+        for a in range(0, grid.shape[1], steps):
+            ids = np.ascontiguousarray(grid[:, a : a + steps].T)
+            g = {k: np.zeros_like(x) for k, x in self.p.items() if k != "gates"}
+            states, saved, h = self.forward(h, ids)
+            logp, dh = self.log_probs(states.reshape(-1, self.hidden), ids.ravel(), g)
+            count = int((ids >= 0).sum())
+            rows, gates = self.backward(saved, ids, dh.reshape(states.shape), g)
+            loss, n, scale = loss - float(logp.sum()), n + count, np.float32(1.0 / max(1, count))
+            for k, grad in g.items():
+                grad *= scale
+                self.seen[k] += grad * grad
+                self.p[k] -= np.float32(rate) * grad / np.sqrt(self.seen[k])
+            gates *= scale
+            seen = self.seen["gates"][rows] + gates * gates
+            self.seen["gates"][rows] = seen
+            self.p["gates"][rows] -= np.float32(rate) * gates / np.sqrt(seen)
+        return loss, n
+
+    def fit(self, documents: Iterable[np.ndarray], lanes: int = LANES, steps: int = STEPS, width: int = WIDTH, rate: float = RATE) -> tuple[float, int]:
+        """Learns from a stream of documents of any length, each word once; returns (negative log-likelihood, words).
+
+        The stream runs on from document to document and is cut into lanes of `width` words, so memory holds a grid, not the
+        stream. What is left at its end is a smaller grid: no word is dropped.
+        """
+        held, size, loss, n = [], 0, 0.0, 0
+        for d in documents:
+            held.append(d)
+            size += len(d)
+            while size >= lanes * width:
+                stream = np.concatenate(held)
+                one, k = self.learn(stream[: lanes * width].reshape(lanes, width), steps, rate)
+                loss, n, held, size = loss + one, n + k, [stream[lanes * width :]], size - lanes * width
+        if size:
+            stream = np.concatenate(held)
+            rows = int(min(lanes, max(1, size // (4 * steps))))
+            grid = np.full((rows, -(-size // rows)), -1, np.int32)
+            grid.ravel()[:size] = stream
+            one, k = self.learn(grid, steps, rate)
+            loss, n = loss + one, n + k
+        return loss, n
+
+    def score(self, documents: list[np.ndarray], lanes: int = LANES, steps: int = 64) -> np.ndarray:
         """Log10-probability of each whole document (a rare id: of its class).
 
-        Documents run one behind the other in lanes of about equal length; the state is carried across windows and is
-        zero after an end, so neither a document's length nor its neighbours matter.
+        Documents run one behind the other in lanes of about equal length, no more lanes than the longest document leaves work for;
+        the state is carried across windows and is zero after an end, so neither a document's length nor its neighbours matter.
         """
         lengths = np.array([len(d) for d in documents], np.int64)
-        lanes = max(1, min(lanes, len(documents)))
+        lanes = int(max(1, min(lanes, len(documents), -(-2 * lengths.sum() // max(1, lengths.max(initial=1))))))
         load, queue = np.zeros(lanes, np.int64), [[] for _ in range(lanes)]
         for i in np.argsort(-lengths, kind="stable").tolist():
             k = int(np.argmin(load))
             queue[k].append(i)
             load[k] += lengths[i]
         order = np.argsort(-load, kind="stable")
-        ids = np.full((lanes, int(load.max())), -1, np.int32)
+        ids = np.full((int(load.max()), lanes), -1, np.int32)
         owner = np.zeros(ids.shape, np.int32)
         for row, k in enumerate(order.tolist()):
             if queue[k]:
-                ids[row, : load[k]] = np.concatenate([documents[i] for i in queue[k]])
-                owner[row, : load[k]] = np.repeat(queue[k], lengths[queue[k]])
+                ids[: load[k], row] = np.concatenate([documents[i] for i in queue[k]])
+                owner[: load[k], row] = np.repeat(queue[k], lengths[queue[k]])
         active = load[order]
         total, h = np.zeros(len(documents)), np.zeros((lanes, self.hidden), np.float32)
-        for a in range(0, ids.shape[1], steps):
-            states, read, own = [], [], []
-            for s in range(a, min(a + steps, ids.shape[1])):
-                n = int(np.searchsorted(-active, -s))  # lanes that are longer than s
-                states.append(h[:n])
-                read.append(ids[:n, s])
-                own.append(owner[:n, s])
-                h, _ = self.step(h[:n], ids[:n, s])
-            logp, _ = self.log_probs(np.concatenate(states), np.concatenate(read))
-            total += np.bincount(np.concatenate(own), logp, len(documents))
+        for a in range(0, len(ids), steps):
+            n = int(np.searchsorted(-active, -a))  # lanes that are longer than what is read
+            window = np.ascontiguousarray(ids[a : a + steps, :n])
+            states, _, h = self.forward(h[:n], window)
+            logp, _ = self.log_probs(states.reshape(-1, self.hidden), window.ravel())
+            total += np.bincount(owner[a : a + steps, :n].ravel(), logp, len(documents))
         return total / LOG10
 
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dictionary: int = DICTIONARY, classes: int = CLASSES, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def _averaged(rows: DataFrame, tasks: int) -> np.ndarray | None:
+    """The mean of models' weights by the words that each has read, from rows (task, n, weights): by tasks that take FAN_IN models
+    each, again and again, so one vector reaches the driver."""
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n, task = None, 0, 0
+        for batch in batches:
+            for task_, m, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                w = np.frombuffer(raw.as_buffer(), np.float32).astype(np.float64) * m
+                total, n, task = w if total is None else total + w, n + m, task_
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], names=MODELS.names)
+
+    while tasks > 1:
+        tasks = -(-tasks // FAN_IN)
+        rows = written(rows.repartition(tasks, F.pmod(F.xxhash64("task"), F.lit(tasks))).sortWithinPartitions("task").mapInArrow(mean, MODELS), "weights")
+    found = rows.coalesce(1).sortWithinPartitions("task").mapInArrow(mean, MODELS).select("weights").collect()
+    return np.frombuffer(found[0][0], np.float32) if found else None
+
+
+MODELS = T.StructType([T.StructField("task", T.LongType()), T.StructField("n", T.LongType()), T.StructField("weights", T.BinaryType())])
+
+
+def trained(docs: DataFrame, model: GatedModel, vocabulary: dict[bytes, int], n_words: int, n_docs: int, rounds: tuple[float, ...] = ROUNDS, start_words: int = START_WORDS) -> GatedModel:
+    """The model after learning from all rows of docs (_id, _text); n_words and n_docs: how many there are.
+
+    First one task reads a share by hash that holds some start_words words, EPOCHS times: what all others start from. Then each
+    round is a share of the documents by hash, and all rounds together are all documents: every task goes through its own
+    documents once, whole, from the weights of the round before, and the tasks' weights are averaged by words. So what is learnt
+    from grows with the input, a task holds a grid of words, and a lost executor repeats its tasks.
+    """
+    spark = docs.sparkSession
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "_id", "_text"), 11) / F.lit(float(1 << 53))
+    docs = docs.withColumn("draw", draw)
+
+    def learnt(part: DataFrame, lanes: int, width: int, epochs: int) -> DataFrame:
+        shared = spark.sparkContext.broadcast((model, vocabulary))  # a model and vocabulary of fixed size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import copy
+
+            from pyspark import TaskContext
+
+            own, words = copy.deepcopy(shared.value[0]), shared.value[1]
+
+            def documents() -> Iterator[np.ndarray]:
+                for batch in batches:
+                    for text in batch.column(0).cast(pa.binary()).to_pylist():
+                        read = tokens(text)
+                        yield np.fromiter(map(words.get, read, repeat(own.known)), np.int32, len(read))
+
+            _, n = own.fit(documents(), lanes=lanes, width=width, rate=RATE)
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64()), pa.array([own.weights().astype(np.float32).tobytes()], pa.binary())], names=MODELS.names)
+
+        text = part.select("_text")
+        text = reduce(lambda x, y: x.unionAll(y), [text] * epochs).coalesce(1) if epochs > 1 else text
+        return text.mapInArrow(run, MODELS)
+
+    share = min(1.0, max(start_words / max(1, n_words), START_DOCS / max(1, n_docs)))
+    before = 0.0
+    for k, size in enumerate((share, *rounds)):
+        part = docs.where(F.col("draw") < size) if not k else docs.where((F.col("draw") >= before) & (F.col("draw") < before + size))
+        before = 0.0 if not k else before + size
+        if k == len(rounds):
+            part = docs.where(F.col("draw") >= 1.0 - size)
+        rows = learnt(part, LANES if k else START_LANES, WIDTH if k else 4 * WIDTH, 1 if k else EPOCHS)
+        rows = written(rows, "weights")
+        flat = _averaged(rows, rows.count())
+        if flat is not None:
+            model.load(flat)
+    return model
+
+
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dictionary: int = DICTIONARY, classes: int = CLASSES, rounds: tuple[float, ...] = ROUNDS) -> DataFrame:
     """One row for each document: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     base_score is the unigram model's log10-probability with half a count added, from all training tokens; score is the
     recurrent model's. Its chance of a word that it doesn't know is that of the rare class times the word's share of
-    the class by counts with half a count added, so it is a distribution over words as the base is. Counts of the
+    the class by counts with half a count added, so it is a distribution over words as the base is. It learns from all training
+    documents, whole (see trained). Counts of the
     `dictionary` most frequent words go to every task; those of other words, if there are any, are joined by word, from
     documents' words counted first. Null and empty texts are one end; null ids are training documents; repeated
     rows are scored each; an empty table gives an empty result; other columns are ignored. Texts are whole.
@@ -237,17 +363,10 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dict
     log_rare = np.where(np.arange(len(c)) < known, 0.0, np.log10((c + 0.5) / rare)) if len(c) else log_base
     complete, unseen_base, unseen_rare = v_all == len(top), float(np.log10(0.5 / unit)), float(np.log10(0.5 / rare))
     model = GatedModel(known, rank.get(END, 0))
-    n_docs = int(c[rank[END]]) if END in rank else 0  # of the training documents a share by hash, then the first of them
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED + 1), "_id", "_text"), 11) / F.lit(float(1 << 53))
-    sample = base.where(f"not held_out and length(coalesce(_text, '')) <= {SAMPLE_CHARS}").where(draw <= min(1.0, 2 * sample_docs / max(1, n_docs))).orderBy(F.xxhash64(F.lit(SEED), "_id", "_text"), "_id").limit(sample_docs).select("_text").collect()
-    fitted, size = [], 0
-    for r in sample:
-        if size >= SAMPLE_WORDS:
-            break
-        fitted.append(np.array([min(rank.get(w, known), known) for w in tokens((r[0] or "").encode())]))
-        size += len(fitted[-1])
+    n_docs = int(c[rank[END]]) if END in rank else 0
     if known:
-        model.fit(fitted)
+        vocabulary = {bytes(r[0]): i for i, r in enumerate(top[:known])}
+        model = trained(base.where("not held_out").select("_id", "_text"), model, vocabulary, n_all, n_docs, rounds)
     shared = spark.sparkContext.broadcast((rank, log_base, log_rare, model))  # at most `dictionary` words and a fixed model
     schema = T.StructType([T.StructField("_row", T.LongType()), T.StructField("_id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("rest", T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())])))])
     rest_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
@@ -278,7 +397,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dict
             held.append(batch)
             for text in batch.column(2).cast(pa.binary()).to_pylist():
                 words = tokens(text)
-                at = np.array([look(w, -1) for w in words])
+                at = np.fromiter(map(look, words, repeat(-1)), np.int64, len(words))
                 new = at < 0
                 have = at[~new]
                 n_new = int(new.sum())

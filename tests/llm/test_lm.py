@@ -63,19 +63,14 @@ def test_probabilities_sum_to_one():
 
 def test_gradients():
     m = small()
-    ids = np.array([[3, 7, 0, 10, 2], [1, 1, 9, 0, 4]])
+    ids = np.array([[3, 7, 0, 10, 2], [1, 1, 9, -1, -1]])
 
     def loss(grads=None):
-        h, states, saved = np.zeros((2, 5)), [], []
-        for s in range(5):
-            states.append(h)
-            h, keep = m.step(h, ids[:, s])
-            saved.append(keep)
-        logp, dh = m.log_probs(np.concatenate(states), ids.T.ravel(), grads)
+        states, saved, _ = m.forward(np.zeros((2, 5)), ids.T)
+        logp, dh = m.log_probs(states.reshape(-1, 5), ids.T.ravel(), grads)
         if grads is not None:
-            dh, back = dh.reshape(5, 2, 5), np.zeros((2, 5))
-            for s in range(4, -1, -1):
-                back = m._back(back, saved[s], ids[:, s], grads) + dh[s]
+            rows, gates = m.backward(saved, ids.T, dh.reshape(states.shape), grads)
+            grads["gates"][rows] += gates
         return -logp.sum()
 
     g = {k: np.zeros_like(v) for k, v in m.p.items()}
@@ -107,5 +102,34 @@ def test_state_is_carried_and_lanes_do_not_matter():
 def test_learns_a_pattern():
     docs = [np.array([1, 2, 3, 4] * 20 + [0]) for _ in range(60)]
     m = lm.GatedModel(6, 0, hidden=16, size=3, seed=0)
-    losses = m.fit(docs, epochs=6, lanes=4, steps=16, rate=0.02)
-    assert losses[-1] < 0.3 < losses[0]
+    losses = [loss / n for loss, n in (m.fit(docs, lanes=4, steps=16, width=64, rate=0.1) for _ in range(8))]
+    assert losses[-1] < 0.12 < losses[0]
+
+
+def test_every_word_of_a_stream_is_learnt_from():
+    rng = np.random.default_rng(4)
+    for sizes in ((1,), (3, 5), (5000,), (10, 2000, 1, 300), (64,) * 100):
+        docs = [np.append(rng.integers(1, 11, n - 1), 0) for n in sizes]
+        assert lm.GatedModel(10, 0).fit(iter(docs), lanes=8, steps=16, width=32)[1] == sum(sizes)
+
+
+def sentences(rng, n):
+    """Pairs of words that belong together, which single words' counts don't tell."""
+    return " ".join(f"a{k} b{k}" for k in rng.integers(0, 40, n // 2))
+
+
+def test_few_and_long_documents(spark):
+    """Long texts only, some far beyond what a grid holds: the model learns from them and beats the base on those held out."""
+    rng = np.random.default_rng(7)
+    docs = [(i, sentences(rng, 30_000 if i % 3 else 90_000)) for i in range(12)]
+    rows = lm.scored(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert got(rows) == brute(docs)
+    held = [r for r in rows if r.held_out]
+    assert held and sum(r.score for r in held) > 0.8 * sum(r.base_score for r in held)
+
+
+def test_averaged_weights(spark):
+    rows = [(i, i % 7 + 1, np.full(5, i, np.float32).tobytes()) for i in range(100)]
+    got = lm._averaged(spark.createDataFrame(rows, lm.MODELS).repartition(9), 100)
+    assert np.allclose(got, sum(i * n for i, n, _ in rows) / sum(n for _, n, _ in rows), rtol=1e-5)
+    assert lm._averaged(spark.createDataFrame([], lm.MODELS), 0) is None
