@@ -26,7 +26,7 @@ START_WORDS, START_DOCS, EPOCHS, START_LANES = 400_000, 64, 3, 16
 ROUNDS = (0.25, 0.75)
 LANES, STEPS, WIDTH, RATE, SEED = 256, 16, 256, 0.1, 9
 #: Weights of so many tasks are averaged by one.
-FAN_IN = 32
+FAN_IN = 8
 END = b""  # no word is empty
 
 LOG10 = np.log(10.0)
@@ -120,23 +120,28 @@ class GatedModel:
     def log_probs(self, h: np.ndarray, ids: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probabilities of ids (a rare id: of its class; below 0: 0), and the gradient of their negative sum by state."""
 
-        def softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """(x less the logarithm of its sum, probabilities)"""
-            x -= x.max(axis=1, keepdims=True)
-            e = np.exp(x)
-            total = e.sum(axis=1)
-            return x - np.log(total)[:, None], e / total[:, None] if grads is not None else e
+        def softmax(x: np.ndarray, member: np.ndarray) -> np.ndarray:
+            """Log-probabilities of the members; x becomes all probabilities less one at the member, the gradient."""
+            np.minimum(x, 60, out=x)  # states are within 1, so larger logits don't come from a model that learns anything
+            places = rows[: len(x)], member
+            own = x[places].astype(float)
+            np.exp(x, out=x)
+            total = x @ np.ones(x.shape[1], x.dtype)
+            if grads is not None:
+                x /= total[:, None]
+                x[places] -= 1
+            return own - np.log(total)
 
-        own = np.where(ids >= self.known, self.classes, ids // self.size)
-        order = np.argsort(own.astype(np.int16), kind="stable")
+        own = np.where(ids >= self.known, self.classes, ids // self.size).astype(np.int16)
+        order = np.argsort(own, kind="stable")
         order = order[np.searchsorted(own[order], 0) :]  # without places that hold no word
         own, sub, at = own[order], h[order], ids[order]
         cuts = np.searchsorted(own, np.arange(self.classes + 1))
         rows = np.arange(len(order))
-        logp, d = softmax(sub @ self.p["w1"] + self.p["b1"])
-        out, dsub = logp[rows, own].astype(float), None
+        d = sub @ self.p["w1"]
+        d += self.p["b1"]
+        out, dsub = softmax(d, own), None
         if grads is not None:
-            d[rows, own] -= 1
             grads["w1"] += sub.T @ d
             grads["b1"] += d.sum(axis=0)
             dsub = d @ self.p["w1"].T
@@ -144,11 +149,10 @@ class GatedModel:
             a, b = cuts[c], cuts[c + 1]
             if a == b:
                 continue
-            logp, d = softmax(sub[a:b] @ self.p["w2"][c] + self.p["b2"][c])
-            member = at[a:b] - c * self.size
-            out[a:b] += logp[rows[: b - a], member]
+            d = sub[a:b] @ self.p["w2"][c]
+            d += self.p["b2"][c]
+            out[a:b] += softmax(d, at[a:b] - c * self.size)
             if grads is not None:
-                d[rows[: b - a], member] -= 1
                 grads["w2"][c] += sub[a:b].T @ d
                 grads["b2"][c] += d.sum(axis=0)
                 dsub[a:b] += d @ self.p["w2"][c].T
@@ -224,7 +228,7 @@ class GatedModel:
             loss, n = loss + one, n + k
         return loss, n
 
-    def score(self, documents: list[np.ndarray], lanes: int = LANES, steps: int = 64) -> np.ndarray:
+    def score(self, documents: list[np.ndarray], lanes: int = 2 * LANES, steps: int = STEPS) -> np.ndarray:
         """Log10-probability of each whole document (a rare id: of its class).
 
         Documents run one behind the other in lanes of about equal length, no more lanes than the longest document leaves work for;
@@ -401,7 +405,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dict
                 new = at < 0
                 have = at[~new]
                 n_new = int(new.sum())
-                rest = [] if complete or not n_new else [{"word": w, "n": n} for w, n in Counter(w for w, x in zip(words, new.tolist(), strict=True) if x).items()]
+                rest = [] if complete or not n_new else [{"word": w, "n": n} for w, n in Counter(map(words.__getitem__, np.flatnonzero(new).tolist())).items()]
                 base, more = float(log_base[have].sum()), float(log_rare[have].sum())
                 if complete:
                     base, more = base + n_new * unseen_base, more + n_new * unseen_rare
