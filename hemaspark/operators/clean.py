@@ -188,6 +188,8 @@ def derived_ratios(df: DataFrame) -> DataFrame:
 
 
 def trim_percentiles(df: DataFrame, columns: list[str], low: float = 0.001, high: float = 0.999) -> DataFrame:
-    """Rows within both percentiles of every column; one aggregate gives the bounds. Null values stay."""
-    bounds = df.agg(*[F.percentile(c(n), F.array(F.lit(low), F.lit(high))).alias(f"_{i}") for i, n in enumerate(columns)]).first()
-    return df.where(all_of([F.coalesce(c(n).between(*bounds[i]), F.lit(True)) for i, n in enumerate(columns) if bounds[i]]))
+    """Rows within both percentiles of every column, whose exact bounds come from ranks. Null values stay."""
+    from .stats import quantiles
+
+    bounds = {r["column"]: r["q"] for r in quantiles(df, columns, [low, high]).collect()}  # a row for each column
+    return df.where(all_of([F.coalesce(num(df, n).between(*bounds[n]), F.lit(True)) for n in columns if n in bounds]))

@@ -70,10 +70,14 @@ def sample_for_profile(df: DataFrame, rows: int = 100_000) -> DataFrame:
 def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, count, mean, std, min, q25, median, q75, max) of numeric columns."""
     names = columns or [n for n, k in df.dtypes if is_numeric(k) and k != "boolean"]
-    stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "q25": lambda x: F.percentile(x, 0.25), "median": F.median, "q75": lambda x: F.percentile(x, 0.75), "max": F.max}
+    from .stats import quantiles
+
+    stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     wide = df.agg(*[f(num(df, n)).alias(f"{k}_{i}") for i, n in enumerate(names) for k, f in stats.items()])
     rows = F.array(*[F.struct(F.lit(n).alias("column"), *[F.col(f"{k}_{i}").alias(k) for k in stats]) for i, n in enumerate(names)])
-    return wide.select(F.explode(rows).alias("r")).select("r.*")
+    tall = wide.select(F.explode(rows).alias("r")).select("r.*")
+    ranks = quantiles(df, names, [0.25, 0.5, 0.75])
+    return tall.join(ranks, "column", "left").select("column", "count", "mean", "std", "min", *[F.col("q")[i].alias(n) for i, n in enumerate(("q25", "median", "q75"))], "max")
 
 
 def compare_columns(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -11,22 +11,47 @@ from ..storage import written
 from .clean import DATE, ID, TIME
 
 
-def _ranked(df: DataFrame, id_col: str, order: list[Column], measures: list[str], threshold: float) -> DataFrame:
-    """Adds _rn and _n (rank and size within the sample) and _ok (measures on which ranks 1 and 2 agree).
+#: A sample with more rows is ranked by many tasks.
+HOT = 100_000
+SALTS = 64
 
-    The spread of each measure over all rows comes from one aggregate, whose values become constants of the plan. A sample's
-    rows meet in one shuffle by its number.
-    """
-    spread = df.agg(*[F.stddev_samp(num(df, m)).alias(f"_{i}") for i, m in enumerate(measures)]).first() if measures else ()
-    by = Window.partitionBy(c(id_col))
-    ordered = by.orderBy(*order)
-    out = df.withColumns({"_rn": F.row_number().over(ordered), "_n": F.count(F.lit(1)).over(by)})
+
+def _agreement(df: DataFrame, by: WindowSpec, rank: str, measures: list[str], spread: Row | tuple, threshold: float) -> Column:
+    """On how many measures the rows of rank 1 and 2 agree."""
     agree = F.lit(0)
     for i, m in enumerate(measures):
-        pair = [F.max(F.when(F.col("_rn") == k, num(df, m))).over(by) for k in (1, 2)]
+        pair = [F.max(F.when(F.col(rank) == k, num(df, m))).over(by) for k in (1, 2)]
         far = F.abs(pair[0] - pair[1]) > F.lit(threshold) * F.lit(spread[i])
         agree = agree + F.when(F.coalesce(far, F.lit(False)), 0).otherwise(1)
-    return out.withColumn("_ok", agree)
+    return agree
+
+
+def _ranked(df: DataFrame, id_col: str, order: list[Column], measures: list[str], threshold: float, hot: int = HOT) -> DataFrame:
+    """Adds _rn (1: the sample's earliest row; else more), _n (size of the sample) and _ok (measures on which its two earliest rows agree).
+
+    The spread of each measure over all rows comes from one aggregate, whose values become constants of the plan. A sample's
+    rows meet in one shuffle by its number. Of samples with more than `hot` rows (the null number is one) the two earliest rows of each
+    of SALTS shares by hash are found first, and only those meet.
+    """
+    spread = df.agg(*[F.stddev_samp(num(df, m)).alias(f"_{i}") for i, m in enumerate(measures)]).first() if measures else ()
+    by = Window.partitionBy(c(id_col))
+
+    def plain(df: DataFrame) -> DataFrame:
+        out = df.withColumns({"_rn": F.row_number().over(by.orderBy(*order)), "_n": F.count(F.lit(1)).over(by)})
+        return out.withColumn("_ok", _agreement(out, by, "_rn", measures, spread, threshold))
+
+    large = written(df.groupBy(c(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot), "large")
+    if large.isEmpty():
+        return plain(df)
+    same = c(id_col).eqNullSafe(F.col("_id"))
+    rest = df.join(large, same, "left_anti")
+    shares = df.join(large.select("_id"), same, "left_semi").withColumn("_salt", F.pmod(F.xxhash64(*[c(n) for n in df.columns]), F.lit(SALTS)))
+    shares = shares.withColumn("_in", F.row_number().over(Window.partitionBy(c(id_col), "_salt").orderBy(*order)))
+    first = shares.where("_in <= 2").withColumn("_first", F.row_number().over(by.orderBy(*order)))
+    verdict = first.withColumn("_ok", _agreement(first, by, "_first", measures, spread, threshold)).where("_first = 1")
+    verdict = written(verdict.select(c(id_col).alias("_id"), F.col("_salt").alias("_at"), "_ok").join(large.withColumnRenamed("_id", "_i"), F.expr("_id <=> _i")).drop("_i"), "verdict")
+    spread_out = shares.join(verdict, same).withColumn("_rn", F.when((F.col("_salt") == F.col("_at")) & (F.col("_in") == 1), 1).otherwise(2))
+    return plain(rest).unionByName(spread_out.select(*[c(n) for n in df.columns], "_rn", "_n", "_ok"))
 
 
 def consolidate_repeats(df: DataFrame, threshold: float = 1.0, measures: list[str] = K.CORE_MEASURES, id_col: str = ID, order_by: tuple[str, ...] = (DATE, TIME), flag: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -8,26 +8,72 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import all_of, bucket, c, num, rescaled
+from ..storage import written
 
 
-def median_mad(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
-    """(by..., column, median, mad): exact medians, and medians of the distances to them, null values aside.
+def value_counts(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """(_k0, ..., column, x, k): how often each value stands in each column (and group); null values aside. Counted by task first."""
+    keys = [c(n).alias(f"_k{j}") for j, n in enumerate(by or [])]
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("column"), num(df, n).alias("x")) for n in columns])).alias("_r")
+    names = [f"_k{j}" for j in range(len(keys))]
+    return df.select(*keys, rows).select(*names, "_r.*").where("x is not null").groupBy(*names, "column", "x").agg(F.count(F.lit(1)).alias("k"))
+
+
+def _same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
+    return all_of([a[n].eqNullSafe(b[n]) for n in names])
+
 
-    Two aggregates: all medians at once, then all deviations from them. Medians come back to the rows by a join with one
-    row for each group.
+def running_counts(counts: DataFrame, sums: list[str]) -> tuple[DataFrame, list[str]]:
+    """counts (keys, x, sums) with, for each of the sums s: s_before (of smaller values) and s_all, and `next` (the next value); and the keys.
+
+    Values are dealt to ranges by keys and value, as many as there are shuffle partitions, so neither a column nor a share of it
+    that grows with the input is sorted by one task; a range begins with the sums of those before it.
     """
+    keys = [n for n in counts.columns if n not in ("x", *sums)]
+    ranges = written(counts.repartitionByRange(*keys, "x").withColumn("_p", F.spark_partition_id()), "ranges")
+    totals = ranges.groupBy(*keys, "_p").agg(*[F.sum(s).alias(s) for s in sums], F.min("x").alias("_low"))
+    line = Window.partitionBy(*keys).orderBy("_p")  # a row for each range
+    before, every = line.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    totals = totals.select(*keys, "_p", *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_b_{s}") for s in sums], *[F.sum(s).over(every).alias(f"{s}_all") for s in sums], F.lead("_low").over(line).alias("_next"))
+    within = Window.partitionBy(*keys, "_p").orderBy("x")
+    ahead = within.rowsBetween(Window.unboundedPreceding, -1)
+    inner = ranges.select(*keys, "_p", "x", *sums, *[F.coalesce(F.sum(s).over(ahead), F.lit(0)).alias(f"_a_{s}") for s in sums], F.lead("x").over(within).alias("_x2"))
+    both = inner.join(totals, _same(inner, totals, [*keys, "_p"]))
+    return both.select(*[inner[n] for n in keys], "x", *sums, *[(F.col(f"_a_{s}") + F.col(f"_b_{s}")).alias(f"{s}_before") for s in sums], *[f"{s}_all" for s in sums], F.coalesce("_x2", "_next").alias("next")), keys
+
+
+def quantiles_of(counts: DataFrame, fractions: list[float]) -> DataFrame:
+    """(keys, q): exact quantiles in the order of the fractions, interpolated between the two ranks beside them, from value counts."""
+    run, keys = running_counts(counts, ["k"])
+    at = [F.lit(float(f)) * (F.col("k_all") - 1) for f in fractions]
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(h).alias("h"), (F.ceil(p) if h else F.floor(p)).alias("r")) for i, p in enumerate(at) for h in (0, 1)])
+    hit = run.select(*keys, "x", "k_all", F.explode(F.filter(ranks, lambda r: (r["r"] >= F.col("k_before")) & (r["r"] < F.col("k_before") + F.col("k")))).alias("t"))
+    wide = hit.groupBy(*keys).agg(F.max("k_all").alias("n"), *[F.max(F.when((F.col("t.i") == i) & (F.col("t.h") == h), F.col("x"))).alias(f"_{i}_{h}") for i in range(len(fractions)) for h in (0, 1)])
+    place = lambda f: F.lit(float(f)) * (F.col("n") - 1)
+    value = lambda i, f: F.when(F.col(f"_{i}_0") == F.col(f"_{i}_1"), F.col(f"_{i}_0")).otherwise((F.ceil(place(f)) - place(f)) * F.col(f"_{i}_0") + (place(f) - F.floor(place(f))) * F.col(f"_{i}_1"))
+    return wide.select(*keys, F.array(*[value(i, f) for i, f in enumerate(fractions)]).alias("q"))
+
+
+def quantiles(df: DataFrame, columns: list[str], fractions: list[float], by: list[str] | None = None) -> DataFrame:
+    """(_k0, ..., column, q) of the columns that have values."""
+    return quantiles_of(value_counts(df, columns, by), fractions)
+
+
+def _medians_of(counts: DataFrame) -> DataFrame:
+    """(keys, median, mad) from value counts."""
+    keys = [n for n in counts.columns if n not in ("x", "k")]
+    med = written(quantiles_of(counts, [0.5]).select(*keys, F.col("q")[0].alias("median")), "medians")
+    far = counts.join(med, _same(counts, med, keys)).select(*[counts[n] for n in keys], F.abs(F.col("x") - F.col("median")).alias("x"), "k").groupBy(*keys, "x").agg(F.sum("k").alias("k"))
+    mad = quantiles_of(far, [0.5]).select(*keys, F.col("q")[0].alias("mad"))
+    return med.join(mad, _same(med, mad, keys)).select(*[med[n] for n in keys], "median", "mad")
+
+
+def median_mad(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """(by..., column, median, mad): exact medians, and medians of the distances to them, null values aside; a column (of a group)
+    without values has no row. Values are counted by value once; ranks are found by ranges (see running_counts)."""
     by = by or []
-    keys = [c(k) for k in by]
-    med = df.groupBy(*keys).agg(*[F.median(c(n)).alias(f"_m{i}") for i, n in enumerate(columns)])
-    if by:
-        cond = all_of([c(k).eqNullSafe(F.col(f"_k{j}")) for j, k in enumerate(by)])
-        wide = df.join(med.toDF(*[f"_k{j}" for j in range(len(by))], *[f"_m{i}" for i in range(len(columns))]), cond)
-    else:
-        row = med.first()
-        wide = df.withColumns({f"_m{i}": F.lit(row[f"_m{i}"]).cast("double") for i in range(len(columns))})
-    both = wide.groupBy(*keys).agg(*[F.first(f"_m{i}").alias(f"_m{i}") for i in range(len(columns))], *[F.median(F.abs(c(n) - F.col(f"_m{i}"))).alias(f"_d{i}") for i, n in enumerate(columns)])
-    rows = F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"_m{i}").alias("median"), F.col(f"_d{i}").alias("mad")) for i, n in enumerate(columns)])
-    return both.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")
+    rows = _medians_of(written(value_counts(df, columns, by), "counts"))
+    return rows.select(*[F.col(f"_k{j}").alias(n) for j, n in enumerate(by)], "column", "median", "mad")
 
 
 def mad_parameters(df: DataFrame, columns: list[str]) -> dict[str, dict[str, float]]:
@@ -55,32 +101,20 @@ def align_columns(df: DataFrame, source: dict[str, dict[str, float]], target: di
     return df.select(*[new[n].alias(n) if n in new else c(n) for n in df.columns])
 
 
-def ecdf_distances(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, wasserstein, ks, n_a, n_b) of two samples: areas and greatest gaps between their distribution functions.
+def _distances_of(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(column, wasserstein, ks, n_a, n_b) from the value counts of two samples."""
+    side = lambda df, i: df.select("column", "x", *[(F.col("k") if s == i else F.lit(0).cast("long")).alias(f"k{s}") for s in (0, 1)])
+    counts = side(a, 0).unionByName(side(b, 1)).groupBy("column", "x").agg(F.sum("k0").alias("k0"), F.sum("k1").alias("k1"))
+    run, _ = running_counts(counts, ["k0", "k1"])
+    share = lambda s: (F.col(f"{s}_before") + F.col(s)) / F.col(f"{s}_all")
+    both = run.where("k0_all > 0 and k1_all > 0").withColumns({"gap": F.abs(share("k0") - share("k1")), "wide": F.coalesce(F.col("next") - F.col("x"), F.lit(0.0))})
+    return both.groupBy("column").agg(F.sum(F.col("gap") * F.col("wide")).alias("wasserstein"), F.max("gap").alias("ks"), F.max("k0_all").alias("n_a"), F.max("k1_all").alias("n_b"))
 
-    Values of both sides are counted by value first. The running counts then need an order: values are dealt to ranges by
-    quantiles (a window for each range), and a range begins with the counts of all before it, so a column isn't sorted by
-    one task.
-    """
-    def tall(df: DataFrame, side: int) -> DataFrame:
-        rows = F.explode(F.array(*[F.struct(F.lit(n).alias("column"), num(df, n).alias("x")) for n in columns])).alias("r")
-        return df.select(rows).select("r.*").where("x is not null").groupBy("column", "x").agg(F.count(F.lit(1)).alias("k")).select("column", "x", *[(F.col("k") if s == side else F.lit(0).cast("long")).alias(f"k{s}") for s in (0, 1)])
-
-    counts = tall(a, 0).unionByName(tall(b, 1)).groupBy("column", "x").agg(F.sum("k0").alias("k0"), F.sum("k1").alias("k1"))
-    edges = counts.groupBy("column").agg(F.percentile_approx("x", [i / 64 for i in range(1, 64)], 1000).alias("edges"))
-    dealt = counts.join(edges, "column").select("column", "x", "k0", "k1", F.aggregate("edges", F.lit(0), lambda n, e: n + F.when(e < F.col("x"), 1).otherwise(0)).alias("part"))
-    sums = dealt.groupBy("column", "part").agg(F.sum("k0").alias("s0"), F.sum("k1").alias("s1"), F.min("x").alias("low"))
-    parts = Window.partitionBy("column").orderBy("part")
-    before = parts.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy("column")
-    start = sums.select("column", "part", F.coalesce(F.sum("s0").over(before), F.lit(0)).alias("b0"), F.coalesce(F.sum("s1").over(before), F.lit(0)).alias("b1"), F.sum("s0").over(every).alias("n0"), F.sum("s1").over(every).alias("n1"), F.lead("low").over(parts).alias("next"))
-    within = Window.partitionBy("column", "part").orderBy("x")
-    run = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = dealt.select("column", "part", "x", F.sum("k0").over(run).alias("c0"), F.sum("k1").over(run).alias("c1"), F.lead("x").over(within).alias("x2")).join(start, ["column", "part"])
-    gap = F.abs((F.col("b0") + F.col("c0")) / F.col("n0") - (F.col("b1") + F.col("c1")) / F.col("n1"))
-    wide = F.coalesce(F.coalesce("x2", "next") - F.col("x"), F.lit(0.0))
-    sides = placed.where("n0 > 0 and n1 > 0")
-    return sides.groupBy("column").agg(F.sum(gap * wide).alias("wasserstein"), F.max(gap).alias("ks"), F.max("n0").alias("n_a"), F.max("n1").alias("n_b"))
+
+def ecdf_distances(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, wasserstein, ks, n_a, n_b) of two samples: areas and greatest gaps between their distribution functions. Values of
+    both sides are counted by value first; see running_counts for the order that the running counts need."""
+    return _distances_of(value_counts(a, columns), value_counts(b, columns))
 
 
 def improvement(before: Column, after: Column) -> Column:
@@ -91,9 +125,10 @@ def improvement(before: Column, after: Column) -> Column:
 def alignment_quality(source: DataFrame, target: DataFrame, moved: DataFrame, columns: list[str], least: int = 10) -> DataFrame:
     """By column: distances to the target before and after, of medians, MADs, Wasserstein and KS, and their improvement in per cent.
     Columns with fewer than `least` values on a side are left out."""
-    stats = [median_mad(df, columns).toDF("column", f"med_{s}", f"mad_{s}") for s, df in (("s", source), ("t", target), ("m", moved))]
-    old = ecdf_distances(source, target, columns).where(f"n_a >= {least} and n_b >= {least}").select("column", F.col("wasserstein").alias("wasserstein_before"), F.col("ks").alias("ks_before"))
-    new = ecdf_distances(moved, target, columns).select("column", F.col("wasserstein").alias("wasserstein_after"), F.col("ks").alias("ks_after"))
+    counts = {k: written(value_counts(df, columns), "counts") for k, df in (("s", source), ("t", target), ("m", moved))}  # rows are read once
+    stats = [_medians_of(x).toDF("column", f"med_{k}", f"mad_{k}") for k, x in counts.items()]
+    old = _distances_of(counts["s"], counts["t"]).where(f"n_a >= {least} and n_b >= {least}").select("column", F.col("wasserstein").alias("wasserstein_before"), F.col("ks").alias("ks_before"))
+    new = _distances_of(counts["m"], counts["t"]).select("column", F.col("wasserstein").alias("wasserstein_after"), F.col("ks").alias("ks_after"))
     rows = reduce(lambda x, y: x.join(y, "column"), [old, new, *stats])
     for k in ("med", "mad"):
         rows = rows.withColumns({f"{k}_before": F.abs(F.col(f"{k}_s") - F.col(f"{k}_t")), f"{k}_after": F.abs(F.col(f"{k}_m") - F.col(f"{k}_t"))})
@@ -104,9 +139,7 @@ def alignment_quality(source: DataFrame, target: DataFrame, moved: DataFrame, co
 def quantile_grid(df: DataFrame, columns: list[str], n: int = 100) -> DataFrame:
     """(column, q, value): n evenly spaced quantiles from 0 to 1, interpolated."""
     qs = [i / (n - 1) for i in range(n)] if n > 1 else [0.5]
-    wide = df.agg(*[F.percentile(num(df, x), F.array(*[F.lit(q) for q in qs])).alias(f"_{i}") for i, x in enumerate(columns)])
-    rows = F.array(*[F.struct(F.lit(x).alias("column"), F.col(f"_{i}").alias("v")) for i, x in enumerate(columns)])
-    return wide.select(F.explode(rows).alias("r")).select("r.column", F.posexplode("r.v").alias("_i", "value")).select("column", (F.col("_i") / max(1, n - 1)).alias("q"), "value")
+    return quantiles(df, columns, qs).select("column", F.posexplode("q").alias("_i", "value")).select("column", (F.col("_i") / max(1, n - 1)).alias("q"), "value")
 
 
 def standardise(df: DataFrame, columns: list[str], undo: dict[str, tuple[float, float]] | None = None) -> tuple[DataFrame, dict[str, tuple[float, float]]]:

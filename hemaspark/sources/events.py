@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,14 +74,26 @@ def preprocess(df: DataFrame, channel: str, extra: list[str] | None = None) -> D
     return out.dropna(subset=[n for n in names if not (channel == "PLTF" and n == "FSCW")])
 
 
+def overflow_chains(files: DataFrame, name: str = "name") -> DataFrame:
+    """The rows of a list of files without overflow files that stand behind a gap: (1) may be missing, from (2) on numbers follow each
+    other, up to (99). A file's overflow files are few, so a window for each file holds little."""
+    number = F.regexp_extract(c(name), r"\.116\((\d+)\)\.csv$", 1)
+    rows = files.withColumns({"_key": file_key(c(name)), "_no": F.when(number != "", number.try_cast("int")).otherwise(0)})
+    order = Window.partitionBy("_key", F.col("_no") > 1).orderBy("_no")
+    return rows.withColumn("_seen", F.dense_rank().over(order)).where("_no <= 1 or _no = _seen + 1 and _no <= 99").drop("_key", "_no", "_seen")
+
+
 def read_events(spark: SparkSession, path: str | list[str], channel: str, samples: DataFrame | None = None) -> DataFrame:
-    """All files of a channel as one table: file key and facts of the name beside the events. Overflow files belong to their file.
-    Rows of other channels' files are left out; `samples` (a list of numbers) limits the rows, too."""
+    """All files of a channel as one table: file key and facts of the name beside the events. Overflow files belong to their file,
+    up to the first gap in their numbers (see overflow_chains). Rows of other channels' files are left out; `samples` (a list of
+    numbers) limits the rows, too."""
     first = path if isinstance(path, str) else path[0]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in header(spark, first)])
     raw = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(path)
     name = F.element_at(F.split(F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))), "/"), -1)
     raw = raw.withColumn("_file", name)
+    chained = overflow_chains(raw.where(is_overflow(F.col("_file"))).select("_file").distinct(), "_file").withColumnRenamed("_file", "_kept")
+    raw = raw.where(~is_overflow(F.col("_file"))).unionByName(raw.join(chained, F.col("_file") == F.col("_kept"), "left_semi"))
     facts = file_facts(F.col("_file"))
     raw = raw.withColumns(facts | {"file_key": file_key(F.col("_file"))}).where(F.col("channel").eqNullSafe(F.lit(channel)) | F.col("channel").isNull())
     if samples is not None:
@@ -112,3 +126,50 @@ def without_extremes(df: DataFrame, columns: list[str]) -> DataFrame:
     for n in columns:
         cond = cond & (c(n) != 0) & (c(n) != F.lit(top))
     return df.where(cond)
+
+
+def preprocess_all(spark: SparkSession, paths: dict[str, str | list[str]], folder: str) -> dict[str, str]:
+    """Reads and preprocesses the files of each channel in `paths` and writes a table for each: {channel: its path}. A channel's files
+    are read and written by all tasks at once, by sample."""
+    out = {}
+    for channel, path in paths.items():
+        out[channel] = f"{folder.rstrip('/')}/{channel}"
+        write_events(read_events(spark, path, channel), out[channel], channel)
+    return out
+
+
+FCS = T.StructType([T.StructField("file_key", T.StringType()), T.StructField("n_events", T.LongType()), T.StructField("content", T.BinaryType())])
+
+
+def fcs_bytes(values: np.ndarray, names: list[str], facts: dict[str, str]) -> bytes:
+    """A flow cytometry standard file (FCS 3.1): header, text of keywords, little-endian 32-bit floats, event by event."""
+    data = np.ascontiguousarray(values, "<f4").tobytes()
+    escape = lambda x: str(x).replace("/", "//") or " "
+    own = {"$BEGINANALYSIS": 0, "$ENDANALYSIS": 0, "$BEGINSTEXT": 0, "$ENDSTEXT": 0, "$BYTEORD": "1,2,3,4", "$DATATYPE": "F", "$MODE": "L", "$NEXTDATA": 0, "$PAR": len(names), "$TOT": len(values)}
+    for i, n in enumerate(names):
+        column = values[:, i] if len(values) else np.zeros(1)
+        own |= {f"$P{i + 1}B": 32, f"$P{i + 1}E": "0,0", f"$P{i + 1}N": n, f"$P{i + 1}R": int(np.ceil(column.max())) + 1}
+    # Offsets are of fixed width, so the text's length doesn't depend on them.
+    text = lambda a, b: "/" + "".join(f"{k}/{escape(v)}/" for k, v in ({"$BEGINDATA": f"{a:012d}", "$ENDDATA": f"{b:012d}"} | own | facts).items())
+    begin = 58 + len(text(0, 0).encode())
+    end = begin + max(len(data), 1) - 1
+    raw = text(begin, end).encode()
+    short = lambda x: f"{x if x < 10**8 else 0:>8d}"
+    return f"FCS3.1    {short(58)}{short(begin - 1)}{short(begin)}{short(end)}{short(0)}{short(0)}".encode() + raw + data
+
+
+def fcs_files(events: DataFrame, channel: str) -> DataFrame:
+    """(file_key, n_events, content): a binary file for each file of events (see read_events), without rows that hold a 0 or the file's
+    greatest value. A file's events are one sample's, which one task holds."""
+    names = channel_columns(channel)
+    facts = {"Analyser": "analyser_id", "Date": "measured_at", "SampleNumber": "sample_number"}
+    complete = events.dropna(subset=names)
+
+    def make(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf[names].to_numpy(float)
+        x = x[(x != 0).all(axis=1)]
+        x = x[(x != x.max(initial=-np.inf)).all(axis=1)] if len(x) else x
+        own = {k: str(pdf[n].iloc[0]) for k, n in facts.items() if n in pdf} | {"Channel": channel, "Filename": str(pdf["file_key"].iloc[0])}
+        return pd.DataFrame([(pdf["file_key"].iloc[0], len(x), fcs_bytes(x, names, own))], columns=FCS.names)
+
+    return complete.groupBy("file_key").applyInPandas(make, FCS)

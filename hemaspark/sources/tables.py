@@ -6,6 +6,7 @@ import csv
 import logging
 import time
 from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,6 +81,34 @@ def read_sample_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("sample_number")).where("sample_number <> ''")
 
 
+def read_arrays(spark: SparkSession, path: str, glob: str = "*.npy") -> DataFrame:
+    """(file, row, values) of all saved two-dimensional arrays under a path, files by tasks; one-dimensional ones are a column.
+    Arrays of objects are an error, as reading them could run code."""
+    import io
+
+    import numpy as np
+    import pandas as pd
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for name, raw in zip(pdf["name"], pdf["content"], strict=True):
+                x = np.atleast_1d(np.load(io.BytesIO(raw), allow_pickle=False).astype(float))
+                x = x.reshape(len(x), -1)
+                for a in range(0, len(x), 10_000):
+                    yield pd.DataFrame({"file": name, "row": range(a, min(a + 10_000, len(x))), "values": list(x[a : a + 10_000])})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").mapInPandas(rows, "file string, row long, values array<double>")
+
+
+def read_matching(spark: SparkSession, root: str, glob: str = "*.csv", sep: str = ",", encoding: str = ENCODING) -> DataFrame:
+    """All tables under a folder whose names match, one after the other, by column name."""
+    paths = [r["path"] for r in listing(spark, root, glob).select("path").orderBy("path").collect()]  # names of files only
+    if not paths:
+        raise ValueError(f"nothing under {root} matches {glob}")
+    return read_tables(spark, paths, sep, encoding)
+
+
 def read_saved(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

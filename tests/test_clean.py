@@ -125,3 +125,19 @@ def test_whole_cleaning(spark, tmp_path, samples):
     df.select(*[c(n).cast("string").alias(n) for n in df.columns]).toPandas().to_csv(paths[0], index=False)
     main = cleaner.clean_files(spark, paths, "set")
     assert main.count() == 5 and set(cleaner.last.files) == {"main", "odd", "one_different", "correlations"}
+
+
+def test_large_samples_are_ranked_in_shares(spark, monkeypatch):
+    """A sample with very many rows, the null one too, comes to the same verdict as in one window."""
+    from hemaspark.operators import repeats
+
+    df = spark.range(900).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 'hot', cast(id as string))) as s", "cast(hash(id) % 1000 as string) as d", "cast(id % 7 as double) as a", "cast(id % 2 as double) as b")
+    df = df.union(df.where("s = 'hot'").limit(20))
+    for flag in (False, True):
+        one = repeats.consolidate_repeats(df, 1.0, ["a", "b"], "s", ("d",), flag)
+        want = [sorted(map(str, x.collect())) for x in one]
+        monkeypatch.setattr(repeats, "HOT", 50)
+        monkeypatch.setattr(repeats._ranked, "__defaults__", (50,))
+        many = repeats.consolidate_repeats(df, 1.0, ["a", "b"], "s", ("d",), flag)
+        assert [sorted(map(str, x.collect())) for x in many] == want
+        monkeypatch.undo()

@@ -99,3 +99,50 @@ def test_more_names_and_saved_tables(spark, tmp_path):
     path = tables.write_table(df, str(tmp_path), "x", stamp=False)
     assert tables.read_saved(spark, path).count() == 1
     assert tables.write_table(df, str(tmp_path), "y", "csv").startswith(f"{tmp_path}/y_")
+
+
+def test_overflow_chains_end_at_a_gap(spark):
+    names = ["a.116.csv", "a.116(1).csv", "a.116(2).csv", "a.116(4).csv", "b.116.csv", "b.116(2).csv", "b.116(3).csv", "c.116.csv", "c.116(3).csv", "d_transformed.csv"]
+    left = events.overflow_chains(spark.createDataFrame([(n,) for n in names], "name string"))
+    assert sorted(r[0] for r in left.collect()) == sorted(set(names) - {"a.116(4).csv", "c.116(3).csv"})
+    many = [("e.116.csv",), *[(f"e.116({i}).csv",) for i in range(1, 105)]]
+    assert events.overflow_chains(spark.createDataFrame(many, "name string")).count() == 100
+
+
+def parsed(raw):
+    """Names and events of a binary file."""
+    import struct
+
+    assert raw[:6] == b"FCS3.1"
+    a, b, c, d = (int(raw[10 + 8 * i : 18 + 8 * i]) for i in range(4))
+    pairs = raw[a : b + 1].decode().replace("//", "\0").strip("/").split("/")
+    text = {k: v.replace("\0", "/") for k, v in zip(pairs[::2], pairs[1::2], strict=True)}
+    n, k = int(text["$TOT"]), int(text["$PAR"])
+    assert (int(text["$BEGINDATA"]), int(text["$ENDDATA"])) == (c, d)
+    flat = struct.unpack(f"<{n * k}f", raw[c : c + 4 * n * k])
+    return text, [flat[i * k : i * k + k] for i in range(n)]
+
+
+def test_binary_export(spark):
+    rows = [("f/1", "S1", "A", 1.0, 2.0, 3.0), ("f/1", "S1", "A", 0.0, 2.0, 3.0), ("f/1", "S1", "A", 4.0, 9.0, 1.0), ("f/1", "S1", "A", 2.0, 2.5, 3.5), ("g", "S2", "A", 0.0, 1.0, 1.0)]
+    names = events.channel_columns("RET")
+    df = spark.createDataFrame([(r[0], r[1], r[2], *r[3 : 3 + len(names)]) for r in rows], ", ".join(["file_key string", "sample_number string", "analyser_id string", *[f"{n} double" for n in names]]))
+    got = {r.file_key: parsed(bytes(r.content)) for r in events.fcs_files(df, "RET").collect()}
+    text, values = got["f/1"]
+    top = max(max(r[3 : 3 + len(names)]) for r in rows[:4])
+    want = [r[3 : 3 + len(names)] for r in rows[:4] if 0 not in r[3 : 3 + len(names)] and top not in r[3 : 3 + len(names)]]
+    assert sorted(values) == sorted(want) and text["Filename"] == "f/1" and text["SampleNumber"] == "S1" and [text[f"$P{i + 1}N"] for i in range(len(names))] == names
+    assert got["g"][1] == []
+
+
+def test_saved_arrays_and_matching_tables(spark, tmp_path):
+    import numpy as np
+
+    (tmp_path / "x" / "y").mkdir(parents=True)
+    np.save(tmp_path / "x" / "a.npy", np.arange(6.0).reshape(3, 2))
+    np.save(tmp_path / "x" / "y" / "b.npy", np.arange(2))
+    rows = sorted((r.file, r.row, list(r["values"])) for r in tables.read_arrays(spark, str(tmp_path)).collect())
+    assert rows == [("a.npy", 0, [0, 1]), ("a.npy", 1, [2, 3]), ("a.npy", 2, [4, 5]), ("b.npy", 0, [0]), ("b.npy", 1, [1])]
+    (tmp_path / "x" / "one.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "x" / "y" / "two.csv").write_text("b,c\n3,4\n")
+    assert sorted(tables.read_matching(spark, str(tmp_path)).select("a", "b", "c").collect(), key=lambda r: r.b) == [("1", "2", None), (None, "3", "4")]

@@ -117,3 +117,19 @@ def test_binning_and_round_trips(spark):
         stats.group_offsets(df.withColumn("g", F.lit("a")), "g", "x", "b")
     thirds = stats.split_thirds(spark.range(10), ["id"])
     assert sorted(r.part for r in thirds.collect()) == [0] * 4 + [1] * 3 + [2] * 3
+
+
+def test_quantiles_by_ranks(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, None if i % 11 == 0 else float(v), float(v) if g else None) for g in (0, 1, None) for i, v in enumerate(np.round(rng.normal(size=500), 2))]
+    df = spark.createDataFrame(rows, "g int, x double, y double")
+    qs = [0.0, 0.001, 0.25, 0.5, 0.77, 1.0]
+    got = {(r["_k0"], r["column"]): r["q"] for r in stats.quantiles(df, ["x", "y"], qs, ["g"]).collect()}
+    for g in (0, 1, None):
+        for k, n in ((1, "x"), (2, "y")):
+            v = [r[k] for r in rows if r[0] == g and r[k] is not None]
+            assert np.allclose(got[g, n], np.quantile(v, qs)) if v else (g, n) not in got
+    for r in stats.median_mad(df, ["x"], ["g"]).collect():
+        v = np.array([x[1] for x in rows if x[0] == r.g and x[1] is not None])
+        assert math.isclose(r["median"], np.median(v)) and math.isclose(r["mad"], np.median(np.abs(v - np.median(v))))
+    assert stats.quantiles(df.where("false"), ["x"], [0.5]).count() == 0
