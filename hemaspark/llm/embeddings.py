@@ -16,19 +16,26 @@ from .common import bound_arrow, components, written
 COSINE = 0.9
 #: Vectors that centroids and codebooks are fitted on (16 for each list where that is more); every vector is indexed.
 SAMPLE = 16384
-SUBSPACES, CODES, MOST_LISTS = 8, 64, 4096
-#: A vector probes as many lists as find this share of vectors that stand just at the threshold; a pair is found from
-#: either side, so more of such pairs are found, and more still of closer ones.
+SUBSPACES, CODES, MOST_LISTS = 8, 64, 16384
+#: A vector probes as many lists as find this share of partners that stand just at the threshold (see sufficient); a pair is
+#: found from either side, so more of such pairs are found, and more still of closer ones.
 REACH = 0.98
+#: Vectors of the sample whose partners are looked at, and real partners that are enough to count.
+ASKED, ENOUGH = 2048, 50
 #: Deviations of the distance to a code, beyond which a pair is ruled out without an exact comparison.
 DEVIATIONS = 5.0
-#: Members of an inverted list that one task compares with the list's probes.
-BLOCK = 4096
+#: Members of an inverted list that one task compares, and for each of them so many probes of the list.
+BLOCK, PROBES_EACH = 4096, 4
 SEED = 7
 
 
+#: Beyond so many lists centroids are fitted in two levels.
+TWO_LEVELS = 1024
+
+
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.argmin((c * c).sum(1) - 2 * x[a : a + 4096] @ c.T, axis=1) for a in range(0, len(x), 4096)])
+    step = max(16, (1 << 24) // max(1, len(c)))
+    return np.concatenate([np.argmin((c * c).sum(1) - 2 * x[a : a + step] @ c.T, axis=1) for a in range(0, len(x), step)])
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -44,7 +51,13 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -
 def train(sample: np.ndarray, lists: int, subspaces: int = SUBSPACES, codes: int = CODES, seed: int = SEED) -> tuple[np.ndarray, list[np.ndarray]]:
     """(coarse centroids, a codebook of residuals for each subspace) of unit vectors."""
     rng = np.random.default_rng(seed)
-    coarse = _kmeans(sample, lists, rng)
+    if lists <= TWO_LEVELS:
+        coarse = _kmeans(sample, lists, rng)
+    else:  # by groups: centroids of a group come from its own vectors, in number as many as they are
+        top = _kmeans(sample, int(lists**0.5), rng)
+        group = _nearest(sample, top)
+        share = np.bincount(group, minlength=len(top)) * lists / len(sample)
+        coarse = np.concatenate([_kmeans(sample[group == g], max(1, round(share[g])), rng, 8) for g in range(len(top)) if (group == g).any()])
     own = _nearest(sample, coarse)
     rest = sample - coarse[own]
     return coarse, [_kmeans(np.ascontiguousarray(part), codes, rng, 8) for part in np.array_split(rest, min(subspaces, sample.shape[1]), axis=1)]
@@ -64,17 +77,36 @@ def _index(unit: np.ndarray, coarse: np.ndarray, books: list[np.ndarray]) -> tup
 
 
 def sufficient(sample: np.ndarray, coarse: np.ndarray, cosine: float, reach: float = REACH, seed: int = SEED) -> int:
-    """How many lists to probe: for unit vectors of the sample and partners made at exactly `cosine`, the rank of the
-    partner's list among the vector's that covers the share `reach`."""
+    """How many lists to probe: the rank of a partner's list among the vector's own order of lists that covers the share `reach`, for unit
+    vectors of the sample and whichever partners need most lists.
+
+    Partners are made at exactly `cosine` in directions of two kinds: any, and those in which vectors of the sample differ from
+    their centroids, as lists are cut where the data vary; and they are real ones of the sample, those nearest to the
+    threshold, where it holds enough.
+    """
     rng = np.random.default_rng(seed)
-    x = sample[:4096]
-    g = rng.normal(size=x.shape)
-    g -= (g * x).sum(1, keepdims=True) * x
-    y = cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * g / np.maximum(np.linalg.norm(g, axis=1, keepdims=True), 1e-12)
-    far = lambda v: (coarse * coarse).sum(1) - 2 * v @ coarse.T
-    d = far(x)
-    rank = (d < d[np.arange(len(x)), far(y).argmin(1)][:, None]).sum(1)
-    return min(len(coarse), int(np.quantile(rank, reach, method="higher")) + 1)
+    x = sample[:ASKED]
+    distance = lambda v: (coarse * coarse).sum(1) - 2 * v @ coarse.T
+    d, home = distance(x), _nearest(sample, coarse)
+
+    def lists(rank: np.ndarray) -> int:
+        return int(np.quantile(rank, reach, method="higher")) + 1
+
+    def made(g: np.ndarray) -> int:
+        g = g - (g * x).sum(1, keepdims=True) * x
+        y = cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * g / np.maximum(np.linalg.norm(g, axis=1, keepdims=True), 1e-12)
+        return lists((d < d[np.arange(len(x)), distance(y).argmin(1)][:, None]).sum(1))
+
+    rest = sample - coarse[home]
+    rest = rest[np.linalg.norm(rest, axis=1) > 1e-9]
+    most = max(made(rng.normal(size=x.shape)), made(rest[rng.integers(len(rest), size=len(x))]) if len(rest) else 1)
+    close, near = x @ sample.T, []
+    for i, j in zip(*np.nonzero((close >= cosine) & (close < 1 - 1e-9)), strict=True):
+        near.append((close[i, j], (d[i] < d[i, home[j]]).sum()))
+    if len(near) >= ENOUGH:
+        near.sort()
+        most = max(most, lists(np.array([r for _, r in near[: max(ENOUGH, len(near) // 4)]])))
+    return min(len(coarse), most)
 
 
 def _vector(v: np.ndarray) -> bytes:
@@ -123,7 +155,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     links, but are compared once. Lists and codes rule pairs out (see sufficient and _compare), at a measured recall above 0.99. Null and zero vectors
     and those with null or non-finite components link with nothing; vectors of different lengths don't link. Null ids and
     repeated rows are rows of their own; a component without an id has null. The index is fitted on at most
-    max(`sample`, 16 * lists) vectors by hash, and holds all. A list's members are dealt to tasks by `block`; a task answers with the
+    max(`sample`, 16 * lists) vectors by hash, and holds all. A list's members are dealt to tasks by `block`, its probes by
+    PROBES_EACH times as many; a task answers with the
     number of links of each probe and a forest of edges, never with all pairs. An empty table gives an empty result.
     """
     spark = df.sparkSession
@@ -159,31 +192,38 @@ def _links(classes: DataFrame, n: int, cosine: float, sample: int, lists: int, b
     most = max(sample, 16 * lists)
     few = classes.where(F.shiftrightunsigned(F.xxhash64(F.lit(SEED + 1), "node"), 11) <= int(min(1.0, 2 * most / n) * (1 << 53)))
     seen = np.array([r[0] for r in few.orderBy(F.xxhash64(F.lit(SEED), "node"), "node").limit(most).select("_v").collect()], float)
-    coarse, books = train(seen / np.linalg.norm(seen, axis=1, keepdims=True), lists)
-    reach = sufficient(seen / np.linalg.norm(seen, axis=1, keepdims=True), coarse, cosine)
+    seen /= np.linalg.norm(seen, axis=1, keepdims=True)
+    coarse, books = train(seen, lists)
+    reach = sufficient(seen, coarse, cosine)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             v = np.array(batch.column(2).flatten(), float).reshape(batch.num_rows, -1)
-            own, _, _, far = _index(v / np.linalg.norm(v, axis=1, keepdims=True), coarse, books)
-            j = np.argsort(far, axis=1, kind="stable")[:, :reach].astype("<i2")
+            unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+            j = np.empty((len(v), reach), "<i2")
+            for a in range(0, len(v), 256):  # nearest lists first, ties by number
+                far = (coarse * coarse).sum(1) - 2 * unit[a : a + 256] @ coarse.T
+                j[a : a + 256] = np.argsort(far, axis=1, kind="stable")[:, :reach]
+            own = j[:, 0]
             at = pa.array(np.repeat(np.arange(len(v)), reach))
             columns = [batch.column(0), batch.column(1), pa.array(own.astype(np.int32)), pa.array([x.tobytes() for x in j], pa.binary()), pa.array([_vector(x) for x in v], pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(j.ravel().astype(np.int32)), *[c.take(at) for c in columns]], names=PROBES.names)
 
     probes = classes.select("node", "copies", "_v").mapInArrow(probe, PROBES)
-    # Blocks of members: each is compared in one task with all probes of its list, which go to every block of it.
-    sizes = probes.where("list = own").groupBy("list").agg(F.count("*").alias("m"))
-    blocks = written(sizes.select("list", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "lists")
+    # Blocks of members and of probes: each pair of blocks of a list is compared in one task.
+    sizes = probes.groupBy("list").agg(F.count_if(F.expr("list = own")).alias("m"), F.count("*").alias("q"))
+    blocks = written(sizes.where("m > 0").select("list", F.ceil(F.col("m") / block).cast("int").alias("blocks"), F.ceil(F.col("q") / (PROBES_EACH * block)).cast("int").alias("asked")), "lists")
     dealt = probes.join(F.broadcast(blocks), "list")  # at most MOST_LISTS rows
-    members = dealt.where("list = own").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    asking = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    of = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n)).cast("int")
+    members = dealt.where("list = own").withColumn("mine", of("blocks", 1)).withColumn("theirs", every("asked"))
+    asking = dealt.withColumn("theirs", of("asked", 2)).withColumn("mine", every("blocks"))
 
     def compare(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows: list[tuple] = []
-        if len(left):
+        if len(left) and len(right):
             mine, ask = (_matrix(x["vector"], coarse.shape[1]) for x in (left, right))
             own = left["node"].to_numpy()
             names = right["node"].to_numpy()
@@ -217,9 +257,10 @@ def _links(classes: DataFrame, n: int, cosine: float, sample: int, lists: int, b
         return pd.DataFrame(np.array(rows, np.int64).reshape(-1, 3), columns=FOUND.names)
 
     fresh = lambda df, *names: df.select(*[F.col(c).alias(f"{c}_") for c in names]).toDF(*names)
-    left = fresh(members, "list", "part", "node", "copies", "reach", "vector")
-    right = fresh(asking, "list", "part", "node", "copies", "own", "vector")
-    return left.groupBy("list", "part").cogroup(right.groupBy("list", "part")).applyInPandas(compare, FOUND)
+    left = fresh(members, "list", "mine", "theirs", "node", "copies", "reach", "vector")
+    right = fresh(asking, "list", "mine", "theirs", "node", "copies", "own", "vector")
+    keys = ("list", "mine", "theirs")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, FOUND)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,7 +44,7 @@ def test_odd_vectors_and_hot_groups(spark):
     rows += [(1000 + i, base[0].tolist()) for i in range(50)]  # copies
     rows += [(5, base[0].tolist()), (5, base[0].tolist()), (None, base[1].tolist()), (None, None), (2000, None), (2001, [0.0] * 16), (2002, [float("nan")] + [1.0] * 15), (2003, [float("inf")] * 16), (2004, [None] + [1.0] * 15), (2005, []), (2006, [1.0, 2.0]), (2007, [2.0, 4.0]), (2008, [-0.0] * 15 + [1.0]), (2009, [0.0] * 15 + [1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    for block in (4096, 30):
+    for block in (4096, 30, 7):
         assert got(embeddings.near_duplicates(df, block=block)) == brute(rows)
 
 
@@ -67,3 +67,25 @@ def test_recall_at_the_threshold(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     found = sum(r.n_links > 0 for r in embeddings.near_duplicates(df, lists=64).collect())
     assert found / 6000 > 0.98
+
+
+def test_recall_of_low_rank_vectors(spark):
+    """Vectors of 256 components that vary in 12 directions only, in many lists: partners differ where lists are cut."""
+    rng = np.random.default_rng(6)
+    frame = np.linalg.qr(rng.normal(size=(256, 12)))[0]
+    z = rng.normal(size=(6000, 12))
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    x = z @ frame.T
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = (x @ x.T >= 0.9).sum(axis=1) - 1
+    found = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df, lists=200).collect()}
+    assert all(found[i] <= n for i, n in enumerate(want.tolist())) and sum(found.values()) > 0.97 * want.sum()
+
+
+def test_many_lists_in_two_levels():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(9000, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    coarse, books = embeddings.train(x, 1500)
+    assert 1300 < len(coarse) < 1700 and len(books) == 8
+    assert np.linalg.norm(x - coarse[embeddings._nearest(x, coarse)], axis=1).mean() < 0.75 * np.linalg.norm(x - x[rng.integers(9000, size=9000)], axis=1).mean()
