@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as X
-from .operators import clean, encoder, gating, gmm, profile, repeats, sampling, stats, transport
+from .operators import clean, encoder, gam, gating, gmm, profile, repeats, sampling, stats, transport
 from .plans import api
 from .sources import events, tables
 
@@ -441,9 +441,10 @@ def corr_matrix(spark, sf):
     return rounded(profile.corr_matrix(df, MEASURES, MEASURES), 9)
 
 
-@query("SELECT 'l_quantity' AS anchor, 'l_extendedprice' AS feature, round(corr(l_quantity, l_extendedprice), 9) AS r FROM lineitem HAVING corr(l_quantity, l_extendedprice) >= 0.5")
+@query(" UNION ALL ".join(f"SELECT 'l_quantity' AS anchor, '{n}' AS feature, round(corr(l_quantity, {e}), 9) AS r FROM lineitem HAVING corr(l_quantity, {e}) >= 0.5" for n, e in (("l_extendedprice", "l_extendedprice"), ("l_discount", "l_discount"), ("l_tax", "l_tax"), ("amount", "(l_quantity + 100 * l_discount)"), ("less", "(l_tax - l_quantity)"))))
 def corr_report(spark, sf):
-    return rounded(profile.correlation_report(table(spark, sf, "lineitem").select(*MEASURES), ["l_quantity"], 0.5), 9)
+    df = table(spark, sf, "lineitem").select(*MEASURES, (F.col("l_quantity") + 100 * F.col("l_discount")).alias("amount"), (F.col("l_tax") - F.col("l_quantity")).alias("less"))
+    return rounded(profile.correlation_report(df, ["l_quantity"], 0.5), 9)
 
 
 @query("SELECT round((abs(corr(l_quantity, l_tax) - corr(l_quantity * l_tax, l_tax)) + abs(corr(l_quantity, l_discount) - corr(l_quantity * l_tax, l_discount)) + abs(corr(l_tax, l_discount) - corr(l_tax, l_discount))) / 3, 9) AS mean_abs_difference, 3::BIGINT AS n_pairs FROM lineitem")
@@ -645,15 +646,63 @@ def tensor_correct(spark, sf):
     return api.CovariateCorrector(["l_quantity", "l_tax"], ["l_extendedprice"], terms=[("te", "l_quantity", "l_tax")], n_splines=6).fit_transform(df)
 
 
+def frozen_design(tensor: bool) -> tuple[gam.Design, np.ndarray]:
+    """A design over quantity and tax with coefficients that no data were fitted for."""
+    axes = {"l_quantity": gam.Axis("ps", 1.0, 50.0, 8), "l_tax": gam.Axis("cp" if not tensor else "ps", 0.0, 0.08, 6)}
+    terms = [("te", "l_quantity", "l_tax")] if tensor else [("s", "l_quantity"), ("s", "l_tax")]
+    design = gam.Design(["l_quantity", "l_tax"], terms, axes)
+    return design, np.round(np.random.default_rng(5).normal(size=1 + sum(design.sizes())) * 1000, 3)
+
+
+def _design_sql(tensor: bool) -> str:
+    design, coef = frozen_design(tensor)
+    values = f"[{', '.join(repr(float(v)) for v in coef)}]"
+    places = []
+    for n, axis in design.axes.items():
+        m = axis.n if axis.kind == "cp" else axis.n - 3
+        share = f"(({n} - {axis.low!r}) / {axis.high - axis.low!r})"
+        u = f"({share} - floor({share})) * {m}" if axis.kind == "cp" else f"least(greatest({share}, 0), 1) * {m}"
+        places.append(f"{u} AS u_{n}, CAST(least(floor({u}), {m - 1}) AS BIGINT) AS k_{n}")
+    four = lambda n: [f"(1 - t_{n}) ** 3 / 6", f"(3 * t_{n} ** 3 - 6 * t_{n} ** 2 + 4) / 6", f"(-3 * t_{n} ** 3 + 3 * t_{n} ** 2 + 3 * t_{n} + 1) / 6", f"t_{n} ** 3 / 6"]
+    at = lambda n, i: f"((k_{n} + {i}) % {design.axes[n].n})"
+    a, b = design.axes
+    if tensor:
+        terms = [f"({p}) * ({q}) * c[2 + {at(a, i)} * {design.axes[b].n} + {at(b, j)}]" for i, p in enumerate(four(a)) for j, q in enumerate(four(b))]
+    else:
+        terms = [f"({p}) * c[2 + {first} + {at(n, i)}]" for n, first in ((a, 0), (b, design.axes[a].n)) for i, p in enumerate(four(n))]
+    return f"""WITH u AS (SELECT {KEY}, l_extendedprice, {", ".join(places)} FROM lineitem), t AS (SELECT *, u_{a} - k_{a} AS t_{a}, u_{b} - k_{b} AS t_{b}, {values} AS c FROM u)
+SELECT {KEY}, round(l_extendedprice + 100 - (c[1] + {" + ".join(terms)}), 3) AS l_extendedprice FROM t"""
+
+
+def _corrected_by(spark: SparkSession, sf: str, tensor: bool) -> DataFrame:
+    design, coef = frozen_design(tensor)
+    df = table(spark, sf, "lineitem").selectExpr(*KEY.split(", "), "l_extendedprice", "l_quantity", "l_tax")
+    out = gam.apply_corrections(df, ["l_extendedprice"], design, {("l_extendedprice", None): (coef, 100.0)}, None)
+    return rounded(out.drop("l_quantity", "l_tax"), 3)
+
+
+@query(_design_sql(False))
+def spline_frozen(spark, sf):
+    """Ordinary and cyclic splines with given coefficients."""
+    return _corrected_by(spark, sf, False)
+
+
+@query(_design_sql(True))
+def tensor_frozen(spark, sf):
+    return _corrected_by(spark, sf, True)
+
+
 @query()
 def domain_encoder(spark, sf):
     df = table(spark, sf, "embeddings").select("vec_id", "label", (F.col("label") % 2).alias("task"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(16)])
     return api.DomainEncoder([f"e{i}" for i in range(16)], ["task"], ["label"], latent_dim=8, hidden_dims=(32, 16)).fit(df, max_epochs=5).transform(df).select("vec_id", "shared", "private", "tasks", "domains", "domain_entropy", "reconstruction_error")
 
 
-@query()
+@query(f"""WITH p AS ({_POINTS}), m AS (SELECT avg(x) mx, avg(y) my, covar_samp(x, x) a, covar_samp(x, y) b, covar_samp(y, y) c FROM p), e AS (SELECT mx, my, cos(0.5 * atan2(2 * b, a - c)) co, sin(0.5 * atan2(2 * b, a - c)) si FROM m),
+s AS (SELECT *, CASE WHEN abs(co) >= abs(si) THEN sign(co) ELSE sign(si) END s1, CASE WHEN abs(si) >= abs(co) THEN sign(-si) ELSE sign(co) END s2 FROM e)
+SELECT vec_id, round(((x - mx) * co + (y - my) * si) * s1, 6) AS first, round(((y - my) * co - (x - mx) * si) * s2, 6) AS second FROM p, s""")
 def principal_components(spark, sf):
-    return encoder.principal_components(points(spark, sf), ["x", "y"], 2).select("vec_id", "pca")
+    return rounded(encoder.principal_components(points(spark, sf), ["x", "y"], 2).select("vec_id", F.col("pca")[0].alias("first"), F.col("pca")[1].alias("second")))
 
 
 @query()

@@ -1,5 +1,7 @@
+import numpy as np
+
 from hemaspark import queries
-from hemaspark.operators import stats
+from hemaspark.operators import encoder, stats
 
 
 def test_distances_take_all_rows(spark, sf):
@@ -8,3 +10,34 @@ def test_distances_take_all_rows(spark, sf):
     row = queries.distribution_distances(spark, sf).first()
     assert abs(row.wasserstein_2 - stats.exact_transport_distance(a, b, ["x", "y"], 10**6)) < 1e-9
     assert abs(row.sliced_wasserstein - stats.sliced_wasserstein(a, b, ["x", "y"])) < 1e-9
+
+
+def test_distances_against_numpy(spark):
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(40, 2)), rng.normal(0.5, 1.2, size=(40, 2))
+    a, b = (spark.createDataFrame([(float(p), float(q)) for p, q in m], "x double, y double") for m in (x, y))
+    k = lambda p, q: np.exp(-((p[:, None] - q[None]) ** 2).sum(axis=2) / 200).mean()
+    assert abs(stats.mmd(a, b, ["x", "y"]) - (k(x, x) + k(y, y) - 2 * k(x, y))) < 1e-9
+    d = np.random.default_rng(0).normal(size=(30, 2))
+    d /= np.linalg.norm(d, axis=1, keepdims=True)
+    want = np.mean([np.abs(np.sort(x @ v) - np.sort(y @ v)).mean() for v in d])
+    assert abs(stats.sliced_wasserstein(a, b, ["x", "y"]) - want) < 1e-9
+
+
+def test_exact_transport_against_all_assignments(spark):
+    from itertools import permutations
+
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(6, 2)), rng.normal(1, 2, size=(6, 2))
+    a, b = (spark.createDataFrame([(float(p), float(q)) for p, q in m], "x double, y double") for m in (x, y))
+    cost = ((x[:, None] - y[None]) ** 2).sum(axis=2)
+    want = min(sum(cost[i, j] for i, j in enumerate(p)) for p in permutations(range(6))) / 6
+    assert abs(stats.exact_transport_distance(a, b, ["x", "y"]) - want**0.5) < 1e-9
+
+
+def test_logistic_accuracy(spark):
+    rows = [([float(i % 2) * 4 - 2 + (i % 5) / 10, (i % 3) / 3], "ab"[i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "code array<double>, label string")
+    assert encoder.logistic_accuracy(df, "code", "label") == 1.0
+    mixed = spark.createDataFrame([([1.0, 1.0], "ab"[i % 4 == 0]) for i in range(40)], "code array<double>, label string")
+    assert encoder.logistic_accuracy(mixed, "code", "label") == 0.75
