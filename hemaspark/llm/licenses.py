@@ -119,8 +119,8 @@ MATCH = T.StructType([T.StructField("license", T.StringType()), T.StructField("t
 def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document: id_col, n_words (normalised) and matches: array of (license, template, dice, start, end).
 
-    Within a whole text every window of words whose bigrams and a template's have a Dice coefficient of `threshold` or
-    more is looked for; of windows that touch, the best stays (then the longer template). start and end are code points,
+    Within a whole text every window of words whose set of bigrams and a template's have a Dice coefficient of `threshold` or
+    more is looked for, that is (2 - t) / t times as long as the template at most (repeats within a window count for its length); of windows that touch, the best stays (then the longer template). start and end are code points,
     end exclusive. Sizes prune: a window shares at least t / (2 - t) of a template's bigrams and is at most (2 - t) / t
     times as long, so templates of which a text holds too few bigrams are never compared. Rows stay where they are.
     Null, empty and one-word texts match nothing; null ids and repeated rows are judged row by row; an empty table gives an

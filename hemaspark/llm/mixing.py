@@ -136,7 +136,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of docs as often as the mix takes them: words taken by size, rounded. Rows that are not taken go; texts
+    """The rows of docs as often as the mix takes them: words taken by size, rounded, so whole documents go on; slots, which order
+    pieces of documents, are for who reads the pieces of `mix`. Rows that are not taken go; texts
     without words are never taken. Rows that repeat an id and text share what is taken of them evenly."""
     rows, _ = mix(docs, id_col, text_col, source_col)
     share = rows.where("size > 0").groupBy(F.col(id_col).alias("_id"), "_th").agg(F.floor(F.avg(F.col("taken") / F.col("size")) + 0.5).cast("int").alias("copies")).where("copies > 0")

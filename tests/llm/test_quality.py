@@ -1,4 +1,5 @@
 import re
+import random
 from collections import Counter
 
 from hemaspark.llm import quality
@@ -62,3 +63,29 @@ def test_em_finds_the_accurate_rules():
     acc = [(t[1][0] / (t[1][0] + t[-1][0])) for t in model["rules"]]
     assert acc[0] > acc[1] > acc[2] > acc[3] and abs(model["prior"] - 0.7) < 0.05 and abs(acc[3] - 0.6) < 0.1
     assert quality.fit([])["rules"] == []
+
+
+def test_estimated_accuracies_and_posteriors_against_the_truth():
+    """Votes drawn from known rates: the estimated rates come near them, and the posterior near that of who knows them."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(12)
+    names = 7
+    truth = [({-1: 0.03 + 0.01 * j, 1: 0.5, 0: 0.47 - 0.01 * j}, {-1: 0.6, 1: 0.02 + 0.01 * j, 0: 0.38 - 0.01 * j}) for j in range(names)]
+    draw = lambda p: rng.choices(list(p), list(p.values()))[0]
+    seen = Counter()
+    for _ in range(40_000):
+        good = rng.random() < 0.8
+        seen[tuple(draw(t[0] if good else t[1]) for t in truth)] += 1
+    model = quality.fit(list(seen.items()), share=0.001)
+    assert abs(model["prior"] - 0.8) < 0.02
+    for j, t in enumerate(truth):
+        assert all(abs(model["rules"][j][g][k] - t[k][g]) < 0.03 for g in (-1, 0, 1) for k in (0, 1))
+
+    def posterior(prior, rules, v):
+        score = math.log(prior / (1 - prior)) + sum(math.log(rules[j][0] / rules[j][1]) for j in range(names))
+        return 1 / (1 + math.exp(-score))
+
+    off = sum(n * abs(posterior(model["prior"], [model["rules"][j][x] for j, x in enumerate(v)], v) - posterior(0.8, [(t[0][x], t[1][x]) for t, x in zip(truth, v, strict=True)], v)) for v, n in seen.items())
+    assert off / 40_000 < 0.02
