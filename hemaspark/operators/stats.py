@@ -23,34 +23,56 @@ def _same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
     return all_of([a[n].eqNullSafe(b[n]) for n in names])
 
 
-def running_counts(counts: DataFrame, sums: list[str]) -> tuple[DataFrame, list[str]]:
-    """counts (keys, x, sums) with, for each of the sums s: s_before (of smaller values) and s_all, and `next` (the next value); and the keys.
+def _ranges(counts: DataFrame, sums: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(ranges, totals, keys) of counts (keys, x, sums).
 
-    Values are dealt to ranges by keys and value, as many as there are shuffle partitions, so neither a column nor a share of it
-    that grows with the input is sorted by one task; a range begins with the sums of those before it.
+    Values are dealt to ranges (_p) by keys and value, as many as there are shuffle partitions, so neither a column nor a share of it
+    that grows with the input is sorted by one task. totals has a row for each range: its sums, those of the ranges before it
+    (_b_<sum>), of all of them (<sum>_all), and the next range's first value.
     """
     keys = [n for n in counts.columns if n not in ("x", *sums)]
     ranges = written(counts.repartitionByRange(*keys, "x").withColumn("_p", F.spark_partition_id()), "ranges")
     totals = ranges.groupBy(*keys, "_p").agg(*[F.sum(s).alias(s) for s in sums], F.min("x").alias("_low"))
-    line = Window.partitionBy(*keys).orderBy("_p")  # a row for each range
+    line = Window.partitionBy(*keys).orderBy("_p")
     before, every = line.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
-    totals = totals.select(*keys, "_p", *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_b_{s}") for s in sums], *[F.sum(s).over(every).alias(f"{s}_all") for s in sums], F.lead("_low").over(line).alias("_next"))
+    totals = totals.select(*keys, "_p", *sums, *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_b_{s}") for s in sums], *[F.sum(s).over(every).alias(f"{s}_all") for s in sums], F.lead("_low").over(line).alias("_next"))
+    return ranges, totals, keys
+
+
+def _within(rows: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    """Adds _a_<sum> (of smaller values in the range) and _x2 (the next value in it)."""
     within = Window.partitionBy(*keys, "_p").orderBy("x")
     ahead = within.rowsBetween(Window.unboundedPreceding, -1)
-    inner = ranges.select(*keys, "_p", "x", *sums, *[F.coalesce(F.sum(s).over(ahead), F.lit(0)).alias(f"_a_{s}") for s in sums], F.lead("x").over(within).alias("_x2"))
+    return rows.withColumns({f"_a_{s}": F.coalesce(F.sum(s).over(ahead), F.lit(0)) for s in sums} | {"_x2": F.lead("x").over(within)})
+
+
+def running_counts(counts: DataFrame, sums: list[str]) -> tuple[DataFrame, list[str]]:
+    """counts (keys, x, sums) with, for each of the sums s, s_before (of smaller values) and s_all, and `next` (the next value); and the
+    keys. See _ranges: a range begins with the sums of those before it."""
+    ranges, totals, keys = _ranges(counts, sums)
+    inner, totals = _within(ranges, keys, sums), totals.drop(*sums)
     both = inner.join(totals, _same(inner, totals, [*keys, "_p"]))
     return both.select(*[inner[n] for n in keys], "x", *sums, *[(F.col(f"_a_{s}") + F.col(f"_b_{s}")).alias(f"{s}_before") for s in sums], *[f"{s}_all" for s in sums], F.coalesce("_x2", "_next").alias("next")), keys
 
 
 def quantiles_of(counts: DataFrame, fractions: list[float]) -> DataFrame:
-    """(keys, q): exact quantiles in the order of the fractions, interpolated between the two ranks beside them, from value counts."""
-    run, keys = running_counts(counts, ["k"])
-    at = [F.lit(float(f)) * (F.col("k_all") - 1) for f in fractions]
-    ranks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(h).alias("h"), (F.ceil(p) if h else F.floor(p)).alias("r")) for i, p in enumerate(at) for h in (0, 1)])
-    hit = run.select(*keys, "x", "k_all", F.explode(F.filter(ranks, lambda r: (r["r"] >= F.col("k_before")) & (r["r"] < F.col("k_before") + F.col("k")))).alias("t"))
-    wide = hit.groupBy(*keys).agg(F.max("k_all").alias("n"), *[F.max(F.when((F.col("t.i") == i) & (F.col("t.h") == h), F.col("x"))).alias(f"_{i}_{h}") for i in range(len(fractions)) for h in (0, 1)])
-    place = lambda f: F.lit(float(f)) * (F.col("n") - 1)
-    value = lambda i, f: F.when(F.col(f"_{i}_0") == F.col(f"_{i}_1"), F.col(f"_{i}_0")).otherwise((F.ceil(place(f)) - place(f)) * F.col(f"_{i}_0") + (place(f) - F.floor(place(f))) * F.col(f"_{i}_1"))
+    """(keys, q): exact quantiles in the order of the fractions, interpolated between the two ranks beside them, from value counts.
+    Only ranges that hold one of the ranks are looked at."""
+    ranges, totals, keys = _ranges(counts, ["k"])
+    place = lambda f, n: F.lit(float(f)) * (F.col(n) - 1)
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(h).alias("h"), (F.ceil if h else F.floor)(place(f, "k_all")).alias("r")) for i, f in enumerate(fractions) for h in (0, 1)])
+    ranks = totals.select(*keys, "_p", F.col("k_all").alias("n"), "_b_k", F.col("k").alias("_in"), F.explode(ranks).alias("t")).where("t.r >= _b_k and t.r < _b_k + _in")
+    ranks = written(ranks.select(*keys, "_p", "n", "t.i", "t.h", (F.col("t.r") - F.col("_b_k")).alias("r")), "ranks")
+    some = ranks.select(*keys, "_p").distinct()
+    inner = _within(ranges.join(some, _same(ranges, some, [*keys, "_p"]), "left_semi"), keys, ["k"])
+    at = (F.col("r") >= F.col("_a_k")) & (F.col("r") < F.col("_a_k") + F.col("k"))
+    hit = inner.join(ranks, _same(inner, ranks, [*keys, "_p"]) & at).select(*[inner[n] for n in keys], "x", "n", "i", "h")
+    wide = hit.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when((F.col("i") == i) & (F.col("h") == h), F.col("x"))).alias(f"_{i}_{h}") for i in range(len(fractions)) for h in (0, 1)])
+
+    def value(i: int, f: float) -> Column:
+        p, low, high = place(f, "n"), F.col(f"_{i}_0"), F.col(f"_{i}_1")
+        return F.when(low == high, low).otherwise((F.ceil(p) - p) * low + (p - F.floor(p)) * high)
+
     return wide.select(*keys, F.array(*[value(i, f) for i, f in enumerate(fractions)]).alias("q"))
 
 
@@ -101,20 +123,24 @@ def align_columns(df: DataFrame, source: dict[str, dict[str, float]], target: di
     return df.select(*[new[n].alias(n) if n in new else c(n) for n in df.columns])
 
 
-def _distances_of(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(column, wasserstein, ks, n_a, n_b) from the value counts of two samples."""
-    side = lambda df, i: df.select("column", "x", *[(F.col("k") if s == i else F.lit(0).cast("long")).alias(f"k{s}") for s in (0, 1)])
-    counts = side(a, 0).unionByName(side(b, 1)).groupBy("column", "x").agg(F.sum("k0").alias("k0"), F.sum("k1").alias("k1"))
-    run, _ = running_counts(counts, ["k0", "k1"])
+def _distances_of(counts: DataFrame) -> DataFrame:
+    """(keys, wasserstein, ks, n_a, n_b) from the value counts of two samples: (keys, x, k0, k1)."""
+    keys = [n for n in counts.columns if n not in ("x", "k0", "k1")]
+    run, _ = running_counts(counts.groupBy(*keys, "x").agg(F.sum("k0").alias("k0"), F.sum("k1").alias("k1")), ["k0", "k1"])
     share = lambda s: (F.col(f"{s}_before") + F.col(s)) / F.col(f"{s}_all")
     both = run.where("k0_all > 0 and k1_all > 0").withColumns({"gap": F.abs(share("k0") - share("k1")), "wide": F.coalesce(F.col("next") - F.col("x"), F.lit(0.0))})
-    return both.groupBy("column").agg(F.sum(F.col("gap") * F.col("wide")).alias("wasserstein"), F.max("gap").alias("ks"), F.max("k0_all").alias("n_a"), F.max("k1_all").alias("n_b"))
+    return both.groupBy(*keys).agg(F.sum(F.col("gap") * F.col("wide")).alias("wasserstein"), F.max("gap").alias("ks"), F.max("k0_all").alias("n_a"), F.max("k1_all").alias("n_b"))
+
+
+def _side(counts: DataFrame, i: int) -> DataFrame:
+    """Value counts as those of the first (0) or second (1) sample of a pair."""
+    return counts.select(*[n for n in counts.columns if n != "k"], *[(F.col("k") if k == i else F.lit(0).cast("long")).alias(f"k{k}") for k in (0, 1)])
 
 
 def ecdf_distances(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     """(column, wasserstein, ks, n_a, n_b) of two samples: areas and greatest gaps between their distribution functions. Values of
     both sides are counted by value first; see running_counts for the order that the running counts need."""
-    return _distances_of(value_counts(a, columns), value_counts(b, columns))
+    return _distances_of(_side(value_counts(a, columns), 0).unionByName(_side(value_counts(b, columns), 1)))
 
 
 def improvement(before: Column, after: Column) -> Column:
@@ -125,10 +151,16 @@ def improvement(before: Column, after: Column) -> Column:
 def alignment_quality(source: DataFrame, target: DataFrame, moved: DataFrame, columns: list[str], least: int = 10) -> DataFrame:
     """By column: distances to the target before and after, of medians, MADs, Wasserstein and KS, and their improvement in per cent.
     Columns with fewer than `least` values on a side are left out."""
-    counts = {k: written(value_counts(df, columns), "counts") for k, df in (("s", source), ("t", target), ("m", moved))}  # rows are read once
-    stats = [_medians_of(x).toDF("column", f"med_{k}", f"mad_{k}") for k, x in counts.items()]
-    old = _distances_of(counts["s"], counts["t"]).where(f"n_a >= {least} and n_b >= {least}").select("column", F.col("wasserstein").alias("wasserstein_before"), F.col("ks").alias("ks_before"))
-    new = _distances_of(counts["m"], counts["t"]).select("column", F.col("wasserstein").alias("wasserstein_after"), F.col("ks").alias("ks_after"))
+    # Rows are read once; medians of all three tables, and distances of both pairs, are found together.
+    named = [value_counts(df, columns).withColumn("side", F.lit(k)) for k, df in (("s", source), ("t", target), ("m", moved))]
+    counts = written(reduce(lambda x, y: x.unionByName(y), named), "counts")
+    stats = written(_medians_of(counts), "medians")
+    stats = [stats.where(F.col("side") == k).select("column", F.col("median").alias(f"med_{k}"), F.col("mad").alias(f"mad_{k}")) for k in "stm"]
+    pair = lambda k, name, i: _side(counts.where(F.col("side") == k).drop("side").withColumn("pair", F.lit(name)), i)
+    pairs = [pair("s", "before", 0), pair("t", "before", 1), pair("m", "after", 0), pair("t", "after", 1)]
+    found = written(_distances_of(reduce(lambda x, y: x.unionByName(y), pairs)), "distances")
+    old, new = (found.where(F.col("pair") == k).select("column", "n_a", "n_b", F.col("wasserstein").alias(f"wasserstein_{k}"), F.col("ks").alias(f"ks_{k}")) for k in ("before", "after"))
+    old, new = old.where(f"n_a >= {least} and n_b >= {least}").drop("n_a", "n_b"), new.drop("n_a", "n_b")
     rows = reduce(lambda x, y: x.join(y, "column"), [old, new, *stats])
     for k in ("med", "mad"):
         rows = rows.withColumns({f"{k}_before": F.abs(F.col(f"{k}_s") - F.col(f"{k}_t")), f"{k}_after": F.abs(F.col(f"{k}_m") - F.col(f"{k}_t"))})
