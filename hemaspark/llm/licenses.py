@@ -42,7 +42,17 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
 ]
+#: Templates of which a bigram's bits fill one integer.
+BITS = 63
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -69,23 +79,35 @@ class Templates:
         vocabulary = sorted({w for s in self.sets for b in s for w in b})
         self.word = {w: i + 1 for i, w in enumerate(vocabulary)}
         self.width = len(vocabulary) + 1
-        # A template's bit at each of its bigrams.
-        self.mask = np.zeros(self.width * self.width, np.int64)
+        # A template's bit at each of its bigrams: bigrams have a number, and a row of integers under it (the row 0 has no bits).
+        known = {b: i + 1 for i, b in enumerate(sorted({(self.word[a], self.word[b]) for s in self.sets for a, b in s}))}
+        self.pairs = np.array([a * self.width + b for a, b in known], np.int64)
+        self.mask = np.zeros((len(known) + 1, max(1, -(-len(self.sets) // BITS))), np.int64)
         for k, s in enumerate(self.sets):
             for a, b in s:
-                self.mask[self.word[a] * self.width + self.word[b]] |= 1 << k
+                self.mask[known[self.word[a], self.word[b]], k // BITS] |= 1 << k % BITS
         # With |A| and |B| bigrams the coefficient is at most 2 min / (|A| + |B|): A is bounded on both sides, and must share enough.
         self.least = [int(np.ceil(threshold / (2 - threshold) * len(s) - 1e-9)) for s in self.sets]
         self.most = [int(np.floor((2 - threshold) / threshold * len(s) + 1e-9)) for s in self.sets]
         self.smallest = min(self.least, default=1)
         self.threshold = threshold
 
+    def bits(self, ids: np.ndarray) -> np.ndarray:
+        """The templates' bits at each bigram of a text's words (0: no template's word)."""
+        out = np.zeros((max(0, len(ids) - 1), self.mask.shape[1]), np.int64)
+        at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+        pair = ids[at] * self.width + ids[at + 1]
+        number = np.minimum(np.searchsorted(self.pairs, pair), max(0, len(self.pairs) - 1))
+        if len(at):
+            out[at] = self.mask[np.where(self.pairs[number] == pair, number + 1, 0)]
+        return out
+
     def matches(self, words: list[str], mask: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(template, first word, last word, coefficient): windows of words that match, the best first, none touching
         another. mask: templates' bits at each bigram of the text."""
         found = []
         for k, s in enumerate(self.sets):
-            at = np.flatnonzero(mask >> k & 1)
+            at = np.flatnonzero(mask[:, k // BITS] >> k % BITS & 1)
             need = self.least[k]
             if len(at) < need:
                 continue
@@ -124,10 +146,8 @@ def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     end exclusive. Sizes prune: a window shares at least t / (2 - t) of a template's bigrams and is at most (2 - t) / t
     times as long, so templates of which a text holds too few bigrams are never compared. Rows stay where they are.
     Null, empty and one-word texts match nothing; null ids and repeated rows are judged row by row; an empty table gives an
-    empty result; other columns are ignored. At most 63 templates.
+    empty result; other columns are ignored. Any number of templates.
     """
-    if len(templates) > 63:
-        raise ValueError("at most 63 templates")
     bound_arrow(docs.sparkSession)
     schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("matches", T.ArrayType(MATCH))])
     kind = pa.list_(pa.struct([("license", pa.string()), ("template", pa.int32()), ("dice", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -145,8 +165,7 @@ def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 both = (ids[:-1] > 0) & (ids[1:] > 0)
                 out = []
                 if both.sum() >= t.smallest:
-                    mask = np.where(both, t.mask[ids[:-1] * t.width + ids[1:]], 0)
-                    if found := t.matches(words, mask):
+                    if found := t.matches(words, t.bits(ids)):
                         # lower() may change lengths ("İ"), so places come from the text as it is, word by word
                         spots = [m.span() for m in WORD.finditer(text)]
                         if len(spots) != len(words):

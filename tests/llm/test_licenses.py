@@ -63,3 +63,11 @@ def test_odd_rows(odd_docs, empty_docs):
     rows = licenses.license_matches(odd_docs).collect()
     assert len(rows) == odd_docs.count() and all(r.matches == [] for r in rows)
     assert licenses.license_matches(empty_docs).count() == 0
+
+
+def test_any_number_of_templates(spark):
+    own = [(f"L{i}", f"the work number{i} may be used by anyone for purpose{i} of kind{i % 7} only") for i in range(150)]
+    rows = [(i, f"before it {t} and after") for i, (_, t) in enumerate(own)]
+    got = {r.doc_id: r.matches for r in licenses.license_matches(spark.createDataFrame(rows, "doc_id long, text string"), templates=own).collect()}
+    assert all([m.license for m in got[i]] == [f"L{i}"] and got[i][0].dice == 1.0 for i in range(150))
+    assert all(r.matches == [] for r in licenses.license_matches(spark.createDataFrame(rows, "doc_id long, text string"), templates=[]).collect())
