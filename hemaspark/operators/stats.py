@@ -23,15 +23,20 @@ def _same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
     return all_of([a[n].eqNullSafe(b[n]) for n in names])
 
 
-def _ranges(counts: DataFrame, sums: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+#: Ranges for quantiles: most are never looked at, so small ones leave little to sort.
+FINER = 4
+
+
+def _ranges(counts: DataFrame, sums: list[str], finer: int = 1) -> tuple[DataFrame, DataFrame, list[str]]:
     """(ranges, totals, keys) of counts (keys, x, sums).
 
-    Values are dealt to ranges (_p) by keys and value, as many as there are shuffle partitions, so neither a column nor a share of it
+    Values are dealt to ranges (_p) by keys and value, `finer` times as many as there are shuffle partitions, so neither a column nor a share of it
     that grows with the input is sorted by one task. totals has a row for each range: its sums, those of the ranges before it
     (_b_<sum>), of all of them (<sum>_all), and the next range's first value.
     """
     keys = [n for n in counts.columns if n not in ("x", *sums)]
-    ranges = written(counts.repartitionByRange(*keys, "x").withColumn("_p", F.spark_partition_id()), "ranges")
+    n = finer * int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = written(counts.repartitionByRange(n, *keys, "x").withColumn("_p", F.spark_partition_id()), "ranges")
     totals = ranges.groupBy(*keys, "_p").agg(*[F.sum(s).alias(s) for s in sums], F.min("x").alias("_low"))
     line = Window.partitionBy(*keys).orderBy("_p")
     before, every = line.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
@@ -58,7 +63,7 @@ def running_counts(counts: DataFrame, sums: list[str]) -> tuple[DataFrame, list[
 def quantiles_of(counts: DataFrame, fractions: list[float]) -> DataFrame:
     """(keys, q): exact quantiles in the order of the fractions, interpolated between the two ranks beside them, from value counts.
     Only ranges that hold one of the ranks are looked at."""
-    ranges, totals, keys = _ranges(counts, ["k"])
+    ranges, totals, keys = _ranges(counts, ["k"], FINER)
     place = lambda f, n: F.lit(float(f)) * (F.col(n) - 1)
     ranks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(h).alias("h"), (F.ceil if h else F.floor)(place(f, "k_all")).alias("r")) for i, f in enumerate(fractions) for h in (0, 1)])
     ranks = totals.select(*keys, "_p", F.col("k_all").alias("n"), "_b_k", F.col("k").alias("_in"), F.explode(ranks).alias("t")).where("t.r >= _b_k and t.r < _b_k + _in")
