@@ -27,7 +27,7 @@ from .common import bound_arrow, written
 
 WINDOW = 20
 SEED = 5
-CHUNK_WORDS = 1 << 19
+CHUNK_WORDS = 1 << 18
 #: Words for each group of hashes: what one task holds.
 GROUP_WORDS = 1 << 20
 MOST_TASKS = 20_000
@@ -43,7 +43,7 @@ class _Words(dict):
     """Hashes of words, kept for the words to come."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 600_000:
+        if len(self) > 300_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word, SEED)
         return h
