@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,6 +26,8 @@ from .common import bound_arrow, written
 
 WINDOW = 20
 SEED = 5
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
 CHUNK_WORDS = 1 << 18
 #: Words for each group of hashes: what one task holds.
 GROUP_WORDS = 1 << 20
@@ -39,25 +40,44 @@ _NULL = -(1 << 63)
 _SIGN = np.uint64(1 << 63)
 
 
-class _Words(dict):
-    """Hashes of words, kept for the words to come."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word, SEED)
-        return h
-
-
-_WORDS = _Words()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the words of all texts one behind the other, number of words of each text), without splitting them.
+
+    Eight bytes of all words are taken in at a time: words of up to eight bytes and equal length never share a hash.
+    """
+    raw = np.frombuffer(b"\n".join([b"", *texts, b"\0" * 8]), np.uint8)  # every text lies between white space
+    body = raw[:-8]
+    space = (body == 32) | (body - np.uint8(9) < 5)
+    bounds = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, sizes = bounds[::2], bounds[1::2] - bounds[::2]
+    eight = np.ndarray(len(body), "<u8", raw, strides=(1,))  # the eight bytes from each place on
+    mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    h = sizes.astype(np.uint64) * _FACTOR
+    left, at, which = sizes, starts, None
+    for _ in range(LONG_WORD // 8):
+        own = eight[at] & mask[np.minimum(left, 8)]
+        own ^= h if which is None else h[which]
+        if which is None:
+            h = _mixed(own)
+        else:
+            h[which] = _mixed(own)
+        more = np.flatnonzero(left > 8)
+        which = more if which is None else which[more]
+        if not len(which):
+            break
+        left, at = left[more] - 8, at[more] + 8
+    for k in np.flatnonzero(sizes > LONG_WORD).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : starts[k] + sizes[k]], SEED)
+    ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
+    return h, np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
 def rolling(words: np.ndarray, size: int, factor: np.uint64) -> np.ndarray:
     """A 64-bit hash of every `size` consecutive word hashes."""
     n = max(0, len(words) - size + 1)
@@ -135,18 +155,17 @@ class Chunk:
     """A chunk's words and what it sends; the same each time it is unpacked."""
 
     def __init__(self, rows: pd.DataFrame, window: int) -> None:
-        self.split: list[list[bytes]] = []
+        self.texts: list[bytes] = []
         rows = rows.sort_values("part")
         for n_docs, texts in zip(rows["n_docs"], rows["texts"], strict=True):
             raw = zstandard.decompress(texts)
             sizes = np.frombuffer(raw[: 8 * n_docs], "<u8").astype(np.int64)
             ends = 8 * n_docs + np.cumsum(sizes)
-            self.split += [raw[b - n : b].split() for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+            self.texts += [raw[b - n : b] for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
         self.ids = np.frombuffer(b"".join(rows["ids"]), "<i8")
         order = np.argsort(self.ids, kind="stable")  # windows then come in the order of their places
-        self.ids, self.split = self.ids[order], [self.split[i] for i in order.tolist()]
-        self.lengths = np.array([len(w) for w in self.split], np.int64)
-        self.words = np.fromiter(map(_WORDS.__getitem__, chain.from_iterable(self.split)), np.uint64, int(self.lengths.sum()))
+        self.ids, self.texts = self.ids[order], [self.texts[i] for i in order.tolist()]
+        self.words, self.lengths = word_hashes(self.texts)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.window, self.block = window, window // 2
         self.halves = rolling(self.words, self.block, _FACTOR)
@@ -321,8 +340,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         np.add.at(change, first + window, -1)
         gone = np.cumsum(change)[:-1] > 0
         rows = []
-        for i, words, a, n in zip(c.ids.tolist(), c.split, c.starts.tolist(), c.lengths.tolist(), strict=True):
-            out = gone[a : a + n]
+        for i, text, a, n in zip(c.ids.tolist(), c.texts, c.starts.tolist(), c.lengths.tolist(), strict=True):
+            out, words = gone[a : a + n], text.split()
             if removed := int(out.sum()):
                 words = [w for w, x in zip(words, out.tolist(), strict=True) if not x]
             kept = b" ".join(words)

@@ -74,3 +74,17 @@ def test_packing_of_integers():
     a, b = np.array([0, 1, 2**63 + 5], np.uint64), np.array([3, 70000, 2**40], np.uint64)
     assert [x.tolist() for x in substring._columns(substring._planes(a, b), 3, 2)] == [a.tolist(), b.tolist()]
     assert substring._unpacked(substring._packed(b, 5), 5).tolist() == (b & np.uint64(2**40 - 1)).tolist()
+
+
+def test_word_hashes_without_splitting():
+    """Every text's words are counted as split() finds them; equal words share a hash and different ones don't, whatever their length."""
+    draw = random.Random(1)
+    parts = [b"a", b"b", b"\xc3\xa9", b"\x00", b"\x1c\xc2\x85", b" ", b"\t\n", b"\x0b\x0c\r", *(b"xyzw" * k for k in (1, 2, 3, 15, 16, 17, 400))]
+    texts = [b"", b" \n", b"a", *(b"".join(draw.choices(parts, k=draw.randint(0, 60))) for _ in range(300))]
+    hashes, counts = substring.word_hashes(texts)
+    assert counts.tolist() == [len(t.split()) for t in texts]
+    names: dict[bytes, int] = {}
+    for word, h in zip((w for t in texts for w in t.split()), hashes.tolist(), strict=True):
+        assert names.setdefault(word, h) == h
+    assert len(set(names.values())) == len(names)
+    assert [len(x) for x in substring.word_hashes([])] == [0, 0]
