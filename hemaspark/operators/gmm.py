@@ -153,55 +153,58 @@ def component_costs(source: Mixture, target: Mixture, cost: str = "wasserstein")
 def transport_plan(a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """Exact optimal transport of weights a to weights b: successive shortest paths with potentials on the bipartite graph.
 
-    Each round sends mass along a shortest augmenting path (Dijkstra, dense). a and b must have equal sums.
+    Each round sends mass from one row along its shortest path to a column that still needs some (Dijkstra, dense; a step is a
+    few operations on vectors). a and b must have equal sums.
     """
     a, b = np.asarray(a, float) / np.sum(a), np.asarray(b, float) / np.sum(b)
     n, m = cost.shape
-    flow, left, need = np.zeros((n, m)), a.copy(), b.copy()
-    pi, pj = np.zeros(n), cost.min(axis=0) if n else np.zeros(m)
+    flow, left, need = np.zeros((n, m), order="F"), a.copy(), b.copy()
+    # Potentials under which every row and every column begins with an edge that costs nothing.
+    pj = cost.min(axis=0) if n else np.zeros(m)
+    pi = -(cost - pj).min(axis=1) if m else np.zeros(n)
     eps = 1e-13
-    while left.max(initial=0) > eps and need.max(initial=0) > eps:
-        di, dj = np.where(left > eps, 0.0, np.inf), np.full(m, np.inf)
-        from_row, from_col = np.full(m, -1), np.full(n, -1)
-        done_i, done_j, end = np.zeros(n, bool), np.zeros(m, bool), -1
-        while True:
-            xi, xj = np.where(done_i, np.inf, di), np.where(done_j, np.inf, dj)
-            i, j = int(xi.argmin()), int(xj.argmin())
-            if min(xi[i], xj[j]) == np.inf:
-                break
-            if xi[i] <= xj[j]:
-                done_i[i] = True
-                new = di[i] + np.maximum(cost[i] + pi[i] - pj, 0)
-                better = ~done_j & (new < dj)
-                dj[better], from_row[better] = new[better], i
-            else:
-                done_j[j] = True
+    for start in range(n):
+        while left[start] > eps and need.max(initial=0) > eps:
+            di, from_col = np.full(n, np.inf), np.full(n, -1)
+            dj, from_row = np.full(m, np.inf), np.full(m, -1)
+            open_j = np.full(m, np.inf)  # distances of columns that aren't settled
+            di[start], fresh, end = 0.0, [start], -1
+            while end < 0:
+                for i in fresh:
+                    new = cost[i] - pj
+                    new += pi[i]
+                    np.maximum(new, 0, out=new)
+                    new += di[i]
+                    better = np.flatnonzero(new < dj)  # never a settled column: distances don't fall
+                    dj[better] = open_j[better] = new[better]
+                    from_row[better] = i
+                j = int(open_j.argmin())
+                if open_j[j] == np.inf:
+                    break
                 if need[j] > eps:
                     end = j
                     break
-                back = ~done_i & (flow[:, j] > eps)
-                new = dj[j] + np.maximum(-(cost[:, j] + pi - pj[j]), 0)
-                better = back & (new < di)
-                di[better], from_col[better] = new[better], j
-        if end < 0:
-            break
-        far = dj[end]
-        pi += np.minimum(di, far)
-        pj += np.minimum(dj, far)
-        path, j, push = [], end, need[end]
-        while True:
-            i = int(from_row[j])
-            path.append((i, j, 1))
-            if from_col[i] < 0:
-                push = min(push, left[i])
+                # Edges that carry mass cost nothing, so the rows behind a column are as far as it is.
+                open_j[j] = np.inf
+                back = np.flatnonzero((flow[:, j] > eps) & np.isinf(di))
+                di[back], from_col[back] = dj[j], j
+                fresh = back.tolist()
+            if end < 0:
                 break
-            j = int(from_col[i])
-            path.append((i, j, -1))
-            push = min(push, flow[i, j])
-        for i, j, sign in path:
-            flow[i, j] += sign * push
-        left[path[-1][0]] -= push
-        need[end] -= push
+            far = dj[end]
+            pi += np.minimum(di, far)
+            pj += np.minimum(dj, far)
+            path, j, push = [], end, min(need[end], left[start])
+            while (i := int(from_row[j])) != start:
+                path.append((i, j, 1))
+                j = int(from_col[i])
+                path.append((i, j, -1))
+                push = min(push, flow[i, j])
+            path.append((start, j, 1))
+            for i, j, sign in path:
+                flow[i, j] += sign * push
+            left[start] -= push
+            need[end] -= push
     return np.maximum(flow, 0)
 
 

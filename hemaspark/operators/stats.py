@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -277,8 +278,6 @@ def split_thirds(df: DataFrame, order_by: list[str], parts: int = 3) -> DataFram
 def mmd(a: DataFrame, b: DataFrame, columns: list[str], bandwidth: float = 10.0, most: int = 5000, seed: int = 0) -> float:
     """Squared maximum mean discrepancy with a Gaussian kernel, over at most `most` rows a side by hash (the metric's own cap): the
     rows are few, so the kernel sums are numpy on the driver."""
-    import numpy as np
-
     from .sampling import exact_sample
 
     x, y = (np.array([[r[i] for i in range(len(columns))] for r in exact_sample(df.select(*[num(df, n).alias(n) for n in columns]).dropna(), most, seed=seed).collect()], float) for df in (a, b))
@@ -286,12 +285,15 @@ def mmd(a: DataFrame, b: DataFrame, columns: list[str], bandwidth: float = 10.0,
     return float(k(x, x) + k(y, y) - 2 * k(x, y))
 
 
+def directions(dimensions: int, projections: int = 30, seed: int = 0) -> np.ndarray:
+    """Random unit vectors, one a row, fixed by the seed."""
+    d = np.random.default_rng(seed).normal(size=(projections, dimensions))
+    return d / np.linalg.norm(d, axis=1, keepdims=True)
+
+
 def sliced_wasserstein(a: DataFrame, b: DataFrame, columns: list[str], projections: int = 30, seed: int = 0) -> float:
     """Mean Wasserstein distance over fixed random directions, each a column of one projection."""
-    import numpy as np
-
-    d = np.random.default_rng(seed).normal(size=(projections, len(columns)))
-    d /= np.linalg.norm(d, axis=1, keepdims=True)
+    d = directions(len(columns), projections, seed)
     names = [f"p{i}" for i in range(projections)]
     project = lambda df: df.select(*[reduce(lambda p, q: p + q, [num(df, n) * float(w) for n, w in zip(columns, row, strict=True)]).alias(k) for k, row in zip(names, d, strict=True)])
     return ecdf_distances(project(a), project(b), names).agg(F.avg("wasserstein")).first()[0]
@@ -300,8 +302,6 @@ def sliced_wasserstein(a: DataFrame, b: DataFrame, columns: list[str], projectio
 def exact_transport_distance(a: DataFrame, b: DataFrame, columns: list[str], most: int = 400, seed: int = 0) -> float:
     """Exact 2-Wasserstein distance in several dimensions between at most `most` rows a side by hash (the metric's own cap), solved
     on the driver."""
-    import numpy as np
-
     from .gmm import transport_plan
     from .sampling import exact_sample
 
