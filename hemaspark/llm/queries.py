@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, licenses, lm, mixing, packing, pii, quality, secrets, simhash, substring
+from . import changepoints, embeddings, licenses, lm, mixing, packing, pii, quality, secrets, simhash, substring
 
 QUERIES = {
     "op1_license_scan": licenses.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_simhash_pigeonhole": simhash.query,
     "op9_gated_lm": lm.query,
     "op10_best_fit_packing": packing.query,
+    "op13_change_points": changepoints.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_secret_linking": secrets.SQL,
     "op5_substring_anchors": substring.SQL,
     "op7_embedding_pq": embeddings.SQL,
+    "op13_change_points": changepoints.SQL,
 }
