@@ -43,10 +43,10 @@ NEGATIVE = T.StructType([T.StructField("q", T.LongType()), T.StructField("positi
 
 
 def hard_negatives(
-    df: DataFrame, anchors: Column, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", positives: int = POSITIVES, negatives: int = NEGATIVES,
+    df: DataFrame, anchors: Column | str, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", positives: int = POSITIVES, negatives: int = NEGATIVES,
     low: int = LOW, high: int = HIGH, scale: int = SCALE, lists: int | None = None, block: int = BLOCK, asked: int = ASKED,
 ) -> DataFrame:
-    """For each row for which `anchors` holds and each of its positives, the first negatives: anchor_id, positive_id, rank, negative_id, positive_score, negative_score.
+    """For each row for which `anchors` (a column, or SQL) holds and each of its positives, the first negatives: anchor_id, positive_id, rank, negative_id, positive_score, negative_score.
 
     Components count as floor(scale * x), scores are exact integer inner products with the anchor; higher ones come first, ties by
     smaller id (nulls last). Positives: the first `positives` other rows of the anchor's label. Negatives: the first
@@ -64,7 +64,7 @@ def hard_negatives(
     """
     spark = df.sparkSession
     bound_arrow(spark)
-    base = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"), F.coalesce(anchors, F.lit(False)).alias("asks"))
+    base = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"), F.coalesce(F.expr(anchors) if isinstance(anchors, str) else anchors, F.lit(False)).alias("asks"))
     base = base.where(F.col("label").isNotNull() & complete("v")).withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("double")))
     rows = numbered(base.where(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x) < 2.0**62).withColumn("h", F.xxhash64("v", "label")), "vectors")
     keys = ["h", "v", "label"]
@@ -102,7 +102,8 @@ def _search(members: DataFrame, queries: DataFrame, size: int, count: int, k: in
     """(POSITIVE rows, the k best of each query's label; NEGATIVE rows for each positive score), some of them from each shard."""
     share = members.where(F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "row"), 11) <= int(min(1.0, 2 * SAMPLE / count) * (1 << 53)))
     few = share.orderBy(F.xxhash64(F.lit(SEED + 1), "row"), "row").limit(SAMPLE).select("v").mapInArrow(lambda x: (pa.RecordBatch.from_arrays([packed(lists_of(b.column(0), b.num_rows)) if b.num_rows else pa.array([], pa.binary())], names=["v"]) for b in x), "v binary")
-    fitted = np.array([np.frombuffer(bytes(r[0])) for r in few.collect()]).reshape(-1, size)
+    taken = few.collect()
+    fitted = np.frombuffer(b"".join(bytes(r[0]) for r in taken), float).reshape(len(taken), size)
     centroids = _kmeans(fitted, lists, np.random.default_rng(SEED), 8)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

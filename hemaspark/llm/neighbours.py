@@ -120,8 +120,8 @@ def squared(score: np.ndarray, norm: np.ndarray, longest: float) -> np.ndarray:
 FOUND = T.StructType([T.StructField("q", T.LongType()), T.StructField("row", T.LongType()), T.StructField("id", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
-def nearest(df: DataFrame, asks: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEAREST, certain: float = CERTAIN, m: int = DIRECTIONS, block: int = BLOCK, asked: int = ASKED) -> DataFrame:
-    """The k nearest of each row for which `asks` holds, among all other rows: query_id, rank, vec_id, score (inner product, in double precision).
+def nearest(df: DataFrame, asks: Column | str, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEAREST, certain: float = CERTAIN, m: int = DIRECTIONS, block: int = BLOCK, asked: int = ASKED) -> DataFrame:
+    """The k nearest of each row for which `asks` (a column, or SQL) holds, among all other rows: query_id, rank, vec_id, score (inner product, in double precision).
 
     All if there are fewer; ties to smaller ids. Null and zero vectors and those with null or non-finite components take no part,
     vectors of another length are no candidates, a row without an id asks nothing and comes last among ties; repeated rows are rows
@@ -137,7 +137,7 @@ def nearest(df: DataFrame, asks: Column, id_col: str = "vec_id", vector_col: str
     """
     spark = df.sparkSession
     bound_arrow(spark)
-    base = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(asks, F.lit(False)).alias("asks"))
+    base = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(F.expr(asks) if isinstance(asks, str) else asks, F.lit(False)).alias("asks"))
     base = base.where(complete("v") & F.exists("v", lambda x: x != 0)).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
     rows = numbered(base.withColumn("h", F.xxhash64("v")), "vectors")
     members = written(first_of_equals(rows, ["h", "v"], k + 1).select("v", "id", "row", F.size("v").alias("size")), "members")

@@ -34,7 +34,7 @@ def first_of_equals(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
 
 def matrix(raw: pa.ChunkedArray, size: int) -> np.ndarray:
     """Vectors of `size` doubles from a column of bytes."""
-    return np.frombuffer(b"".join(raw.to_pylist()), float).reshape(-1, size)
+    return np.frombuffer(b"".join(raw.to_pylist()), float).reshape(len(raw), size)
 
 
 def packed(x: np.ndarray) -> pa.Array:
