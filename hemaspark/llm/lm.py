@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -19,12 +18,13 @@ FOLDS, HELD_OUT = 5, 1
 #: Words whose counts are sent to every task (the most frequent ones); the others' counts are joined.
 DICTIONARY = 1 << 17
 #: Words that the recurrent model knows; all others are one class, within which they share its chance by their counts.
-CLASSES, CLASS_SIZE, HIDDEN = 32, 32, 16
+CLASSES, CLASS_SIZE, HIDDEN = 32, 32, 32
 #: Where the weights start from: EPOCHS passes by one task over a share of the training documents of some START_WORDS words (and START_DOCS
-#: documents). From there all training documents are learnt from: one pass in ROUNDS shares, by many tasks, whose weights are averaged.
+#: documents). From there all training documents are learnt from: one pass in ROUNDS shares, dealt by a hash of the document to
+#: shards of some SHARD_WORDS words, whose weights are averaged.
 START_WORDS, START_DOCS, EPOCHS, START_LANES = 400_000, 64, 3, 16
-ROUNDS = (0.25, 0.75)
-LANES, STEPS, WIDTH, RATE, SEED = 256, 16, 256, 0.1, 9
+ROUNDS, SHARD_WORDS = (0.25, 0.75), 1 << 20
+LANES, STEPS, WIDTH, RATE, SEED = 256, 24, 256, 0.1, 9
 #: Weights of so many tasks are averaged by one.
 FAN_IN = 8
 END = b""  # no word is empty
@@ -282,51 +282,42 @@ def _averaged(rows: DataFrame, tasks: int) -> np.ndarray | None:
 MODELS = T.StructType([T.StructField("task", T.LongType()), T.StructField("n", T.LongType()), T.StructField("weights", T.BinaryType())])
 
 
-def trained(docs: DataFrame, model: GatedModel, vocabulary: dict[bytes, int], n_words: int, n_docs: int, rounds: tuple[float, ...] = ROUNDS, start_words: int = START_WORDS) -> GatedModel:
-    """The model after learning from all rows of docs (_id, _text); n_words and n_docs: how many there are.
+def trained(encoded: DataFrame, model: GatedModel, n_words: int, n_docs: int, rounds: tuple[float, ...] = ROUNDS, start_words: int = START_WORDS, shard_words: int = SHARD_WORDS) -> GatedModel:
+    """The model after learning from all rows of encoded (key: a hash of the document, ids: its words); n_words and n_docs: how many there are.
 
-    First one task reads a share by hash that holds some start_words words, EPOCHS times: what all others start from. Then each
-    round is a share of the documents by hash, and all rounds together are all documents: every task goes through its own
-    documents once, whole, from the weights of the round before, and the tasks' weights are averaged by words. So what is learnt
-    from grows with the input, a task holds a grid of words, and a lost executor repeats its tasks.
+    First one task reads a share by hash that holds some start_words words, EPOCHS times: what all others start from. The
+    share is cut from the table by all tasks and is small. Then each round is a share of the documents by hash, and all
+    rounds together are all documents, dealt to shards by hash: each is gone through once, whole, from the weights of the round before, and
+    the shards' weights are averaged by words. So what is learnt from grows with the input, what a shard learns doesn't depend on
+    how the input is laid out in files, a task holds a shard's words, and a lost executor repeats its shards.
     """
-    spark = docs.sparkSession
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "_id", "_text"), 11) / F.lit(float(1 << 53))
-    docs = docs.withColumn("draw", draw)
+    spark = encoded.sparkSession
+    encoded = encoded.withColumn("draw", F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "key"), 11) / F.lit(float(1 << 53)))
 
-    def learnt(part: DataFrame, lanes: int, width: int, epochs: int) -> DataFrame:
-        shared = spark.sparkContext.broadcast((model, vocabulary))  # a model and vocabulary of fixed size
+    def learnt(part: DataFrame, shards: int, lanes: int, width: int, epochs: int) -> DataFrame:
+        shared = spark.sparkContext.broadcast(model)  # of fixed size
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(key: tuple, docs: pa.Table) -> pa.Table:
             import copy
 
-            from pyspark import TaskContext
-
-            own, words = copy.deepcopy(shared.value[0]), shared.value[1]
-
-            def documents() -> Iterator[np.ndarray]:
-                for batch in batches:
-                    for text in batch.column(0).cast(pa.binary()).to_pylist():
-                        read = tokens(text)
-                        yield np.fromiter(map(words.get, read, repeat(own.known)), np.int32, len(read))
-
-            _, n = own.fit(documents(), lanes=lanes, width=width, rate=RATE)
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64()), pa.array([own.weights().astype(np.float32).tobytes()], pa.binary())], names=MODELS.names)
+            own = copy.deepcopy(shared.value)
+            order = np.argsort(docs["key"].to_numpy(), kind="stable")
+            texts = docs["ids"].combine_chunks()
+            documents = [np.frombuffer(texts[i].as_buffer(), np.int16).astype(np.int32) for i in order.tolist()]
+            _, n = own.fit(documents * epochs, lanes=lanes, width=width, rate=RATE)
+            return pa.table({"task": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([n], pa.int64()), "weights": pa.array([own.weights().astype(np.float32).tobytes()], pa.binary())})
 
-        text = part.select("_text")
-        text = reduce(lambda x, y: x.unionAll(y), [text] * epochs).coalesce(1) if epochs > 1 else text
-        return text.mapInArrow(run, MODELS)
+        return part.select(F.pmod(F.xxhash64(F.lit(SEED + 1), "key"), F.lit(shards)).alias("shard"), "key", "ids").groupBy("shard").applyInArrow(run, MODELS)
 
     share = min(1.0, max(start_words / max(1, n_words), START_DOCS / max(1, n_docs)))
     before = 0.0
     for k, size in enumerate((share, *rounds)):
-        part = docs.where(F.col("draw") < size) if not k else docs.where((F.col("draw") >= before) & (F.col("draw") < before + size))
+        part = encoded.where(F.col("draw") < size) if not k else encoded.where((F.col("draw") >= before) & (F.col("draw") < before + size))
         before = 0.0 if not k else before + size
         if k == len(rounds):
-            part = docs.where(F.col("draw") >= 1.0 - size)
-        rows = learnt(part, LANES if k else START_LANES, WIDTH if k else 4 * WIDTH, 1 if k else EPOCHS)
-        rows = written(rows, "weights")
+            part = encoded.where(F.col("draw") >= 1.0 - size)
+        shards = -(-int(n_words * size) // shard_words) if k else 1
+        rows = written(learnt(part, max(1, shards), LANES if k else START_LANES, WIDTH if k else 4 * WIDTH, 1 if k else EPOCHS), "weights")
         flat = _averaged(rows, rows.count())
         if flat is not None:
             model.load(flat)
@@ -339,8 +330,8 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dict
     base_score is the unigram model's log10-probability with half a count added, from all training tokens; score is the
     recurrent model's. Its chance of a word that it doesn't know is that of the rare class times the word's share of
     the class by counts with half a count added, so it is a distribution over words as the base is. It learns from all training
-    documents, whole (see trained). Counts of the
-    `dictionary` most frequent words go to every task; those of other words, if there are any, are joined by word, from
+    documents, whole (see trained). Texts are split for the counts and once more to be written as ids, which training and
+    scoring read. Counts of the `dictionary` most frequent words go to every task; those of other words, if there are any, are joined by word, from
     documents' words counted first. Null and empty texts are one end; null ids are training documents; repeated
     rows are scored each; an empty table gives an empty result; other columns are ignored. Texts are whole.
     """
@@ -368,38 +359,22 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dict
     complete, unseen_base, unseen_rare = v_all == len(top), float(np.log10(0.5 / unit)), float(np.log10(0.5 / rare))
     model = GatedModel(known, rank.get(END, 0))
     n_docs = int(c[rank[END]]) if END in rank else 0
-    if known:
-        vocabulary = {bytes(r[0]): i for i, r in enumerate(top[:known])}
-        model = trained(base.where("not held_out").select("_id", "_text"), model, vocabulary, n_all, n_docs, rounds)
-    shared = spark.sparkContext.broadcast((rank, log_base, log_rare, model))  # at most `dictionary` words and a fixed model
-    schema = T.StructType([T.StructField("_row", T.LongType()), T.StructField("_id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("rest", T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())])))])
-    rest_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shared = spark.sparkContext.broadcast((rank, log_base, log_rare))  # at most `dictionary` words
+    rest_type = T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())]))
+    facts = [T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("more", T.DoubleType()), T.StructField("rest", rest_type)]
+    head = [T.StructField("_row", T.LongType()), T.StructField("_id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType())]
+    schema = T.StructType([*head, T.StructField("key", T.LongType()), T.StructField("n_tokens", T.LongType()), *facts, T.StructField("ids", T.BinaryType())])
+    arrow_rest = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        rank, log_base, log_rare, model = shared.value
+        rank, log_base, log_rare = shared.value
         number = TaskContext.get().partitionId() << 33
         look = rank.get
-        held: list[pa.RecordBatch] = []
-        ids: list[np.ndarray] = []
-        facts: list[tuple] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal number
-            score = model.score(ids) + np.array([f[3] for f in facts])
-            first = pa.concat_arrays([b.column(0) for b in held])
-            out = pa.concat_arrays([b.column(1) for b in held])
-            row = np.arange(number, number + len(ids))
-            number += len(ids)
-            return pa.RecordBatch.from_arrays([pa.array(row), first, out, pa.array([len(x) for x in ids], pa.int64()), pa.array([f[0] for f in facts], pa.int64()), pa.array([f[1] for f in facts], pa.float64()), pa.array(score), pa.array([f[2] for f in facts], rest_type)], names=schema.names)
-
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            for text in batch.column(2).cast(pa.binary()).to_pylist():
+            ids, lengths, found = [], [], []
+            for text in batch.column(3).cast(pa.binary()).to_pylist():
                 words = tokens(text)
                 at = np.fromiter(map(look, words, repeat(-1)), np.int64, len(words))
                 new = at < 0
@@ -409,16 +384,41 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dict
                 base, more = float(log_base[have].sum()), float(log_rare[have].sum())
                 if complete:
                     base, more = base + n_new * unseen_base, more + n_new * unseen_rare
-                facts.append((len(have), base, rest, more))
-                ids.append(np.where(new | (at >= model.known), model.known, at).astype(np.int32))
-                size += len(words)
+                ids.append(np.where(new | (at >= known), known, at).astype(np.int16).tobytes())
+                lengths.append(len(words))
+                found.append((len(have), base, more, rest))
+            row = np.arange(number, number + len(ids))
+            number += len(ids)
+            columns = [pa.array([x[j] for x in found], t) for j, t in enumerate((pa.int64(), pa.float64(), pa.float64(), arrow_rest))]
+            yield pa.RecordBatch.from_arrays([pa.array(row), batch.column(0), batch.column(1), batch.column(2), pa.array(lengths, pa.int64()), *columns, pa.array(ids, pa.binary())], names=schema.names)
+
+    encoded = written(base.select("_id", "held_out", F.xxhash64(F.col("_id").cast("string"), "_text").alias("key"), "_text").mapInArrow(encode, schema), "encoded")
+    model = GatedModel(known, rank.get(END, 0))
+    if known:
+        model = trained(encoded.where("not held_out").select("key", "ids"), model, n_all, n_docs, rounds)
+    sent = spark.sparkContext.broadcast(model)
+    result = T.StructType([*head, T.StructField("n_tokens", T.LongType()), *facts[:2], T.StructField("score", T.DoubleType()), facts[3]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, held, size = sent.value, [], 0
+
+        def flush() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            score = model.score([np.frombuffer(x.as_buffer(), np.int16).astype(np.int32) for x in t["ids"]]) + t["more"].to_numpy()
+            return pa.RecordBatch.from_arrays([*[t[n].combine_chunks() for n in ("_row", "_id", "held_out", "n_tokens", "n_known", "base")], pa.array(score), t["rest"].combine_chunks()], names=result.names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += sum(batch.column(batch.schema.get_field_index("n_tokens")).to_pylist())
             if size >= 1_000_000:
                 yield flush()
-                held, ids, facts, size = [], [], [], 0
+                held, size = [], 0
         if held:
             yield flush()
 
-    rows = base.select("_id", "held_out", "_text").mapInArrow(run, schema)
+    rows = encoded.drop("key").mapInArrow(run, result)
     if not complete:
         rows = written(rows, "scores")
         # Words that the dictionary lacks: by document and word already, so a word meets each document once.
