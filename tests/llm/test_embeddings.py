@@ -89,3 +89,19 @@ def test_many_lists_in_two_levels():
     coarse, books = embeddings.train(x, 1500)
     assert 1300 < len(coarse) < 1700 and len(books) == 8
     assert np.linalg.norm(x - coarse[embeddings._nearest(x, coarse)], axis=1).mean() < 0.75 * np.linalg.norm(x - x[rng.integers(9000, size=9000)], axis=1).mean()
+
+
+def test_dense_vectors_are_planned_in_bounded_time_and_memory():
+    """All of a sample's vectors are near each other: 33 million pairs, of which a few for each vector are looked at."""
+    import time
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=16) + 0.05 * rng.normal(size=(16384, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    coarse = x[rng.choice(len(x), 200, replace=False)]
+    tracemalloc.start()
+    began = time.time()
+    found = embeddings.sufficient(x, coarse, 0.9)
+    assert 100 < found <= 200 and time.time() - began < 60 and tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
