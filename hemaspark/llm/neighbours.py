@@ -143,10 +143,10 @@ def nearest(df: DataFrame, asks: Column | str, id_col: str = "vec_id", vector_co
     members = written(first_of_equals(rows, ["h", "v"], k + 1).select("v", "id", "row", F.size("v").alias("size")), "members")
     asking = rows.where("asks and id is not null").select("h", "v", "id", "row")
     classes = numbered(asking.select("h", "v").distinct(), "queries").withColumnRenamed("row", "q")
-    biggest = F.array_max(F.transform("v", F.abs))
-    norm = biggest * F.sqrt(F.aggregate(F.transform("v", lambda x: (x / biggest) * (x / biggest)), F.lit(0.0), lambda a, x: a + x))
+    # The largest component comes off first, so that no square leaves a double's range.
+    lengths = members.withColumn("big", F.array_max(F.transform("v", F.abs))).withColumn("norm", F.col("big") * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.col("big")) * (x / F.col("big")))))
     found = None
-    for size, count, longest in sorted(tuple(r) for r in members.groupBy("size").agg(F.count("*"), F.max(norm)).collect()):
+    for size, count, longest in sorted(tuple(r) for r in lengths.groupBy("size").agg(F.count("*"), F.max("norm")).collect()):
         part = _search(members.where(F.col("size") == size), classes.where(F.size("v") == size).select("q", "v"), size, count, longest * (1 + 1e-12), k + 1, certain, m, block, asked)
         found = part if found is None else found.unionByName(part)
     result = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
