@@ -57,6 +57,12 @@ def hash_uniform(*keys: Column | str, seed: int = 0) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11) / F.lit(float(1 << 53))
 
 
+def digest_uniform(*keys: Column, seed: int = 0) -> Column:
+    """A number in [0, 1) from the first 52 bits of the MD5 of the seed and the keys as text, which other engines have as well. Nulls count as empty."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(k.cast("string"), F.lit("")) for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
 def clip(col: Column, low: float = 0.0, high: float = 255.0) -> Column:
     return F.when(col.isNotNull(), F.least(F.greatest(col, F.lit(low)), F.lit(high)))
 

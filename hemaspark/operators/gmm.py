@@ -1,4 +1,4 @@
-"""Gaussian mixtures: weighted expectation-maximisation and transport between mixtures, on bounded samples in numpy."""
+"""Gaussian mixtures: where fits start from (weighted expectation-maximisation on bounded samples), and transport between mixtures."""
 
 from __future__ import annotations
 
@@ -59,7 +59,7 @@ def _start(x: np.ndarray, w: np.ndarray, k: int, rng: np.random.Generator) -> np
     return np.array(means)
 
 
-def _constrained(cov: np.ndarray, kind: str, weights: np.ndarray) -> np.ndarray:
+def constrained(cov: np.ndarray, kind: str, weights: np.ndarray) -> np.ndarray:
     """Covariances of a kind, as full matrices: everything behind works on those."""
     d = cov.shape[1]
     if kind == "full":
@@ -115,7 +115,7 @@ def _estimate(x: np.ndarray, w: np.ndarray, resp: np.ndarray, base: np.ndarray,
         d = x - means[j]
         cov[j] = (r[:, j, None] * d).T @ d / n[j] if n[j] > 1e-9 else base
     weights = n / n.sum()
-    return Mixture(weights, means, _constrained(cov, kind, weights) + reg * np.eye(x.shape[1]))
+    return Mixture(weights, means, constrained(cov, kind, weights) + reg * np.eye(x.shape[1]))
 
 
 def root(a: np.ndarray) -> np.ndarray:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import affine, all_of, argmax, c, clip, gaussian_log_density, hash_uniform, num
+from ..functions.columns import affine, all_of, argmax, c, clip, digest_uniform, gaussian_log_density, num
 from . import gmm
 from .arrow import map_arrow
 
@@ -24,22 +25,79 @@ def transport_max(df: DataFrame, columns: list[str], t: gmm.Transport) -> DataFr
     return _mapped(df, columns, x, scores, lambda k: [(int(t.omega[k].argmax()), 1.0)], t)
 
 
-def transport_weight(df: DataFrame, columns: list[str], t: gmm.Transport, threshold: float = 0.05) -> DataFrame:
-    """Method weight without rare points, as Catalyst arithmetic."""
-    x = [num(df, n) for n in columns]
-    scores = [gaussian_log_density(x, t.source.means[k], t.source.covariances[k]) for k in range(t.source.k)]
-
-    def shares(k: int) -> list[tuple[int, float]]:
-        at = np.flatnonzero(t.omega[k] >= threshold)
-        at = at if len(at) else [int(t.omega[k].argmax())]
-        total = sum(t.omega[k, j] for j in at)
-        return [(int(j), float(t.omega[k, j] / total)) if total else (int(j), 1.0 / len(at)) for j in at]
-
-    return _mapped(df, columns, x, scores, shares, t)
+def _shares(t: gmm.Transport, threshold: float) -> list[list[tuple[int, float]]]:
+    """For each source component its targets with at least `threshold`, or else the greatest, and their shares."""
+    out = []
+    for row in t.omega:
+        at = np.flatnonzero(row >= threshold)
+        at = at if len(at) else [int(row.argmax())]
+        total = sum(row[j] for j in at)
+        out.append([(int(j), float(row[j] / total)) if total else (int(j), 1.0 / len(at)) for j in at])
+    return out
 
 
-def _mapped(df, columns, x, scores, shares, t) -> DataFrame:
-    """One projection decides the component, a second one applies its (averaged, so again affine) map."""
+def transport_weight(df: DataFrame, columns: list[str], t: gmm.Transport, threshold: float = 0.05, rare: float | None = None, u: Column | None = None) -> DataFrame:
+    """Method weight as Catalyst arithmetic. With `rare`, points that no component is that dense at go to one target by u."""
+    x = [num(df, n) for n in columns]
+    scores = [gaussian_log_density(x, t.source.means[k], t.source.covariances[k]) for k in range(t.source.k)]
+    shares = _shares(t, threshold)
+    if rare is None:
+        return _mapped(df, columns, x, scores, lambda k: shares[k], t)
+    known = df.columns
+    df = df.withColumn("_rare", F.when(F.exp(F.greatest(*scores) if len(scores) > 1 else scores[0]) < rare, u))
+    return _mapped(df, columns, x, scores, lambda k: shares[k], t, lambda i: _one(x, t, shares, i, F.col("_rare"), F.col("_rare").isNotNull())).select(*[c(n) for n in known])
+
+
+def _one(x: list[Column], t: gmm.Transport, shares: list[list[tuple[int, float]]], i: Column, r: Column, when: Column | None = None) -> list[Column]:
+    """The points moved by the map of source component i to the target that r, a number in [0, 1), is in by the shares of i."""
+    d = len(x)
+    pairs = [(k, j) for k, row in enumerate(shares) for j, _ in row]
+    first = np.cumsum([0, *[len(row) for row in shares[:-1]]])
+    ends = [np.cumsum([w for _, w in row]).tolist() for row in shares]
+    maps = [[*t.maps[k, j].ravel().tolist(), *(t.target.means[j] - t.maps[k, j] @ t.source.means[k]).tolist()] for k, j in pairs]
+    const = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)  # noqa: E731  folded to one literal
+    row = F.get(const(ends, "array<array<double>>"), i)
+    at = F.get(const(first.tolist(), "array<int>"), i) + F.least(F.size(F.filter(row, lambda e: e <= r)), F.size(row) - 1)
+    own = F.get(const(maps, "array<array<double>>"), at)
+    own = own if when is None else F.when(when, own)
+    return [sum((F.get(own, F.lit(a * d + b)) * x[b] for b in range(1, d)), F.get(own, F.lit(a * d)) * x[0]) + F.get(own, F.lit(d * d + a)) for a in range(d)]
+
+
+def transport_rand(df: DataFrame, columns: list[str], t: gmm.Transport, u: Column) -> DataFrame:
+    """Method rand as Catalyst expressions: a pair of components at random by its probability at the point, u in [0, 1) for each.
+
+    The pairs' probabilities are densities of source components times the plan's rows; u is looked up in their running sum, which is a fold
+    over the source components and then over the targets of the one that is found. The plan of an optimal transport has at most
+    as many targets as there are components on both sides, so its maps are a small constant.
+    """
+    x = [num(df, n) for n in columns]
+    rows = t.omega.sum(axis=1)
+    keep = [k for k in range(t.source.k) if rows[k] > 0]
+    scores = [gaussian_log_density(x, t.source.means[k], t.source.covariances[k]) + F.lit(float(np.log(rows[k]))) for k in keep]
+    shares = [[(int(j), float(t.omega[k, j] / rows[k])) for j in np.flatnonzero(t.omega[k] > 0)] if rows[k] > 0 else [(0, 1.0)] for k in range(t.source.k)]
+    fine = all_of([v.isNotNull() for v in x])
+    names = df.columns
+    staged = df.withColumns({"_u": u, "_s": F.when(fine, F.array(*scores))})
+    staged = staged.withColumn("_top", F.array_max("_s")).withColumn("_s", F.transform("_s", lambda s: F.exp(s - F.col("_top"))))
+    staged = staged.withColumn("_u", F.col("_u") * F.aggregate("_s", F.lit(0.0), lambda a, s: a + s))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("next"), F.lit(None).cast("int").alias("at"), F.lit(0.0).alias("rest"))
+
+    def fold(a: Column, s: Column) -> Column:
+        """The first component whose running sum exceeds u (the last, if rounding leaves none), and how far u is in it."""
+        open_ = a["at"].isNull()
+        here = open_ & ((a["sum"] + s > F.col("_u")) | (a["next"] == len(keep) - 1))
+        return F.struct((a["sum"] + s).alias("sum"), (a["next"] + 1).alias("next"), F.when(here, a["next"]).otherwise(a["at"]).alias("at"), F.when(here, F.when(s > 0, (F.col("_u") - a["sum"]) / s).otherwise(0.0)).otherwise(a["rest"]).alias("rest"))
+
+    staged = staged.withColumn("_f", F.when(F.col("_s").isNotNull(), F.aggregate("_s", start, fold)))
+    i = F.get(F.array(*[F.lit(k) for k in keep]), F.col("_f.at"))
+    moved = _one(x, t, shares, i, F.col("_f.rest"))
+    out = {n: F.when(F.col("_f").isNotNull(), clip(moved[a])).otherwise(x[a]) for a, n in enumerate(columns)}
+    return staged.select(*[out[n].alias(n) if n in out else c(n) for n in names])
+
+
+def _mapped(df, columns, x, scores, shares, t, other=None) -> DataFrame:
+    """One projection decides the component, a second one applies its (averaged, so again affine) map. other: a function of the
+    component that says where points go instead, null for those that don't."""
     staged = df.withColumn("_k", F.when(all_of([v.isNotNull() for v in x]), argmax(scores)))
     out = {}
     maps = []
@@ -47,36 +105,24 @@ def _mapped(df, columns, x, scores, shares, t) -> DataFrame:
         a = sum(w * t.maps[k, j] for j, w in shares(k))
         b = sum(w * (t.target.means[j] - t.maps[k, j] @ t.source.means[k]) for j, w in shares(k))
         maps.append(affine(x, np.zeros(len(columns)), b, a))
+    instead = other(F.col("_k")) if other else None
     for i, n in enumerate(columns):
-        value = F.coalesce(*[F.when(F.col("_k") == k, clip(maps[k][i])) for k in range(t.source.k)], x[i])
+        value = F.coalesce(*([clip(instead[i])] if instead else []), *[F.when(F.col("_k") == k, clip(maps[k][i])) for k in range(t.source.k)], x[i])
         out[n] = value
     return staged.select(*[out[n].alias(n) if n in out else c(n) for n in df.columns])
 
 
 def transport_events(df: DataFrame, columns: list[str], t: gmm.Transport, method: str = "rand", threshold: float = 0.05, preserve_rare: bool = True, rare: float = 0.01, keys: list[str] | None = None, seed: int = 0) -> DataFrame:
-    """Any method over Arrow batches with the fitted transport sent to the tasks (its size is that of the mixtures). Chance comes
-    from a hash of `keys` (all columns by default), so results don't depend on partitions; rows stay in place; rows with a null channel are unchanged."""
+    """Any method, as Catalyst expressions: rows stay in place, no Python runs. Chance comes from an MD5 of the seed and `keys` (all
+    columns by default), so results don't depend on partitions; rows with a null channel are unchanged."""
+    u = digest_uniform(*[c(n) for n in keys or df.columns], seed=seed)
     if method == "max":
         return transport_max(df, columns, t)
-    if method == "weight" and not preserve_rare:
-        return transport_weight(df, columns, t, threshold)
-    names = df.columns
-    u = hash_uniform(*[c(n) for n in keys or names], seed=seed)
-    wide = df.select(*[num(df, n).alias(n) if n in columns else c(n) for n in names], u.alias("_u"))
-    schema = T.StructType([f for f in wide.schema.fields if f.name != "_u"])
-    shared = df.sparkSession.sparkContext.broadcast(t)
-    at = [names.index(n) for n in columns]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in at]) if batch.num_rows else np.zeros((0, len(at)))
-            fine = ~np.isnan(x).any(axis=1)
-            x[fine] = model.apply(x[fine], method, batch.column(len(names)).to_numpy(zero_copy_only=False)[fine], threshold, preserve_rare, rare)
-            columns_out = [pa.array(x[:, at.index(i)], from_pandas=True) if i in at else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(columns_out, names=names)
-
-    return map_arrow(wide, run, schema)
+    if method == "weight":
+        return transport_weight(df, columns, t, threshold, rare if preserve_rare else None, u)
+    if method == "rand":
+        return transport_rand(df, columns, t, u)
+    raise ValueError(f"unknown method {method!r}")
 
 
 def validate(source: DataFrame, target: DataFrame, moved: DataFrame, columns: list[str], model: gmm.Mixture) -> dict:

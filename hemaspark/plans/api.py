@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.columns import c, forward, gate_last, inverse, num
-from ..operators import clean, encoder, gam, gmm, profile, repeats, sampling, stats, transport
+from ..operators import clean, encoder, gam, gmm, mixtures, profile, repeats, sampling, stats, transport
 from ..sources import config, tables
 from ..storage import written
 
@@ -132,11 +132,14 @@ class TableAligner:
 class EventAligner:
     """Event clouds of a channel moved from a source to a target by mixtures and optimal transport.
 
-    Mixtures are fitted on at most `max_samples` events a side, drawn by hash without those at the ends of the scale; with gates
-    their first means are spread over the gates' populations, and the draw may be stratified. Transforming covers all events.
+    Mixtures are fitted on all events of a side but those at the ends of the scale, by rounds on the cluster (see
+    operators.mixtures), or on `max_samples` drawn by hash if asked. They start from fits on `start_samples` events,
+    n_init of them, whose first means are spread over the gates' populations if there are gates. A stratified draw has
+    `max_samples` events (a million by default). The second side starts from the first's mixture with `cascade`. With
+    `folder` rounds are saved, and a fit that was broken off goes on. Transforming covers all events.
     """
 
-    def __init__(self, channel: str, n_components: int = 64, covariance: str = "full", reg: float = 1e-6, max_iter: int = 100, n_init: int = 1, max_samples: int = 1_000_000, gates: dict[str, list] | None = None, use_gates: bool = True, allocation: str = "equal", stratified: bool = False, least_per_gate: int = 50_000, balance: str = "sqrt", cascade: bool = True, method: str = "rand", preserve_rare: bool = True, rare_threshold: float | None = None, omega_threshold: float | None = None, cost: str = "wasserstein", columns: list[str] | None = None, seed: int = 0) -> None:
+    def __init__(self, channel: str, n_components: int = 64, covariance: str = "full", reg: float = 1e-6, max_iter: int = 100, n_init: int = 1, max_samples: int | None = None, start_samples: int = 20_000, tol: float = 1e-3, folder: str | None = None, gates: dict[str, list] | None = None, use_gates: bool = True, allocation: str = "equal", stratified: bool = False, least_per_gate: int = 50_000, balance: str = "sqrt", cascade: bool = True, method: str = "rand", preserve_rare: bool = True, rare_threshold: float | None = None, omega_threshold: float | None = None, cost: str = "wasserstein", columns: list[str] | None = None, seed: int = 0) -> None:
         self.columns = columns or K.EVENT_COLUMNS[channel]
         self.settings = {k: v for k, v in locals().items() if k not in ("self", "columns")}
         self.channel, self.method, self.preserve_rare, self.seed = channel, method, preserve_rare, seed
@@ -146,23 +149,33 @@ class EventAligner:
         self.gates = (gates or K.GATES.get(channel)) if use_gates else None
         self.transport: gmm.Transport | None = None
 
-    def _sample(self, df: DataFrame) -> tuple[np.ndarray, np.ndarray | None]:
+    def _events(self, df: DataFrame) -> DataFrame:
+        """The events that a side is fitted on, with their population as _label (null without gates)."""
         s = self.settings
         df = clean.saturation_filter(df.select(*[num(df, n).alias(n) for n in self.columns]).dropna(), self.columns)
         label = gate_last(c(self.axes[0]), c(self.axes[1]), self.gates) if self.gates else None
         if label is not None and s["stratified"]:
-            df = sampling.stratified_sample(df, label, s["max_samples"], s["least_per_gate"], s["balance"], seed=self.seed)
-        else:
+            df = sampling.stratified_sample(df, label, s["max_samples"] or 1_000_000, s["least_per_gate"], s["balance"], seed=self.seed)
+        elif s["max_samples"]:
             df = sampling.exact_sample(df, s["max_samples"], seed=self.seed)
-        pdf = df.select("*", (label if label is not None else F.lit(-1)).alias("_label")).toPandas()  # at most max_samples rows
-        return pdf[self.columns].to_numpy(float), pdf["_label"].to_numpy() if label is not None else None
+        return written(df.select("*", (label if label is not None else F.lit(None).cast("int")).alias("_label")), "events")
+
+    def _fit_side(self, df: DataFrame, start: gmm.Mixture | None, name: str) -> gmm.Mixture:
+        s, rows = self.settings, self._events(df)
+        k, shape = s["n_components"], {"covariance": s["covariance"], "reg": s["reg"], "max_iter": s["max_iter"]}
+        few = sampling.exact_sample(rows, s["start_samples"], self.columns, self.seed).toPandas()  # start_samples rows at most
+        x, labels = few[self.columns].to_numpy(float), few["_label"].to_numpy()
+        if start is not None:
+            starts = [gmm.fit(x, k, start=start, seed=self.seed, **shape)]
+        else:
+            means = lambda seed: gmm.means_by_label(x, labels, k, s["allocation"], seed) if self.gates else None
+            starts = [gmm.fit(x, k, means=means(self.seed + i), seed=self.seed + i, **shape) for i in range(s["n_init"])]
+        return mixtures.fit(rows, self.columns, starts, s["covariance"], s["max_iter"], s["tol"], s["reg"], folder=f"{s['folder'].rstrip('/')}/{name}" if s["folder"] else None)
 
     def fit(self, source: DataFrame, target: DataFrame) -> EventAligner:
-        s = self.settings
-        one = lambda x, labels, start=None: gmm.fit(x, s["n_components"], means=gmm.means_by_label(x, labels, s["n_components"], s["allocation"], self.seed) if labels is not None and start is None else None, start=start, covariance=s["covariance"], n_init=s["n_init"], max_iter=s["max_iter"], reg=s["reg"], seed=self.seed)
-        first = one(*self._sample(source))
-        second = one(*self._sample(target), first if s["cascade"] else None)
-        self.transport = gmm.transport_between(first, second, s["cost"])
+        first = self._fit_side(source, None, "source")
+        second = self._fit_side(target, first if self.settings["cascade"] else None, "target")
+        self.transport = gmm.transport_between(first, second, self.settings["cost"])
         return self
 
     def transform(self, df: DataFrame, keys: list[str] | None = None) -> DataFrame:

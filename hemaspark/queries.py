@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as X
-from .operators import clean, encoder, gam, gating, gmm, profile, repeats, sampling, stats, transport
+from .operators import clean, encoder, gam, gating, gmm, mixtures, profile, repeats, sampling, stats, transport
 from .plans import api
 from .sources import events, tables
 
@@ -604,6 +604,64 @@ def transport_weight_frozen(spark, sf):
     return rounded(transport.transport_events(scaled(spark, sf).drop("label"), ["x", "y"], frozen(), "weight", preserve_rare=False))
 
 
+def _rand_sql() -> str:
+    """Pairs in order, a running sum of density times plan, the first pair that exceeds u of the whole."""
+    t = frozen()
+    pairs = [(i, j) for i in range(2) for j in range(2) if t.omega[i, j] > 0]
+
+    def chance(i: int, j: int) -> str:
+        p, m = np.linalg.inv(t.source.covariances[i]).tolist(), t.source.means[i].tolist()
+        size = float(t.omega[i, j] / np.sqrt(np.linalg.det(t.source.covariances[i])))
+        return f"{size!r} * exp(-0.5 * ({p[0][0]!r} * (x - {m[0]!r}) ** 2 + {2 * p[0][1]!r} * (x - {m[0]!r}) * (y - {m[1]!r}) + {p[1][1]!r} * (y - {m[1]!r}) ** 2))"
+
+    def move(i: int, j: int, a: int) -> str:
+        m = t.maps[i, j].tolist()
+        b = float((t.target.means[j] - t.maps[i, j] @ t.source.means[i])[a])
+        return f"round(least(greatest({m[a][0]!r} * x + {m[a][1]!r} * y + {b!r}, 0), 255), 6)"
+
+    n = len(pairs)
+    sums = ", ".join(f"{' + '.join(f'p{q}' for q in range(k + 1))} AS s{k}" for k in range(n))
+    pick = lambda a: "CASE " + " ".join(f"WHEN s{k} > u * s{n - 1} THEN {move(*pairs[k], a)}" for k in range(n)) + " END"
+    return f"""WITH e AS (SELECT vec_id, 128 + 300 * x AS x, 128 + 300 * y AS y, CAST('0x' || substr(md5('7|' || vec_id), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM ({_POINTS})),
+p AS (SELECT *, {", ".join(f"{chance(*q)} AS p{k}" for k, q in enumerate(pairs))} FROM e), s AS (SELECT *, {sums} FROM p)
+SELECT vec_id, {pick(0)} AS x, {pick(1)} AS y FROM s"""
+
+
+@query(_rand_sql())
+def transport_rand_frozen(spark, sf):
+    return rounded(transport.transport_events(scaled(spark, sf).drop("label"), ["x", "y"], frozen(), "rand", keys=["vec_id"], seed=7))
+
+
+def _step_sql() -> str:
+    """Sums of a round of expectation-maximisation: for each component, of posterior times 1, x, y, xx, xy, yy; and the log-likelihood."""
+    m = frozen().source
+
+    def density(k: int) -> str:
+        p, mean = np.linalg.inv(m.covariances[k]).tolist(), m.means[k].tolist()
+        size = float(m.weights[k] / (2 * np.pi * np.sqrt(np.linalg.det(m.covariances[k]))))
+        return f"{size!r} * exp(-0.5 * ({p[0][0]!r} * (x - {mean[0]!r}) ** 2 + {2 * p[0][1]!r} * (x - {mean[0]!r}) * (y - {mean[1]!r}) + {p[1][1]!r} * (y - {mean[1]!r}) ** 2))"
+
+    parts = " UNION ALL ".join(f"SELECT {k} AS component, round(sum(r), 6) AS n, round(sum(r * x), 4) AS x, round(sum(r * y), 4) AS y, round(sum(r * x * x), 2) AS xx, round(sum(r * x * y), 2) AS xy, round(sum(r * y * y), 2) AS yy FROM (SELECT x, y, d{k} / (d0 + d1) AS r FROM e)" for k in range(2))
+    return f"""WITH e AS (SELECT x, y, {density(0)} AS d0, {density(1)} AS d1 FROM (SELECT 128 + 300 * x AS x, 128 + 300 * y AS y FROM ({_POINTS})) WHERE x IS NOT NULL AND y IS NOT NULL)
+{parts} UNION ALL SELECT -1, round(sum(ln(d0 + d1)), 6), count(*), NULL, NULL, NULL, NULL FROM e"""
+
+
+@query(_step_sql())
+def mixture_step(spark, sf):
+    out = mixtures.expectation(scaled(spark, sf), ["x", "y"], [frozen().source])
+    return out.select("component", *[F.round(F.get("sums", F.lit(i)), d).alias(n) for i, (n, d) in enumerate(zip(["n", "x", "y", "xx", "xy", "yy"], [6, 4, 4, 2, 2, 2], strict=True))])
+
+
+@query()
+def mixture_fit(spark, sf):
+    """A mixture over all rows from a fixed start: its components and the rounds' mean log-likelihood."""
+    df = scaled(spark, sf)
+    found = mixtures.fit(df, ["x", "y"], [frozen().source], max_iter=20, tol=1e-6)
+    ends = mixtures.expectation(df, ["x", "y"], [found]).where("component = -1").select((F.col("sums")[0] / F.col("sums")[1]).alias("likelihood"))
+    parts = spark.createDataFrame([(k, float(found.weights[k]), *map(float, found.means[k])) for k in range(found.k)], "component int, weight double, x double, y double")
+    return parts.join(F.broadcast(ends))  # one row
+
+
 @query()
 def event_align(spark, sf):
     df = scaled(spark, sf)
