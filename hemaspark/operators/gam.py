@@ -1,4 +1,4 @@
-"""Additive models of penalised splines: Gram matrices on the cluster, small systems on the driver, corrections on the cluster."""
+"""Additive models of penalised splines: Gram matrices, their solution by feature and group, and corrections, all on the cluster."""
 
 from __future__ import annotations
 
@@ -7,11 +7,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import c, num
+from ..functions.columns import all_of, c, num
 from .arrow import map_arrow
 
 DEFAULT_SPLINES, LAMBDA, CUTOFF = 25, 0.6, 1e-11
@@ -130,11 +130,11 @@ def make_design(df: DataFrame, covariates: list[str], terms: list[tuple] | None
 GRAMS = T.StructType([T.StructField("grp", T.StringType()), T.StructField("feature", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("values", T.ArrayType(T.DoubleType()))])
 
 
-def grams(df: DataFrame, features: list[str], design: Design, group: str | None, bands: dict | None = None) -> dict[tuple[int, str | None], dict]:
-    """{(feature, group): n, BtB, Bty, yty, sum}: one pass over the data for all features.
+def grams(df: DataFrame, features: list[str], design: Design, group: str | None, bands: dict | None = None) -> DataFrame:
+    """(grp, feature, n, v: the upper half of BtB, Bty, yty and the sum of y): one pass over the data for all features.
 
     Each task adds up its own rows' matrices, of each feature's own complete rows; the sums are added by (feature, group) on the
-    cluster and come to the driver as one small matrix for each. bands: {(feature, group): (low, high)}, rows outside which don't count.
+    cluster and stay there. bands: {(feature, group): (low, high)}, rows outside which don't count. Without a group grp is empty.
     """
     p = 1 + sum(design.sizes())
     upper = np.triu_indices(p)
@@ -175,15 +175,9 @@ def grams(df: DataFrame, features: list[str], design: Design, group: str | None,
     wide = df.select((c(group).cast("string") if group else F.lit("")).alias("grp"), *[num(df, n).alias(f"x{i}") for i, n in enumerate(cov_names)], *[num(df, n).alias(f"y{i}") for i, n in enumerate(features)]).where("grp is not null")
     m = len(upper[0]) + p + 2
     parts = wide.mapInArrow(run, GRAMS).groupBy("grp", "feature")
-    added = parts.agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("values", F.lit(i))) for i in range(m)]).alias("v")) if m <= 400 else _added(wide.mapInArrow(run, GRAMS))
-    out = {}
-    for r in added.toLocalIterator():
-        v = np.array(r["v"], float)
-        btb = np.zeros((p, p))
-        btb[upper] = v[: len(upper[0])]
-        btb = btb + np.triu(btb, 1).T
-        out[r["feature"], (r["grp"] if group else None)] = {"n": r["n"], "btb": btb, "bty": v[len(upper[0]) : len(upper[0]) + p], "yty": v[-2], "sum": v[-1]}
-    return out
+    if m > 400:
+        return _added(wide.mapInArrow(run, GRAMS))
+    return parts.agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("values", F.lit(i))) for i in range(m)]).alias("v"))
 
 
 def _added(parts: DataFrame) -> DataFrame:
@@ -201,45 +195,110 @@ class Fit:
     sigma2: float = 0.0
     inverse: np.ndarray | None = None
 
+    @staticmethod
+    def of(row: dict) -> Fit:
+        p = len(row["coef"])
+        return Fit(np.array(row["coef"]), row["mean"], row["n"], row["sigma2"], np.array(row["inverse"]).reshape(p, p))
 
-def solve(g: dict, penalty: np.ndarray) -> Fit:
-    """Penalised least squares, with residual variance and the inverse for intervals. Directions that the data and the penalty leave open
-    (each term holds a constant) are left at zero."""
-    inv = np.linalg.pinv(g["btb"] + penalty, rcond=CUTOFF, hermitian=True)
-    coef = inv @ g["bty"]
-    edf = float(np.trace(inv @ g["btb"]))
-    rss = max(0.0, float(g["yty"] - 2 * coef @ g["bty"] + coef @ g["btb"] @ coef))
-    return Fit(coef, g["sum"] / g["n"], g["n"], rss / max(1.0, g["n"] - edf), inv @ g["btb"] @ inv)
 
+def solve(v: np.ndarray, n: int, penalty: np.ndarray) -> Fit:
+    """Penalised least squares of one row of grams, with residual variance and the inverse for intervals. Directions that the data and the
+    penalty leave open (each term holds a constant) are left at zero."""
+    p = len(penalty)
+    upper = np.triu_indices(p)
+    btb = np.zeros((p, p))
+    btb[upper] = v[: len(upper[0])]
+    btb = btb + np.triu(btb, 1).T
+    bty, yty, total = v[len(upper[0]) : len(upper[0]) + p], v[-2], v[-1]
+    inv = np.linalg.pinv(btb + penalty, rcond=CUTOFF, hermitian=True)
+    coef = inv @ bty
+    edf = float(np.trace(inv @ btb))
+    rss = max(0.0, float(yty - 2 * coef @ bty + coef @ btb @ coef))
+    return Fit(coef, total / n, n, rss / max(1.0, n - edf), inv @ btb @ inv)
 
-def apply_corrections(df: DataFrame, features: list[str], design: Design, fits: dict[tuple[str, str | None], tuple[np.ndarray, float]], group: str | None) -> DataFrame:
-    """x - prediction + reference where covariates and x are there and the group has a model; otherwise x as it is. The coefficients
-    (as many as features, groups and basis columns) are sent to the tasks; rows stay in place."""
-    names = df.columns
-    have = [n for n in features if n in names]
-    wide = df.select(*[num(df, n).alias(n) if n in have else c(n) for n in names], (c(group).cast("string") if group else F.lit("")).alias("_g"), *[num(df, n).alias(f"_x{i}") for i, n in enumerate(design.covariates)])
-    schema = T.StructType([f for f in wide.schema.fields if f.name != "_g" and not f.name.startswith("_x") or f.name in names])
-    shared = df.sparkSession.sparkContext.broadcast((design, fits))
+
+FITS = T.StructType([T.StructField("grp", T.StringType()), T.StructField("feature", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("mean", T.DoubleType()), T.StructField("sigma2", T.DoubleType()), T.StructField("coef", T.ArrayType(T.DoubleType())), T.StructField("inverse", T.ArrayType(T.DoubleType()))])
+
+
+def solved(sums: DataFrame, design: Design, least: int = 1) -> DataFrame:
+    """FITS of all rows of grams with `least` rows of data or more: each system is solved by the task that has it."""
+    penalty = design.penalty()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        design, fits = shared.value
         for batch in batches:
-            out = [batch.column(i) for i in range(len(names))]
-            if batch.num_rows:
-                groups = np.array(batch.column(len(names)).to_pylist(), object)
-                x = np.column_stack([batch.column(len(names) + 1 + i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(design.covariates))])
-                fine = ~np.isnan(x).any(axis=1)
-                y = {n: batch.column(names.index(n)).to_numpy(zero_copy_only=False).astype(float).copy() for n in have}
-                for g in set(groups.tolist()):
-                    rows = np.flatnonzero(fine & (groups == g)) if g is not None else np.zeros(0, int)
-                    own = [n for n in have if (n, g if group else None) in fits]
-                    if len(rows) and own:
-                        b = design.matrix(x[rows])
-                        for n in own:
-                            coef, ref = fits[n, g if group else None]
-                            y[n][rows] += ref - b @ coef
-                for n in have:
-                    out[names.index(n)] = pa.array(y[n], from_pandas=True)
-            yield pa.RecordBatch.from_arrays(out, names=names)
-
-    return map_arrow(wide, run, schema)
+            fits = [solve(np.array(v, float), n, penalty) for n, v in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            rest = [pa.array([f.mean for f in fits], pa.float64()), pa.array([f.sigma2 for f in fits], pa.float64()), *[pa.array([x.ravel().tolist() for x in y], pa.list_(pa.float64())) for y in ([f.coef for f in fits], [f.inverse for f in fits])]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *rest], names=FITS.names)
+
+    return map_arrow(sums.where(F.col("n") >= least).select("grp", "feature", "n", "v"), run, FITS)
+
+
+def places(design: Design, x: list[Column]) -> tuple[list[Column], list[Column]]:
+    """(positions, values) of the basis columns that aren't zero, for covariates x: a constant, four of each spline, one of a
+    factor, products of a tensor term. A level that the factor doesn't have has the value 0."""
+    own: dict[str, tuple[list[Column], list[Column]]] = {}
+    for n, v in zip(design.covariates, x, strict=True):
+        axis = design.axes[n]
+        if axis.kind == "f":
+            at = F.array_position(F.array(*[F.lit(float(q)) for q in axis.levels]), v).cast("int") if axis.levels else F.lit(0)
+            own[n] = ([F.greatest(at - 1, F.lit(0))], [F.when(at > 0, 1.0).otherwise(0.0)])
+            continue
+        m = axis.n if axis.kind == "cp" else axis.n - 3
+        u = (v - F.lit(float(axis.low))) / F.lit(float((axis.high - axis.low) or 1.0))
+        u = (F.pmod(u, F.lit(1.0)) if axis.kind == "cp" else F.least(F.greatest(u, F.lit(0.0)), F.lit(1.0))) * m
+        k = F.greatest(F.least(F.floor(u).cast("int"), F.lit(m - 1)), F.lit(0))
+        t = u - k
+        four = [(1 - t) * (1 - t) * (1 - t) / 6, ((3 * t - 6) * t * t + 4) / 6, (((-3 * t + 3) * t + 3) * t + 1) / 6, t * t * t / 6]
+        own[n] = ([(k + j) % axis.n if axis.kind == "cp" else k + j for j in range(4)], four)
+    at, value, first = [F.lit(0)], [F.lit(1.0)], 1
+    for term, size in zip(design.terms, design.sizes(), strict=True):
+        pos, val = [F.lit(0)], [F.lit(1.0)]
+        for n in term[1:]:
+            pos, val = [p * design.axes[n].size + q for p in pos for q in own[n][0]], [p * q for p in val for q in own[n][1]]
+        at += [F.lit(first) + p for p in pos]
+        value += val
+        first += size
+    return at, value
+
+
+#: Up to so many products a projection is written out as arithmetic, beyond as a function over arrays.
+PRODUCTS = 40
+
+
+def apply_corrections(df: DataFrame, features: list[str], design: Design, fits: DataFrame, group: str | None, offsets: DataFrame | None = None) -> DataFrame:
+    """x - prediction + reference where covariates and x are there and the group has a model; otherwise x as it is. Then its group's offset is added.
+
+    fits: grp, feature (its number in features), coef, ref; offsets: grp, offsets (an array by feature). All of a group's coefficients are one row, which is joined by
+    group: sort-merged if there are many groups, and skewed groups are split by AQE; without a group it is one row,
+    broadcast. Predictions are Catalyst expressions of the few basis columns that aren't zero at a row.
+    """
+    names = df.columns
+    have = {n: features.index(n) for n in features if n in names}
+    models = fits.groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("coef", "ref")))).alias("_fits"))  # at most as many as features
+    models = models.join(offsets.select("grp", F.col("offsets").alias("_offsets")), "grp", "full_outer") if offsets is not None else models.withColumn("_offsets", F.lit(None).cast("array<double>"))
+    models = models.select(F.col("grp").alias("_grp"), "_fits", "_offsets")
+    kept = F.struct(*[c(n) for n in names]).alias("_row")
+    x = [num(df, n).alias(f"_x{i}") for i, n in enumerate(design.covariates)]
+    wide = df.select(kept, *[num(df, n).alias(f"_y{i}") for n, i in have.items()], *x, (c(group).cast("string") if group else F.lit("")).alias("_g"))
+    at, value = places(design, [F.col(f"_x{i}") for i in range(len(design.covariates))])
+    fine = all_of([F.col(f"_x{i}").isNotNull() for i in range(len(design.covariates))])
+    wide = wide.withColumns({"_at": F.when(fine, F.array(*at)), "_w": F.when(fine, F.array(*value))})
+    wide = wide.join(models if group else F.broadcast(models), F.col("_g") == F.col("_grp"), "left")
+
+    def corrected(n: str) -> Column:
+        y, own = F.col(f"_y{have[n]}"), F.col("_fits")[have[n]]
+        if len(at) * len(have) <= PRODUCTS:
+            parts = [F.get(own["coef"], F.get("_at", F.lit(j))) * F.get("_w", F.lit(j)) for j in range(len(at))]
+            prediction = sum(parts[1:], parts[0])
+        else:
+            prediction = F.aggregate(F.zip_with("_at", "_w", lambda i, w: F.get(own["coef"], i) * w), F.lit(0.0), lambda a, v: a + v)
+        moved = F.coalesce(y - prediction + own["ref"], y)
+        return moved + F.coalesce(F.get("_offsets", F.lit(have[n])), F.lit(0.0))
+
+    return wide.select(*[corrected(n).alias(n) if n in have else F.col("_row").getField(n).alias(n) for n in names])
+
+
+def fits_of(df: DataFrame, features: list[str], fits: dict[tuple[str, str | None], tuple[np.ndarray, float]]) -> DataFrame:
+    """A table for apply_corrections of given coefficients: {(feature, group): (coefficients, reference)}."""
+    rows = [(g or "", features.index(f), [float(x) for x in coef], float(ref)) for (f, g), (coef, ref) in fits.items()]
+    return df.sparkSession.createDataFrame(rows, "grp string, feature int, coef array<double>, ref double")

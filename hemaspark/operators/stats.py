@@ -201,23 +201,29 @@ def binned_means(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
 def group_offsets(df: DataFrame, group: str, column: str, reference: str | None = None) -> DataFrame:
     """(group, mean, offset) to what all groups are moved to: the reference group's mean, or the plain mean of the groups'
     means. A reference that isn't there is an error."""
-    means = df.groupBy(c(group).alias("grp")).agg(F.avg(c(column)).alias("mean"))
+    return offsets_by_group(df, group, [column], reference).select("grp", F.get("means", F.lit(0)).alias("mean"), F.get("offsets", F.lit(0)).alias("offset"))
+
+
+def offsets_by_group(df: DataFrame, group: str, columns: list[str], reference: str | None = None) -> DataFrame:
+    """(grp, means, offsets): group_offsets of all columns in one aggregate, arrays in their order."""
+    means = df.groupBy(c(group).alias("grp")).agg(*[F.avg(c(n)).alias(f"m{i}") for i, n in enumerate(columns)])
+    at = range(len(columns))
     if reference is None:
-        ref = means.agg(F.avg("mean").alias("ref"))
+        ref = means.agg(*[F.avg(f"m{i}").alias(f"r{i}") for i in at])
     else:
-        ref = means.where(F.col("grp").cast("string") == str(reference)).agg(F.max("mean").alias("ref"))
-        if ref.first()[0] is None:
+        ref = means.where(F.col("grp").cast("string") == str(reference)).select(*[F.col(f"m{i}").alias(f"r{i}") for i in at])
+        row = ref.first()
+        if row is None or all(row[f"r{i}"] is None for i in at):
             raise ValueError(f"no group {reference!r}")
-    return means.join(F.broadcast(ref)).select("grp", "mean", (F.col("ref") - F.col("mean")).alias("offset"))  # ref is one row
+    both = means.join(F.broadcast(ref))  # ref is one row
+    return both.select("grp", F.array(*[F.col(f"m{i}") for i in at]).alias("means"), F.array(*[F.col(f"r{i}") - F.col(f"m{i}") for i in at]).alias("offsets"))
 
 
 def normalise_groups(df: DataFrame, group: str, columns: list[str], reference: str | None = None) -> DataFrame:
-    """Each column plus its group's offset."""
-    out = df
-    for i, n in enumerate(columns):
-        off = group_offsets(df, group, n, reference).select(F.col("grp").alias(f"_g{i}"), F.col("offset").alias(f"_o{i}"))
-        out = out.join(off, c(group).eqNullSafe(F.col(f"_g{i}")), "left")
-    return out.select(*[(c(n) + F.coalesce(f"_o{columns.index(n)}", F.lit(0.0))).alias(n) if n in columns else c(n) for n in df.columns])
+    """Each column plus its group's offset: one aggregate and one join for all columns."""
+    off = offsets_by_group(df, group, columns, reference).select(F.col("grp").alias("_g"), F.col("offsets").alias("_o"))
+    out = df.join(off, c(group).eqNullSafe(F.col("_g")), "left")
+    return out.select(*[(c(n) + F.coalesce(F.get("_o", F.lit(columns.index(n))), F.lit(0.0))).alias(n) if n in columns else c(n) for n in df.columns])
 
 
 def conditional_mean(df: DataFrame, column: str, conditions: list[Column]) -> DataFrame:

@@ -258,9 +258,10 @@ class CovariateCorrector:
         self.centralise, self.reference_condition, self.least = centralise, reference_condition, least
         self.normalise, self.reference_group = normalise_groups, reference_group
         self.kinds: dict[str, str] = {}
-        self.fits: dict[tuple[str, str | None], gam.Fit] = {}
-        self.references: dict[tuple[str, str | None], float] = {}
-        self.offsets: dict[tuple[str, str], float] = {}
+        #: gam.FITS, the reference of each feature's models where a condition gives one, and (grp, offsets).
+        self.fits: DataFrame | None = None
+        self.references: list[float | None] | None = None
+        self.offsets: DataFrame | None = None
         self.design: gam.Design | None = None
 
     def _kinds(self, df: DataFrame) -> dict[str, str]:
@@ -284,20 +285,16 @@ class CovariateCorrector:
         x = self._forward(df)
         self.design = gam.make_design(x, self.covariates, self.terms, self.n_splines, self.cyclic, self.lam)
         bands = self._bands(x) if self.centralise is not None else None
-        penalty = self.design.penalty()
-        self.fits = {(self.features[f], g): gam.solve(v, penalty) for (f, g), v in gam.grams(x, self.features, self.design, self.group, bands).items() if v["n"] >= self.least}
-        self.references = {k: v.mean for k, v in self.fits.items()}
+        self.fits = written(gam.solved(gam.grams(x, self.features, self.design, self.group, bands), self.design, self.least), "fits")
         if self.reference_condition is not None:
             from ..functions.columns import all_of
 
             row = x.agg(*[F.avg(F.when(all_of(list(self.reference_condition.values())), c(n))).alias(f"_{i}") for i, n in enumerate(self.features)]).first()
-            self.references = {(n, g): row[f"_{self.features.index(n)}"] for n, g in self.fits if row[f"_{self.features.index(n)}"] is not None}
+            self.references = list(row)
+        self.offsets = None
         if self.normalise and self.group:
-            fixed = self._corrected(x)
-            for n in self.features:
-                for r in stats.group_offsets(fixed.where(c(self.group).isNotNull()), self.group, n, self.reference_group).collect():
-                    if r["offset"] is not None:
-                        self.offsets[n, str(r["grp"])] = r["offset"]
+            found = stats.offsets_by_group(self._corrected(x).where(c(self.group).isNotNull()), self.group, self.features, self.reference_group)
+            self.offsets = written(found.select(F.col("grp").cast("string").alias("grp"), "offsets"), "offsets")
         return self
 
     def _bands(self, x: DataFrame) -> dict:
@@ -308,30 +305,29 @@ class CovariateCorrector:
         return {(self.features.index(r["column"]), str(r[self.group]) if self.group else ""): (r["median"] - self.centralise * r["mad"], r["median"] + self.centralise * r["mad"]) for r in rows if r["median"] is not None}
 
     def _corrected(self, x: DataFrame) -> DataFrame:
-        fits = {k: (v.coef, self.references[k]) for k, v in self.fits.items() if k in self.references}
-        return gam.apply_corrections(x, self.features, self.design, fits, self.group)
+        ref = F.col("mean") if self.references is None else F.get(F.array(*[F.lit(r).cast("double") for r in self.references]), F.col("feature"))
+        fits = self.fits.select("grp", "feature", "coef", ref.alias("ref")).where("ref is not null")
+        return gam.apply_corrections(x, self.features, self.design, fits, self.group, self.offsets)
 
     def transform(self, df: DataFrame) -> DataFrame:
         if self.design is None:
             raise RuntimeError("not fitted")
         out = self._corrected(self._forward(df))
-        new = {}
-        for n in self.features:
-            if n not in out.columns:
-                continue
-            value = c(n)
-            own = {g: o for (f, g), o in self.offsets.items() if f == n}
-            if own:
-                value = value + F.coalesce(F.create_map(*[F.lit(v) for g, o in own.items() for v in (g, float(o))])[c(self.group).cast("string")], F.lit(0.0))
-            new[n] = inverse(value, self.kinds[n])
-        return out.select(*[new[n].alias(n) if n in new else c(n) for n in out.columns])
+        return out.select(*[inverse(c(n), self.kinds[n]).alias(n) if n in self.features else c(n) for n in out.columns])
+
+    def fit_of(self, feature: str, group: str | None = None) -> gam.Fit:
+        """One model: a row of the fits."""
+        row = self.fits.where((F.col("feature") == self.features.index(feature)) & (F.col("grp") == ("" if group is None else str(group)))).first()
+        if row is None:
+            raise KeyError((feature, group))
+        return gam.Fit.of(row)
 
     def fit_transform(self, df: DataFrame) -> DataFrame:
         return self.fit(df).transform(df)
 
     def partial_dependence(self, feature: str, covariate: str, group: str | None = None, n: int = 100) -> dict[str, np.ndarray]:
         """Grid, effect and 95 % interval of the covariate's own term (the first that is of it alone)."""
-        fit, d = self.fits[feature, group], self.design
+        fit, d = self.fit_of(feature, group), self.design
         k = next((i for i, t in enumerate(d.terms) if t[1:] == (covariate,) or list(t[1:]) == [covariate]), None)
         if k is None:
             raise ValueError(f"{covariate!r} has no term of its own")
@@ -347,11 +343,11 @@ class CovariateCorrector:
         return {"grid": grid, "effect": effect, "low": effect - half, "high": effect + half}
 
     def to_json(self) -> str:
-        """Everything but reference_condition, which only fitting needs."""
+        """Everything but reference_condition, which only fitting needs. The text is as large as the models of all features and groups."""
         d = self.design
         state = {n: getattr(self, n) for n in ("covariates", "features", "group", "terms", "n_splines", "cyclic", "lam", "transforms", "centralise", "reference_group", "least")}
-        fits = [[f, g, v.coef.tolist(), v.mean, v.n, v.sigma2, v.inverse.tolist(), self.references.get((f, g))] for (f, g), v in self.fits.items()]
-        return json.dumps({"state": state, "normalise": self.normalise, "kinds": self.kinds, "fits": fits, "offsets": [[f, g, o] for (f, g), o in self.offsets.items()], "terms": [list(t) for t in d.terms], "axes": {k: vars(a) for k, a in d.axes.items()}})
+        rows = lambda t: [list(r) for r in t.collect()] if t is not None else None
+        return json.dumps({"state": state, "normalise": self.normalise, "kinds": self.kinds, "fits": rows(self.fits), "references": self.references, "offsets": rows(self.offsets), "terms": [list(t) for t in d.terms], "axes": {k: vars(a) for k, a in d.axes.items()}})
 
     @staticmethod
     def from_json(text: str) -> CovariateCorrector:
@@ -360,11 +356,10 @@ class CovariateCorrector:
         out = CovariateCorrector(**{**s, "terms": [tuple(t) for t in s["terms"]] if s["terms"] else None, "cyclic": tuple(s["cyclic"])}, normalise_groups=d["normalise"])
         out.kinds = d["kinds"]
         out.design = gam.Design(s["covariates"], [tuple(t) for t in d["terms"]], {k: gam.Axis(**a) for k, a in d["axes"].items()}, s["lam"])
-        for f, g, coef, mean, n, sigma2, inv, ref in d["fits"]:
-            out.fits[f, g] = gam.Fit(np.array(coef), mean, n, sigma2, np.array(inv))
-            if ref is not None:
-                out.references[f, g] = ref
-        out.offsets = {(f, g): o for f, g, o in d["offsets"]}
+        spark = SparkSession.active()
+        out.fits = spark.createDataFrame([tuple(r) for r in d["fits"]], gam.FITS)
+        out.references = d["references"]
+        out.offsets = spark.createDataFrame([tuple(r) for r in d["offsets"]], "grp string, offsets array<double>") if d["offsets"] is not None else None
         return out
 
 

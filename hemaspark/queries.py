@@ -735,7 +735,7 @@ SELECT {KEY}, round(l_extendedprice + 100 - (c[1] + {" + ".join(terms)}), 3) AS
 def _corrected_by(spark: SparkSession, sf: str, tensor: bool) -> DataFrame:
     design, coef = frozen_design(tensor)
     df = table(spark, sf, "lineitem").selectExpr(*KEY.split(", "), "l_extendedprice", "l_quantity", "l_tax")
-    out = gam.apply_corrections(df, ["l_extendedprice"], design, {("l_extendedprice", None): (coef, 100.0)}, None)
+    out = gam.apply_corrections(df, ["l_extendedprice"], design, gam.fits_of(df, ["l_extendedprice"], {("l_extendedprice", None): (coef, 100.0)}), None)
     return rounded(out.drop("l_quantity", "l_tax"), 3)
 
 
@@ -750,6 +750,20 @@ def tensor_frozen(spark, sf):
     return _corrected_by(spark, sf, True)
 
 
+@query(f"""WITH b AS (SELECT {KEY}, l_returnflag, CAST(l_extendedprice AS DOUBLE) AS y, (CAST(l_quantity AS DOUBLE) - 25.5) / 24.5 AS x FROM lineitem WHERE l_returnflag IS NOT NULL),
+o AS (SELECT *, x - avg(x) OVER g AS p, y - avg(y) OVER g AS r, avg(y) OVER g AS m FROM b WINDOW g AS (PARTITION BY l_returnflag)),
+q0 AS (SELECT *, x * x - avg(x * x) OVER g - p * sum(x * x * p) OVER g / sum(p * p) OVER g AS q FROM o WINDOW g AS (PARTITION BY l_returnflag)),
+s0 AS (SELECT *, x * x * x - avg(x * x * x) OVER g - p * sum(x * x * x * p) OVER g / sum(p * p) OVER g - q * sum(x * x * x * q) OVER g / sum(q * q) OVER g AS s FROM q0 WINDOW g AS (PARTITION BY l_returnflag))
+SELECT {KEY}, l_returnflag, round(m + r - p * sum(r * p) OVER g / sum(p * p) OVER g - q * sum(r * q) OVER g / sum(q * q) OVER g - s * sum(r * s) OVER g / sum(s * s) OVER g, 3) AS l_extendedprice
+FROM s0 WINDOW g AS (PARTITION BY l_returnflag)""")
+def spline_fitted(spark, sf):
+    """Splines fitted by group. Four of them without a penalty span the cubic polynomials, so the normal equations can be solved by
+    orthogonal polynomials in SQL."""
+    df = table(spark, sf, "lineitem").where("l_returnflag is not null").selectExpr(*KEY.split(", "), "l_returnflag", "l_extendedprice", "l_quantity")
+    out = api.CovariateCorrector(["l_quantity"], ["l_extendedprice"], group="l_returnflag", n_splines=4, lam=0.0).fit_transform(df)
+    return rounded(out.drop("l_quantity"), 3)
+
+
 @query()
 def domain_encoder(spark, sf):
     df = table(spark, sf, "embeddings").select("vec_id", "label", (F.col("label") % 2).alias("task"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(16)])
