@@ -23,8 +23,8 @@ CLASSES, CLASS_SIZE, HIDDEN = 32, 32, 32
 #: documents). From there all training documents are learnt from: one pass in ROUNDS shares, dealt by a hash of the document to
 #: shards of some SHARD_WORDS words, whose weights are averaged.
 START_WORDS, START_DOCS, EPOCHS, START_LANES = 400_000, 64, 3, 16
-ROUNDS, SHARD_WORDS = (0.25, 0.75), 1 << 20
-LANES, STEPS, WIDTH, RATE, SEED = 256, 24, 256, 0.1, 9
+ROUNDS, SHARD_WORDS = (0.25, 0.75), 1 << 18
+LANES, STEPS, WIDTH, RATE, SEED = 512, 24, 256, 0.1, 9
 #: Weights of so many tasks are averaged by one.
 FAN_IN = 8
 END = b""  # no word is empty
