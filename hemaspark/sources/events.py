@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import logging
+import re
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,7 +15,9 @@ from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions.columns import c, fsc_log, num
-from .tables import header
+from .tables import mangled
+
+log = logging.getLogger("hemaspark")
 
 NAME = r"^([A-Za-z0-9-]+)_\[([^\]]*)\]\[([^\]]*)\]\[(\d{8}_\d{6})\]\[([^\]]*)\]"
 OVERFLOW = r"\.116\(\d+\)\.csv$"
@@ -45,8 +52,6 @@ def file_key(name: Column) -> Column:
 
 
 def without_overflow(paths: list[str]) -> list[str]:
-    import re
-
     return [p for p in paths if not re.search(OVERFLOW, p)]
 
 
@@ -83,22 +88,51 @@ def overflow_chains(files: DataFrame, name: str = "name") -> DataFrame:
     return rows.withColumn("_seen", F.dense_rank().over(order)).where("_no <= 1 or _no = _seen + 1 and _no <= 99").drop("_key", "_no", "_seen")
 
 
+def headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, name, line): each file's first line, in one pass for all files."""
+    raw = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
+    first = raw.where("at = 0").withColumn("n", F.monotonically_increasing_id()).groupBy("path").agg(F.min_by("value", "n").alias("line"))
+    plain = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
+    return first.select(plain.alias("path"), F.element_at(F.split(plain, "/"), -1).alias("name"), F.regexp_replace("line", "^\ufeff", "").alias("line"))
+
+
 def read_events(spark: SparkSession, path: str | list[str], channel: str, samples: DataFrame | None = None) -> DataFrame:
     """All files of a channel as one table: file key and facts of the name beside the events. Overflow files belong to their file,
-    up to the first gap in their numbers (see overflow_chains). Rows of other channels' files are left out; `samples` (a list of
-    numbers) limits the rows, too."""
-    first = path if isinstance(path, str) else path[0]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in header(spark, first)])
-    raw = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(path)
-    name = F.element_at(F.split(F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))), "/"), -1)
-    raw = raw.withColumn("_file", name)
-    chained = overflow_chains(raw.where(is_overflow(F.col("_file"))).select("_file").distinct(), "_file").withColumnRenamed("_file", "_kept")
-    raw = raw.where(~is_overflow(F.col("_file"))).unionByName(raw.join(chained, F.col("_file") == F.col("_kept"), "left_semi"))
-    facts = file_facts(F.col("_file"))
-    raw = raw.withColumns(facts | {"file_key": file_key(F.col("_file"))}).where(F.col("channel").eqNullSafe(F.lit(channel)) | F.col("channel").isNull())
+    up to the first gap in their numbers (see overflow_chains).
+
+    Each file is read by its own header: files with the same header are one scan, and scans are put together by column name. Which
+    files are read is decided on their names: those of other channels are left out, and `samples` (a list of numbers) limits
+    them, too. A file without the channel's columns is logged and left out; none at all is an error.
+    """
+    files = headers(spark, path)
+    facts = file_facts(F.col("name"))
+    files = files.withColumns({"channel": facts["channel"], "sample_number": facts["sample_number"]}).where(F.col("channel").eqNullSafe(F.lit(channel)) | F.col("channel").isNull())
     if samples is not None:
-        raw = raw.join(samples.select(F.col(samples.columns[0]).alias("_sid")), F.col("sample_number") == F.col("_sid"), "left_semi")
-    return preprocess(raw, channel, ["file_key", *facts])
+        files = files.join(samples.select(F.col(samples.columns[0]).alias("_sid")).distinct(), F.col("sample_number") == F.col("_sid"), "left_semi")
+    files = overflow_chains(files.select("path", "name", "line"), "name")
+    needed = set(channel_columns(channel)) - ({"FSCW"} if channel == "PLTF" else set()) | ({"Data"} if channel in ("RBC", "PLT") else set() if channel == "RET" else {"RepeatCount"}) | ({"Phase"} if channel == "PLTF" else set())
+    scans = []
+    for line, paths in files.groupBy("line").agg(F.sort_array(F.collect_list("path"))).orderBy("line").collect():  # names of files only
+        names = mangled(next(csv.reader([line])))
+        if missing := sorted(needed - set(names)):
+            for p in paths:
+                log.warning("%s: no columns %s", p, missing)
+            continue
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        literal = [re.sub(r"([][{}*?\\])", r"\\\1", p) for p in paths]  # names hold brackets, which are no patterns here
+        raw = spark.read.schema(schema).option("header", True).csv(literal)
+        if channel == "PLTF" and "FSCW" not in names:
+            raw = raw.withColumn("FSCW", F.lit(None).cast("string"))
+        name = F.element_at(F.split(F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))), "/"), -1)
+        raw = raw.withColumn("_file", name)
+        own = file_facts(F.col("_file"))
+        scans.append(preprocess(raw.withColumns(own | {"file_key": file_key(F.col("_file"))}), channel, ["file_key", *own]))
+    if not scans:
+        if files.isEmpty():  # other channels or samples only
+            kinds = {"measured_at": "timestamp_ntz"} | {n: "double" for n in channel_columns(channel) or ["Data"]}
+            return spark.createDataFrame([], ", ".join(f"`{n}` {kinds.get(n, 'string')}" for n in ["file_key", *facts, *(channel_columns(channel) or ["Data"])]))
+        raise ValueError(f"no file of {channel} could be read")
+    return reduce(lambda a, b: a.unionByName(b), scans)
 
 
 def concatenated(frames: list[DataFrame]) -> DataFrame:
@@ -141,21 +175,25 @@ def preprocess_all(spark: SparkSession, paths: dict[str, str | list[str]], folde
 FCS = T.StructType([T.StructField("file_key", T.StringType()), T.StructField("n_events", T.LongType()), T.StructField("content", T.BinaryType())])
 
 
-def fcs_bytes(values: np.ndarray, names: list[str], facts: dict[str, str]) -> bytes:
-    """A flow cytometry standard file (FCS 3.1): header, text of keywords, little-endian 32-bit floats, event by event."""
-    data = np.ascontiguousarray(values, "<f4").tobytes()
+def fcs_header(count: int, top: np.ndarray, names: list[str], facts: dict[str, str]) -> bytes:
+    """Header and text of keywords of a flow cytometry standard file (FCS 3.1) with `count` events of little-endian 32-bit floats, whose
+    greatest values are `top`; the data follow."""
     escape = lambda x: str(x).replace("/", "//") or " "
-    own = {"$BEGINANALYSIS": 0, "$ENDANALYSIS": 0, "$BEGINSTEXT": 0, "$ENDSTEXT": 0, "$BYTEORD": "1,2,3,4", "$DATATYPE": "F", "$MODE": "L", "$NEXTDATA": 0, "$PAR": len(names), "$TOT": len(values)}
+    own = {"$BEGINANALYSIS": 0, "$ENDANALYSIS": 0, "$BEGINSTEXT": 0, "$ENDSTEXT": 0, "$BYTEORD": "1,2,3,4", "$DATATYPE": "F", "$MODE": "L", "$NEXTDATA": 0, "$PAR": len(names), "$TOT": count}
     for i, n in enumerate(names):
-        column = values[:, i] if len(values) else np.zeros(1)
-        own |= {f"$P{i + 1}B": 32, f"$P{i + 1}E": "0,0", f"$P{i + 1}N": n, f"$P{i + 1}R": int(np.ceil(column.max())) + 1}
+        own |= {f"$P{i + 1}B": 32, f"$P{i + 1}E": "0,0", f"$P{i + 1}N": n, f"$P{i + 1}R": int(np.ceil(top[i])) + 1}
     # Offsets are of fixed width, so the text's length doesn't depend on them.
     text = lambda a, b: "/" + "".join(f"{k}/{escape(v)}/" for k, v in ({"$BEGINDATA": f"{a:012d}", "$ENDDATA": f"{b:012d}"} | own | facts).items())
     begin = 58 + len(text(0, 0).encode())
-    end = begin + max(len(data), 1) - 1
+    end = begin + max(4 * count * len(names), 1) - 1
     raw = text(begin, end).encode()
     short = lambda x: f"{x if x < 10**8 else 0:>8d}"
-    return f"FCS3.1    {short(58)}{short(begin - 1)}{short(begin)}{short(end)}{short(0)}{short(0)}".encode() + raw + data
+    return f"FCS3.1    {short(58)}{short(begin - 1)}{short(begin)}{short(end)}{short(0)}{short(0)}".encode() + raw
+
+
+def fcs_bytes(values: np.ndarray, names: list[str], facts: dict[str, str]) -> bytes:
+    """A whole file: header, text, data event by event."""
+    return fcs_header(len(values), values.max(axis=0) if len(values) else np.zeros(len(names)), names, facts) + np.ascontiguousarray(values, "<f4").tobytes()
 
 
 def fcs_files(events: DataFrame, channel: str) -> DataFrame:

@@ -146,3 +146,66 @@ def test_saved_arrays_and_matching_tables(spark, tmp_path):
     (tmp_path / "x" / "one.csv").write_text("a,b\n1,2\n")
     (tmp_path / "x" / "y" / "two.csv").write_text("b,c\n3,4\n")
     assert sorted(tables.read_matching(spark, str(tmp_path)).select("a", "b", "c").collect(), key=lambda r: r.b) == [("1", "2", None), (None, "3", "4")]
+
+
+def event_files(folder):
+    """Two orders of columns, an overflow chain with a gap, another channel, a broken file."""
+    folder.mkdir()
+    other = BASE.replace("AB12", "CD34")
+    (folder / f"{BASE}.116.csv").write_text("SFL,FSC,RepeatCount\n1,2,0\n3,,0\n5,6,1\n")
+    (folder / f"{BASE}.116(1).csv").write_text("RepeatCount,FSC,SFL\n0,8,7\n")
+    (folder / f"{BASE}.116(3).csv").write_text("SFL,FSC,RepeatCount\n9,9,0\n")
+    (folder / f"{other}.116.csv").write_text("FSC,SFL\n20,10\n40,30\nx,1\n")
+    (folder / f"{BASE.replace('RET', 'WDF')}.116.csv").write_text("SSC,SFL,FSC,FSCW,RepeatCount\n1,2,3,4,0\n")
+    (folder / f"{BASE.replace('AB12', 'EF56')}.116.csv").write_text("SFL,nothing\n1,2\n")
+    return {("AB12", 1.0, 2.0), ("AB12", 7.0, 8.0), ("CD34", 10.0, 20.0), ("CD34", 30.0, 40.0)}
+
+
+def test_files_are_read_by_their_own_headers(spark, tmp_path, caplog):
+    want = event_files(tmp_path / "raw")
+    rows = events.read_events(spark, str(tmp_path / "raw"), "RET").collect()
+    assert {(r.sample_number, r.SFL, r.FSC) for r in rows} == want and len(rows) == len(want)
+    assert "EF56" in caplog.text and "FSC" in caplog.text
+    some = events.read_events(spark, str(tmp_path / "raw"), "RET", spark.createDataFrame([("CD34",), ("CD34",)], "s string"))
+    assert some.count() == 2 and "AB12" not in str(some.inputFiles())
+    with pytest.raises(ValueError):
+        events.read_events(spark, str(tmp_path / "raw"), "RET", spark.createDataFrame([("EF56",)], "s string"))
+
+
+def test_event_source(spark, tmp_path):
+    from hemaspark.sources import event_source
+
+    want = event_files(tmp_path / "raw")
+    event_source.register(spark)
+    df = spark.read.format("events").option("channel", "RET").load(str(tmp_path / "raw"))
+    plain = events.read_events(spark, str(tmp_path / "raw"), "RET")
+    assert df.columns == plain.columns and dict(df.dtypes) == dict(plain.dtypes)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(df.collect(), key=key) == sorted(plain.collect(), key=key) and len(want) == df.count()
+    assert df.rdd.getNumPartitions() == 3  # a chain each, the broken one as well
+    one = spark.read.format("events").option("channel", "RET").load(str(tmp_path / "raw")).where("sample_number = 'CD34' AND SFL > 15")
+    assert [r.FSC for r in one.collect()] == [40.0] and one.rdd.getNumPartitions() == 1  # chosen by name
+    assert spark.read.format("events").option("channel", "RET").option("samples", "zz").load(str(tmp_path / "raw")).count() == 0
+    wdf = spark.read.format("events").option("channel", "WDF").load(str(tmp_path / "raw")).collect()
+    assert [(r.SSC, r.FSCW) for r in wdf] == [(1.0, 4.0)]
+
+
+def test_binary_sink(spark, tmp_path):
+    from hemaspark.sources import event_source
+
+    names = events.channel_columns("RET")
+    rng = np.random.default_rng(1)
+    rows = [(f"f/{k}", f"S{k}", *map(float, r)) for k in range(4) for r in rng.integers(0, 40, (500, len(names)))] + [("g", "S9", *[0.0] * len(names))]
+    df = spark.createDataFrame(rows, ", ".join(["file_key string", "sample_number string", *[f"{n} double" for n in names]])).repartition(5)
+    event_source.write_fcs(df, str(tmp_path / "out"), "RET")
+    want = {r.file_key: sorted(parsed(bytes(r.content))[1]) for r in events.fcs_files(df, "RET").collect()}
+    found = {}
+    for p in (tmp_path / "out").iterdir():
+        text, values = parsed(p.read_bytes())
+        found[text["Filename"]] = sorted(values)
+    assert found == want and found["g"] == [] and len(found["f/1"]) > 300
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["f%2F0.fcs", "f%2F1.fcs", "f%2F2.fcs", "f%2F3.fcs", "g.fcs"]
+    broken = df.withColumn("SFL", F.when(F.col("file_key") == "f/3", F.raise_error(F.lit("lost"))).otherwise(F.col("SFL")))
+    with pytest.raises(Exception, match="lost"):
+        event_source.write_fcs(broken, str(tmp_path / "failed"), "RET")
+    assert not (tmp_path / "failed").exists() or list((tmp_path / "failed").iterdir()) == []
