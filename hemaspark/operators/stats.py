@@ -82,26 +82,115 @@ def quantiles_of(counts: DataFrame, fractions: list[float]) -> DataFrame:
     return wide.select(*keys, F.array(*[value(i, f) for i, f in enumerate(fractions)]).alias("q"))
 
 
-def quantiles(df: DataFrame, columns: list[str], fractions: list[float], by: list[str] | None = None) -> DataFrame:
-    """(_k0, ..., column, q) of the columns that have values."""
-    return quantiles_of(value_counts(df, columns, by), fractions)
+#: Values that a sketch keeps, and the rank that it may be off by (three times its error at 99 %, and the ends' rounding).
+SKETCH = 2048
+OFF = 3 * 2.296 / SKETCH**0.9723 + 0.001
+#: Fractions for which pivots pay: beyond, most values are near one of the ranks.
+PIVOTS = 12
+#: Values between the pivots of a rank that one window orders; more are dealt to ranges.
+SMALL = 1 << 20
+
+
+def _wide(df: DataFrame, columns: list[str], by: list[str] | None) -> DataFrame:
+    """Keys as _k<j> and columns as numbers, _x<i>: no name of theirs can clash."""
+    return df.select(*[c(n).alias(f"_k{j}") for j, n in enumerate(by or [])], *[num(df, n).alias(f"_x{i}") for i, n in enumerate(columns)])
 
 
-def _medians_of(counts: DataFrame) -> DataFrame:
-    """(keys, median, mad) from value counts."""
-    keys = [n for n in counts.columns if n not in ("x", "k")]
-    med = written(quantiles_of(counts, [0.5]).select(*keys, F.col("q")[0].alias("median")), "medians")
-    far = counts.join(med, _same(counts, med, keys)).select(*[counts[n] for n in keys], F.abs(F.col("x") - F.col("median")).alias("x"), "k").groupBy(*keys, "x").agg(F.sum("k").alias("k"))
-    mad = quantiles_of(far, [0.5]).select(*keys, F.col("q")[0].alias("mad"))
-    return med.join(mad, _same(med, mad, keys)).select(*[med[n] for n in keys], "median", "mad")
+def _pivoted(wide: DataFrame, keys: list[str], columns: int, fractions: list[float]) -> DataFrame:
+    """(keys, _c, _f, x, k): value counts for each column and fraction, of values between two pivots that hold its ranks; all below count as
+    -inf, all above as inf.
+
+    The pivots are quantiles of a mergeable sketch, a little below and above each fraction: one aggregate, whose sketches are
+    small. A second pass counts: what is shuffled is the few values between pivots. Neither pass sorts or moves the values themselves.
+    """
+    at = [(i, j) for i in range(columns) for j in range(len(fractions))]
+    sketched = wide.groupBy(*keys).agg(*[e for i in range(columns) for e in (F.count(f"_x{i}").alias(f"_n{i}"), F.kll_sketch_agg_double(f"_x{i}", SKETCH).alias(f"_s{i}"))])
+
+    def pivot(i: int, rank: float, end: float) -> Column:
+        if not 0 < rank < 1:
+            return F.lit(end)
+        return F.when(F.col(f"_n{i}") <= SKETCH, end).otherwise(F.kll_sketch_get_quantile_double(f"_s{i}", F.lit(rank)))
+
+    pivots = sketched.select(*keys, F.array(*[pivot(i, fractions[j] - OFF, float("-inf")) for i, j in at]).alias("_low"), F.array(*[pivot(i, fractions[j] + OFF, float("inf")) for i, j in at]).alias("_high"))
+    if keys:
+        pivots = written(pivots.toDF(*[f"{k}_" for k in keys], "_low", "_high"), "pivots")
+        both = wide.join(pivots, all_of([F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]))
+        bound = lambda side, q: F.get(side, F.lit(q))
+    else:
+        row = pivots.first()  # two numbers for each column and fraction
+        both, bound = wide, lambda side, q: F.lit(float(row[side][q]))
+    parts = []
+    for q, (i, j) in enumerate(at):
+        x = F.col(f"_x{i}")
+        parts.append(F.when(x.isNotNull(), F.struct(F.lit(i).alias("_c"), F.lit(j).alias("_f"), F.when(x < bound("_low", q), float("-inf")).when(x > bound("_high", q), float("inf")).otherwise(x).alias("x"))))
+    rows = both.select(*keys, F.explode(F.array(*parts)).alias("_r")).where("_r is not null").select(*keys, "_r.*")
+    return rows.groupBy(*keys, "_c", "_f", "x").agg(F.count(F.lit(1)).alias("k"))
+
+
+def _interpolated(low: Column, high: Column, place: Column) -> Column:
+    return F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+
+def _at_ranks(counts: DataFrame, keys: list[str], fractions: list[float]) -> DataFrame:
+    """(keys, _c, q): from _pivoted, by a window for each rank."""
+    by = [*keys, "_c", "_f"]
+    line = Window.partitionBy(*by).orderBy("x")
+    run = counts.withColumns({"_b": F.coalesce(F.sum("k").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_n": F.sum("k").over(Window.partitionBy(*by))})
+    run = run.withColumn("_p", F.get(F.array(*[F.lit(float(f)) for f in fractions]), F.col("_f")) * (F.col("_n") - 1))
+    holds = lambda r: (r >= F.col("_b")) & (r < F.col("_b") + F.col("k"))
+    found = run.groupBy(*by).agg(F.max("_p").alias("_p"), F.max(F.when(holds(F.floor("_p")), F.col("x"))).alias("_l"), F.max(F.when(holds(F.ceil("_p")), F.col("x"))).alias("_h"))
+    found = found.select(*by, _interpolated(F.col("_l"), F.col("_h"), F.col("_p")).alias("v"))
+    return found.groupBy(*keys, "_c").agg(F.transform(F.array_sort(F.collect_list(F.struct("_f", "v"))), lambda r: r["v"]).alias("q"))
+
+
+def _selected(wide: DataFrame, keys: list[str], columns: int, fractions: list[float]) -> DataFrame:
+    """(keys, _c, q): exact quantiles of the columns _x<i> that have values. See _pivoted; should a sketch have been off by
+    more than its pivots allow (or should values be infinite), ranks are found among all values."""
+    names = [f"_x{i}" for i in range(columns)]
+
+    def of_all() -> DataFrame:
+        rows = F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(n).alias("x")) for i, n in enumerate(names)])).alias("_r")
+        every = wide.select(*keys, rows).select(*keys, "_r.*").where("x is not null").groupBy(*keys, "_c", "x").agg(F.count(F.lit(1)).alias("k"))
+        return quantiles_of(every, fractions)
+
+    if len(fractions) > PIVOTS:
+        return of_all()
+    counts = written(_pivoted(wide, keys, columns, fractions), "pivoted")
+    most = counts.groupBy(*keys, "_c", "_f").count().agg(F.max("count")).first()[0]
+    if most is not None and most > SMALL:
+        every = quantiles_of(counts, fractions)  # all fractions for each, of which its own is right
+        found = every.groupBy(*keys, "_c").agg(F.transform(F.array_sort(F.collect_list(F.struct("_f", "q"))), lambda r: F.get(r["q"], r["_f"])).alias("q"))
+    else:
+        found = _at_ranks(counts, keys, fractions)
+    found = written(found, "quantiles")
+    off = F.exists("q", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    return of_all() if not found.where(off).isEmpty() else found
+
+
+def quantiles(df: DataFrame, columns: list[str], fractions: list[float], by: list[str] | None = None) -> DataFrame:
+    """(_k0, ..., column, q): exact quantiles, interpolated, of the columns that have values."""
+    keys = [f"_k{j}" for j in range(len(by or []))]
+    found = _selected(_wide(df, columns, by), keys, len(columns), fractions)
+    return found.select(*keys, F.get(F.array(*[F.lit(n) for n in columns]), F.col("_c")).alias("column"), "q")
 
 
 def median_mad(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """(by..., column, median, mad): exact medians, and medians of the distances to them, null values aside; a column (of a group)
-    without values has no row. Values are counted by value once; ranks are found by ranges (see running_counts)."""
+    without values has no row. Four passes over the rows and no shuffle of values: see _pivoted."""
     by = by or []
-    rows = _medians_of(written(value_counts(df, columns, by), "counts"))
-    return rows.select(*[F.col(f"_k{j}").alias(n) for j, n in enumerate(by)], "column", "median", "mad")
+    keys, wide = [f"_k{j}" for j in range(len(by))], _wide(df, columns, by)
+    med = _selected(wide, keys, len(columns), [0.5]).select(*keys, "_c", F.col("q")[0].alias("median"))
+    if keys:
+        med = written(med, "medians")
+        own = med.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_c", "median"))).alias("_m")).toDF(*[f"{k}_" for k in keys], "_m")
+        both = wide.join(own, all_of([F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]))
+        far = both.select(*keys, *[F.abs(F.col(f"_x{i}") - F.col("_m")[i]).alias(f"_x{i}") for i in range(len(columns))])
+    else:
+        value = {r["_c"]: r["median"] for r in med.collect()}  # a number for each column
+        far = wide.select(*[F.abs(F.col(f"_x{i}") - F.lit(value.get(i)).cast("double")).alias(f"_x{i}") for i in range(len(columns))])
+    mad = _selected(far, keys, len(columns), [0.5]).select(*keys, "_c", F.col("q")[0].alias("mad"))
+    named = F.get(F.array(*[F.lit(n) for n in columns]), med["_c"]).alias("column")
+    return med.join(mad, _same(med, mad, [*keys, "_c"])).select(*[med[k].alias(n) for k, n in zip(keys, by, strict=True)], named, "median", "mad")
 
 
 def mad_parameters(df: DataFrame, columns: list[str]) -> dict[str, dict[str, float]]:
@@ -157,10 +246,11 @@ def improvement(before: Column, after: Column) -> Column:
 def alignment_quality(source: DataFrame, target: DataFrame, moved: DataFrame, columns: list[str], least: int = 10) -> DataFrame:
     """By column: distances to the target before and after, of medians, MADs, Wasserstein and KS, and their improvement in per cent.
     Columns with fewer than `least` values on a side are left out."""
-    # Rows are read once; medians of all three tables, and distances of both pairs, are found together.
+    # Medians of all three tables, and distances of both pairs, are found together.
     named = [value_counts(df, columns).withColumn("side", F.lit(k)) for k, df in (("s", source), ("t", target), ("m", moved))]
     counts = written(reduce(lambda x, y: x.unionByName(y), named), "counts")
-    stats = written(_medians_of(counts), "medians")
+    sides = reduce(lambda x, y: x.unionByName(y), [df.select(F.lit(k).alias("side"), *[num(df, n).alias(n) for n in columns]) for k, df in (("s", source), ("t", target), ("m", moved))])
+    stats = written(median_mad(sides, columns, ["side"]), "medians")
     stats = [stats.where(F.col("side") == k).select("column", F.col("median").alias(f"med_{k}"), F.col("mad").alias(f"mad_{k}")) for k in "stm"]
     pair = lambda k, name, i: _side(counts.where(F.col("side") == k).drop("side").withColumn("pair", F.lit(name)), i)
     pairs = [pair("s", "before", 0), pair("t", "before", 1), pair("m", "after", 0), pair("t", "after", 1)]

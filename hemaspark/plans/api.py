@@ -3,31 +3,57 @@
 from __future__ import annotations
 
 import json
+import logging
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.columns import c, forward, gate_last, inverse, num
+from ..functions.columns import any_of, c, forward, gate_last, inverse, is_true, num
 from ..operators import clean, encoder, gam, gmm, mixtures, profile, repeats, sampling, stats, transport
 from ..sources import config, tables
 from ..storage import written
 
+log = logging.getLogger("hemaspark")
+
 
 @dataclass
 class CleanResult:
-    """The cleaned table, rows of samples that disagree, rows of samples that disagree once, correlations, missing shares."""
+    """The cleaned table, rows of samples that disagree, rows of samples that disagree once, correlations, missing shares, and how many
+    rows each stage dropped (or flagged)."""
 
     main: DataFrame
     odd: DataFrame | None = None
     one_different: DataFrame | None = None
     report: DataFrame | None = None
     missing: DataFrame | None = None
+    dropped: dict[str, int] = field(default_factory=dict)
     files: dict[str, str] = field(default_factory=dict)
 
 
+class StageCounts:
+    """Rows that each stage drops, or flags with new drop* columns, as metrics observed while the stages' result is written: no job of
+    their own. Tasks that run twice count once, as a metric is taken from the run that counts."""
+
+    def __init__(self) -> None:
+        self._seen: list[tuple[str, Observation, list[str]]] = []
+
+    def watch(self, df: DataFrame, stage: str) -> DataFrame:
+        """df after a stage (the first one watched is the input)."""
+        before = self._seen[-1][2] if self._seen else df.columns
+        flags = [n for n in df.columns if n.startswith("drop") and n not in before]
+        seen = Observation()
+        self._seen.append((stage, seen, df.columns))
+        return df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(any_of([is_true(c(n)) for n in flags])).alias("flagged"))
+
+    def dropped(self) -> dict[str, int]:
+        """By stage, after the table that was watched has been written."""
+        rows = [(stage, seen.get) for stage, seen, _ in self._seen]
+        return {stage: old["rows"] - new["rows"] + new["flagged"] for (_, old), (stage, new) in zip(rows, rows[1:], strict=False)}
+
+
 class SampleCleaner:
     """Cleaning of sample tables.
 
@@ -51,22 +77,23 @@ class SampleCleaner:
         self.diagnostics, self.fmt = diagnostics, fmt
         self.last: CleanResult | None = None
 
-    def prepared(self, df: DataFrame) -> DataFrame:
+    def prepared(self, df: DataFrame, counts: StageCounts | None = None) -> DataFrame:
         """The stages before the repeats: one plan, two shuffles (duplicates; none for the rest)."""
-        df = clean.first_of_duplicate_columns(df)
-        df = clean.drop_duplicate_rows(df)
-        df = clean.remove_technical_samples(df, flag=self.keep_drop_rows)
+        watch = counts.watch if counts else lambda df, stage: df
+        df = watch(clean.first_of_duplicate_columns(df), "input")
+        df = watch(clean.drop_duplicate_rows(df), "duplicates")
+        df = watch(clean.remove_technical_samples(df, flag=self.keep_drop_rows), "technical samples")
         if clean.DISCRETE in df.columns:
             df = clean.mask_channels(df)
         df = clean.process_marks(clean.encode_flags(clean.drop_unused_columns(df)), one_hot=self.one_hot_marks)
-        return clean.remove_clotted(df, flag=self.keep_drop_rows) if self.remove_clotted else df
+        return watch(clean.remove_clotted(df, flag=self.keep_drop_rows), "clotted") if self.remove_clotted else df
 
     def clean(self, df: DataFrame) -> CleanResult:
-        table = written(self.prepared(df), "prepared")
-        odd = one = None
+        counts, odd, one = StageCounts(), None, None
+        table = written(self.prepared(df, counts), "prepared")
         if self.consolidate:
             table, odd, one = repeats.consolidate_repeats(table, self.std_threshold, flag=self.keep_drop_rows)
-            table = written(table, "consolidated")
+            table = written(counts.watch(table, "repeats"), "consolidated")
             odd, one = repeats.anonymised(odd), repeats.anonymised(one)
         table = clean.drop_redundant(clean.promote_numeric(clean.null_sentinels(table)))
         report = profile.correlation_report(table)
@@ -74,7 +101,9 @@ class SampleCleaner:
             table = profile.drop_correlated(table, report)
         if self.keep_drop_rows:
             table = clean.drop_union(table)
-        self.last = CleanResult(table, odd, one, report, clean.missing_share(table))
+        self.last = CleanResult(table, odd, one, report, clean.missing_share(table), counts.dropped())
+        for stage, n in self.last.dropped.items():
+            log.info("%s: %d rows dropped", stage, n)
         return self.last
 
     def clean_files(self, spark: SparkSession, paths: list[str] | str, dataset: str | None = None, save: bool = True) -> DataFrame:

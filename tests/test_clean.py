@@ -119,8 +119,12 @@ def test_whole_cleaning(spark, tmp_path, samples):
     assert "Rack" not in result.main.columns and "HGB_SI(mmol/L)" not in result.main.columns
     assert result.odd.count() == 2 and result.one_different.count() == 2
     assert {(r.anchor, r.feature) for r in result.report.collect()} >= {("HGB(g/dL)", "HCT(%)")}
-    kept = SampleCleaner(keep_drop_rows=True).clean(df).main
+    rows = [df.count(), clean.drop_duplicate_rows(df).count(), clean.remove_technical_samples(clean.drop_duplicate_rows(df)).count(), result.main.count()]
+    assert result.dropped == {"duplicates": rows[0] - rows[1], "technical samples": rows[1] - rows[2], "clotted": 0, "repeats": rows[2] - rows[3]}
+    flagged = SampleCleaner(keep_drop_rows=True).clean(df)
+    kept = flagged.main
     assert kept.count() == 13 and kept.where("drop").count() == 8
+    assert flagged.dropped == result.dropped
     paths = [f"{tmp_path}/in.csv"]
     df.select(*[c(n).cast("string").alias(n) for n in df.columns]).toPandas().to_csv(paths[0], index=False)
     main = cleaner.clean_files(spark, paths, "set")
@@ -141,3 +145,19 @@ def test_large_samples_are_ranked_in_shares(spark, monkeypatch):
         many = repeats.consolidate_repeats(df, 1.0, ["a", "b"], "s", ("d",), flag)
         assert [sorted(map(str, x.collect())) for x in many] == want
         monkeypatch.undo()
+
+
+def test_stage_counts_take_no_jobs(spark, samples, monkeypatch):
+    from hemaspark.plans import api
+
+    def jobs(group):
+        spark.sparkContext.setJobGroup(group, "counted")
+        try:
+            SampleCleaner(keep_drop_rows=True).clean(samples.withColumn("Discrete", F.lit("CBC")))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    with_counts = jobs("with counts")
+    monkeypatch.setattr(api.StageCounts, "watch", lambda self, df, stage: df)
+    assert with_counts == jobs("without counts")

@@ -133,3 +133,40 @@ def test_quantiles_by_ranks(spark):
         v = np.array([x[1] for x in rows if x[0] == r.g and x[1] is not None])
         assert math.isclose(r["median"], np.median(v)) and math.isclose(r["mad"], np.median(np.abs(v - np.median(v))))
     assert stats.quantiles(df.where("false"), ["x"], [0.5]).count() == 0
+
+
+def test_exact_quantiles_by_pivots(spark, monkeypatch):
+    """Large columns, groups and ties: equal to numpy's, by windows and by ranges, and where sketches were off."""
+    rng = np.random.default_rng(12)
+    n = 30_000
+    a, b, g = rng.normal(size=n), rng.integers(0, 5, n).astype(float), rng.integers(0, 3, n)
+    b[rng.random(n) < 0.1] = np.nan
+    df = spark.createDataFrame([(int(k) or None, float(x), None if np.isnan(y) else float(y), None) for k, x, y in zip(g, a, b, strict=True)], "`k.1` int, `a.b` double, b double, none double").repartition(6)
+    qs = [0.0, 0.01, 0.5, 0.9, 1.0]
+
+    def check():
+        for by in (None, ["k.1"]):
+            rows = {(r["_k0"] if by else None, r["column"]): r["q"] for r in stats.quantiles(df, ["a.b", "b", "none"], qs, by).collect()}
+            parts = {None: np.ones(n, bool)} if not by else {int(k) or None: g == k for k in range(3)}
+            assert len(rows) == 2 * len(parts)
+            for k, at in parts.items():
+                assert np.allclose(rows[k, "a.b"], np.quantile(a[at], qs)) and np.allclose(rows[k, "b"], np.nanquantile(b[at], qs))
+        mads = {(r["k.1"], r["column"]): (r["median"], r["mad"]) for r in stats.median_mad(df, ["a.b", "b"], ["k.1"]).collect()}
+        for k in range(3):
+            m = np.median(a[g == k])
+            assert np.allclose(mads[int(k) or None, "a.b"], (m, np.median(np.abs(a[g == k] - m))))
+
+    check()
+    monkeypatch.setattr(stats, "SMALL", 3)
+    check()
+    monkeypatch.setattr(stats, "OFF", -0.3)  # pivots that miss every rank
+    check()
+    plan = stats._pivoted(stats._wide(df, ["a.b"], None), [], 1, [0.5])
+    assert plan.count() < 3000
+
+
+def test_quantiles_of_infinite_and_no_values(spark):
+    df = spark.createDataFrame([(float("inf"),), (1.0,), (float("-inf"),), (2.0,), (3.0,)], "x double")
+    assert stats.quantiles(df, ["x"], [0.0, 0.5, 1.0]).first()["q"] == [float("-inf"), 2.0, float("inf")]
+    assert stats.quantiles(df.where("x > 9 and x < 10"), ["x"], [0.5]).count() == 0
+    assert stats.median_mad(df.where("x = 1"), ["x"]).first()["mad"] == 0
