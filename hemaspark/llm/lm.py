@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +23,7 @@ CLASSES, CLASS_SIZE, HIDDEN = 32, 32, 32
 #: documents). From there all training documents are learnt from: one pass in ROUNDS shares, dealt by a hash of the document to
 #: shards of some SHARD_WORDS words, whose weights are averaged.
 START_WORDS, START_DOCS, EPOCHS, START_LANES = 400_000, 64, 3, 16
-ROUNDS, SHARD_WORDS = (0.25, 0.75), 1 << 18
+ROUNDS, SHARD_WORDS = (0.25, 0.75), 1 << 19
 LANES, STEPS, WIDTH, RATE, SEED = 512, 24, 256, 0.1, 9
 #: Weights of so many tasks are averaged by one.
 FAN_IN = 8
@@ -42,26 +42,55 @@ def tokens(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), END]
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(all words of all texts, as tokens makes them, without ends; how many words each text has)."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    words, owner = lists.flatten(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    full = pc.greater(pc.binary_length(words), 0)
+    return words.filter(full).cast(pa.binary()), np.bincount(owner[full.to_numpy(zero_copy_only=False)], minlength=len(lists)).astype(np.int64)
+
+
+#: Words that are counted together by a task.
+COUNTED = 2_000_000
+
+
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, c) over all tokens of docs: counted by task, summed by word. The end is the empty word."""
     bound_arrow(docs.sparkSession)
     schema = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("c", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=schema.names)
+        held, size, ends = [], 0, 0
+
+        def counted() -> pa.RecordBatch:
+            found = pc.value_counts(pa.chunked_array([*held, pa.array([END] * (ends > 0), pa.binary())]))
+            word, c = found.field(0), found.field(1).to_numpy().copy()
+            if ends:
+                c[pc.index(word, pa.scalar(END, pa.binary())).as_py()] = ends
+            return pa.RecordBatch.from_arrays([word, pa.array(c, pa.int64())], names=schema.names)
+
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                seen.update(tokens(text))
-                if len(seen) > 200_000:
-                    yield out()
-                    seen.clear()
-        if seen:
-            yield out()
+            words, lengths = split(batch.column(0))
+            held.append(words)
+            size, ends = size + len(words), ends + len(lengths)
+            if size >= COUNTED:
+                yield counted()
+                held, size, ends = [], 0, 0
+        if ends:
+            yield counted()
 
     return docs.select(text_col).mapInArrow(run, schema).groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def _sigmoid(x: np.ndarray) -> None:
+    """x becomes 1 / (1 + exp(-x))."""
+    np.negative(x, out=x)
+    np.minimum(x, 80, out=x)
+    np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
+
+
 class GatedModel:
     """A gated recurrent unit; P(word) = P(class | state) * P(word | class, state). Ids from `known` on are the rare class."""
 
@@ -93,13 +122,13 @@ class GatedModel:
         k = self.hidden
         a = h @ self.p["u"]
         zr = x[:, : 2 * k] + a[:, : 2 * k]
-        zr *= 0.5
-        np.tanh(zr, out=zr)
-        zr += 1
-        zr *= 0.5
+        _sigmoid(zr)
         n = zr[:, k:] * a[:, 2 * k :]
         n += x[:, 2 * k :]
-        np.tanh(n, out=n)
+        n *= 2  # tanh(x) = 2 sigmoid(2x) - 1, which takes numpy half the time
+        _sigmoid(n)
+        n *= 2
+        n -= 1
         new = h - n
         new *= zr[:, :k]
         new += n
@@ -359,7 +388,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dict
     complete, unseen_base, unseen_rare = v_all == len(top), float(np.log10(0.5 / unit)), float(np.log10(0.5 / rare))
     model = GatedModel(known, rank.get(END, 0))
     n_docs = int(c[rank[END]]) if END in rank else 0
-    shared = spark.sparkContext.broadcast((rank, log_base, log_rare))  # at most `dictionary` words
+    shared = spark.sparkContext.broadcast(([bytes(r[0]) for r in top], log_base, log_rare, rank.get(END, 0)))  # at most `dictionary` words
     rest_type = T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())]))
     facts = [T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("more", T.DoubleType()), T.StructField("rest", rest_type)]
     head = [T.StructField("_row", T.LongType()), T.StructField("_id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType())]
@@ -369,28 +398,34 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dict
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        rank, log_base, log_rare = shared.value
+        vocabulary, log_base, log_rare, end = shared.value
+        known_words = pa.array(vocabulary, pa.binary())
         number = TaskContext.get().partitionId() << 33
-        look = rank.get
         for batch in batches:
-            ids, lengths, found = [], [], []
-            for text in batch.column(3).cast(pa.binary()).to_pylist():
-                words = tokens(text)
-                at = np.fromiter(map(look, words, repeat(-1)), np.int64, len(words))
-                new = at < 0
-                have = at[~new]
-                n_new = int(new.sum())
-                rest = [] if complete or not n_new else [{"word": w, "n": n} for w, n in Counter(map(words.__getitem__, np.flatnonzero(new).tolist())).items()]
-                base, more = float(log_base[have].sum()), float(log_rare[have].sum())
-                if complete:
-                    base, more = base + n_new * unseen_base, more + n_new * unseen_rare
-                ids.append(np.where(new | (at >= known), known, at).astype(np.int16).tobytes())
-                lengths.append(len(words))
-                found.append((len(have), base, more, rest))
-            row = np.arange(number, number + len(ids))
-            number += len(ids)
-            columns = [pa.array([x[j] for x in found], t) for j, t in enumerate((pa.int64(), pa.float64(), pa.float64(), arrow_rest))]
-            yield pa.RecordBatch.from_arrays([pa.array(row), batch.column(0), batch.column(1), batch.column(2), pa.array(lengths, pa.int64()), *columns, pa.array(ids, pa.binary())], names=schema.names)
+            words, lengths = split(batch.column(3))
+            if not len(lengths):
+                continue
+            # Places of the words and, behind each text's, its end.
+            last = np.cumsum(lengths + 1) - 1
+            at = np.full(len(words) + len(lengths), end, np.int64)
+            inner = np.ones(len(at), bool)
+            inner[last] = False
+            at[inner] = pc.fill_null(pc.index_in(words, value_set=known_words), -1).to_numpy(zero_copy_only=False)
+            new = at < 0
+            first = last - lengths
+            total = lambda x: np.add.reduceat(x, first)  # noqa: B023, E731
+            base, more = total(np.where(new, unseen_base if complete else 0.0, log_base[at])), total(np.where(new, unseen_rare if complete else 0.0, log_rare[at]))
+            rest: list[list[dict]] = [[] for _ in lengths]
+            if not complete and new.any():
+                owner = np.repeat(np.arange(len(lengths)), lengths + 1)[new].tolist()
+                for (i, w), n in Counter(zip(owner, words.filter(pa.array(new[inner])).to_pylist(), strict=True)).items():
+                    rest[i].append({"word": w, "n": n})
+            ids = np.where(new | (at >= known), known, at).astype(np.int16)
+            row = np.arange(number, number + len(lengths))
+            number += len(lengths)
+            columns = [pa.array(lengths + 1), pa.array(total((~new).astype(np.int64))), pa.array(base), pa.array(more), pa.array(rest, arrow_rest)]
+            packed = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(np.concatenate([[0], 2 * (last + 1)]).astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(row), batch.column(0), batch.column(1), batch.column(2), *columns, packed], names=schema.names)
 
     encoded = written(base.select("_id", "held_out", F.xxhash64(F.col("_id").cast("string"), "_text").alias("key"), "_text").mapInArrow(encode, schema), "encoded")
     model = GatedModel(known, rank.get(END, 0))
