@@ -25,6 +25,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
 #: Shingles of a part of a bucket: a task holds two parts at a time.
 PART = 1 << 18
+#: Texts that a bitmap is made for.
+BITMAP = 1 << 24
 #: Columns of the incidence matrix that are multiplied at a time.
 COLUMNS = 1 << 13
 
@@ -89,29 +91,36 @@ def named(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("_id", "_th", "_text").mapInArrow(run, schema)
 
 
-def wanted(docs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """(node, x): the sets of the texts (_th) asked for, made anew from docs, as they are larger than texts. A bitmap of the
-    texts' hashes, 16 bits each up to 32 MB, goes to every task and drops nearly all other texts before anything is cut or
-    shuffled; what it lets through needlessly finds no partner."""
-    n = texts.count()
-    size = 1 << min(28, max(10, (16 * n).bit_length()))
+def bitmap(texts: DataFrame, size: int) -> bytes:
+    """The bits of all hashes (_th) modulo size, a power of two, little-endian: words of 64 bits are put together by all tasks."""
+    at = F.col("_th").bitwiseAND(F.lit(size - 1))
+    words = texts.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(_th & {min(63, size - 1)} as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(max(1, size >> 6), np.int64)
+    out[words["w"].to_numpy()] = words["b"].to_numpy()
+    return out.tobytes()
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(size, bool)
-        for batch in batches:
-            bits[batch.column(0).to_numpy() & (size - 1)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
-    packed = texts.select("_th").coalesce(1).mapInArrow(fill, "bits binary").collect()
-    shared = docs.sparkSession.sparkContext.broadcast(packed[0][0] if packed else bytes(size >> 3))
+def wanted(docs: DataFrame, texts: DataFrame, shingle: int, most: int = BITMAP) -> DataFrame:
+    """(node, x): the sets of the texts (_th) asked for, made anew from docs, as they are larger than texts.
+
+    Up to `most` texts, a bitmap of their hashes, 16 bits each (32 MB), goes to every task and drops nearly all other texts before
+    anything is cut or shuffled; what it lets through needlessly finds no partner. More texts are joined by hash.
+    """
+    n = texts.count()
+    size = 1 << max(10, (16 * n).bit_length())
+    if n > most:
+        docs, shared = docs.join(texts.select("_th"), "_th", "left_semi"), None
+    else:
+        shared = docs.sparkSession.sparkContext.broadcast(bitmap(texts, size))
     schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("x", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = np.unpackbits(np.frombuffer(shared.value, np.uint8)).view(bool), set()
+        bits, seen = np.frombuffer(shared.value, np.int64) if shared else None, set()
         for batch in batches:
             nodes, sets = [], []
             th, texts = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary())
-            for k in np.flatnonzero(bits[th & (size - 1)]).tolist():
+            asked = np.ones(len(th), bool) if bits is None else bits[(th & (size - 1)) >> 6] >> (th & 63) & 1
+            for k in np.flatnonzero(asked).tolist():
                 if int(th[k]) not in seen:  # copies within a task are sent once
                     seen.add(int(th[k]))
                     own = shingles(texts[k].as_py(), shingle)

@@ -84,3 +84,20 @@ def test_stage_on_the_given_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = corpus_pipeline.near_duplicate_stage(spark, docs, sf)
     assert sorted(r.doc_id for r in kept.collect()) == brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_texts_asked_for(spark):
+    """By bitmap and by join: the sets of the texts asked for are there, and nearly no others."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    texts = [f"one two three four five six {i} {i * 7} eight nine ten" for i in range(400)]
+    docs = spark.createDataFrame([(t,) for t in texts * 2], "_text string").withColumn("_th", F.xxhash64("_text")).repartition(5)
+    asked = docs.where(F.pmod("_th", F.lit(4)) == 1).select("_th").distinct()
+    want = {shingles._node(shingles.shingles(r["_text"])) for r in docs.join(asked, "_th").select("_text").collect()}
+    for most in (1 << 24, 10):
+        found = {r.node: np.frombuffer(r.x, np.int64) for r in shingles.wanted(docs, asked, 5, most).collect()}
+        assert want <= set(found) and len(found) < len(want) + 60 and all(shingles._node(x) == n for n, x in found.items())
+    bits = np.frombuffer(shingles.bitmap(asked, 1 << 13), np.int64)
+    on = {i for i in range(1 << 13) if bits[i >> 6] >> (i & 63) & 1}
+    assert on == {r["_th"] & ((1 << 13) - 1) for r in asked.collect()}
