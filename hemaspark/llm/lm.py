@@ -257,7 +257,7 @@ class GatedModel:
             loss, n = loss + one, n + k
         return loss, n
 
-    def score(self, documents: list[np.ndarray], lanes: int = 2 * LANES, steps: int = STEPS) -> np.ndarray:
+    def score(self, documents: list[np.ndarray], lanes: int = LANES, steps: int = 2 * STEPS) -> np.ndarray:
         """Log10-probability of each whole document (a rare id: of its class).
 
         Documents run one behind the other in lanes of about equal length, no more lanes than the longest document leaves work for;
