@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import c, num
+from ..functions.columns import argmax, c, num
 from .arrow import map_arrow
 
 
@@ -287,8 +287,11 @@ def logistic_accuracy(df: DataFrame, codes: str, label: str, test: DataFrame | N
     from pyspark.ml.feature import StringIndexer
     from pyspark.ml.functions import array_to_vector
 
-    ready = lambda d: d.where(c(codes).isNotNull() & c(label).isNotNull()).select(array_to_vector(c(codes)).alias("features"), c(label).cast("string").alias("name"))
+    ready = lambda d: d.where(c(codes).isNotNull() & c(label).isNotNull()).select(array_to_vector(c(codes)).alias("features"), c(codes).cast("array<double>").alias("codes"), c(label).cast("string").alias("name"))
     index = StringIndexer(inputCol="name", outputCol="label", handleInvalid="skip").fit(ready(df))
     model = LogisticRegression(maxIter=50).fit(index.transform(ready(df)))
-    rows = model.transform(index.transform(ready(test if test is not None else df)))
+    # Margins as expressions: the model's own transform takes the session along, which can't be sent once rows have been observed in it.
+    margins = [F.aggregate(F.zip_with("codes", F.array(*[F.lit(float(w)) for w in row]), lambda x, w: x * w), F.lit(float(b)), lambda s, v: s + v) for row, b in zip(model.coefficientMatrix.toArray(), model.interceptVector.toArray(), strict=True)]
+    predicted = F.when(margins[0] > 0, 1).otherwise(0) if len(margins) == 1 else argmax(margins)
+    rows = index.transform(ready(test if test is not None else df)).withColumn("prediction", predicted.cast("double"))
     return rows.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]

@@ -35,7 +35,8 @@ class CleanResult:
 
 class StageCounts:
     """Rows that each stage drops, or flags with new drop* columns, as metrics observed while the stages' result is written: no job of
-    their own. Tasks that run twice count once, as a metric is taken from the run that counts."""
+    their own. Spark 4.1 can't send a session that has observed rows to tasks, which Spark ML's logistic models try to when they
+    transform; count_stages=False leaves counts out."""
 
     def __init__(self) -> None:
         self._seen: list[tuple[str, Observation, list[str]]] = []
@@ -63,7 +64,7 @@ class SampleCleaner:
     say why it would.
     """
 
-    def __init__(self, config_path: str | None = None, remove_clotted: bool = True, consolidate: bool = True, remove_correlated: bool = False, std_threshold: float = 1.0, keep_drop_rows: bool = False, one_hot_marks: bool = False, output_dir: str = "./output", output_prefix: str = "cleaned", diagnostics: bool = False, fmt: str = "parquet", spark: SparkSession | None = None) -> None:
+    def __init__(self, config_path: str | None = None, remove_clotted: bool = True, consolidate: bool = True, remove_correlated: bool = False, std_threshold: float = 1.0, keep_drop_rows: bool = False, one_hot_marks: bool = False, output_dir: str = "./output", output_prefix: str = "cleaned", diagnostics: bool = False, fmt: str = "parquet", spark: SparkSession | None = None, count_stages: bool = True) -> None:
         tree = config.load_yaml(config_path, spark) if config_path else {}
         proc, out = tree.get("processing", {}), tree.get("output", {})
         self.tree = tree
@@ -74,7 +75,7 @@ class SampleCleaner:
         self.keep_drop_rows = proc.get("keep_drop_rows", keep_drop_rows)
         self.one_hot_marks = proc.get("make_dummy_marks", one_hot_marks)
         self.output_dir, self.output_prefix = out.get("directory", output_dir), out.get("filename_prefix", output_prefix)
-        self.diagnostics, self.fmt = diagnostics, fmt
+        self.diagnostics, self.fmt, self.count_stages = diagnostics, fmt, count_stages
         self.last: CleanResult | None = None
 
     def prepared(self, df: DataFrame, counts: StageCounts | None = None) -> DataFrame:
@@ -90,10 +91,10 @@ class SampleCleaner:
 
     def clean(self, df: DataFrame) -> CleanResult:
         counts, odd, one = StageCounts(), None, None
-        table = written(self.prepared(df, counts), "prepared")
+        table = written(self.prepared(df, counts if self.count_stages else None), "prepared")
         if self.consolidate:
             table, odd, one = repeats.consolidate_repeats(table, self.std_threshold, flag=self.keep_drop_rows)
-            table = written(counts.watch(table, "repeats"), "consolidated")
+            table = written(counts.watch(table, "repeats") if self.count_stages else table, "consolidated")
             odd, one = repeats.anonymised(odd), repeats.anonymised(one)
         table = clean.drop_redundant(clean.promote_numeric(clean.null_sentinels(table)))
         report = profile.correlation_report(table)
