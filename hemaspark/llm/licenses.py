@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from importlib import resources
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +19,8 @@ from .common import bound_arrow
 
 THRESHOLD = 0.8
 
-#: Fixed texts: licences and the notices by which works refer to them.
-TEMPLATES: list[tuple[str, str]] = [
+#: Fixed texts: short licences and the notices by which works refer to them.
+NOTICES: list[tuple[str, str]] = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -51,8 +55,23 @@ TEMPLATES: list[tuple[str, str]] = [
     ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
 ]
+#: Whole texts of longer licences, a file each, as published.
+TEXTS = resources.files(__package__).joinpath("license_texts")
+#: Where a licence's terms end: what comes behind says how to apply it, and holds notices of its own.
+APPENDIX = re.compile(r"\n\s*(?:END OF TERMS AND CONDITIONS|ADDENDUM: How to use this License)")
+
+
+def full_texts(folder: str | None = None) -> list[tuple[str, str]]:
+    """(name, terms without their appendix) of each NAME.txt in a folder that the driver can read (this package's own)."""
+    files = sorted((f for f in (Path(folder) if folder else TEXTS).iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    return [(f.name[: -len(".txt")], APPENDIX.split(f.read_text(encoding="utf-8"), maxsplit=1)[0]) for f in files]
+
+
+TEMPLATES: list[tuple[str, str]] = NOTICES + full_texts()
 #: Templates of which a bigram's bits fill one integer.
 BITS = 63
+#: Blocks of starts a template is looked at in, and elements that are computed at once.
+BLOCKS, ELEMENTS = 64, 1 << 18
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -71,24 +90,26 @@ def dice(a: set, b: set) -> float:
 
 
 class Templates:
-    """Templates by their bigrams, and what can be known from sizes alone."""
+    """Templates by their bigrams, and what can be known from sizes alone. Built on the driver; tasks get arrays and a dictionary."""
 
     def __init__(self, templates: list[tuple[str, str]], threshold: float) -> None:
         self.names = [n for n, _ in templates]
-        self.sets = [bigrams(normalised(t)) for _, t in templates]
-        vocabulary = sorted({w for s in self.sets for b in s for w in b})
+        texts = [normalised(t) for _, t in templates]
+        sets = [bigrams(t) for t in texts]
+        self.sizes = [len(s) for s in sets]
+        vocabulary = sorted({w for s in sets for b in s for w in b})
         self.word = {w: i + 1 for i, w in enumerate(vocabulary)}
         self.width = len(vocabulary) + 1
         # A template's bit at each of its bigrams: bigrams have a number, and a row of integers under it (the row 0 has no bits).
-        known = {b: i + 1 for i, b in enumerate(sorted({(self.word[a], self.word[b]) for s in self.sets for a, b in s}))}
+        known = {b: i + 1 for i, b in enumerate(sorted({(self.word[a], self.word[b]) for s in sets for a, b in s}))}
         self.pairs = np.array([a * self.width + b for a, b in known], np.int64)
-        self.mask = np.zeros((len(known) + 1, max(1, -(-len(self.sets) // BITS))), np.int64)
-        for k, s in enumerate(self.sets):
+        self.mask = np.zeros((len(known) + 1, max(1, -(-len(sets) // BITS))), np.int64)
+        for k, s in enumerate(sets):
             for a, b in s:
                 self.mask[known[self.word[a], self.word[b]], k // BITS] |= 1 << k % BITS
-        # With |A| and |B| bigrams the coefficient is at most 2 min / (|A| + |B|): A is bounded on both sides, and must share enough.
-        self.least = [int(np.ceil(threshold / (2 - threshold) * len(s) - 1e-9)) for s in self.sets]
-        self.most = [int(np.floor((2 - threshold) / threshold * len(s) + 1e-9)) for s in self.sets]
+        # With |A| and |B| bigrams the coefficient is at most 2 min / (|A| + |B|): a window must share enough, and isn't much longer.
+        self.least = [int(np.ceil(threshold / (2 - threshold) * n - 1e-9)) for n in self.sizes]
+        self.reach = [int(np.floor((2 - threshold) / threshold * max(0, len(t) - 1) + 1e-9)) for t in texts]
         self.smallest = min(self.least, default=1)
         self.threshold = threshold
 
@@ -102,37 +123,87 @@ class Templates:
             out[at] = self.mask[np.where(self.pairs[number] == pair, number + 1, 0)]
         return out
 
+    def starts(self, mask: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(template, its bigrams' places, those of them at which a window may begin) of templates that sizes leave."""
+        some = np.flatnonzero(mask.any(axis=1))
+        mask, out = mask[some], []
+        for k, need in enumerate(self.least):
+            if len(some) < need:
+                continue
+            at = some[(mask[:, k // BITS] >> k % BITS & 1).astype(bool)]
+            if len(at) >= need > 0:
+                first = at[: len(at) - need + 1]
+                if len(first := first[at[need - 1 :] - first < self.reach[k]]):
+                    out.append((k, at, first))
+        return out
+
     def matches(self, words: list[str], mask: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(template, first word, last word, coefficient): windows of words that match, the best first, none touching
-        another. mask: templates' bits at each bigram of the text."""
-        found = []
-        for k, s in enumerate(self.sets):
-            at = np.flatnonzero(mask[:, k // BITS] >> k % BITS & 1)
-            need = self.least[k]
-            if len(at) < need:
-                continue
-            # A window begins and ends at a shared bigram, holds `need` of them and is at most `most` long.
-            starts = at[: len(at) - need + 1][at[need - 1 :] - at[: len(at) - need + 1] < self.most[k]]
-            for a in starts.tolist():
-                ends = at[(at >= a) & (at < a + self.most[k])].tolist()
-                inside: set = set()
-                shared, done, best = 0, a, (0.0, 0)
-                for e in ends:
-                    for i in range(done, e + 1):
-                        b = (words[i], words[i + 1])
-                        if b not in inside:
-                            inside.add(b)
-                            shared += b in s
-                    done = e + 1
-                    best = max(best, (2 * shared / (len(inside) + len(s)), e))
-                if best[0] >= self.threshold - 1e-12:
-                    found.append((best[0], k, a, best[1] + 1))
-        found.sort(key=lambda x: (-x[0], -len(self.sets[x[1]]), x[1], x[2]))
+        another. mask: templates' bits at each bigram of the text.
+
+        Best first: a block of neighbouring starts has a bound from its outermost ones, which counts what the first one
+        shares against what the last one holds; starts are only computed where no window that is known is better, and not at
+        all within windows that are kept.
+        """
+        left = self.starts(mask)
+        if not left:
+            return []
+        codes: dict[str, int] = {}
+        code = np.fromiter((codes.setdefault(w, len(codes)) for w in words), np.int64, len(words))
+        key = code[:-1] * len(codes) + code[1:]
+        order = np.argsort(key, kind="stable")
+        n, longest = len(key), max(self.reach[k] for k, _, _ in left) * 2 + 2
+        earlier = np.full(n + longest, n, np.int64)  # the place of the same bigram before; none: -1; behind the text nothing is new
+        earlier[order] = np.where(np.r_[False, np.diff(key[order]) == 0], np.r_[-1, order[:-1]], -1)
+        heap: list[tuple] = []
+        shared = {}
+        for k, at, first in left:
+            shared[k] = np.zeros(n + longest, bool)
+            shared[k][at] = True
+            step = max(1, self.sizes[k] // BLOCKS)
+            cut = np.flatnonzero(np.r_[True, np.diff(first // step) > 0])
+            low, high = first[cut], first[np.r_[cut[1:], len(first)] - 1]
+            score, end = self._best(k, low, high, step - 1, earlier, shared[k])
+            for i in np.flatnonzero(score >= self.threshold - 1e-12).tolist():
+                if step == 1:
+                    heap.append((-score[i], 1, -self.sizes[k], k, int(low[i]), int(end[i]) + 1))
+                else:
+                    heap.append((-score[i], 0, k, i, first[cut[i] : cut[i + 1] if i + 1 < len(cut) else len(first)]))
+        heapq.heapify(heap)
+        begins: list[int] = []
         kept: list[tuple[int, int, int, float]] = []
-        for score, k, a, b in found:
-            if all(b < x[1] or a > x[2] for x in kept):
-                kept.append((k, a, b, score))
-        return sorted(kept, key=lambda x: x[1])
+        touches = lambda a, b: bool((i := bisect_right(begins, b)) and kept[i - 1][2] >= a)
+        while heap:
+            top = heapq.heappop(heap)
+            if top[1]:
+                score, _, _, k, a, b = top
+                if not touches(a, b):
+                    i = bisect_right(begins, a)
+                    begins.insert(i, a)
+                    kept.insert(i, (k, a, b, float(-score)))
+                continue
+            k, own = top[2], np.array([a for a in top[4].tolist() if not touches(a, a)], np.int64)
+            score, end = self._best(k, own, own, 0, earlier, shared[k])
+            for i in np.flatnonzero(score >= self.threshold - 1e-12).tolist():
+                heapq.heappush(heap, (-score[i], 1, -self.sizes[k], k, int(own[i]), int(end[i]) + 1))
+        return kept
+
+    def _best(self, k: int, low: np.ndarray, high: np.ndarray, more: int, earlier: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each block of starts from low to high: a bound of its windows' coefficients and the last bigram that reaches it. A
+        block of one start has its best window's coefficient."""
+        wide = self.reach[k] + more
+        score, end = np.zeros(len(low)), np.zeros(len(low), np.int64)
+        rows = max(1, ELEMENTS // max(1, wide))
+        for i in range(0, len(low), rows):
+            a, z = low[i : i + rows, None], high[i : i + rows, None]
+            at = a + np.arange(wide)
+            before, own = earlier[at], shared[at]
+            common = np.cumsum((before < a) & own, axis=1, dtype=np.int32)
+            inside = np.cumsum((before < z) & (at >= z), axis=1, dtype=np.int32)
+            dice = np.where(own & (common >= self.least[k]), 2 * common / (np.maximum(inside, common) + self.sizes[k]), 0.0)
+            last = wide - 1 - np.argmax(dice[:, ::-1], axis=1)
+            score[i : i + rows], end[i : i + rows] = dice[np.arange(len(a)), last], at[np.arange(len(a)), last]
+        return score, end
 
 
 MATCH = T.StructType([T.StructField("license", T.StringType()), T.StructField("template", T.IntegerType()), T.StructField("dice", T.DoubleType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
@@ -142,7 +213,8 @@ def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row for each document: id_col, n_words (normalised) and matches: array of (license, template, dice, start, end).
 
     Within a whole text every window of words whose set of bigrams and a template's have a Dice coefficient of `threshold` or
-    more is looked for, that is (2 - t) / t times as long as the template at most (repeats within a window count for its length); of windows that touch, the best stays (then the longer template). start and end are code points,
+    more is looked for, that is (2 - t) / t times as long as the template at most, counting all words; of windows that touch, the best
+    of each place to begin at competes, and the best stays (then the longer template). start and end are code points,
     end exclusive. Sizes prune: a window shares at least t / (2 - t) of a template's bigrams and is at most (2 - t) / t
     times as long, so templates of which a text holds too few bigrams are never compared. Rows stay where they are.
     Null, empty and one-word texts match nothing; null ids and repeated rows are judged row by row; an empty table gives an
@@ -152,8 +224,9 @@ def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("matches", T.ArrayType(MATCH))])
     kind = pa.list_(pa.struct([("license", pa.string()), ("template", pa.int32()), ("dice", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
 
+    t = Templates(templates, threshold)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Templates(templates, threshold)
         get = t.word.get
         for batch in batches:
             sizes, rows = [], []

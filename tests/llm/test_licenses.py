@@ -1,4 +1,6 @@
 import itertools
+import random
+import time
 
 from hemaspark.llm import licenses
 
@@ -18,7 +20,7 @@ def brute(text, templates, t=0.8):
     return out
 
 
-SHORT = [x for x in licenses.TEMPLATES if len(x[1]) < 120]
+SHORT = [x for x in licenses.NOTICES if len(x[1]) < 120]
 TEXTS = [
     "the of and. Licensed under CC BY-NC 4.0. end of it", "/* Licensed under the\n * Apache License, version 2.0\n */ int main()", "released under the mit license and under the mit license", "This work is licenced under the GNU General Public License, version 3", "Licensed under CC-BY 4.0", "nothing to see here", "under the", "", None, "the " * 300,
 ]
@@ -45,6 +47,44 @@ def test_full_text_with_changes(spark):
     assert text[r.matches[0].start :].startswith("Permission is hereby granted")
 
 
+def test_long_templates_equal_brute_force(spark):
+    """Changed parts of whole licences, in blocks of starts: the best window's coefficient is the best of all windows."""
+    rng = random.Random(3)
+    own = [(n, " ".join(licenses.normalised(t)[200:420])) for n, t in licenses.full_texts() if n in ("GPL-2.0", "MPL-2.0")]
+    texts = []
+    for _, t in own * 2:
+        words = [w for w in t.split() if rng.random() > 0.04]
+        texts.append(" ".join([*rng.choices(words, k=40), *words, *words[:30]]))
+    got = licenses.license_matches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates=own).collect()
+    for r in got:
+        want = brute(texts[r.doc_id], own)
+        assert want and round(max(m.dice for m in r.matches), 9) == max(want.values())
+
+
+def test_whole_licences_without_their_notices(spark):
+    """Every long licence, with words lost and marks of comments, among other text."""
+    rng = random.Random(5)
+    full = licenses.full_texts()
+    rows = [(i, "some words before\n * " + "\n * ".join(" ".join(w for w in line.split() if rng.random() > 0.01) for line in t.splitlines()) + "\nint main();") for i, (_, t) in enumerate(full)]
+    got = {r.doc_id: r.matches for r in licenses.license_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(full) >= 13 and all([m.license for m in got[i]] == [n] and got[i][0].dice > 0.93 for i, (n, _) in enumerate(full))
+
+
+def test_a_megabyte_of_licences(spark):
+    text = "\n\n".join(t for _ in range(5) for _, t in licenses.TEMPLATES)
+    began = time.time()
+    (r,) = licenses.license_matches(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert len(text) > 1_000_000 and time.time() - began < 60
+    assert [m.license for m in r.matches] == [n for n, _ in licenses.TEMPLATES] * 5 and all(m.dice > 0.999 for m in r.matches)
+
+
+def test_repeats_make_a_window_no_longer_than_its_template_allows(spark):
+    body = next(t for n, t in licenses.NOTICES if n == "ISC")
+    texts = [body + " " + " ".join(["the software is"] * 50_000), " ".join(["of the"] * 100_000)]
+    got = {r.doc_id: r.matches for r in licenses.license_matches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [m.license for m in got[0]] == ["ISC"] and got[1] == []
+
+
 def test_bsd_variants_are_told_apart(spark):
     rows = [(i, "header\n" + t + "\ntrailer") for i, (n, t) in enumerate(licenses.TEMPLATES)]
     got = {r.doc_id: r for r in licenses.license_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
