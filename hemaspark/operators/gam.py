@@ -233,27 +233,45 @@ def solved(sums: DataFrame, design: Design, least: int = 1) -> DataFrame:
     return map_arrow(sums.where(F.col("n") >= least).select("grp", "feature", "n", "v"), run, FITS)
 
 
-def places(design: Design, x: list[Column]) -> tuple[list[Column], list[Column]]:
-    """(positions, values) of the basis columns that aren't zero, for covariates x: a constant, four of each spline, one of a
-    factor, products of a tensor term. A level that the factor doesn't have has the value 0."""
-    own: dict[str, tuple[list[Column], list[Column]]] = {}
-    for n, v in zip(design.covariates, x, strict=True):
-        axis = design.axes[n]
+def with_bases(df: DataFrame, design: Design) -> DataFrame:
+    """Adds, for each covariate (already there as _x<i>, never null), where its basis begins (_k<i>) and the basis values that aren't zero: _b<i>_0 to
+    _b<i>_3 of a spline, _b<i>_0 of a factor.
+
+    Each step is a projection of its own and uses the columns of the one before, never null ones: written out in one, the steps would
+    repeat each other's expressions, and the JVM doesn't compile what becomes of that (methods of 8,000 bytes and more are interpreted).
+    """
+    scaled, start, rest, four = {}, {}, {}, {}
+    for i, n in enumerate(design.covariates):
+        axis, v, u, k, t = design.axes[n], *(F.col(f"_{part}{i}") for part in "xukt")
         if axis.kind == "f":
-            at = F.array_position(F.array(*[F.lit(float(q)) for q in axis.levels]), v).cast("int") if axis.levels else F.lit(0)
-            own[n] = ([F.greatest(at - 1, F.lit(0))], [F.when(at > 0, 1.0).otherwise(0.0)])
+            scaled[f"_u{i}"] = (F.coalesce(F.array_position(F.array(*[F.lit(float(q)) for q in axis.levels]), v), F.lit(0)) if axis.levels else F.lit(0)).cast("int")
+            start[f"_k{i}"] = F.greatest(u - 1, F.lit(0))
+            four[f"_b{i}_0"] = F.when(u > 0, 1.0).otherwise(0.0)
             continue
         m = axis.n if axis.kind == "cp" else axis.n - 3
-        u = (v - F.lit(float(axis.low))) / F.lit(float((axis.high - axis.low) or 1.0))
-        u = (F.pmod(u, F.lit(1.0)) if axis.kind == "cp" else F.least(F.greatest(u, F.lit(0.0)), F.lit(1.0))) * m
-        k = F.greatest(F.least(F.floor(u).cast("int"), F.lit(m - 1)), F.lit(0))
-        t = u - k
-        four = [(1 - t) * (1 - t) * (1 - t) / 6, ((3 * t - 6) * t * t + 4) / 6, (((-3 * t + 3) * t + 3) * t + 1) / 6, t * t * t / 6]
-        own[n] = ([(k + j) % axis.n if axis.kind == "cp" else k + j for j in range(4)], four)
+        share = (v - F.lit(float(axis.low))) / F.lit(float((axis.high - axis.low) or 1.0))
+        scaled[f"_u{i}"] = (F.pmod(share, F.lit(1.0)) if axis.kind == "cp" else F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))) * m
+        start[f"_k{i}"] = F.greatest(F.least(F.floor(u).cast("int"), F.lit(m - 1)), F.lit(0))
+        rest[f"_t{i}"] = u - k
+        values = [(1 - t) * (1 - t) * (1 - t) / 6, ((3 * t - 6) * t * t + 4) / 6, (((-3 * t + 3) * t + 3) * t + 1) / 6, t * t * t / 6]
+        four |= {f"_b{i}_{j}": e for j, e in enumerate(values)}
+    for step in (scaled, start, rest, four):
+        df = df.withColumns(step) if step else df
+    return df
+
+
+def places(design: Design) -> tuple[list[Column], list[Column]]:
+    """(positions, values) of the basis columns that aren't zero, from the columns of with_bases: a constant, four of each spline, one of a
+    factor, products of a tensor term. A level that the factor doesn't have has the value 0."""
+    own: dict[str, tuple[list[Column], list[Column]]] = {}
+    for i, n in enumerate(design.covariates):
+        axis, k = design.axes[n], F.col(f"_k{i}")
+        width = range(1 if axis.kind == "f" else 4)
+        own[n] = ([(k + j) % axis.n if axis.kind == "cp" else k + j for j in width], [F.col(f"_b{i}_{j}") for j in width])
     at, value, first = [F.lit(0)], [F.lit(1.0)], 1
     for term, size in zip(design.terms, design.sizes(), strict=True):
-        pos, val = [F.lit(0)], [F.lit(1.0)]
-        for n in term[1:]:
+        pos, val = own[term[1]]
+        for n in term[2:]:
             pos, val = [p * design.axes[n].size + q for p in pos for q in own[n][0]], [p * q for p in val for q in own[n][1]]
         at += [F.lit(first) + p for p in pos]
         value += val
@@ -275,27 +293,30 @@ def apply_corrections(df: DataFrame, features: list[str], design: Design, fits:
     names = df.columns
     have = {n: features.index(n) for n in features if n in names}
     models = fits.groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("coef", "ref")))).alias("_fits"))  # at most as many as features
+    models = models.withColumn("_fits", F.transform(F.sequence(F.lit(0), F.lit(max(0, len(features) - 1))), lambda i: F.try_element_at("_fits", i)))  # by place: rows needn't search
     models = models.join(offsets.select("grp", F.col("offsets").alias("_offsets")), "grp", "full_outer") if offsets is not None else models.withColumn("_offsets", F.lit(None).cast("array<double>"))
     models = models.select(F.col("grp").alias("_grp"), "_fits", "_offsets")
-    kept = F.struct(*[c(n) for n in names]).alias("_row")
-    x = [num(df, n).alias(f"_x{i}") for i, n in enumerate(design.covariates)]
-    wide = df.select(kept, *[num(df, n).alias(f"_y{i}") for n, i in have.items()], *x, (c(group).cast("string") if group else F.lit("")).alias("_g"))
-    at, value = places(design, [F.col(f"_x{i}") for i in range(len(design.covariates))])
-    fine = all_of([F.col(f"_x{i}").isNotNull() for i in range(len(design.covariates))])
-    wide = wide.withColumns({"_at": F.when(fine, F.array(*at)), "_w": F.when(fine, F.array(*value))})
+    x = [num(df, n) for n in design.covariates]
+    own = [c(n).alias(f"_c{j}") for j, n in enumerate(names)]  # by place: no name of theirs can clash
+    wide = df.select(*own, *[num(df, n).alias(f"_y{i}") for n, i in have.items()], all_of([v.isNotNull() for v in x]).alias("_fine"), *[F.coalesce(v, F.lit(0.0)).alias(f"_x{i}") for i, v in enumerate(x)], (c(group).cast("string") if group else F.lit("")).alias("_g"))
+    at, value = places(design)
+    wide, written_out = with_bases(wide, design), len(at) * len(have) <= PRODUCTS
+    if not written_out:
+        wide = wide.withColumns({"_at": F.array(*at), "_w": F.array(*value)})
     wide = wide.join(models if group else F.broadcast(models), F.col("_g") == F.col("_grp"), "left")
+    wide = wide.withColumns({f"_f{i}": F.when(F.col("_fine"), F.get("_fits", F.lit(i))) for i in have.values()})
 
     def corrected(n: str) -> Column:
-        y, own = F.col(f"_y{have[n]}"), F.col("_fits")[have[n]]
-        if len(at) * len(have) <= PRODUCTS:
-            parts = [F.get(own["coef"], F.get("_at", F.lit(j))) * F.get("_w", F.lit(j)) for j in range(len(at))]
+        y, own = F.col(f"_y{have[n]}"), F.col(f"_f{have[n]}")
+        if written_out:
+            parts = [F.get(own["coef"], p) * v for p, v in zip(at, value, strict=True)]
             prediction = sum(parts[1:], parts[0])
         else:
             prediction = F.aggregate(F.zip_with("_at", "_w", lambda i, w: F.get(own["coef"], i) * w), F.lit(0.0), lambda a, v: a + v)
         moved = F.coalesce(y - prediction + own["ref"], y)
         return moved + F.coalesce(F.get("_offsets", F.lit(have[n])), F.lit(0.0))
 
-    return wide.select(*[corrected(n).alias(n) if n in have else F.col("_row").getField(n).alias(n) for n in names])
+    return wide.select(*[(corrected(n) if n in have else F.col(f"_c{j}")).alias(n) for j, n in enumerate(names)])
 
 
 def fits_of(df: DataFrame, features: list[str], fits: dict[tuple[str, str | None], tuple[np.ndarray, float]]) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import re
 
 import numpy as np
 import pytest
@@ -267,3 +268,20 @@ def test_catalyst_basis_equals_numpy(spark):
         finally:
             gam.PRODUCTS = before
         assert np.allclose([r.y for r in out], np.arange(300.0) - design.matrix(x) @ coef + 3)
+
+
+def test_corrections_are_compiled(spark, capsys):
+    """Generated methods of 8,000 bytes and more are interpreted by the JVM, those of 64 KB can't be generated at all."""
+    axes = {"a": gam.Axis("ps", 0.0, 4.0, 8), "b": gam.Axis("cp", 0.0, 24.0, 6)}
+    df = spark.range(10).select("id", *[F.when(F.col("id") > i, F.col("id").cast("double")).alias(n) for i, n in enumerate("aby")])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else only what has run has code
+    try:
+        for terms in ([("s", "a"), ("s", "b")], [("te", "a", "b")]):
+            design = gam.Design(["a", "b"], terms, axes)
+            coef = np.zeros(1 + sum(design.sizes()))
+            gam.apply_corrections(df, ["y"], design, gam.fits_of(df, ["y"], {("y", None): (coef, 3.0)}), None).explain("codegen")
+            text = capsys.readouterr().out
+            sizes = [int(s) for s in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+            assert sizes and 0 < max(sizes) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
