@@ -35,7 +35,8 @@ def is_true(condition: Column) -> Column:
 def number(col: Column) -> Column:
     """A column as double; what is no number, and NaN, is null. Suffixes that only Spark takes for numbers are not."""
     text = F.trim(col.cast("string"))
-    return F.nullif(F.when(~text.rlike("[dDfF]$") | text.rlike("(?i)inf$"), text.try_cast("double")), F.lit(float("nan")))
+    plain = ~any_of([text.contains(letter) for letter in "dDfF"])  # most are, and need no regular expression
+    return F.nullif(F.when(plain | ~text.rlike("[dDfF]$") | text.rlike("(?i)inf$"), text.try_cast("double")), F.lit(float("nan")))
 
 
 def num(df: DataFrame, name: str) -> Column:

@@ -16,12 +16,11 @@ HOT = 100_000
 SALTS = 64
 
 
-def _agreement(df: DataFrame, by: WindowSpec, rank: str, measures: list[str], spread: Row | tuple, threshold: float) -> Column:
-    """On how many measures the rows of rank 1 and 2 agree."""
-    agree = F.lit(0)
-    for i, m in enumerate(measures):
-        pair = [F.max(F.when(F.col(rank) == k, num(df, m))).over(by) for k in (1, 2)]
-        far = F.abs(pair[0] - pair[1]) > F.lit(threshold) * F.lit(spread[i])
+def _agreement(line: WindowSpec, spread: Row | tuple, threshold: float) -> Column:
+    """On how many measures (_m<i>) the first and the second row of a window in order agree."""
+    every, agree = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), F.lit(0)
+    for i in range(len(spread)):
+        far = F.abs(F.nth_value(f"_m{i}", 1).over(every) - F.nth_value(f"_m{i}", 2).over(every)) > F.lit(threshold) * F.lit(spread[i])
         agree = agree + F.when(F.coalesce(far, F.lit(False)), 0).otherwise(1)
     return agree
 
@@ -33,28 +32,31 @@ def _ranked(df: DataFrame, id_col: str, order: list[Column], measures: list[str]
     rows meet in one shuffle by its number. Of samples with more than `hot` rows (the null number is one) the two earliest rows of each
     of SALTS shares by hash are found first, and only those meet.
     """
-    spread = df.agg(*[F.stddev_samp(num(df, m)).alias(f"_{i}") for i, m in enumerate(measures)]).first() if measures else ()
-    by = Window.partitionBy(c(id_col))
+    names, kinds = df.columns, [num(df, m) for m in measures]
+    spread = df.agg(*[F.stddev_samp(m).alias(f"_{i}") for i, m in enumerate(kinds)]).first() if measures else ()
+    line = Window.partitionBy(c(id_col)).orderBy(*order)
 
     def plain(df: DataFrame) -> DataFrame:
-        out = df.withColumns({"_rn": F.row_number().over(by.orderBy(*order)), "_n": F.count(F.lit(1)).over(by)})
-        return out.withColumn("_ok", _agreement(out, by, "_rn", measures, spread, threshold))
+        """All in one window, so that a sample's rows are gone through once."""
+        every = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        out = df.withColumns({f"_m{i}": m for i, m in enumerate(kinds)})
+        return out.select(*[c(n) for n in names], F.row_number().over(line).alias("_rn"), F.count(F.lit(1)).over(every).alias("_n"), _agreement(line, spread, threshold).alias("_ok"))
 
     large = written(df.groupBy(c(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot), "large")
     if large.isEmpty():
         return plain(df)
     same = c(id_col).eqNullSafe(F.col("_id"))
     rest = df.join(large, same, "left_anti")
-    shares = df.join(large.select("_id"), same, "left_semi").withColumn("_salt", F.pmod(F.xxhash64(*[c(n) for n in df.columns]), F.lit(SALTS)))
+    shares = df.join(large.select("_id"), same, "left_semi").withColumn("_salt", F.pmod(F.xxhash64(*[c(n) for n in names]), F.lit(SALTS)))
     shares = shares.withColumn("_in", F.row_number().over(Window.partitionBy(c(id_col), "_salt").orderBy(*order)))
-    first = shares.where("_in <= 2").withColumn("_first", F.row_number().over(by.orderBy(*order)))
-    verdict = first.withColumn("_ok", _agreement(first, by, "_first", measures, spread, threshold)).where("_first = 1")
+    first = shares.where("_in <= 2").withColumns({f"_m{i}": m for i, m in enumerate(kinds)})
+    verdict = first.withColumns({"_first": F.row_number().over(line), "_ok": _agreement(line, spread, threshold)}).where("_first = 1")
     verdict = written(verdict.select(c(id_col).alias("_id"), F.col("_salt").alias("_at"), "_ok").join(large.withColumnRenamed("_id", "_i"), F.expr("_id <=> _i")).drop("_i"), "verdict")
     spread_out = shares.join(verdict, same).withColumn("_rn", F.when((F.col("_salt") == F.col("_at")) & (F.col("_in") == 1), 1).otherwise(2))
-    return plain(rest).unionByName(spread_out.select(*[c(n) for n in df.columns], "_rn", "_n", "_ok"))
+    return plain(rest).unionByName(spread_out.select(*[c(n) for n in names], "_rn", "_n", "_ok"))
 
 
-def consolidate_repeats(df: DataFrame, threshold: float = 1.0, measures: list[str] = K.CORE_MEASURES, id_col: str = ID, order_by: tuple[str, ...] = (DATE, TIME), flag: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def consolidate_repeats(df: DataFrame, threshold: float = 1.0, measures: list[str] = K.CORE_MEASURES, id_col: str = ID, order_by: tuple[str, ...] = (DATE, TIME), flag: bool = False, shared: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(main, odd, one_different).
 
     Samples with one row stay. Of others the two earliest rows are compared, whatever the number of rows: two values of a
@@ -63,11 +65,13 @@ def consolidate_repeats(df: DataFrame, threshold: float = 1.0, measures: list[st
     samples that went, one_different those of samples that disagree once. With `flag` main has all rows, with drop_dup
     (a later row of a sample that stays) and drop_dup_disagree (a row of one that goes). Rows are ordered by `order_by` as text, then by
     all other columns, so neither input order nor partitions matter. Null sample numbers are one sample.
+    With `shared` the ranks are written once, for callers that use more than one of the three tables.
     """
     present = [m for m in measures if m in df.columns]
     rest = [n for n in df.columns if n not in (*order_by, id_col)]
     order = [c(n).asc_nulls_last() for n in order_by if n in df.columns] + [c(n).asc() for n in rest]
     ranked = _ranked(df, id_col, order, present, threshold)
+    ranked = written(ranked, "ranked") if shared else ranked
     agrees = (F.col("_n") == 1) | (F.col("_ok") >= len(present) - 1)
     helpers = ("_rn", "_n", "_ok")
     if flag:

@@ -93,7 +93,7 @@ class SampleCleaner:
         counts, odd, one = StageCounts(), None, None
         table = written(self.prepared(df, counts if self.count_stages else None), "prepared")
         if self.consolidate:
-            table, odd, one = repeats.consolidate_repeats(table, self.std_threshold, flag=self.keep_drop_rows)
+            table, odd, one = repeats.consolidate_repeats(table, self.std_threshold, flag=self.keep_drop_rows, shared=True)
             table = written(counts.watch(table, "repeats") if self.count_stages else table, "consolidated")
             odd, one = repeats.anonymised(odd), repeats.anonymised(one)
         table = clean.drop_redundant(clean.promote_numeric(clean.null_sentinels(table)))

@@ -161,3 +161,26 @@ def test_stage_counts_take_no_jobs(spark, samples, monkeypatch):
     with_counts = jobs("with counts")
     monkeypatch.setattr(api.StageCounts, "watch", lambda self, df, stage: df)
     assert with_counts == jobs("without counts")
+
+
+def test_repeats_are_ranked_once(spark, samples):
+    """One window for ranks, sizes and verdicts; the cleaner's three tables read its rows instead of ranking again."""
+    from hemaspark.operators import repeats
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(repeats.consolidate_repeats(samples)[0]).count("Window [") == 1
+    result = SampleCleaner().clean(samples.withColumn("Discrete", F.lit("CBC")))
+    shared = repeats.consolidate_repeats(samples, shared=True)
+    assert not any("Window [" in plan(df) for df in (*shared, result.main))
+    for flag in (False, True):
+        for a, b in zip(repeats.consolidate_repeats(samples, flag=flag), repeats.consolidate_repeats(samples, flag=flag, shared=True), strict=True):
+            assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_numbers_of_text(spark):
+    from hemaspark.functions.columns import number
+
+    texts = ["1", " 2.5 ", "1d", "1F", "1e3", "0x1f", "inf", "-INF", "Infinity", "NaN", "nan", "----", "", "fd", "1d\n", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = [r[0] for r in df.select(number(F.col("t"))).collect()]
+    assert found == [1.0, 2.5, None, None, 1000.0, None, float("inf"), float("-inf"), float("inf"), None, None, None, None, None, None, None]
