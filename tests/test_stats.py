@@ -170,3 +170,16 @@ def test_quantiles_of_infinite_and_no_values(spark):
     assert stats.quantiles(df, ["x"], [0.0, 0.5, 1.0]).first()["q"] == [float("-inf"), 2.0, float("inf")]
     assert stats.quantiles(df.where("x > 9 and x < 10"), ["x"], [0.5]).count() == 0
     assert stats.median_mad(df.where("x = 1"), ["x"]).first()["mad"] == 0
+
+
+def test_quality_reads_each_table_once(spark, monkeypatch):
+    """Medians and MADs of a report come from the value counts that its distances need, and equal those of the rows."""
+    rng = np.random.default_rng(11)
+    rows = [(float(a), float(b) if i % 9 else None) for i, (a, b) in enumerate(zip(rng.normal(5, 2, 4001), rng.integers(0, 7, 4001), strict=True))]
+    s = spark.createDataFrame(rows, "x double, `y.z` double")
+    t = s.select((F.col("x") * 1.5 + 3).alias("x"), (F.col("`y.z`") + 1).alias("y.z")).limit(3000)
+    want = {k: stats.mad_parameters(df, ["x", "y.z"]) for k, df in (("s", s), ("t", t))}
+    monkeypatch.setattr(stats, "_selected", lambda *a: pytest.fail("rows were gone through again"))
+    for r in stats.alignment_quality(s, t, s, ["x", "y.z"]).collect():
+        a, b = want["s"][r["column"]], want["t"][r["column"]]
+        assert r.med_before == r.med_after == abs(a["median"] - b["median"]) and r.mad_before == r.mad_after == abs(a["mad"] - b["mad"])
