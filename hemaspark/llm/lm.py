@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,6 +24,8 @@ CLASSES, CLASS_SIZE, HIDDEN = 32, 32, 32
 START_WORDS, START_DOCS, EPOCHS, START_LANES = 400_000, 64, 3, 16
 ROUNDS, SHARD_WORDS = (0.25, 0.75), 1 << 19
 LANES, STEPS, WIDTH, RATE, SEED = 512, 24, 256, 0.1, 9
+#: Words whose classes are computed together, and how often a word is in a window at most to be summed along with others: of what caches hold, no matter for results.
+BLOCK, OFTEN = 2048, 48
 #: Weights of so many tasks are averaged by one.
 FAN_IN = 8
 END = b""  # no word is empty
@@ -50,8 +51,8 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.filter(full).cast(pa.binary()), np.bincount(owner[full.to_numpy(zero_copy_only=False)], minlength=len(lists)).astype(np.int64)
 
 
-#: Words that are counted together by a task.
-COUNTED = 2_000_000
+#: Words that are counted together by a task, counts that it holds before it adds them up, and words that are scored together by a task.
+COUNTED, HELD, SCORED = 1_000_000, 1_500_000, 4_000_000
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -60,37 +61,31 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     schema = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("c", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, ends = [], 0, 0
-
-        def counted() -> pa.RecordBatch:
-            found = pc.value_counts(pa.chunked_array([*held, pa.array([END] * (ends > 0), pa.binary())]))
-            word, c = found.field(0), found.field(1).to_numpy().copy()
-            if ends:
-                c[pc.index(word, pa.scalar(END, pa.binary())).as_py()] = ends
-            return pa.RecordBatch.from_arrays([word, pa.array(c, pa.int64())], names=schema.names)
+        held, size, ends, found = [], 0, 0, []
+
+        def counted(most: int) -> Iterator[pa.RecordBatch]:
+            """Counts what is held; adds up the counts if there are more than that, and hands them on if half as many are left."""
+            nonlocal held, size, ends, found
+            c = pc.value_counts(pa.chunked_array([*held, pa.array([], pa.binary())]))
+            found += [pa.table({"word": x, "c": n}) for x, n in ((c.field(0), c.field(1)), (pa.array([END] * (ends > 0), pa.binary()), pa.array([ends] * (ends > 0), pa.int64())))]
+            held, size, ends = [], 0, 0
+            if sum(len(t) for t in found) > most:
+                found = [pa.concat_tables(found).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns({"c_sum": "c"})]
+            if len(found[0]) > most // 2:  # so that no count is added up again for every few words
+                yield from found.pop().select(schema.names).to_batches(max_chunksize=100_000)
 
         for batch in batches:
             words, lengths = split(batch.column(0))
             held.append(words)
             size, ends = size + len(words), ends + len(lengths)
             if size >= COUNTED:
-                yield counted()
-                held, size, ends = [], 0, 0
-        if ends:
-            yield counted()
+                yield from counted(HELD)
+        if ends or found:
+            yield from counted(0)
 
     return docs.select(text_col).mapInArrow(run, schema).groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _sigmoid(x: np.ndarray) -> None:
-    """x becomes 1 / (1 + exp(-x))."""
-    np.negative(x, out=x)
-    np.minimum(x, 80, out=x)
-    np.exp(x, out=x)
-    x += 1
-    np.reciprocal(x, out=x)
-
-
 class GatedModel:
     """A gated recurrent unit; P(word) = P(class | state) * P(word | class, state). Ids from `known` on are the rare class."""
 
@@ -117,109 +112,172 @@ class GatedModel:
                 d[k] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
                 at += x.size
 
-    def step(self, h: np.ndarray, x: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """The state after reading words with the gate inputs x; it is zero where keep is (after an end)."""
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What a window is read with: inputs of the three gates by word, one gate behind another, and their recurrent weights, so that each
+        gate's values lie together; both negated, and those of the new state doubled, as sigmoids and tanh take them; and the weights
+        as they are for the way back."""
         k = self.hidden
-        a = h @ self.p["u"]
-        zr = x[:, : 2 * k] + a[:, : 2 * k]
-        _sigmoid(zr)
-        n = zr[:, k:] * a[:, 2 * k :]
-        n += x[:, 2 * k :]
-        n *= 2  # tanh(x) = 2 sigmoid(2x) - 1, which takes numpy half the time
-        _sigmoid(n)
-        n *= 2
-        n -= 1
-        new = h - n
-        new *= zr[:, :k]
-        new += n
-        new *= keep[:, None]
-        return new, (h, zr, n, a[:, 2 * k :], keep)
-
-    def forward(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, list[tuple], np.ndarray]:
-        """(states before each word, what the way back needs, the last state) for ids by step and lane; below 0 there is no word."""
-        x = self.p["gates"][np.maximum(ids, 0)]
-        keep = (ids != self.end).astype(self.p["u"].dtype)
-        states, saved = np.empty((*ids.shape, self.hidden), self.p["u"].dtype), []
-        for t in range(len(ids)):
-            states[t] = h
-            h, s = self.step(h, x[t], keep[t])
-            saved.append(s)
-        return states, saved, h
+        cut = lambda w: np.stack([w[:, :k], w[:, k : 2 * k], w[:, 2 * k :]])
+        u = cut(self.p["u"])
+        signs = np.array([-1, -1, -2], u.dtype)[:, None, None]
+        return (cut(self.p["gates"]) * signs).reshape(-1, k), u * signs, np.ascontiguousarray(u.transpose(0, 2, 1))
+
+    def forward(self, h: np.ndarray, ids: np.ndarray, tables: tuple | None = None, keep: bool = True, room: dict | None = None) -> tuple[np.ndarray, tuple, np.ndarray]:
+        """(states before each word, what the way back needs if it is kept, the last state) for ids by step and lane; below 0 there
+        is no word. The state after an end is zero. With a room, the next window of this shape is written over this one."""
+        (steps, lanes), k = ids.shape, self.hidden
+        gates, u, _ = tables = tables or self.tables()
+        at = np.maximum(ids, 0)[:, None] + (np.arange(3) * (self.known + 1))[:, None]
+        ends = ids == self.end
+        room = {} if room is None else room
+        if (steps, lanes) not in room:
+            room.clear()
+            room[steps, lanes] = [np.empty(shape, u.dtype) for shape in ((steps + 1, lanes, k), (steps if keep else 1, 4, lanes, k), (3, lanes, k))]
+        # held: the gates z and r, the new state's input from the state (times -2), and what the new state is mixed from.
+        states, held, x = room[steps, lanes]
+        states[0] = h
+        with np.errstate(over="ignore"):  # 1 / (1 + infinity) is 0
+            for t in range(steps):
+                s, h, new = held[t if keep else 0], states[t], states[t + 1]
+                np.take(gates, at[t], axis=0, out=x, mode="clip")
+                np.matmul(h, u, out=s[:3])
+                zr, a, n = s[:2], s[2], s[3]
+                zr += x[:2]
+                np.exp(zr, out=zr)
+                zr += 1
+                np.reciprocal(zr, out=zr)
+                np.multiply(zr[1], a, out=n)
+                n += x[2]
+                np.exp(n, out=n)  # tanh(x) = 2 sigmoid(2x) - 1, which takes numpy half the time
+                n += 1
+                np.reciprocal(n, out=n)
+                n *= 2
+                n -= 1
+                np.subtract(h, n, out=new)
+                new *= zr[0]
+                new += n
+                new[ends[t]] = 0
+        return states[:-1], (states, held, ends, tables), states[-1]
 
     def log_probs(self, h: np.ndarray, ids: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probabilities of ids (a rare id: of its class; below 0: 0), and the gradient of their negative sum by state."""
-
-        def softmax(x: np.ndarray, member: np.ndarray) -> np.ndarray:
-            """Log-probabilities of the members; x becomes all probabilities less one at the member, the gradient."""
-            np.minimum(x, 60, out=x)  # states are within 1, so larger logits don't come from a model that learns anything
-            places = rows[: len(x)], member
-            own = x[places].astype(float)
-            np.exp(x, out=x)
-            total = x @ np.ones(x.shape[1], x.dtype)
+        if len(ids) and ids.min() < 0:  # places that hold no word
+            there = np.flatnonzero(ids >= 0)
+            every, dh = np.zeros(len(ids)), None if grads is None else np.zeros_like(h)
+            every[there], some = self.log_probs(h[there], ids[there], grads)
             if grads is not None:
-                x /= total[:, None]
-                x[places] -= 1
-            return own - np.log(total)
+                dh[there] = some
+            return every, dh
+        out = np.empty(len(ids))
+        dh = None if grads is None else np.empty_like(h)
+
+        def softmax(w: np.ndarray, b: np.ndarray, x: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Log-probabilities of the members for states x, and all probabilities less one at the member, the gradient, a row for each member."""
+            d = w.T @ x.T
+            d += b[:, None]
+            np.minimum(d, 60, out=d)  # states are within 1, so larger logits don't come from a model that learns anything
+            places = member * len(x) + np.arange(len(x))
+            own = d.ravel().take(places).astype(float)
+            np.exp(d, out=d)
+            total = np.ones(len(d), d.dtype) @ d
+            if grads is not None:
+                d /= total
+                d.ravel()[places] -= 1
+            return own - np.log(total), d
 
         own = np.where(ids >= self.known, self.classes, ids // self.size).astype(np.int16)
+        for a in range(0, len(ids), BLOCK):
+            x = h[a : a + BLOCK]
+            out[a : a + BLOCK], d = softmax(self.p["w1"], self.p["b1"], x, own[a : a + BLOCK].astype(np.int64))
+            if grads is not None:
+                grads["w1"] += (d @ x).T
+                grads["b1"] += d.sum(axis=1)
+                np.matmul(d.T, self.p["w1"].T, out=dh[a : a + BLOCK])
         order = np.argsort(own, kind="stable")
-        order = order[np.searchsorted(own[order], 0) :]  # without places that hold no word
-        own, sub, at = own[order], h[order], ids[order]
-        cuts = np.searchsorted(own, np.arange(self.classes + 1))
-        rows = np.arange(len(order))
-        d = sub @ self.p["w1"]
-        d += self.p["b1"]
-        out, dsub = softmax(d, own), None
-        if grads is not None:
-            grads["w1"] += sub.T @ d
-            grads["b1"] += d.sum(axis=0)
-            dsub = d @ self.p["w1"].T
+        cuts = np.searchsorted(own[order], np.arange(self.classes + 1))
+        order = order[: cuts[-1]]  # the rare class has no words of its own
+        sub, at, inner = h[order], ids[order], np.empty(len(order))
+        dsub = None if grads is None else np.empty_like(sub)
         for c in range(self.classes):
             a, b = cuts[c], cuts[c + 1]
             if a == b:
                 continue
-            d = sub[a:b] @ self.p["w2"][c]
-            d += self.p["b2"][c]
-            out[a:b] += softmax(d, at[a:b] - c * self.size)
+            x = sub[a:b]
+            inner[a:b], d = softmax(self.p["w2"][c], self.p["b2"][c], x, at[a:b] - c * self.size)
             if grads is not None:
-                grads["w2"][c] += sub[a:b].T @ d
-                grads["b2"][c] += d.sum(axis=0)
-                dsub[a:b] += d @ self.p["w2"][c].T
-        every, dh = np.zeros(len(ids)), None
-        every[order] = out
+                grads["w2"][c] += (d @ x).T
+                grads["b2"][c] += d.sum(axis=1)
+                np.matmul(d.T, self.p["w2"][c].T, out=dsub[a:b])
+        out[order] += inner
         if grads is not None:
-            dh = np.zeros_like(h)
-            dh[order] = dsub
-        return every, dh
-
-    def backward(self, saved: list[tuple], ids: np.ndarray, dh: np.ndarray, g: dict) -> tuple[np.ndarray, np.ndarray]:
-        """Adds the gradients of a window to g, given those by state; for the gate inputs returns (rows, their gradients)."""
-        k, dx, back = self.hidden, np.empty((*ids.shape, 3 * self.hidden), dh.dtype), np.zeros_like(dh[0])
-        for t in range(len(ids) - 1, -1, -1):
-            h, zr, n, an, keep = saved[t]
-            z, r = zr[:, :k], zr[:, k:]
-            new = back * keep[:, None]
-            dn = new * (1 - z) * (1 - n * n)
-            da = np.empty_like(dx[t])
-            da[:, :k] = new * (h - n) * z * (1 - z)
-            da[:, k : 2 * k] = dn * an * r * (1 - r)
-            dx[t, :, : 2 * k], dx[t, :, 2 * k :] = da[:, : 2 * k], dn
-            da[:, 2 * k :] = dn * r
-            g["u"] += h.T @ da
-            back = new * z + da @ self.p["u"].T + dh[t]
+            dh[order] += dsub
+        return out, dh
+
+    def backward(self, saved: tuple, ids: np.ndarray, dh: np.ndarray, g: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Adds the gradients of a window to g, given those by state; for the gate inputs returns (rows, their gradients). What was
+        saved is written over."""
+        (steps, lanes), k = ids.shape, self.hidden
+        states, held, ends, (_, _, ut) = saved
+        back, x, y, by_state = np.zeros_like(dh[0]), np.empty_like(dh[0]), np.empty_like(dh[0]), np.empty((3, lanes, k), dh.dtype)
+        du, unknown, rare = np.zeros((3, k, k), dh.dtype), (ids == self.known).astype(dh.dtype), np.zeros((4, k), dh.dtype)
+        for t in range(steps - 1, -1, -1):
+            # Gradients take the places of z and r (of their inputs), a (of the new state's input from the state) and n (of that from the word).
+            h, (z, r, a, n) = states[t], held[t]
+            back[ends[t]] = 0
+            np.subtract(1, z, out=x)
+            x *= back
+            back *= z
+            np.subtract(h, n, out=y)
+            y *= z
+            np.multiply(x, y, out=z)
+            n *= n
+            np.subtract(1, n, out=n)
+            n *= x
+            np.subtract(r, 1, out=x)
+            x *= 0.5  # a was taken -2 times
+            x *= a
+            np.multiply(n, r, out=a)
+            np.multiply(x, a, out=r)
+            du += np.matmul(h.T, held[t, :3])
+            np.matmul(held[t, :3], ut, out=by_state)
+            back += by_state[0]
+            back += by_state[1]
+            back += by_state[2]
+            back += dh[t]
+            rare += unknown[t] @ held[t]
+        g["u"] += np.concatenate(du, axis=1)
         flat = np.maximum(ids, 0).ravel()
-        order = np.argsort(flat.astype(np.int32), kind="stable")
-        starts = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        return flat[order][starts], np.add.reduceat(dx.reshape(-1, 3 * k)[order], starts, axis=0)
+        order = np.argsort(flat.astype(np.int16), kind="stable")
+        order = order[: np.searchsorted(flat[order], self.known)]  # the rare class is often half of all words
+        rows, sums = self._summed(flat[order], order // lanes * (4 * lanes) + order % lanes + (np.array([0, 1, 3]) * lanes)[:, None], held.reshape(-1, k))
+        return np.append(rows, self.known), np.concatenate([np.concatenate(sums, axis=1), rare[[0, 1, 3]].reshape(1, -1)])
+
+    @staticmethod
+    def _summed(ids: np.ndarray, at: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids there are, by how often each is there, gate by gate the sums of its rows of d): at has a row number for each gate and place of the
+        ascending ids. Frequent ids are summed one by one, of the others all first rows, all second ones and so on."""
+        starts = np.flatnonzero(np.diff(ids, prepend=-1))
+        counts = np.diff(starts, append=len(ids))
+        most = np.argsort(-counts, kind="stable")
+        starts, counts = starts[most], counts[most]
+        sums = np.zeros((len(at), len(starts), d.shape[1]), d.dtype)
+        many = int(np.searchsorted(-counts, -OFTEN))  # those that are there more often
+        for i in range(many):
+            rows = d.take(at[:, starts[i] : starts[i] + counts[i]], axis=0)
+            np.matmul(np.ones((1, counts[i]), d.dtype), rows, out=sums[:, i : i + 1])
+        for j in range(int(counts[many]) if many < len(counts) else 0):
+            n = int(np.searchsorted(-counts, -j))
+            sums[:, many:n] += d.take(at[:, starts[many:n] + j], axis=0)
+        return ids[starts], sums
 
     def learn(self, grid: np.ndarray, steps: int, rate: float) -> tuple[float, int]:
         """Truncated backpropagation through windows of `steps` words of a grid (lanes by words; below 0: none), states carried
         from window to window; returns (negative log-likelihood, words)."""
-        h, loss, n = np.zeros((len(grid), self.hidden), np.float32), 0.0, 0
+        h, loss, n, room = np.zeros((len(grid), self.hidden), np.float32), 0.0, 0, {}
         for a in range(0, grid.shape[1], steps):
             ids = np.ascontiguousarray(grid[:, a : a + steps].T)
             g = {k: np.zeros_like(x) for k, x in self.p.items() if k != "gates"}
-            states, saved, h = self.forward(h, ids)
+            states, saved, h = self.forward(h, ids, room=room)
             logp, dh = self.log_probs(states.reshape(-1, self.hidden), ids.ravel(), g)
             count = int((ids >= 0).sum())
             rows, gates = self.backward(saved, ids, dh.reshape(states.shape), g)
@@ -278,11 +336,11 @@ class GatedModel:
                 ids[: load[k], row] = np.concatenate([documents[i] for i in queue[k]])
                 owner[: load[k], row] = np.repeat(queue[k], lengths[queue[k]])
         active = load[order]
-        total, h = np.zeros(len(documents)), np.zeros((lanes, self.hidden), np.float32)
+        total, h, tables, room = np.zeros(len(documents)), np.zeros((lanes, self.hidden), np.float32), self.tables(), {}
         for a in range(0, len(ids), steps):
             n = int(np.searchsorted(-active, -a))  # lanes that are longer than what is read
             window = np.ascontiguousarray(ids[a : a + steps, :n])
-            states, _, h = self.forward(h[:n], window)
+            states, _, h = self.forward(h[:n], window, tables, keep=False, room=room)
             logp, _ = self.log_probs(states.reshape(-1, self.hidden), window.ravel())
             total += np.bincount(owner[a : a + steps, :n].ravel(), logp, len(documents))
         return total / LOG10
@@ -415,15 +473,18 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dict
             first = last - lengths
             total = lambda x: np.add.reduceat(x, first)  # noqa: B023, E731
             base, more = total(np.where(new, unseen_base if complete else 0.0, log_base[at])), total(np.where(new, unseen_rare if complete else 0.0, log_rare[at]))
-            rest: list[list[dict]] = [[] for _ in lengths]
+            rest = pa.array([[]] * len(lengths), arrow_rest)
             if not complete and new.any():
-                owner = np.repeat(np.arange(len(lengths)), lengths + 1)[new].tolist()
-                for (i, w), n in Counter(zip(owner, words.filter(pa.array(new[inner])).to_pylist(), strict=True)).items():
-                    rest[i].append({"word": w, "n": n})
+                coded = words.filter(pa.array(new[inner])).dictionary_encode()
+                owner = np.repeat(np.arange(len(lengths)), lengths + 1)[new]
+                pairs, n = np.unique(owner * len(coded.dictionary) + coded.indices.to_numpy(), return_counts=True)
+                owner, code = np.divmod(pairs, len(coded.dictionary))
+                entries = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(code)), pa.array(n, pa.int64())], fields=list(arrow_rest.value_type))
+                rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(lengths) + 1)), pa.int32()), entries, type=arrow_rest)
             ids = np.where(new | (at >= known), known, at).astype(np.int16)
             row = np.arange(number, number + len(lengths))
             number += len(lengths)
-            columns = [pa.array(lengths + 1), pa.array(total((~new).astype(np.int64))), pa.array(base), pa.array(more), pa.array(rest, arrow_rest)]
+            columns = [pa.array(lengths + 1), pa.array(total((~new).astype(np.int64))), pa.array(base), pa.array(more), rest]
             packed = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(np.concatenate([[0], 2 * (last + 1)]).astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
             yield pa.RecordBatch.from_arrays([pa.array(row), batch.column(0), batch.column(1), batch.column(2), *columns, packed], names=schema.names)
 
@@ -432,7 +493,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dict
     if known:
         model = trained(encoded.where("not held_out").select("key", "ids"), model, n_all, n_docs, rounds)
     sent = spark.sparkContext.broadcast(model)
-    result = T.StructType([*head, T.StructField("n_tokens", T.LongType()), *facts[:2], T.StructField("score", T.DoubleType()), facts[3]])
+    result = T.StructType([*head, T.StructField("n_tokens", T.LongType()), *facts[:2], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, held, size = sent.value, [], 0
@@ -440,24 +501,24 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dict
         def flush() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
             score = model.score([np.frombuffer(x.as_buffer(), np.int16).astype(np.int32) for x in t["ids"]]) + t["more"].to_numpy()
-            return pa.RecordBatch.from_arrays([*[t[n].combine_chunks() for n in ("_row", "_id", "held_out", "n_tokens", "n_known", "base")], pa.array(score), t["rest"].combine_chunks()], names=result.names)
+            return pa.RecordBatch.from_arrays([*[t[n].combine_chunks() for n in ("_row", "_id", "held_out", "n_tokens", "n_known", "base")], pa.array(score)], names=result.names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
             size += sum(batch.column(batch.schema.get_field_index("n_tokens")).to_pylist())
-            if size >= 1_000_000:
+            if size >= SCORED:
                 yield flush()
                 held, size = [], 0
         if held:
             yield flush()
 
-    rows = encoded.drop("key").mapInArrow(run, result)
+    rows = encoded.drop("key", "rest").mapInArrow(run, result)
     if not complete:
         rows = written(rows, "scores")
         # Words that the dictionary lacks: by document and word already, so a word meets each document once.
-        asked = rows.select("_row", F.explode("rest").alias("r")).select("_row", "r.word", "r.n")
+        asked = encoded.select("_row", F.explode("rest").alias("r")).select("_row", "r.word", "r.n")
         seen = asked.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
         sums = seen.groupBy("_row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k"), F.sum(F.col("n") * F.log10((F.col("c") + 0.5) / unit)).alias("b"), F.sum(F.col("n") * F.log10((F.col("c") + 0.5) / rare)).alias("s"))
         rows = rows.join(sums, "_row", "left").withColumns({"n_known": F.col("n_known") + F.coalesce("k", F.lit(0)), "base": F.col("base") + F.coalesce("b", F.lit(0.0)), "score": F.col("score") + F.coalesce("s", F.lit(0.0))})

@@ -1,4 +1,5 @@
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -133,3 +134,53 @@ def test_averaged_weights(spark):
     got = lm._averaged(spark.createDataFrame(rows, lm.MODELS).repartition(9), 100)
     assert np.allclose(got, sum(i * n for i, n, _ in rows) / sum(n for _, n, _ in rows), rtol=1e-5)
     assert lm._averaged(spark.createDataFrame([], lm.MODELS), 0) is None
+
+
+def plain(m, h, ids):
+    """The recurrence as it is written down: states before each word, one product for all gates."""
+    k, states = m.hidden, []
+    for row in ids:
+        states.append(h)
+        a, x = h @ m.p["u"], m.p["gates"][np.maximum(row, 0)]
+        zr = 1 / (1 + np.exp(-np.maximum(x[:, : 2 * k] + a[:, : 2 * k], -80)))
+        n = 2 / (1 + np.exp(-2 * (x[:, 2 * k :] + zr[:, k:] * a[:, 2 * k :]))) - 1
+        h = ((h - n) * zr[:, :k] + n) * (row != m.end)[:, None].astype(h.dtype)
+    return np.array(states), h
+
+
+def test_states_are_those_of_the_plain_recurrence_in_less_time():
+    m, rng = lm.GatedModel(1024, 0), np.random.default_rng(5)
+    ids, h = rng.integers(-1, 1025, (24, 512)), rng.normal(size=(512, 32)).astype(np.float32) * 0.3
+    times, tables, room = [[], []], m.tables(), {}
+    for _ in range(25):
+        for took, f in zip(times, (lambda: plain(m, h, ids), lambda: m.forward(h, ids, tables, keep=False, room=room)[::2]), strict=True):
+            start = time.thread_time()
+            got_ = f()
+            took.append(time.thread_time() - start)
+            if len(took) == 1:
+                want = got_ if took is times[0] else want
+                assert all(np.allclose(x, y, atol=1e-5) for x, y in zip(got_, want, strict=True))
+    assert min(times[1]) < 0.75 * min(times[0])
+
+
+def test_gates_gradients_are_summed_by_word():
+    rng = np.random.default_rng(6)
+    ids = np.sort(np.append(rng.integers(0, 400, 3000), [7] * 500 + [9] * lm.OFTEN + [11] * (lm.OFTEN + 1)))
+    at, d = rng.permutation(3 * len(ids)).reshape(3, -1), rng.normal(size=(3 * len(ids), 4))
+    for part in (ids, ids[:0], ids[:1], np.full(len(ids), 3)):
+        rows, sums = lm.GatedModel._summed(part, at[:, : len(part)], d)
+        assert sorted(rows) == sorted(set(part.tolist()))
+        for i, word in enumerate(rows):
+            assert np.allclose(sums[:, i], d[at[:, : len(part)][:, part == word]].sum(axis=1))
+
+
+def test_counts_added_up_in_the_task(spark, monkeypatch):
+    """Many words and few, counted in small pieces: one row for each word, and each task hands on each word once if they fit."""
+    rng = np.random.default_rng(8)
+    texts = [None, "", *(" ".join(f"w{k}" for k in rng.zipf(1.3, 60) % 300) for _ in range(200))]
+    want = Counter(w for t in texts for w in (t or "").encode().split() + [b""])
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    for counted, held in ((50, 10**6), (50, 100), (10**6, 10)):
+        monkeypatch.setattr(lm, "COUNTED", counted)
+        monkeypatch.setattr(lm, "HELD", held)
+        assert {bytes(r.word): r.c for r in lm.word_counts(docs).collect()} == want
