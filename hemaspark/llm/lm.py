@@ -51,8 +51,8 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.filter(full).cast(pa.binary()), np.bincount(owner[full.to_numpy(zero_copy_only=False)], minlength=len(lists)).astype(np.int64)
 
 
-#: Words that are counted together by a task, counts that it holds before it adds them up, and words that are scored together by a task.
-COUNTED, HELD, SCORED = 1_000_000, 1_500_000, 4_000_000
+#: Words that are counted together by a task, and words that are scored together.
+COUNTED, SCORED = 2_000_000, 4_000_000
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -61,27 +61,24 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     schema = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("c", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, ends, found = [], 0, 0, []
-
-        def counted(most: int) -> Iterator[pa.RecordBatch]:
-            """Counts what is held; adds up the counts if there are more than that, and hands them on if half as many are left."""
-            nonlocal held, size, ends, found
-            c = pc.value_counts(pa.chunked_array([*held, pa.array([], pa.binary())]))
-            found += [pa.table({"word": x, "c": n}) for x, n in ((c.field(0), c.field(1)), (pa.array([END] * (ends > 0), pa.binary()), pa.array([ends] * (ends > 0), pa.int64())))]
-            held, size, ends = [], 0, 0
-            if sum(len(t) for t in found) > most:
-                found = [pa.concat_tables(found).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns({"c_sum": "c"})]
-            if len(found[0]) > most // 2:  # so that no count is added up again for every few words
-                yield from found.pop().select(schema.names).to_batches(max_chunksize=100_000)
+        held, size, ends = [], 0, 0
+
+        def counted() -> pa.RecordBatch:
+            found = pc.value_counts(pa.chunked_array([*held, pa.array([END] * (ends > 0), pa.binary())]))
+            word, c = found.field(0), found.field(1).to_numpy().copy()
+            if ends:
+                c[pc.index(word, pa.scalar(END, pa.binary())).as_py()] = ends
+            return pa.RecordBatch.from_arrays([word, pa.array(c, pa.int64())], names=schema.names)
 
         for batch in batches:
             words, lengths = split(batch.column(0))
             held.append(words)
             size, ends = size + len(words), ends + len(lengths)
             if size >= COUNTED:
-                yield from counted(HELD)
-        if ends or found:
-            yield from counted(0)
+                yield counted()
+                held, size, ends = [], 0, 0
+        if ends:
+            yield counted()
 
     return docs.select(text_col).mapInArrow(run, schema).groupBy("word").agg(F.sum("c").alias("c"))
 

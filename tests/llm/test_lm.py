@@ -174,13 +174,10 @@ def test_gates_gradients_are_summed_by_word():
             assert np.allclose(sums[:, i], d[at[:, : len(part)][:, part == word]].sum(axis=1))
 
 
-def test_counts_added_up_in_the_task(spark, monkeypatch):
-    """Many words and few, counted in small pieces: one row for each word, and each task hands on each word once if they fit."""
-    rng = np.random.default_rng(8)
-    texts = [None, "", *(" ".join(f"w{k}" for k in rng.zipf(1.3, 60) % 300) for _ in range(200))]
-    want = Counter(w for t in texts for w in (t or "").encode().split() + [b""])
-    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
-    for counted, held in ((50, 10**6), (50, 100), (10**6, 10)):
-        monkeypatch.setattr(lm, "COUNTED", counted)
-        monkeypatch.setattr(lm, "HELD", held)
-        assert {bytes(r.word): r.c for r in lm.word_counts(docs).collect()} == want
+def test_rare_words_that_repeat_in_a_text(spark):
+    """Words beyond the dictionary, oftener than once in a text and in several, reach their join by document and word, not by way of scoring."""
+    docs = [(i, " ".join(f"a{k % 3} r{k % (5 + i)} R{k % 2}" for k in range(10 * i))) for i in range(12)] + [(12, None), (13, "new new once")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for dictionary in (1, 4, 9):
+        rows = lm.scored(df, dictionary=dictionary, classes=1).collect()
+        assert got(rows) == brute(docs) and all(math.isfinite(r.score) for r in rows)
